@@ -2,10 +2,12 @@
 
 from __future__ import annotations
 
+from . import base, relational, retrieval, text_queries, timed  # noqa: F401  registers the queries
+
 
 def queries() -> dict:
-    return {}
+    return dict(base.QUERIES)
 
 
 def oracle_sql() -> dict[str, str]:
-    return {}
+    return dict(base.SQL)
