@@ -24,6 +24,7 @@ Parser = Callable[[bytes], list[str]]
 
 
 def read_binary(spark: SparkSession, path: str, pattern: str | None = None) -> DataFrame:
+    """(path, modificationTime, length, content); Spark's scan skips files without bytes."""
     reader = spark.read.format("binaryFile")
     return (reader.option("pathGlobFilter", pattern) if pattern else reader).load(path)
 
