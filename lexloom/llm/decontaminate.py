@@ -312,4 +312,4 @@ def remove(documents: DataFrame, benchmark: DataFrame, text_col: str = "text", w
 def op5_decontaminate(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Every document of ``documents`` against every item of ``benchmark``."""
     docs, items = (spark.read.parquet(f"{sf_dir}/{t}.parquet") for t in ("documents", "benchmark"))
-    return report(docs, items)
+    return report(docs, items).select("doc_id", "n_words", "n_hit", "n_items", "items_sha256", "contaminated")
