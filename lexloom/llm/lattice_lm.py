@@ -5,11 +5,14 @@ and one end. A word is spelled by the pieces of an existing subword vocabulary w
 character; pieces hold that mark only at their beginning, so the lattice of a text is the product of the
 lattices of its words. The marginal probability of a word is the sum over *all* its segmentations, by the
 forward recursion alpha[j] = logsumexp over pieces w[i:j] of alpha[i] + log p(piece), in log space; bytes are
-pieces too (fallback), so every word has a spelling.
+pieces too (fallback), so every word has a spelling. A piece has a probability as first and as later piece,
+and one of ending the word, so the probabilities of all words sum to one.
 
 The vocabulary and its ids come from a file and are never changed. The probabilities of its pieces are
-relative frequencies of the vocabulary's own segmentation of the training words, weighted by their
-counts, with a half added to each; the probability of the end is that of the training documents' ends.
+relative frequencies in the vocabulary's own segmentation of the distinct training words, with a half added:
+they describe words that are new. A word met in training is one more arc of its lattice, from its beginning to
+its end: its count less an absolute discount D = n1 / (n1 + 2 n2) goes to this arc, and what all discounts
+take away goes to the spelled segmentations.
 
 Plan: each task turns batches of documents into a *block*: its distinct words with counts in training texts,
 and each document's bag of words as indices into them. Blocks are written once. The words of all blocks
@@ -101,32 +104,58 @@ def read_vocabulary(path: str) -> list[str]:
 
 
 def _piece_counts(path: str):
+    """(piece, first, later, last): how often a piece begins, continues and ends a distinct word."""
+
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         import sentencepiece
 
         model = sentencepiece.SentencePieceProcessor(model_file=path)
-        total = np.zeros(model.get_piece_size(), np.float64)
+        total = np.zeros((3, model.get_piece_size()), np.int64)
         for part in slices(batches, 4096):
-            encoded = model.encode(part.column("word").to_pylist(), num_threads=1)
-            counts = np.repeat(np.array(part.column("c").to_pylist(), np.float64), [len(e) for e in encoded])
-            np.add.at(total, np.array([i for e in encoded for i in e], np.int64), counts)
-        found = np.nonzero(total)[0]
-        yield pa.RecordBatch.from_arrays([pa.array(found, pa.int64()), pa.array(total[found].astype(np.int64), pa.int64())], names=["piece", "n"])
+            for ids in model.encode(part.column("word").to_pylist(), num_threads=1):
+                if ids:
+                    total[0, ids[0]] += 1
+                    total[2, ids[-1]] += 1
+                    for i in ids[1:]:
+                        total[1, i] += 1
+        found = np.nonzero(total.any(axis=0))[0]
+        yield pa.RecordBatch.from_arrays([pa.array(found, pa.int64()), *(pa.array(row[found]) for row in total)], names=["piece", "first", "later", "last"])
 
     return run
 
 
 class Lattice:
-    """Log10 marginal probabilities of words over the pieces ``log_p`` (natural logs) and byte fallback."""
+    """Natural log marginal probabilities of words.
+
+    ``first`` and ``later`` give for a piece two logs: of the piece and of going on after it, and of the piece and
+    of the word's end after it. ``byte`` has the same for one byte.
+    """
 
-    def __init__(self, log_p: dict[str, float], log_byte: list[float]):
-        self.log_byte = log_byte
-        self.longest = max(map(len, log_p), default=1)
-        self.log_p = log_p
-        self.starts = {p[:n] for p in log_p for n in range(1, len(p) + 1)}  # a piece may still grow
+    def __init__(self, first: dict[str, tuple[float, float]], later: dict[str, tuple[float, float]], byte: tuple[float, float]):
+        self.first, self.later, self.byte = first, later, byte
+        self.longest = max(map(len, [*first, *later]), default=1)
         self._last: tuple[str, list[float]] = (MARK, [0.0])
 
-    def log10(self, word: str) -> float:
+    def _terms(self, text: str, j: int, alpha: list[float], end: int) -> float:
+        """logsumexp over the pieces that end at ``j``; ``end`` is 1 for the last place of the word."""
+        low = max(0, j - self.longest)
+        terms = [alpha[j - 1] + (len(text[j - 1].encode()) - 1) * self.byte[0] + self.byte[end]] if j > 1 else [3 * self.byte[0]]
+        if low == 0:
+            p = self.first.get(text[:j])
+            if p is not None:
+                terms.append(p[end])
+            low = 1
+        get = self.later.get
+        for i in range(low, j):
+            p = get(text[i:j])
+            if p is not None:
+                terms.append(alpha[i] + p[end])
+        if len(terms) == 1:
+            return terms[0]
+        top = max(terms)
+        return top + math.log(sum([math.exp(t - top) for t in terms]))
+
+    def log(self, word: str) -> float:
         """Words in sorted order share the part of the recursion that belongs to their common beginning."""
         text = MARK + word
         old, alpha = self._last
@@ -135,36 +164,30 @@ class Lattice:
             if a != b:
                 break
             keep += 1
-        alpha = alpha[: keep + 1]
-        get, starts, longest, byte = self.log_p.get, self.starts, self.longest, self.log_byte
-        for j in range(len(alpha), len(text) + 1):
-            spell = alpha[j - 1] + sum(byte[b] for b in text[j - 1].encode())
-            terms, top = [spell], spell
-            for i in range(max(0, j - longest), j):
-                p = get(text[i:j])
-                if p is not None:
-                    p += alpha[i]
-                    terms.append(p)
-                    if p > top:
-                        top = p
-            alpha.append(top + math.log(sum([math.exp(t - top) for t in terms])) if len(terms) > 1 else spell)
+        alpha = alpha[: min(keep + 1, len(text))]
+        for j in range(len(alpha), len(text)):
+            alpha.append(self._terms(text, j, alpha, 0))
         self._last = text, alpha
-        return alpha[-1] / math.log(10)
+        return self._terms(text, len(text), alpha, 1)
+
+
+def _lattice(pieces: list[str], counts: dict[int, tuple[int, int, int]]) -> tuple[dict, dict, tuple[float, float]]:
+    """The tables of ``Lattice`` from the counts of the pieces; 256 bytes share what half a count each gives them."""
+    special = {i for i, p in enumerate(pieces) if not p or p in ("<unk>", "<s>", "</s>") or (len(p) == 6 and p.startswith("<0x"))}
+    begins = [i for i, p in enumerate(pieces) if i not in special and p.startswith(MARK) and MARK not in p[1:]]
+    goes_on = [i for i, p in enumerate(pieces) if i not in special and MARK not in p]
+    none = (0, 0, 0)
+    n_first, n_later = (sum(counts.get(i, none)[k] for i in own) + 0.5 * len(own) + 128 for k, own in ((0, begins), (1, goes_on)))
+    ends = (sum(c[2] for c in counts.values()) + 1) / (sum(c[0] + c[1] for c in counts.values()) + 2)
 
+    def both(i: int, k: int, total: float) -> tuple[float, float]:
+        c = counts.get(i, none)
+        p, end = (c[k] + 0.5) / total, (c[2] + 2 * ends) / (c[0] + c[1] + 2)
+        return math.log(p) + math.log1p(-end), math.log(p) + math.log(end)
 
-def _lattice(pieces: list[str], counts: dict[int, int], ends: int) -> tuple[dict[str, float], list[float], float]:
-    """Natural logs: pieces that spell text, bytes, and the end."""
-    usable, byte_of = {}, {}
-    for i, piece in enumerate(pieces):
-        if len(piece) == 6 and piece.startswith("<0x"):
-            byte_of[int(piece[3:5], 16)] = i
-        elif piece and MARK not in piece[1:] and piece not in ("<unk>", "<s>", "</s>"):
-            usable[piece] = i
-    weight = {i: counts.get(i, 0) + 0.5 for i in (*usable.values(), *byte_of.values())}
-    extra = 0.5 * (256 - len(byte_of))
-    total = sum(weight.values()) + extra + ends + 0.5
-    log_byte = [math.log((weight[byte_of[b]] if b in byte_of else 0.5) / total) for b in range(256)]
-    return {p: math.log(weight[i] / total) for p, i in usable.items()}, log_byte, math.log((ends + 0.5) / total)
+    byte = 0.5 / n_later
+    tables = {pieces[i]: both(i, 0, n_first) for i in begins}, {pieces[i]: both(i, 1, n_later) for i in goes_on}
+    return *tables, (math.log(byte) + math.log1p(-ends), math.log(byte) + math.log(ends))
 
 
 def likelihood(documents: DataFrame, held_col, vocabulary: str = VOCABULARY, id_col: str = "doc_id", text_col: str = "text", block_bytes: int = BLOCK_BYTES) -> DataFrame:
@@ -174,20 +197,27 @@ def likelihood(documents: DataFrame, held_col, vocabulary: str = VOCABULARY, id_
     blocks = materialise(docs.mapInArrow(lambda it: _blocks(it, block_bytes), _BLOCK), "lm-blocks")
     words = blocks.select(F.explode(F.arrays_zip("words", "train")).alias("w")).groupBy(F.col("w.words").alias("word")).agg(F.sum("w.train").alias("c"))
     words = materialise(words, "lm-words")
-    tokens, kinds = words.filter("c > 0").agg(F.coalesce(F.sum("c"), F.lit(0)), F.count("*")).first()
+    known = words.filter("c > 0")
+    in_words, kinds, once, twice = known.agg(F.coalesce(F.sum("c"), F.lit(0)), F.count("*"), F.count_if(F.col("c") == 1), F.count_if(F.col("c") == 2)).first()
     ends = blocks.agg(F.sum(F.aggregate("held", F.lit(0).cast("long"), lambda a, h: a + F.when(h, 0).otherwise(1)))).first()[0] or 0
-    tokens, kinds = tokens + ends, kinds + (ends > 0)
-    counted = words.filter("c > 0").mapInArrow(_piece_counts(vocabulary), "piece long, n long").groupBy("piece").agg(F.sum("n").alias("n"))
-    log_p, log_byte, log_end = _lattice(read_vocabulary(vocabulary), {p: n for p, n in counted.collect()}, ends)
-    shared = spark.sparkContext.broadcast((log_p, log_byte))
-    floor = tokens + 0.5 * (kinds + 1)
+    tokens = in_words + ends
+    counted = known.mapInArrow(_piece_counts(vocabulary), "piece long, first long, later long, last long").groupBy("piece").agg(*(F.sum(c) for c in ("first", "later", "last")))
+    shared = spark.sparkContext.broadcast(_lattice(read_vocabulary(vocabulary), {r[0]: tuple(r[1:]) for r in counted.collect()}))
+    floor = tokens + 0.5 * (kinds + (ends > 0) + 1)
+    discount = min(0.9, max(0.1, once / (once + 2 * twice))) if once else 0.5
+    spelled = discount * kinds / in_words if in_words else 1.0  # what the discounts leave to spelling
+    end_p = (ends + 0.5) / (tokens + 1)
 
     def weigh(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        """log10 of each word's marginal: its own arc and its spellings."""
         lattice = Lattice(*shared.value)
         for part in slices(batches, 4096):
             found = sorted(zip(part.column("word").to_pylist(), part.column("c").to_pylist()))
-            values = [[w for w, _ in found], [c for _, c in found], [lattice.log10(w) for w, _ in found]]
-            yield pa.RecordBatch.from_arrays([pa.array(v, t) for v, t in zip(values, (pa.string(), pa.int64(), pa.float64()))], names=["word", "c", "logp"])
+            c, log_p = np.array([c for _, c in found], float), np.array([lattice.log(w) for w, _ in found]) + math.log(spelled)
+            with np.errstate(divide="ignore"):
+                own = np.log(np.maximum(c - discount, 0) / max(in_words, 1))
+            score = (np.logaddexp(own, log_p) + math.log1p(-end_p)) / math.log(10)
+            yield pa.RecordBatch.from_arrays([pa.array([w for w, _ in found], pa.string()), pa.array([c for _, c in found], pa.int64()), pa.array(score)], names=["word", "c", "logp"])
 
     scored = words.mapInArrow(weigh, "word string, c long, logp double")
     pairs = blocks.select(F.col("block").alias("of"), F.posexplode("words").alias("at", "word")).join(scored, "word").select("of", "at", "c", "logp")
@@ -213,7 +243,7 @@ def likelihood(documents: DataFrame, held_col, vocabulary: str = VOCABULARY, id_
                 "n_known": over((c > 0)[where].astype(np.int64)) + int(end_known),
                 "train_tokens": np.full(docs_n, tokens, np.int64),
                 "base_score": exact(base[where]) + end_base,
-                "score": exact(logp[where]) + log_end / math.log(10),
+                "score": exact(logp[where]) + math.log10(end_p),
             }
         )
 
