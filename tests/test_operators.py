@@ -135,3 +135,24 @@ def test_replace_partitions(spark, tmp_path):
 def test_heading_levels(spark, line, after, want):
     got = spark.range(1).select(text.heading_level(F.lit(line), F.lit(after)).alias("x")).first().x
     assert got == want
+
+
+def test_contract_entry_points(spark, tmp_path):
+    from lexloom.operators import contracts
+
+    rows = spark.createDataFrame([(1, "c1"), (2, "c2")], "id int, contract_id string")
+    flags = spark.createDataFrame([(1, "c1", "low"), (2, "c2", "high")], "clause_id int, contract_id string, severity string")
+    audit = spark.createDataFrame([(1, "c1"), (2, "c2")], "clause_id int, contract_id string")
+    after = contracts.delete_clauses(spark.createDataFrame([(1,)], "clause_id int"), rows, flags, audit)
+    assert [r.id for r in after["clauses"].collect()] == [2] and [r.clause_id for r in after["flags"].collect()] == [2]
+    assert sorted((str(r.clause_id), r.contract_id) for r in after["audit"].collect()) == [("2", "c2"), ("None", "c1")]
+    n, rest = contracts.delete_counted(rows, spark.createDataFrame([("c1",), ("x",)], "contract_id string"), "contract_id")
+    assert n == 1 and rest.count() == 1
+    assert contracts.append_audit(audit, str(tmp_path / "audit")) and not contracts.append_audit(audit, "nofs://x/y")
+    old = contracts.read_evolved(spark, str(tmp_path / "audit"), {"details": "string", "clause_id": "int"})
+    assert old.columns == ["clause_id", "contract_id", "details"]
+    shown = spark.range(1).select(contracts.prompt(F.lit("c"), F.array(F.lit("a"), F.lit("b"))).alias("p")).first().p
+    assert shown == "Clause:\nc\n\nRelated clauses:\na\n\nb"
+    items = spark.createDataFrame([("s", 1, "pay the fee", [1.0, 0.0], "Termination"), ("s", 2, "pay the fine", [0.9, 0.1], None)], "scope string, item_id int, text string, embedding array<float>, category string")
+    found = contracts.grounding(rows, items, spark.createDataFrame([(1, "high"), (2, "low")], "item_id int, severity string")).collect()
+    assert {r.query_id for r in found} == {1} and [r.item_id for r in sorted(found, key=lambda r: r.rank)] == [1, 2]
