@@ -36,6 +36,8 @@ WINDOW = 10
 MIN_SPAN = 1
 MAX_COVERAGE = 0.5
 MAX_WORDS = 250_000
+#: Rows for which a worker opens each automaton, where there are several.
+MANY_ROWS = 8192
 
 #: Everything but [0-9a-z] after lower-casing and bytes of non-ASCII characters separates words.
 _NORMAL = bytes(
@@ -262,7 +264,7 @@ def report(documents: DataFrame, benchmark: DataFrame, id_col: str = "doc_id", t
     docs = documents.select(F.col(id_col), F.col(text_col).cast("binary").alias("text"))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for part in slices(batches):
+        for part in slices(batches, 256 if len(shared) < 2 else MANY_ROWS):
             rows = _scan_all([t or b"" for t in part.column("text").to_pylist()], shared)
             hit = [sum(e - s for s, e in spans) for _, spans, _ in rows]
             cover = [h / n if n else 0.0 for h, (n, _, _) in zip(hit, rows)]
@@ -293,7 +295,7 @@ def remove(documents: DataFrame, benchmark: DataFrame, text_col: str = "text", w
     schema = documents.schema
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for part in slices(batches):
+        for part in slices(batches, 256 if len(shared) < 2 else MANY_ROWS):
             column = part.column(text_col)
             raw = column.cast(pa.binary()).to_pylist()
             keep, texts = [], []
