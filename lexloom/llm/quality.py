@@ -112,7 +112,8 @@ def judge(documents: DataFrame, text_col: str = "text", min_words: int = MIN_WOR
 
 def clean(documents: DataFrame, text_col: str = "text", chars_col: str | None = "n_chars", **limits) -> DataFrame:
     """Kept documents with their clean text, in the columns of ``documents`` (``chars_col`` is counted anew)."""
-    out = judge(documents, text_col, **limits).filter("kept")
+    # the partition id keeps the filter above the projections: pushed into them, it would compute them over again
+    out = judge(documents, text_col, **limits).withColumn("held", F.spark_partition_id()).filter("kept and held >= 0")
     new = {text_col: F.col("clean_text")}
     if chars_col in documents.columns:
         new[chars_col] = F.length("clean_text").cast(documents.schema[chars_col].dataType)
