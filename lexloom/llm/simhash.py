@@ -41,7 +41,7 @@ import xxhash
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from .store import LOWER, as_bytes, materialise, slices
+from .store import LOWER, as_bytes, discard, materialise, slices
 
 SEED = 42
 WIDTH = 3
@@ -148,7 +148,8 @@ def components(edges: DataFrame, rounds: int = 60) -> DataFrame:
             .filter("hi <> lo")
             .distinct()
         )
-        held = materialise(small, "stars")
+        old, held = held, materialise(small, "stars")
+        discard(old)
         now = print_of(held)
         if now == last:
             break
