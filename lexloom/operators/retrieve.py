@@ -7,11 +7,14 @@ item id as the last sort key.
 
 from __future__ import annotations
 
+from pyspark import StorageLevel
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions import fixed, text, vectors
 
+SMALL_ROWS = 200_000
+
 
 def ranked(scored: DataFrame, k: int | None = None, keys: tuple[str, ...] = ("query_id", "scope"), score: str = "score", item: str = "item_id") -> DataFrame:
     """Adds ``rank`` (best first) and keeps the first ``k``; the limit is pushed below the window's shuffle."""
@@ -19,35 +22,51 @@ def ranked(scored: DataFrame, k: int | None = None, keys: tuple[str, ...] = ("qu
     return df if k is None else df.filter(F.col("rank") <= k)
 
 
+def small_side(df: DataFrame, rows: int = SMALL_ROWS) -> DataFrame:
+    """``df`` marked for broadcast if it has at most ``rows`` rows; looking costs a bounded count."""
+    return F.broadcast(df) if df.limit(rows + 1).count() <= rows else df
+
+
 def term_frequencies(items: DataFrame, body: str = "text") -> DataFrame:
-    """(scope, item_id, term, tf)."""
-    return items.select("scope", "item_id", F.explode(text.tokens(F.col(body))).alias("term")).groupBy("scope", "item_id", "term").agg(F.count("*").alias("tf"))
+    """(scope, item_id, dl, term, tf); dl is the item's length in words.
+
+    A text's words stay in its task until they are counted, so what is shuffled is its distinct words.
+    """
+    words = items.select("scope", "item_id", text.tokens(F.col(body)).alias("words"))
+    # an outer explode: the inner one makes the optimizer tokenise once more for a filter below it
+    each = words.select("scope", "item_id", F.size("words").alias("dl"), F.explode_outer("words").alias("term")).filter("term IS NOT NULL")
+    return each.groupBy("scope", "item_id", "dl", "term").agg(F.count("*").alias("tf"))
 
 
-def bm25_statistics(items: DataFrame, tf: DataFrame, body: str = "text", epsilon: float = fixed.BM25_EPSILON) -> tuple[DataFrame, DataFrame]:
+def bm25_statistics(items: DataFrame, tf: DataFrame, epsilon: float = fixed.BM25_EPSILON) -> tuple[DataFrame, DataFrame]:
     """(scope, n, avgdl, floor) and (scope, term, idf): negative idf is replaced by a share of the mean raw idf."""
-    sizes = items.groupBy("scope").agg(F.count("*").alias("n"), F.avg(F.size(text.tokens(F.col(body)))).alias("avgdl"))
-    df = tf.groupBy("scope", "term").agg(F.count("*").alias("df"))
-    raw = df.join(F.broadcast(sizes), "scope").withColumn("raw", F.log(F.col("n") - F.col("df") + 0.5) - F.log(F.col("df") + 0.5))
+    terms = tf.groupBy("scope", "term").agg(F.count("*").alias("df"), F.sum("tf").alias("all"))
+    words = terms.groupBy("scope").agg(F.sum("all").alias("words"))
+    sizes = items.groupBy("scope").agg(F.count("*").alias("n")).join(words, "scope", "left")
+    sizes = sizes.select("scope", "n", (F.coalesce("words", F.lit(0)) / F.col("n")).alias("avgdl"))
+    raw = terms.join(sizes, "scope").withColumn("raw", F.log(F.col("n") - F.col("df") + 0.5) - F.log(F.col("df") + 0.5))
     floor = raw.groupBy("scope").agg((epsilon * F.avg("raw")).alias("floor"))
-    idf = raw.join(F.broadcast(floor), "scope").select("scope", "term", F.when(F.col("raw") < 0, F.col("floor")).otherwise(F.col("raw")).alias("idf"))
-    return sizes.join(F.broadcast(floor), "scope"), idf
+    idf = raw.join(floor, "scope").select("scope", "term", F.when(F.col("raw") < 0, F.col("floor")).otherwise(F.col("raw")).alias("idf"))
+    return sizes.join(floor, "scope", "left"), idf
 
 
 def bm25(queries: DataFrame, items: DataFrame, k: int | None = fixed.TOP_K, digits: int = 6, zero_scores: bool = False) -> DataFrame:
     """BM25 of (query_id, text) against (scope, item_id, text), every query in every scope.
 
     Only terms of the queries are scored; with ``zero_scores`` items without any of them are ranked too (needed
-    where a scope has fewer hits than ``k``). Repeated query terms count as often as they occur.
+    where a scope has fewer hits than ``k``). Repeated query terms count as often as they occur. A term's weight
+    in an item is worked out once, before it meets the queries that ask for it. The term frequencies are read for
+    the statistics and for the scores, so they are kept on disk for the session (``spark.catalog.clearCache`` drops them).
     """
-    tf = term_frequencies(items)
+    tf = term_frequencies(items).persist(StorageLevel.DISK_ONLY)
     sizes, idf = bm25_statistics(items, tf)
     q = queries.select("query_id", F.explode(text.tokens(F.col("text"))).alias("term")).groupBy("query_id", "term").agg(F.count("*").alias("times"))
-    lengths = items.select("scope", "item_id", F.size(text.tokens(F.col("text"))).alias("dl"))
-    hits = tf.join(q, "term").join(idf, ["scope", "term"]).join(lengths, ["scope", "item_id"]).join(F.broadcast(sizes.select("scope", "avgdl")), "scope")
+    q = small_side(q)
+    asked = idf.join(q.select("term").distinct(), "term", "left_semi").join(sizes.select("scope", "avgdl"), "scope")
     norm = fixed.BM25_K1 * (1 - fixed.BM25_B + fixed.BM25_B * F.col("dl") / F.col("avgdl"))
-    part = F.col("times") * F.col("idf") * F.col("tf") * (fixed.BM25_K1 + 1) / (F.col("tf") + norm)
-    scored = hits.groupBy("query_id", "scope", "item_id").agg(F.round(F.sum(part), digits).alias("score"))
+    weight = F.col("idf") * F.col("tf") * (fixed.BM25_K1 + 1) / (F.col("tf") + norm)
+    weights = tf.join(asked, ["scope", "term"]).select("scope", "item_id", "term", weight.alias("weight"))
+    scored = weights.join(q, "term").groupBy("query_id", "scope", "item_id").agg(F.round(F.sum(F.col("times") * F.col("weight")), digits).alias("score"))
     if zero_scores:
         every = queries.select("query_id").crossJoin(items.select("scope", "item_id"))
         scored = every.join(scored, ["query_id", "scope", "item_id"], "left").withColumn("score", F.coalesce("score", F.lit(0.0)))
@@ -56,8 +75,8 @@ def bm25(queries: DataFrame, items: DataFrame, k: int | None = fixed.TOP_K, digi
 
 def keyword_overlap(queries: DataFrame, items: DataFrame, k: int | None = fixed.TOP_K) -> DataFrame:
     """Baseline: number of distinct words shared."""
-    words = lambda df, *keys: df.select(*keys, F.explode(F.array_distinct(text.tokens(F.col("text")))).alias("term"))
-    hits = words(items, "scope", "item_id").join(words(queries, "query_id"), "term")
+    words = lambda df, *keys: df.select(*keys, F.explode_outer(F.array_distinct(text.tokens(F.col("text")))).alias("term")).filter("term IS NOT NULL")
+    hits = words(items, "scope", "item_id").join(small_side(words(queries, "query_id")), "term")
     return ranked(hits.groupBy("query_id", "scope", "item_id").agg(F.count("*").cast("double").alias("score")), k)
 
 

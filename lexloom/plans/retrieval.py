@@ -6,7 +6,7 @@ from pyspark.sql import functions as F
 
 from ..functions import fixed, vectors
 from ..operators import classify, evaluate, retrieve
-from .base import Inline, query, table
+from .base import Inline, query, spread, table
 
 _WORD = fixed.WORD
 _BM25 = rf"""items AS (SELECT lang AS scope, doc_id AS item_id, regexp_extract_all(lower(text), '{_WORD}') AS words FROM documents),
@@ -25,7 +25,7 @@ _KEYWORDS = rf"""kw AS (SELECT *, row_number() OVER (PARTITION BY query_id, scop
 
 
 def _items(spark, d):
-    return table(spark, d, "documents").select(F.col("lang").alias("scope"), F.col("doc_id").alias("item_id"), "text")
+    return spread(table(spark, d, "documents").select(F.col("lang").alias("scope"), F.col("doc_id").alias("item_id"), "text"))
 
 
 def _queries(spark, d):
@@ -258,7 +258,7 @@ def pipeline_clauses(spark, d):
 
     seeds = spark.createDataFrame([(c, p) for c in fixed.LEXICON for p in fixed.LEXICON[c]], "category string, text string")
     centroids = vectors.mean_vectors(providers.hashed_embedding(seeds.select("category", "text")), "category", "embedding")
-    pages = table(spark, d, "documents").select("doc_id", F.lit(1).alias("page_number"), "text")
+    pages = spread(table(spark, d, "documents").select("doc_id", F.lit(1).alias("page_number"), "text"))
     out = pipeline.run_pipeline(pages, centroids)
     return out.clauses.join(out.flags.select("clause_id", "severity"), "clause_id").select("doc_id", "chunk_ord", "heading_path", "category", "severity", "n_tokens")
 

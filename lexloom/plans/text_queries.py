@@ -8,7 +8,7 @@ from ..functions import fixed, text
 from ..operators import assess, classify, segment
 from ..sources import files
 from ..sources import json as json_source
-from .base import Inline, query, table
+from .base import Inline, query, spread, table
 
 CONTRACT = Inline(
     "doc_id int, page_number int, text string",
@@ -87,14 +87,14 @@ def word_tokens(spark, d):
 )
 def greedy_pack(spark, d):
     s = F.transform(text.sentences(F.col("text")), lambda x: F.struct(F.lit(1).alias("page"), x.alias("text"), text.token_count(x).alias("n")))
-    packed = table(spark, d, "documents").select("doc_id", segment._pack(s, fixed.MAX_TOKENS).alias("p")).filter(F.size("p") > 0)
+    packed = spread(table(spark, d, "documents").select("doc_id", "text")).select("doc_id", segment._pack(s, fixed.MAX_TOKENS).alias("p")).filter(F.size("p") > 0)
     return packed.select("doc_id", F.size("p").alias("pieces"), F.array_max(F.transform("p", lambda x: x["n"])).alias("largest"))
 
 
 @query()
 def chunk_documents(spark, d):
     """Clauses of every document (one page each); the merge of small pieces is tested against its definition."""
-    return segment.chunk_documents(table(spark, d, "documents").select("doc_id", F.lit(1).alias("page_number"), "text"))
+    return segment.chunk_documents(spread(table(spark, d, "documents").select("doc_id", F.lit(1).alias("page_number"), "text")))
 
 
 _MERGE = Inline("doc_id int, sizes string", (1, "10"), (2, "511,506,23"), (3, "20,30,500,5"), (4, "5,5,5,5"), (5, "500,20,500,20,600"))
