@@ -106,14 +106,15 @@ def judge(documents: DataFrame, text_col: str = "text", min_words: int = MIN_WOR
         F.array_join(F.transform(F.filter("judged", lambda x: ~x["fails"]), lambda x: x["line"]), "\n").alias("clean_text"),
     )
     failed = (F.col("n_words") < min_words) | (100 * F.col("n_repeat_words") > max_repeat * F.col("n_words"))
-    df = df.withColumn("base_failed", failed)
+    # the partition id keeps filters on the verdict above the projections: pushed into them, they would compute
+    # words and windows over again inside every lambda
+    df = df.withColumn("base_failed", failed & (F.spark_partition_id() >= 0))
     return df.withColumn("kept", ~F.col("base_failed") & (F.col("lost_chars") <= max_loss * F.col("line_chars")))
 
 
 def clean(documents: DataFrame, text_col: str = "text", chars_col: str | None = "n_chars", **limits) -> DataFrame:
     """Kept documents with their clean text, in the columns of ``documents`` (``chars_col`` is counted anew)."""
-    # the partition id keeps the filter above the projections: pushed into them, it would compute them over again
-    out = judge(documents, text_col, **limits).withColumn("held", F.spark_partition_id()).filter("kept and held >= 0")
+    out = judge(documents, text_col, **limits).filter("kept")
     new = {text_col: F.col("clean_text")}
     if chars_col in documents.columns:
         new[chars_col] = F.length("clean_text").cast(documents.schema[chars_col].dataType)
