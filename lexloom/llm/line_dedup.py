@@ -37,6 +37,7 @@ from .store import LOWER, as_bytes, materialise, slices
 MIN_CHARS = 10
 BITS = 1 << 27
 PARTS = 64
+FILTER_TASKS = 16
 PROBES = 4
 LAST_ID = (1 << 63) - 1
 
@@ -125,7 +126,7 @@ def repeat_filter(documents: DataFrame, text_col: str = "text", min_chars: int =
         raise ValueError(f"bits must be a multiple of {8 * PARTS}")
     own = bits // PARTS
     seen = documents.select(F.col(text_col).alias("text")).mapInArrow(lambda it: _seen(it, min_chars), "part int, once binary, twice binary")
-    rows = seen.repartition(PARTS, "part").mapInArrow(lambda it: _filters(it, own), "part int, bits binary").toLocalIterator()
+    rows = seen.repartition(FILTER_TASKS, "part").mapInArrow(lambda it: _filters(it, own), "part int, bits binary").collect()  # ``bits`` bits in all
     out = np.zeros((PARTS, own // 8), np.uint8)
     for part, packed in rows:
         out[part] = np.frombuffer(packed, np.uint8)
