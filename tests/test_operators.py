@@ -156,3 +156,14 @@ def test_contract_entry_points(spark, tmp_path):
     items = spark.createDataFrame([("s", 1, "pay the fee", [1.0, 0.0], "Termination"), ("s", 2, "pay the fine", [0.9, 0.1], None)], "scope string, item_id int, text string, embedding array<float>, category string")
     found = contracts.grounding(rows, items, spark.createDataFrame([(1, "high"), (2, "low")], "item_id int, severity string")).collect()
     assert {r.query_id for r in found} == {1} and [r.item_id for r in sorted(found, key=lambda r: r.rank)] == [1, 2]
+
+
+def test_knn_in_blocks(spark, monkeypatch):
+    rng = random.Random(5)
+    rows = [(("a", "b")[i % 2], i, [rng.random() for _ in range(4)]) for i in range(120)]
+    items = spark.createDataFrame(rows, "scope string, item_id int, embedding array<float>")
+    q = items.filter("item_id < 10").withColumnRenamed("item_id", "query_id")
+    pick = lambda: sorted(tuple(r) for r in retrieve.knn(q, items, 5).select("query_id", "item_id", "rank").collect())
+    small = pick()
+    monkeypatch.setattr(retrieve, "SMALL_VECTORS", 0)
+    assert pick() == small and len(small) == 50
