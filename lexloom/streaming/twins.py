@@ -65,7 +65,7 @@ def stateful_quota(events: DataFrame, limit: int = fixed.DAILY_UPLOADS) -> DataF
     return keyed.groupBy("user_id", "day").applyInPandasWithState(decide, QUOTA, "used long", "update", GroupStateTimeout.EventTimeTimeout)
 
 
-def run_to_table(stream: DataFrame, path: str, checkpoint: str, mode: str = "update", *keys: str) -> None:
+def run_to_table(stream: DataFrame, path: str, checkpoint: str, mode: str = "update") -> None:
     """Drain a stream with ``availableNow``; each batch is appended with its number, and ``latest`` reads it back."""
 
     def sink(batch: DataFrame, number: int) -> None:
