@@ -47,7 +47,8 @@ WEAK = (
     ("secret", re.compile(r"(?<![A-Za-z0-9/+=])([A-Za-z0-9/+]{40})(?![A-Za-z0-9/+=])")),
     ("secret", re.compile(r"[a-z][a-z0-9+.-]{1,20}://[^\s/:@]{1,128}:([^\s/:@]{3,128})@", re.A)),
     ("id", re.compile(r"[a-z][a-z0-9+.-]{1,20}://([^\s/:@]{1,128}):[^\s/:@]{3,128}@", re.A)),
-    ("endpoint", re.compile(r"\b((?:jdbc:[a-z]{2,20}|postgres(?:ql)?|mysql|mongodb(?:\+srv)?|redis|amqps?|ftps?|sftp|ldaps?|s3)://[^\s\"'<>]{3,256})", re.A)),
+    ("endpoint", re.compile(r"\b(?:(?:jdbc:[a-z]{2,20}|postgres(?:ql)?|mysql|mongodb(?:\+srv)?|redis|amqps?|ftps?|sftp|ldaps?|s3)://)(?:[^\s/@]{1,256}@)?([^\s\"'<>@]{3,256})", re.A)),
+    ("endpoint", re.compile(r"[a-z][a-z0-9+.-]{1,20}://[^\s/:@]{1,128}:[^\s/:@]{3,128}@([^\s\"'<>/]{3,256})", re.A)),
     ("endpoint", re.compile(r"""\b(?:host(?:name)?|server|endpoint|base_?url|region)["']?\x20*[:=]\x20*["']?([A-Za-z0-9._:/-]{3,256})""", re.I | re.A)),
 )
 #: A text without any of these strings (lower case) has no weak part that could be linked.

@@ -68,7 +68,7 @@ def fingerprint(text: bytes, width: int = WIDTH) -> int:
     padded[:n] = hashes
     lanes = ((padded[None, :] >> _SHIFTS) & _LANES).reshape(8, -1, 255).sum(axis=2, dtype=np.uint64)
     counts = np.ascontiguousarray(lanes).view(np.uint8).reshape(8, -1, 8).sum(axis=1, dtype=np.int64)  # [shift, lane]
-    return sum(1 << (8 * lane + shift) for shift, lane in zip(*np.nonzero(2 * counts > n)))
+    return sum(1 << (8 * int(lane) + int(shift)) for shift, lane in zip(*np.nonzero(2 * counts > n)))
 
 
 def fingerprints(documents: DataFrame, id_col: str = "doc_id", text_col: str = "text", width: int = WIDTH) -> DataFrame:
