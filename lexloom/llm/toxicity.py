@@ -15,8 +15,11 @@ log of the sum over clauses, and the share of its clauses that match; a logistic
 labelled rows, turns them into a score between 0 and 1. For this fit each half of the rows is read
 with the lexicon of the other half, so words known from a single row don't count as evidence.
 
-Learning uses at most about ``train_rows`` labelled rows (a hash-chosen share, all where there are fewer);
-this bounds the broadcast of their ids and the rows that the fit collects (four numbers each). Word counts of
+Stems need a least weight. Which of ``LEAST_WEIGHTS`` is decided by the loss of that fit: few rows need weak
+stems, many rows have strong ones and enough weak ones by chance to mislead.
+
+Learning uses at most about ``train_rows`` labelled rows (a hash-chosen share, all where there are fewer),
+which bounds the broadcast of their ids, and the fit at most about ``fit_rows`` of them (five numbers each). Word counts of
 these rows are summed in the cluster, and at most ``max_stems`` stems go to the driver. Scoring maps over
 whole texts without a shuffle.
 
@@ -42,6 +45,8 @@ from .store import materialise, slices
 TRAIN_ROWS = 200_000
 MAX_STEMS = 20_000
 MIN_DOCS = 5
+FIT_ROWS = 20_000
+LEAST_WEIGHTS = (1.0, 2.0, 3.0)
 STEM = (3, 8)
 THRESHOLD = 0.3
 
@@ -161,8 +166,12 @@ def _stems(counts: DataFrame, sums: dict[str, float], clean: tuple[str, ...], to
     return {stem: w for stem, w in rows.orderBy(F.desc("w"), "stem").limit(max_stems).collect()}
 
 
-def _logistic(x: np.ndarray, y: np.ndarray, penalty: float = 1.0) -> tuple[float, ...]:
-    """Ridge logistic regression by Newton steps; the intercept is free."""
+def _over(stems: dict[str, float], least: float) -> dict[str, float]:
+    return {stem: w for stem, w in stems.items() if w > least}
+
+
+def _logistic(x: np.ndarray, y: np.ndarray, penalty: float = 1.0) -> tuple[float, tuple[float, ...]]:
+    """Ridge logistic regression by Newton steps, with a free intercept: the loss and the weights."""
     x = np.column_stack([np.ones(len(x)), x])
     beta = np.zeros(x.shape[1])
     ridge = np.diag([1e-6] + [penalty] * (x.shape[1] - 1))
@@ -172,10 +181,11 @@ def _logistic(x: np.ndarray, y: np.ndarray, penalty: float = 1.0) -> tuple[float
         beta += np.clip(step, -5, 5)
         if np.abs(step).max() < 1e-8:
             break
-    return tuple(float(b) for b in beta)
+    z = np.clip(x @ beta, -30, 30)
+    return float(np.logaddexp(0, z).sum() - (y * z).sum()), tuple(float(b) for b in beta)
 
 
-def fit(documents: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: str = "text", label_col: str = "toxic", train_rows: int = TRAIN_ROWS, max_stems: int = MAX_STEMS) -> Grammar:
+def fit(documents: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: str = "text", label_col: str = "toxic", train_rows: int = TRAIN_ROWS, max_stems: int = MAX_STEMS, fit_rows: int = FIT_ROWS) -> Grammar:
     """Learn a grammar from the labelled rows given."""
     rows = labels.filter(F.col(label_col).isNotNull() & F.col(id_col).isNotNull())
     rows = rows.groupBy(F.col(id_col).alias("__id")).agg((F.max(label_col) > 0).cast("int").alias("label"))
@@ -184,8 +194,8 @@ def fit(documents: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_co
     if known > train_rows:
         rows = rows.filter(F.pmod(F.shiftright(side, 16), F.lit(1 << 20)) < int((1 << 20) * train_rows / known))
     rows = rows.withColumn("half", F.pmod(side, F.lit(2)).cast("int"))
-    texts = documents.select(F.col(id_col), F.col(text_col).alias("text")).join(F.broadcast(rows), F.col(id_col) == F.col("__id")).select("text", "half", "label")
-    counts = materialise(texts.mapInArrow(_word_counts, "word string, c00 long, c01 long, c10 long, c11 long").groupBy("word").agg(*(F.sum(c).alias(c) for c in ("c00", "c01", "c10", "c11"))), "tox-words")
+    texts = documents.select(F.col(id_col), F.col(text_col).alias("text")).join(F.broadcast(rows), F.col(id_col) == F.col("__id")).select("text", "half", "label", side.alias("side"))
+    counts = materialise(texts.select("text", "half", "label").mapInArrow(_word_counts, "word string, c00 long, c01 long, c10 long, c11 long").groupBy("word").agg(*(F.sum(c).alias(c) for c in ("c00", "c01", "c10", "c11"))), "tox-words")
     names = ("c00", "c01", "c10", "c11")
     sums = {n: float(v or 0) for n, v in zip(names, counts.agg(*(F.sum(n) for n in names)).first())}
     if not (sums["c00"] + sums["c10"]) or not (sums["c01"] + sums["c11"]):
@@ -194,23 +204,30 @@ def fit(documents: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_co
     prefixes = F.when(F.length("word") >= STEM[0], F.transform(sizes, lambda n: F.substring(F.col("word"), F.lit(1), n))).otherwise(F.array().cast("array<string>"))
     stems = counts.select(F.explode(F.concat(prefixes, F.array(F.concat("word", F.lit("$"))))).alias("stem"), *names)
     stems = materialise(stems.groupBy("stem").agg(*(F.sum(n).alias(n) for n in names)).filter(F.col("c01") + F.col("c11") >= MIN_DOCS), "tox-stems")
-    halves = [Grammar(_stems(stems, sums, (f"c{h}0",), (f"c{h}1",), max_stems)) for h in (0, 1)]
+    halves = [_stems(stems, sums, (f"c{h}0",), (f"c{h}1",), max_stems) for h in (0, 1)]
     full = _stems(stems, sums, ("c00", "c10"), ("c01", "c11"), max_stems)
-    other = documents.sparkSession.sparkContext.broadcast([g.stems for g in halves])
+    other = documents.sparkSession.sparkContext.broadcast(halves)
 
     def read(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        grammars = [Grammar(s) for s in other.value]
+        grammars = [[Grammar(_over(s, least)) for s in other.value] for least in LEAST_WEIGHTS]
         for part in slices(batches):
-            columns = (part.column(n).to_pylist() for n in ("text", "half", "label"))
-            found = [(*grammars[1 - half].features(text or ""), float(label)) for text, half, label in zip(*columns)]
-            yield pa.RecordBatch.from_arrays([pa.array(v, pa.float64()) for v in zip(*found)], names=["best", "total", "share", "label"])
+            rows = list(zip(*(part.column(n).to_pylist() for n in ("text", "half", "label"))))
+            found = [(float(k), *pair[1 - half].features(text or ""), float(label)) for k, pair in enumerate(grammars) for text, half, label in rows]
+            yield pa.RecordBatch.from_arrays([pa.array(v, pa.float64()) for v in zip(*found)], names=["k", "best", "total", "share", "label"])
 
-    data = texts.mapInArrow(read, "best double, total double, share double, label double")
+    share = min(1.0, fit_rows / max(1, min(known, train_rows)))
+    some = texts.filter(F.pmod(F.shiftright("side", 40), F.lit(1 << 20)) < int((1 << 20) * share))
+    data = some.select("text", "half", "label").mapInArrow(read, "k double, best double, total double, share double, label double")
     # equal rows are counted in the cluster; sums over them are what the fit needs
-    grouped = data.groupBy(*(F.round(c, 2).alias(c) for c in ("best", "total", "share")), "label").count().orderBy("best", "total", "share", "label").collect()
-    table = np.array([tuple(r) for r in grouped], float)
-    x, y, n = table[:, :3], table[:, 3], table[:, 4].astype(int)
-    return Grammar(full, _logistic(np.repeat(x, n, axis=0), np.repeat(y, n)))
+    grouped = data.groupBy("k", *(F.round(c, 2).alias(c) for c in ("best", "total", "share")), "label").count().orderBy("k", "best", "total", "share", "label").collect()
+    table = np.array([tuple(r) for r in grouped], float).reshape(-1, 6)
+    fits = []
+    for k, least in enumerate(LEAST_WEIGHTS):
+        own = table[table[:, 0] == k]
+        n = own[:, 5].astype(int)
+        fits.append((*_logistic(np.repeat(own[:, 1:4], n, axis=0), np.repeat(own[:, 4], n)), least))
+    _, weights, least = min(fits)
+    return Grammar(_over(full, least), weights)
 
 
 def score(documents: DataFrame, grammar: Grammar, id_col: str = "doc_id", text_col: str = "text", threshold: float = THRESHOLD) -> DataFrame:
