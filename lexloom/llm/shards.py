@@ -3,7 +3,7 @@
 Documents are encoded with an existing byte-level vocabulary (its path is a parameter), each closed by an end
 token, and laid end to end in the order of a hash of their id; every ``length`` tokens are a sequence (the
 last is filled with end tokens). Where a document begins in this stream comes from sums over 4096 hash ranges,
-then a running sum inside each range (its rows are dealt to one task, sorted), so no task sees the whole stream.
+then a running sum inside each range, so no task sees the whole stream.
 
 The slot of sequence s is a Feistel network over the smallest even number of bits that covers the number of
 sequences, keyed by ``seed`` and applied again while its result is out of range (cycle-walking). It is a bijection
@@ -107,19 +107,6 @@ def encode(documents: DataFrame, id_col: str = "doc_id", text_col: str = "text",
     return docs.mapInArrow(run, "order_key long, n long, tokens binary")
 
 
-def _lay(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """(range, n, inside, tokens): where each document begins inside its range; rows come sorted, ranges whole."""
-    now, used = None, 0
-    for batch in batches:
-        inside = []
-        for r, n in zip(batch.column("range").to_pylist(), batch.column("n").to_pylist()):
-            if r != now:
-                now, used = r, 0
-            inside.append(used)
-            used += n
-        yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array(inside, pa.int64()), batch.column(2)], names=["range", "n", "inside", "tokens"])
-
-
 SCHEMA = "shard long, first_slot long, n_sequences long, stride long, total_sequences long, total_tokens long, payload binary"
 
 
@@ -128,8 +115,8 @@ def materialise_order(documents: DataFrame, id_col: str = "doc_id", text_col: st
     end = encoder(vocabulary).n_vocab
     width = np.dtype("<u2" if end < 1 << 16 else "<u4")
     tokens = encode(documents, id_col, text_col, vocabulary).withColumn("range", F.shiftright("order_key", 52))
-    dealt = tokens.repartition("range").sortWithinPartitions("range", "order_key", "tokens")
-    tokens = materialise(dealt.select("range", "n", "tokens").mapInArrow(_lay, "range long, n long, inside long, tokens binary"), "tokens")
+    inside = F.sum("n").over(Window.partitionBy("range").orderBy("order_key", "tokens").rowsBetween(Window.unboundedPreceding, -1))
+    tokens = materialise(tokens.select("range", "n", F.coalesce(inside, F.lit(0)).alias("inside"), "tokens"), "tokens")
     ranges = tokens.groupBy("range").agg(F.sum("n").alias("n"))
     before = Window.orderBy("range").rowsBetween(Window.unboundedPreceding, -1)
     ranges = materialise(ranges.select("range", "n", F.coalesce(F.sum("n").over(before), F.lit(0)).alias("base")), "token-ranges")
