@@ -195,7 +195,7 @@ def sketches(documents: DataFrame, id_col: str = "doc_id", text_col: str = "text
     """
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for part in slices(batches):
+        for part in slices(batches, 128):
             fps, bins, bands = [], [], []
             for text in as_bytes(part.column("text")):
                 fps.append(fingerprint(text, width))

@@ -12,6 +12,10 @@ from pyspark.sql import DataFrame, SparkSession
 #: A-Z to a-z, all other bytes unchanged.
 LOWER = bytes(b + 32 if 0x41 <= b <= 0x5A else b for b in range(256))
 
+#: Rows of an Arrow batch while a table is written here.
+BATCH_ROWS = 1000
+_BATCH = "spark.sql.execution.arrow.maxRecordsPerBatch"
+
 
 def shared_dir(spark: SparkSession) -> str:
     """The folder named by ``spark.checkpoint.dir``; a temporary one of this process only where it is unset."""
@@ -30,7 +34,12 @@ def materialise(df: DataFrame, tag: str, codec: str = "zstd") -> DataFrame:
     """
     spark = df.sparkSession
     path = f"{shared_dir(spark)}/{tag}-{uuid.uuid4().hex}"
-    df.write.option("compression", codec).parquet(path)
+    before = spark.conf.get(_BATCH, None)
+    spark.conf.set(_BATCH, str(BATCH_ROWS))  # whole texts are long: small Arrow batches keep workers and the JVM's buffers small
+    try:
+        df.write.option("compression", codec).parquet(path)
+    finally:
+        spark.conf.unset(_BATCH) if before is None else spark.conf.set(_BATCH, before)
     out = spark.read.schema(df.schema).parquet(path)
     out.stored_at = path
     return out
