@@ -23,9 +23,11 @@ shared store each few rounds; nothing about all documents goes to the driver but
 Two bits of 64 are near-identity: measured on the test tables, pairs with a Jaccard similarity of 0.8 to 0.9 over
 5-word shingles differ in 5 to 14 bits, and no index by equal segments can reach that far (a budget of 14
 bits leaves no segment of useful width without a difference). ``keep_one`` therefore adds, for a given
-``similarity``, links between fingerprints whose shingle sets agree: ``BINS`` minima of one hash of each shingle
-(one-permutation MinHash) in bands of ``ROWS`` propose them, and the share of equal bins decides. Small
-buckets list their pairs, crowded ones link to a representative that differs from band to band.
+``similarity``, the links that all pairs of texts with a Jaccard similarity (of their sets of 64-bit
+shingle hashes) of that or more would make. Three filters, none of which can lose a pair, come first: of the lowest
+hashes of a text, so many must be shared; of all its shingles, so many must be in another text left; and two
+such texts share one of their rarest shingles. Texts that share one form clusters, and each cluster is settled by
+exact counts (``_settle``), leaving out only pairs that are joined already.
 
 Cases: repeated rows are rows; null ids are linked like others, and a component's id is the smallest
 non-null doc_id (null only if it has none); empty tables give empty results.
@@ -33,10 +35,12 @@ non-null doc_id (null only if it has none); empty tables give empty results.
 
 from __future__ import annotations
 
+import math
 from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 import xxhash
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
@@ -48,8 +52,8 @@ WIDTH = 3
 LIMIT = 2
 SEGMENTS = 8
 CROWD = 64
-BINS = 256
-ROWS = 8
+SLACK = 1e-9
+HUBS = 32
 
 _LANES = np.uint64(0x0101010101010101)
 _SHIFTS = np.arange(8, dtype=np.uint64)[:, None]
@@ -177,65 +181,149 @@ def near_duplicates(documents: DataFrame, id_col: str = "doc_id", text_col: str
     return _labelled(materialise(fingerprints(documents, id_col, text_col, width), "simhash"), id_col, limit)
 
 
-def _minima(text: bytes, width: int) -> np.ndarray:
-    """The least hash of each bin, 0xFFFF.. where a bin is empty."""
+def shingles(text: bytes, width: int) -> np.ndarray:
+    """The distinct 64-bit hashes of a text's shingles, in ascending order."""
     words = text.translate(LOWER).split()
     grams = zip(*(words[i:] for i in range(width))) if len(words) >= width else [tuple(words)] if words else []
     digest, join = xxhash.xxh3_64_intdigest, b" ".join
-    hashes = np.unique(np.array([digest(join(g)) for g in grams], np.uint64))
-    out = np.full(BINS, np.iinfo(np.uint64).max)
-    np.minimum.at(out, (hashes % np.uint64(BINS)).astype(np.int64), hashes)
-    return out
+    return np.unique(np.array([digest(join(g)) for g in grams], np.uint64))
 
 
-def sketches(documents: DataFrame, id_col: str = "doc_id", text_col: str = "text", width: int = 5) -> DataFrame:
-    """(id, fp, bins, bands): the fingerprint, 16 bits of each bin's minimum (0 for empty), and the band keys.
+def _spare(n: int, similarity: float) -> int:
+    """How many of ``n`` shingles a partner of that similarity may lack."""
+    return n - math.ceil(similarity * n - SLACK)
 
-    An empty bin takes the next filled one for the bands, so short texts have full bands.
+
+def _extra(n: int) -> int:
+    """Shingles taken beyond ``_spare``: so many of the lowest ones must then be shared."""
+    return max(1, n // 20)
+
+
+def sketches(documents: DataFrame, similarity: float, id_col: str = "doc_id", text_col: str = "text", width: int = 5) -> DataFrame:
+    """(id, fp, sid, n, need, low): the fingerprint, a digest of the shingle set, its size and its lowest hashes.
+
+    Of these, a text with a partner of that similarity shares ``need`` or more with it.
     """
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for part in slices(batches, 128):
-            fps, bins, bands = [], [], []
+            fps, sids, sizes, needs, lows = [], [], [], [], []
             for text in as_bytes(part.column("text")):
                 fps.append(fingerprint(text, width))
-                low = _minima(text, width)
-                empty = low == np.iinfo(np.uint64).max
-                bins.append(np.where(empty, 0, (low >> np.uint64(16)).astype(np.uint16) | 1).astype("<u2").tobytes())
-                if empty.all():
-                    bands.append([])
-                    continue
-                filled = np.nonzero(~empty)[0]
-                full = low[filled[np.searchsorted(filled, np.arange(BINS)) % len(filled)]]
-                bands.append([xxhash.xxh3_64_intdigest(row.tobytes()) - (1 << 63) for row in full.reshape(-1, ROWS)])
+                own = shingles(text, width)
+                n = len(own)
+                sids.append(xxhash.xxh3_64_intdigest(own.tobytes()))
+                sizes.append(n)
+                needs.append(_extra(math.ceil(similarity * n - SLACK)))  # the smallest partner sets it
+                lows.append(own[: _spare(n, similarity) + _extra(n)].view(np.int64))
             yield pa.RecordBatch.from_arrays(
-                [part.column(0), pa.array(np.array(fps, np.uint64).view(np.int64)), pa.array(bins, pa.binary()), pa.array(bands, pa.list_(pa.int64()))],
-                names=[id_col, "fp", "bins", "bands"],
+                [part.column(0), *(pa.array(np.array(v, np.uint64).view(np.int64)) for v in (fps, sids)), pa.array(sizes, pa.int64()), pa.array(needs, pa.int64()), pa.array(lows, pa.list_(pa.int64()))],
+                names=[id_col, "fp", "sid", "n", "need", "low"],
             )
 
     kind = documents.schema[id_col].dataType.simpleString()
-    return documents.select(F.col(id_col), F.col(text_col).alias("text")).mapInArrow(run, f"{id_col} {kind}, fp long, bins binary, bands array<long>")
+    return documents.select(F.col(id_col), F.col(text_col).alias("text")).mapInArrow(run, f"{id_col} {kind}, fp long, sid long, n long, need long, low array<long>")
+
 
+def _settle(group: pa.Table, similarity: float) -> tuple[list[int], list[int]]:
+    """Links (rows a, b) that join the rows of one cluster just as all its pairs of that similarity would.
 
-def similar(classes: DataFrame, similarity: float, crowd: int = CROWD) -> DataFrame:
-    """Links (a, b) between fingerprints of (fp, bins, bands) whose bins agree to ``similarity``."""
-    placed = classes.select("fp", F.posexplode("bands").alias("band", "key"))
-    buckets = placed.groupBy("band", "key").agg(F.count("*").alias("n"), F.min_by("fp", F.xxhash64("fp", "band")).alias("head")).filter("n > 1")
-    placed = materialise(placed.join(buckets, ["band", "key"]), "simhash-bands")
-    few = placed.filter(F.col("n") <= crowd).select("band", "key", "fp")
-    pairs = few.alias("a").join(few.alias("b"), ["band", "key"]).filter("a.fp < b.fp").select(F.col("a.fp").alias("a"), F.col("b.fp").alias("b"))
-    heads = placed.filter((F.col("n") > crowd) & (F.col("fp") != F.col("head"))).select(F.least("fp", "head").alias("a"), F.greatest("fp", "head").alias("b"))
-    pairs = materialise(pairs.unionByName(heads).distinct(), "simhash-pairs")
-    left, right = classes.select(F.col("fp").alias("a"), F.col("bins").alias("x")), classes.select(F.col("fp").alias("b"), F.col("bins").alias("y"))
+    A pair is left out only if its rows are joined already. The rows with the fewest shingles of their own (the
+    text that the others are copies of) go first; after them the rows outside the largest component
+    meet all rows of other components, and each such pair has one of them.
+    """
+    order = np.lexsort((group.column("sid").to_numpy(), (pc.subtract(group.column("n"), pc.list_value_length(group.column("tokens")))).to_numpy()))
+    group = group.take(pa.array(order)).combine_chunks()
+    n, lead = group.column("n").to_numpy(), group.column("lead").to_numpy()
+    size = pc.list_value_length(group.column("tokens")).to_numpy().astype(np.int64)
+    _, flat = np.unique(pc.list_flatten(group.column("tokens")).to_numpy(), return_inverse=True)
+    start = np.concatenate([[0], np.cumsum(size)])
+    rows = len(n)
+    place = np.arange(len(flat)) - np.repeat(start[:-1], size)
+    front = place < np.repeat(lead, size)
+    key, holder = flat[front], np.repeat(np.arange(rows), size)[front]
+    by = np.argsort(key, kind="stable")
+    holder = holder[by]
+    bound = np.concatenate([[0], np.cumsum(np.bincount(key, minlength=int(flat.max()) + 1))])
+    label, members = np.arange(rows), {i: [i] for i in range(rows)}
+    met, mark = np.zeros(rows, bool), np.zeros(len(bound), bool)
+    out: tuple[list[int], list[int]] = ([], [])
+
+    def meet(i: int) -> None:
+        own = flat[start[i] : start[i + 1]]
+        other = np.zeros(rows, bool)
+        for t in own[: lead[i]]:
+            other[holder[bound[t] : bound[t + 1]]] = True
+        other &= (label != label[i]) & ~met & (np.minimum(n, n[i]) >= similarity * np.maximum(n, n[i]) - SLACK)
+        met[i] = True
+        mark[own] = True
+        found = np.nonzero(other)[0]
+        for cut in range(0, len(found), 1024):
+            some = found[cut : cut + 1024]
+            first = np.concatenate([[0], np.cumsum(size[some])])
+            at = np.arange(first[-1]) + np.repeat(start[some] - first[:-1], size[some])
+            shared = np.add.reduceat(mark[flat[at]].astype(np.int64), first[:-1])
+            for j in some[shared >= similarity * (n[i] + n[some] - shared) - SLACK].tolist():
+                a, b = sorted((int(label[i]), int(label[j])), key=lambda c: len(members[c]))
+                if a != b:
+                    label[members[a]] = b
+                    members[b] += members.pop(a)
+                    out[0].append(i)
+                    out[1].append(j)
+        mark[own] = False
+
+    hubs = 0
+    for i in range(rows):
+        if hubs == HUBS or len(members) == 1:
+            break
+        if len(members[label[i]]) == 1:
+            meet(i)
+            hubs += 1
+    if len(members) > 1:
+        largest = max(members, key=lambda c: len(members[c]))
+        for i in np.nonzero(label != largest)[0].tolist():
+            if len(members) > 1 and not met[i]:
+                meet(i)
+    sid = group.column("sid").to_numpy()
+    return sid[out[0]].tolist(), sid[out[1]].tolist()
+
+
+def similar(documents: DataFrame, full: DataFrame, similarity: float, id_col: str, text_col: str, width: int) -> DataFrame:
+    """Links (a, b) between ``sid`` of ``full`` (from ``sketches``): the components of all pairs with that similarity."""
+    classes = full.dropDuplicates(["sid"])
+    by_token = Window.partitionBy("token")
+    shared = classes.select("sid", "need", F.explode("low").alias("token")).withColumn("df", F.count("*").over(by_token)).filter("df > 1")
+    shared = shared.groupBy("sid", "need").agg(F.count("*").alias("n")).filter("n >= need").select("sid")
+    alive = full.groupBy("sid").agg(F.min(id_col).alias("least")).join(shared, "sid")
+    alive = materialise(alive, "simhash-alive")
+    ids = alive.select("least").distinct()
+
+    def sets(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for part in slices(batches, 128):
+            own = [shingles(t, width) for t in as_bytes(part.column("text"))]
+            sids = np.array([xxhash.xxh3_64_intdigest(o.tobytes()) for o in own], np.uint64).view(np.int64)
+            yield pa.RecordBatch.from_arrays([pa.array(sids), pa.array([o.view(np.int64) for o in own], pa.list_(pa.int64()))], names=["sid", "tokens"])
+
+    texts = documents.join(ids, F.col(id_col).eqNullSafe(F.col("least")), "left_semi").select(F.col(text_col).alias("text"))
+    whole = texts.mapInArrow(sets, "sid long, tokens array<long>").join(alive.select("sid"), "sid", "left_semi")
+    whole = materialise(whole.dropDuplicates(["sid"]), "simhash-whole")
+    counted = whole.select("sid", F.size("tokens").cast("long").alias("n"), F.explode("tokens").alias("token"))
+    counted = counted.withColumn("df", F.count("*").over(by_token)).filter("df > 1")
+    rare = counted.groupBy("sid", "n").agg(F.sort_array(F.collect_list(F.struct("df", "token"))).alias("t"))
+    spare = F.col("n") - F.ceil(F.col("n") * F.lit(similarity) - F.lit(SLACK))
+    lead = spare + 1 - (F.col("n") - F.size("t"))  # shingles that no other text has come first, and need no place
+    rare = materialise(rare.select("sid", "n", F.col("t.token").alias("tokens"), lead.alias("lead")).filter("lead > 0"), "simhash-rare")
+    heads = rare.select("sid", F.explode(F.slice("tokens", 1, F.col("lead").cast("int"))).alias("token"))
+    stars = heads.withColumn("head", F.min("sid").over(by_token)).filter("head <> sid").select(F.col("head").alias("a"), F.col("sid").alias("b"))
+    roots = materialise(components(stars.distinct()), "simhash-clusters")
+    roots = roots.unionByName(roots.select(F.col("root").alias("node"), "root").distinct())
 
-    def agree(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for part in slices(batches, 4096):
-            x, y = (np.frombuffer(b"".join(part.column(c).to_pylist()), "<u2").reshape(-1, BINS) for c in ("x", "y"))
-            any_, same = ((x != 0) | (y != 0)).sum(axis=1), ((x == y) & (x != 0)).sum(axis=1)
-            ok = pa.array(same >= similarity * any_)
-            yield pa.RecordBatch.from_arrays([part.column(0).filter(ok), part.column(1).filter(ok)], names=["a", "b"])
+    def settle(group: pa.Table) -> pa.Table:
+        a, b = _settle(group, similarity)
+        return pa.table({"a": pa.array(a, pa.int64()), "b": pa.array(b, pa.int64())})
 
-    return pairs.join(left, "a").join(right, "b").select("a", "b", "x", "y").mapInArrow(agree, "a long, b long")
+    clusters = rare.join(roots, rare.sid == roots.node).select("root", "sid", "n", "tokens", "lead")
+    return clusters.groupBy("root").applyInArrow(settle, "a long, b long")
 
 
 def keep_one(documents: DataFrame, id_col: str = "doc_id", text_col: str = "text", width: int = 5, limit: int = LIMIT, similarity: float | None = 0.8) -> DataFrame:
@@ -248,10 +336,13 @@ def keep_one(documents: DataFrame, id_col: str = "doc_id", text_col: str = "text
         prints = materialise(fingerprints(documents, id_col, text_col, width), "simhash")
         edges = None
     else:
-        full = materialise(sketches(documents, id_col, text_col, width), "simhash-sketches")
+        full = materialise(sketches(documents, similarity, id_col, text_col, width), "simhash-sketches")
         prints = full.select(id_col, "fp")
-        firsts = full.groupBy("fp").agg(F.min_by(F.struct("bins", "bands"), F.struct(F.col(id_col), F.col("bins"))).alias("s"))
-        edges = similar(materialise(firsts.select("fp", "s.bins", "s.bands"), "simhash-distinct"), similarity)
+        firsts = full.groupBy("sid").agg(F.min("fp").alias("first"))
+        same = full.select("sid", "fp").distinct().join(firsts, "sid").filter("fp <> first").select(F.col("first").alias("a"), F.col("fp").alias("b"))
+        pairs = similar(documents, full, similarity, id_col, text_col, width)
+        pairs = pairs.join(firsts.select(F.col("sid").alias("a"), F.col("first").alias("x")), "a").join(firsts.select(F.col("sid").alias("b"), F.col("first").alias("y")), "b")
+        edges = same.unionByName(pairs.select(F.col("x").alias("a"), F.col("y").alias("b")))
     found = _labelled(prints, id_col, limit, edges)
     firsts = found.filter(F.col(id_col) == F.col("component_id")).groupBy(F.col(id_col).alias("__id")).agg(F.count("*").alias("__n"))
     kept = documents.join(firsts, F.col(id_col) == F.col("__id"))
