@@ -60,3 +60,15 @@ def test_pairs_that_share_boilerplate_with_many(spark):
         rows.append((2 * k, " ".join(common + own)))
         rows.append((2 * k + 1, " ".join(common + changed(rng, own, 4))))
     assert kept(spark, rows) == sorted(set(components(rows).values())) == list(range(0, 300, 2))
+
+
+def test_the_limit_is_exact(spark):
+    rng = random.Random(7)
+    rows = []
+    for words, edits in [(94, 2)] * 20 + [(400, e) for e in (6, 7, 8, 9, 10) for _ in range(30)] + [(9, 1), (30, 1), (3, 0)] * 3:
+        base = [f"w{rng.random()}" for _ in range(words)]
+        for text in (base, changed(rng, base, edits)):
+            rows.append((len(rows), " ".join(text)))
+    want = components(rows)
+    assert 0.3 < len(set(want.values())) / len(rows) < 0.9  # pairs on both sides
+    assert kept(spark, rows) == sorted(set(want.values()))
