@@ -72,3 +72,13 @@ def test_the_limit_is_exact(spark):
     want = components(rows)
     assert 0.3 < len(set(want.values())) / len(rows) < 0.9  # pairs on both sides
     assert kept(spark, rows) == sorted(set(want.values()))
+
+
+def test_texts_of_one_fingerprint_keep_their_own_links(spark):
+    rng = random.Random(8)
+    core = [f"c{k}" for k in range(5)] * 200  # decides every bit, whatever follows
+    one, two = ([f"w{rng.random()}" for _ in range(100)] for _ in range(2))
+    rows = [(1, " ".join(core + one)), (2, " ".join(core + two)), (3, " ".join(two))]
+    prints = [simhash.fingerprint(t.encode(), 5) for _, t in rows]
+    assert prints[0] == prints[1] and (prints[0] ^ prints[2]).bit_count() > 2
+    assert kept(spark, rows) == sorted(set(components(rows).values())) == [1]
