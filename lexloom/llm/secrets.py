@@ -8,9 +8,9 @@ a role: *id* (user or account names given to a key, access identifiers), *secret
 keys too short for the base rule or with other characters, mixed tokens of 40 characters, credentials inside
 a URL) and *endpoint* (URLs with a scheme for a data store or service, host settings). A scope is a paragraph
 (blank line to blank line); inside it, intervals join if they lie within ``reach`` code points of one
-another. A weak secret is reported (kind ``linked``) only if an id and an endpoint, or an id and a base
-span, are within its reach - that is, only where complementary parts co-occur. The join is one sweep over the
-intervals in order of their starts, with the nearest part of each role on either side; it lists no pairs.
+another. A weak secret is reported (kind ``linked``) only if an access identifier, or an id and an endpoint, or
+an id and a base span of another kind are within its reach - that is, only where complementary parts co-occur.
+The nearest part of each role on either side decides, found by its sorted starts and ends; no pairs are listed.
 
 Everything is decided within one text, so documents are only mapped. Offsets are code points, ends exclusive.
 
@@ -22,6 +22,7 @@ from __future__ import annotations
 
 import bisect
 import hashlib
+import itertools
 import re
 from collections.abc import Iterator
 
@@ -42,17 +43,17 @@ _KEYS = re.compile(r"passw(?:or)?d|secret|token|api_?key", re.I | re.A)
 
 #: Weak parts, each with its role; group 1 is the span.
 WEAK = (
-    ("id", re.compile(r"""\b(?:user(?:name)?|login|account(?:_id)?|client_?id|access_?key_?id)["']?\x20*[:=]\x20*["']?([A-Za-z0-9@._+-]{3,128})""", re.I | re.A)),
-    ("secret", re.compile(r"""\b(?:pass(?:wor)?d?|pwd|secret|token|api_?key|private_?key|client_?secret)["']?\x20*[:=]\x20*["']?([!-~]{4,128})""", re.I | re.A)),
-    ("secret", re.compile(r"(?<![A-Za-z0-9/+=])([A-Za-z0-9/+]{40})(?![A-Za-z0-9/+=])")),
+    ("id", re.compile(r"""(?<![A-Za-z0-9])(?:user(?:name)?|login|account(?:_id)?|client_?id|access_?key_?id)["']?\x20*[:=]\x20*["']?([A-Za-z0-9@._+-]{3,128})""", re.I | re.A)),
+    ("secret", re.compile(r"""(?<![A-Za-z0-9])(?:pass(?:wor)?d?|pwd|secret|token|api_?key|private_?key|client_?secret)["']?\x20*[:=]\x20*["']?([!-~]{4,128})""", re.I | re.A)),
+    ("secret", re.compile(r"(?<![A-Za-z0-9/+])([A-Za-z0-9/+]{40})(?![A-Za-z0-9/+=])")),
     ("secret", re.compile(r"[a-z][a-z0-9+.-]{1,20}://[^\s/:@]{1,128}:([^\s/:@]{3,128})@", re.A)),
     ("id", re.compile(r"[a-z][a-z0-9+.-]{1,20}://([^\s/:@]{1,128}):[^\s/:@]{3,128}@", re.A)),
-    ("endpoint", re.compile(r"\b(?:(?:jdbc:[a-z]{2,20}|postgres(?:ql)?|mysql|mongodb(?:\+srv)?|redis|amqps?|ftps?|sftp|ldaps?|s3)://)(?:[^\s/@]{1,256}@)?([^\s\"'<>@]{3,256})", re.A)),
+    ("endpoint", re.compile(r"(?<![A-Za-z0-9])(?:(?:jdbc:[a-z]{2,20}|postgres(?:ql)?|mysql|mongodb(?:\+srv)?|redis|amqps?|ftps?|sftp|ldaps?|s3)://)(?:[^\s/@]{1,256}@)?([^\s\"'<>@]{3,256})", re.A)),
     ("endpoint", re.compile(r"[a-z][a-z0-9+.-]{1,20}://[^\s/:@]{1,128}:[^\s/:@]{3,128}@([^\s\"'<>/]{3,256})", re.A)),
-    ("endpoint", re.compile(r"""\b(?:host(?:name)?|server|endpoint|base_?url|region)["']?\x20*[:=]\x20*["']?([A-Za-z0-9._:/-]{3,256})""", re.I | re.A)),
+    ("endpoint", re.compile(r"""(?<![A-Za-z0-9])(?:host(?:name)?|server|endpoint|base_?url|region)["']?\x20*[:=]\x20*["']?([A-Za-z0-9._:/-]{3,256})""", re.I | re.A)),
 )
-#: A text without any of these strings (lower case) has no weak part that could be linked.
-_HINTS = ("://", "user", "login", "account", "client", "access", "host", "server", "endpoint", "url", "region")
+#: A text without any of these strings (lower case) has no id, and nothing is linked without one.
+_HINTS = ("://", "akia", "user", "login", "account", "client", "access", "host", "server", "endpoint", "url", "region")
 _SCOPE = re.compile(r"\n[ \t\r]*\n")
 
 
@@ -68,7 +69,7 @@ def base_spans(text: str) -> list[tuple[int, int, int]]:
 
 
 def linked_spans(text: str, base: list[tuple[int, int, int]], reach: int = REACH) -> list[tuple[int, int, int]]:
-    """Weak secrets that an id and a further part back up within their scope and reach."""
+    """Weak secrets that an access identifier, or an id and a further part, back up within their scope and reach."""
     low = text.lower()
     if not any(h in low for h in _HINTS):
         return []
@@ -77,32 +78,29 @@ def linked_spans(text: str, base: list[tuple[int, int, int]], reach: int = REACH
         parts[role] += [m.span(1) for m in pattern.finditer(text)]
     if not parts["secret"] or not (parts["id"] or any(kind == 1 for _, kind, _ in base)):
         return []
-    parts["id"] += [(s, e) for s, kind, e in base if kind == 1]
+    parts["access"] = [(s, e) for s, kind, e in base if kind == 1]
+    parts["id"] += parts["access"]
     parts["base"] = [(s, e) for s, kind, e in base if kind != 1]
     cuts = [m.end() for m in _SCOPE.finditer(text)]
     for spans in parts.values():
         spans.sort()
     starts = {role: [s for s, _ in spans] for role, spans in parts.items()}
+    ends = {role: sorted(e for _, e in spans) for role, spans in parts.items()}
 
     def near(role: str, start: int, end: int) -> bool:
-        """A part of that role, other than the span itself, in the same scope and within reach."""
+        """A part of that role beside the span, in the same scope and within reach."""
         scope = bisect.bisect_right(cuts, start)
         lo, hi = (cuts[scope - 1] if scope else 0), (cuts[scope] if scope < len(cuts) else len(text))
-        spans = parts[role]
-        k = bisect.bisect_left(starts[role], max(lo, start - reach))
-        while k < len(spans) and spans[k][0] < min(hi, end + reach):
-            if spans[k][1] <= start or spans[k][0] >= end:
-                return True
-            k += 1
-        return False
-
-    taken = [(s, e) for s, _, e in base]
+        before, after = bisect.bisect_right(ends[role], start) - 1, bisect.bisect_left(starts[role], end)
+        return (before >= 0 and ends[role][before] > max(lo, start - reach)) or (after < len(parts[role]) and starts[role][after] < min(hi, end + reach))
+
+    taken, tops = [s for s, _, _ in base], list(itertools.accumulate((e for _, _, e in base), max))
     out = set()
     for start, end in parts["secret"]:
-        k = bisect.bisect_right(taken, (end, 0)) - 1
-        if any(s < end and start < e for s, e in taken[max(0, k - 2) : k + 2]):
+        k = bisect.bisect_left(taken, end)
+        if k and tops[k - 1] > start:
             continue  # a base span reports it already
-        if near("id", start, end) and (near("endpoint", start, end) or near("base", start, end)):
+        if near("access", start, end) or near("id", start, end) and (near("endpoint", start, end) or near("base", start, end)):
             out.add((start, 3, end))
     return sorted(out)
 
