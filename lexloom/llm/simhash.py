@@ -44,6 +44,7 @@ import pyarrow.compute as pc
 import xxhash
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
+from pyspark.sql.types import LongType, StructField, StructType
 
 from .store import LOWER, as_bytes, discard, materialise, slices
 
@@ -164,21 +165,21 @@ def components(edges: DataFrame, rounds: int = 60) -> DataFrame:
 
 
 def _labelled(prints: DataFrame, id_col: str, limit: int, more_links: DataFrame | None = None) -> DataFrame:
-    """(id, fp, component_id) from (id, fp)."""
+    """(id, fp, component_id, root) from (id, fp); ``root`` tells components of one name apart."""
     classes = materialise(prints.groupBy("fp").agg(F.min(id_col).alias("least")), "simhash-classes")
     edges = links(classes.select("fp"), limit)
     roots = materialise(components(edges if more_links is None else edges.unionByName(more_links)), "simhash-roots")
     roots = roots.unionByName(roots.select(F.col("root").alias("node"), "root").distinct())
     linked = classes.join(roots, classes.fp == roots.node)
     named = linked.groupBy("root").agg(F.min("least").alias("component_id"))
-    found = roots.join(named, "root").select(F.col("node").alias("fp"), "component_id")
-    labels = classes.join(found, "fp", "left").select("fp", F.coalesce("component_id", "least").alias("component_id"))
-    return prints.join(labels, "fp").select(id_col, "fp", "component_id")
+    found = roots.join(named, "root").select(F.col("node").alias("fp"), "component_id", "root")
+    labels = classes.join(found, "fp", "left").select("fp", F.coalesce("component_id", "least").alias("component_id"), F.coalesce("root", "fp").alias("root"))
+    return prints.join(labels, "fp").select(id_col, "fp", "component_id", "root")
 
 
 def near_duplicates(documents: DataFrame, id_col: str = "doc_id", text_col: str = "text", width: int = WIDTH, limit: int = LIMIT) -> DataFrame:
     """(id, fp, component_id) for every row of ``documents``."""
-    return _labelled(materialise(fingerprints(documents, id_col, text_col, width), "simhash"), id_col, limit)
+    return _labelled(materialise(fingerprints(documents, id_col, text_col, width), "simhash"), id_col, limit).drop("root")
 
 
 def shingles(text: bytes, width: int) -> np.ndarray:
@@ -327,7 +328,7 @@ def similar(documents: DataFrame, full: DataFrame, similarity: float, id_col: st
 
 
 def keep_one(documents: DataFrame, id_col: str = "doc_id", text_col: str = "text", width: int = 5, limit: int = LIMIT, similarity: float | None = 0.8) -> DataFrame:
-    """One row of each component: the one whose id names it (of rows that repeat this id, the smallest text).
+    """One row of each component: the one whose id names it (of its rows that repeat this id, the smallest text).
 
     Fingerprints link within ``limit`` bits, and those of texts with the given similarity as well. Rows without
     an id cannot be named and all stay. The columns are those of ``documents``.
@@ -344,10 +345,22 @@ def keep_one(documents: DataFrame, id_col: str = "doc_id", text_col: str = "text
         pairs = pairs.join(firsts.select(F.col("sid").alias("a"), F.col("first").alias("x")), "a").join(firsts.select(F.col("sid").alias("b"), F.col("first").alias("y")), "b")
         edges = same.unionByName(pairs.select(F.col("x").alias("a"), F.col("y").alias("b")))
     found = _labelled(prints, id_col, limit, edges)
-    firsts = found.filter(F.col(id_col) == F.col("component_id")).groupBy(F.col(id_col).alias("__id")).agg(F.count("*").alias("__n"))
-    kept = documents.join(firsts, F.col(id_col) == F.col("__id"))
-    first = Window.partitionBy(id_col).orderBy(F.when(F.col("__n") > 1, F.col(text_col)))
-    kept = kept.withColumn("__k", F.row_number().over(first)).filter("__k = 1").select(*(kept[c] for c in documents.columns))
+    named = F.col(id_col) == F.col("component_id")
+    ids = found.groupBy(F.col(id_col).alias("__id")).agg(F.count("*").alias("__n"), F.max(named).alias("__names")).filter("__names")
+    of_id = F.col(id_col) == F.col("__id")
+    kept = documents.join(ids.filter("__n = 1"), of_id, "left_semi")
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for part in slices(batches):
+            fps = np.array([fingerprint(t, width) for t in as_bytes(part.column(text_col))], np.uint64)
+            yield pa.RecordBatch.from_arrays([*part.columns, pa.array(fps.view(np.int64))], names=[*part.schema.names, "__fp"])
+
+    repeated = documents.join(ids.filter("__n > 1"), of_id, "left_semi")
+    repeated = repeated.mapInArrow(run, StructType([*documents.schema.fields, StructField("__fp", LongType())]))
+    roots = found.filter(named).select(F.col(id_col).alias("__id"), F.col("fp").alias("__of"), F.col("root").alias("__root")).distinct()
+    repeated = repeated.join(roots, of_id & (F.col("__fp") == F.col("__of")))
+    repeated = repeated.withColumn("__k", F.row_number().over(Window.partitionBy("__root").orderBy(text_col))).filter("__k = 1")
+    kept = kept.unionByName(repeated.select(*documents.columns))
     return kept.unionByName(documents.filter(F.col(id_col).isNull()))
 
 

@@ -82,3 +82,12 @@ def test_texts_of_one_fingerprint_keep_their_own_links(spark):
     prints = [simhash.fingerprint(t.encode(), 5) for _, t in rows]
     assert prints[0] == prints[1] and (prints[0] ^ prints[2]).bit_count() > 2
     assert kept(spark, rows) == sorted(set(components(rows).values())) == [1]
+
+
+def test_rows_that_share_an_id_with_different_texts(spark):
+    rng = random.Random(9)
+    a, b, c, d = (" ".join(f"w{rng.random()}" for _ in range(40)) for _ in range(4))
+    rows = [(3, a), (7, a), (7, b), (7, b), (8, c), (8, d), (9, d)]
+    df = spark.createDataFrame(rows, "doc_id long, text string")
+    got = sorted((r.doc_id, r.text) for r in simhash.keep_one(df).collect())
+    assert got == sorted([(3, a), (7, b), (8, c), (8, d)])
