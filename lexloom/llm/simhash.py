@@ -12,13 +12,14 @@ with budget zero must be equal, so fingerprints meet by equality of that prefix
 all of them get the full Hamming check.
 
 Exact copies are collapsed to one row for each fingerprint before that, so a group of copies costs one row.
-Distinct fingerprints may still crowd in one bucket (a large group of near copies). Buckets of more
-than ``CROWD`` fingerprints don't list pairs: their members spread all variants with up to half of
-the limit of flipped bits; two members within ``limit`` (2) bits share a variant and only those do,
-so linking each variant's members to its smallest one keeps every component and is linear in the members.
+Distinct fingerprints may still crowd in one bucket. The bits that a bucket has not fixed are then segments of a
+smaller ring: in ``limit`` + 1 segments a pair has one without a difference, so the bucket is split by the
+equality of each, and again, until a bucket holds ``CROWD`` fingerprints or leaves so few bits free
+that it cannot hold more. No bucket lists more pairs than ``CROWD`` allows, and every pair within the limit is found.
 
 Components come from alternating large-star and small-star rounds on the table of links, written to the
-shared store each few rounds; nothing about all documents goes to the driver but a count of changed rows.
+shared store each round; nothing about all documents goes to the driver but a count and a checksum. Hubs (a node
+with very many links, a fingerprint of very many copies) meet their rows by ``store.hot_join``.
 
 Two bits of 64 are near-identity: measured on the test tables, pairs with a Jaccard similarity of 0.8 to 0.9 over
 5-word shingles differ in 5 to 14 bits, and no index by equal segments can reach that far (a budget of 14
@@ -26,17 +27,21 @@ bits leaves no segment of useful width without a difference). ``keep_one`` there
 ``similarity``, the links that all pairs of texts with a Jaccard similarity (of their sets of 64-bit
 shingle hashes) of that or more would make. Three filters, none of which can lose a pair, come first: of the lowest
 hashes of a text, so many must be shared; of all its shingles, so many must be in another text left; and two
-such texts share one of their rarest shingles. Texts that share one form clusters, and each cluster is settled by
-exact counts (``_settle``), leaving out only pairs that are joined already.
+such texts share one of their rarest shingles, the bucket in which they meet. In every bucket the
+text with the fewest shingles of its own (the one that others are copies of) is the *hub*, and all others that
+their size and place in the bucket allow are compared with it, exactly. Members that are joined then need no comparison with
+each other; a second round has more hubs (``HUBS``) for what is left. What is then left, members of one bucket that are still in different components, is compared in blocks of
+``BLOCK`` texts, so that no task holds a bucket and no row is written for a pair.
 
 Cases: repeated rows are rows; null ids are linked like others, and a component's id is the smallest
-non-null doc_id (null only if it has none); empty tables give empty results.
+non-null doc_id (null only if it has none); empty tables give empty results. ``keep_one`` leaves rows without an id.
 """
 
 from __future__ import annotations
 
 import math
 from collections.abc import Iterator
+from functools import reduce
 
 import numpy as np
 import pyarrow as pa
@@ -46,7 +51,7 @@ from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 from pyspark.sql.types import LongType, StructField, StructType
 
-from .store import LOWER, as_bytes, discard, materialise, slices
+from .store import LOWER, as_bytes, hot_join, mark, materialise, slices, sweep
 
 SEED = 42
 WIDTH = 3
@@ -54,7 +59,10 @@ LIMIT = 2
 SEGMENTS = 8
 CROWD = 64
 SLACK = 1e-9
-HUBS = 32
+#: Hubs of a bucket in each round.
+HUBS = (1, 16)
+BLOCK = 256
+MEET = 256
 
 _LANES = np.uint64(0x0101010101010101)
 _SHIFTS = np.arange(8, dtype=np.uint64)[:, None]
@@ -94,43 +102,52 @@ def _rotated(fp, start: int, bits: int):
     return fp if not k else F.shiftleft(fp, k).bitwiseOR(F.shiftrightunsigned(fp, 64 - k))
 
 
-def links(fps: DataFrame, limit: int = LIMIT, segments: int = SEGMENTS, crowd: int = CROWD) -> DataFrame:
-    """Links (a, b) with a < b between distinct fingerprints ``fp`` that keep all components under ``limit``.
+def _split(level: DataFrame, width: int, parts: int) -> tuple[DataFrame, int]:
+    """Buckets split by each of ``parts`` segments of their ``width`` free bits, and how many bits are free then."""
+    edges = [width * k // parts for k in range(parts + 1)]
+    keys = []
+    for k, (lo, hi) in enumerate(zip(edges, edges[1:])):
+        fixed = F.shiftrightunsigned("rest", lo).bitwiseAND(F.lit((1 << (hi - lo)) - 1).cast("long"))
+        free = F.shiftleft(F.shiftrightunsigned("rest", hi), lo).bitwiseOR(F.col("rest").bitwiseAND(F.lit((1 << lo) - 1).cast("long")))
+        keys.append(F.struct(F.xxhash64("key", F.lit(k), fixed).alias("key"), free.alias("rest")))
+    out = level.select("start", "fp", "turned", F.explode(F.array(*keys)).alias("k")).select("start", "fp", "turned", "k.key", "k.rest")
+    return out, width - min(hi - lo for lo, hi in zip(edges, edges[1:]))
 
-    Outside crowded buckets these are all pairs within ``limit`` bits.
-    """
-    if 64 % segments or not 0 < limit < segments or limit % 2:
-        raise ValueError("segments must divide 64, and limit must be even and below segments")
+
+def links(fps: DataFrame, limit: int = LIMIT, segments: int = SEGMENTS, crowd: int = CROWD) -> DataFrame:
+    """All pairs (a, b), a < b, of distinct fingerprints ``fp`` within ``limit`` bits."""
+    if 64 % segments or not 0 < limit < segments:
+        raise ValueError("segments must divide 64, and limit must be below segments")
     bits = 64 // segments
     budget = [length * limit // segments for length in range(segments + 1)]
     lead = max(n for n in range(1, segments) if budget[n] == 0)  # these first segments must be equal
+    width = 64 - lead * bits
     turns = F.array(*(F.struct(F.lit(s).alias("start"), _rotated(F.col("fp"), s, bits).alias("turned")) for s in range(segments)))
-    placed = fps.select("fp", F.explode(turns).alias("t")).select(
-        "fp", "t.start", "t.turned", F.shiftrightunsigned("t.turned", 64 - lead * bits).alias("prefix")
+    level = fps.select("fp", F.explode(turns).alias("t")).select(
+        "t.start", "fp", "t.turned", F.shiftrightunsigned("t.turned", width).alias("key"), F.col("t.turned").bitwiseAND(F.lit((1 << width) - 1).cast("long")).alias("rest")
     )
-    counts = placed.groupBy("start", "prefix").agg(F.count("*").alias("n")).filter("n > 1")
-    placed = materialise(placed.join(counts, ["start", "prefix"]), "simhash-buckets")
-    few = placed.filter(F.col("n") <= crowd)
-    a, b = few.alias("a"), few.alias("b")
-    diff = F.col("a.turned").bitwiseXOR(F.col("b.turned"))
     ok = F.col("a.fp") < F.col("b.fp")
+    diff = F.col("a.turned").bitwiseXOR(F.col("b.turned"))
     for length in range(lead + 1, segments + 1):
         if length == segments or budget[length + 1] > budget[length]:  # the other chains have the same budget as a longer one
             part = diff if length == segments else F.shiftrightunsigned(diff, 64 - length * bits)
             ok = ok & (F.bit_count(part) <= budget[length])
-    near = a.join(b, ["start", "prefix"]).filter(ok).select(F.col("a.fp").alias("a"), F.col("b.fp").alias("b"))
-    crowded = placed.filter(F.col("n") > crowd).select("fp").distinct()
-    flips = [0]
-    for _ in range(limit // 2):
-        flips = sorted({f ^ (1 << k) for f in flips for k in range(64)} | set(flips))
-    masks = F.array(*(F.lit(f - (1 << 64) if f >> 63 else f).cast("long") for f in flips))
-    spread = crowded.select("fp", F.explode(masks).alias("m")).select("fp", F.col("fp").bitwiseXOR(F.col("m")).alias("variant"))
-    least = spread.groupBy("variant").agg(F.min("fp").alias("a"), F.count("*").alias("n")).filter("n > 1")
-    star = spread.join(least, "variant").filter("fp <> a").select("a", F.col("fp").alias("b"))
-    return near.unionByName(star).distinct()
-
-
-def components(edges: DataFrame, rounds: int = 60) -> DataFrame:
+    near = []
+    while True:
+        last = 1 << width <= max(crowd, 1 << limit)  # no bucket can hold more distinct fingerprints than that
+        level = materialise(level, "simhash-turned")
+        sizes = level.groupBy("start", "key").agg(F.count("*").alias("n")).filter("n > 1")
+        level = materialise(hot_join(level, sizes, ["start", "key"], level.count()), "simhash-buckets")
+        few = level if last else level.filter(F.col("n") <= crowd)
+        found = few.alias("a").join(few.alias("b"), ["start", "key"]).filter(ok).select(F.col("a.fp").alias("a"), F.col("b.fp").alias("b"))
+        near.append(found)
+        crowded = level.filter(F.col("n") > crowd)
+        if last or crowded.isEmpty():
+            return reduce(DataFrame.unionByName, near).distinct()
+        level, width = _split(crowded, width, limit + 1)
+
+
+def components(edges: DataFrame) -> DataFrame:
     """(node, root): for every node of the links (a, b), the smallest node of its component.
 
     Alternating stars: in the large-star half every node joins its larger neighbours to the smallest node
@@ -139,42 +156,44 @@ def components(edges: DataFrame, rounds: int = 60) -> DataFrame:
     held = materialise(edges.select(F.greatest("a", "b").alias("hi"), F.least("a", "b").alias("lo")).filter("hi <> lo").distinct(), "stars")
     print_of = lambda df: df.agg(F.count("*"), F.sum(F.xxhash64("hi", "lo").cast("decimal(38,0)"))).first()
     last = print_of(held)
-    for _ in range(rounds):
-        if not last[0]:
-            break
-        both = held.select(F.col("hi").alias("u"), F.col("lo").alias("v")).unionByName(held.select(F.col("lo").alias("u"), F.col("hi").alias("v")))
-        least = both.groupBy("u").agg(F.least(F.min("v"), F.col("u")).alias("m"))
-        large = both.join(least, "u").filter("v > u").select(F.col("v").alias("hi"), F.col("m").alias("lo")).filter("hi <> lo").distinct()
-        least = large.groupBy("hi").agg(F.min("lo").alias("m"))
+    while last[0]:
+        start = mark()
+        upward = held.select(F.col("lo").alias("u"), F.col("hi").alias("v"))
+        least = held.groupBy(F.col("hi").alias("u")).agg(F.min("lo").alias("m"))
+        least = upward.groupBy("u").agg(F.count("*").alias("n")).join(least, "u", "left").select("u", "n", F.coalesce("m", "u").alias("m"))
+        large = hot_join(upward, least, ["u"], last[0]).select(F.col("v").alias("hi"), F.col("m").alias("lo"))
+        large = materialise(large.distinct(), "large-stars")
+        least = large.groupBy("hi").agg(F.min("lo").alias("m"), F.count("*").alias("n"))
         small = (
-            large.join(least, "hi")
+            hot_join(large, least, ["hi"], large.count())
             .select(F.explode(F.array(F.struct(F.col("hi"), F.col("m").alias("lo")), F.struct(F.col("lo").alias("hi"), F.col("m").alias("lo")))).alias("e"))
             .select("e.*")
             .filter("hi <> lo")
             .distinct()
         )
         old, held = held, materialise(small, "stars")
-        discard(old)
+        sweep(held.sparkSession, start, held)
         now = print_of(held)
         if now == last:
             break
         last = now
-    else:
-        raise RuntimeError(f"components did not settle in {rounds} rounds")
     return held.select(F.col("hi").alias("node"), F.col("lo").alias("root"))
 
 
 def _labelled(prints: DataFrame, id_col: str, limit: int, more_links: DataFrame | None = None) -> DataFrame:
-    """(id, fp, component_id, root) from (id, fp); ``root`` tells components of one name apart."""
-    classes = materialise(prints.groupBy("fp").agg(F.min(id_col).alias("least")), "simhash-classes")
+    """(id, fp, component_id, root) from a stored table (id, fp); ``root`` tells components of one name apart."""
+    start = mark()
+    classes = materialise(prints.groupBy("fp").agg(F.min(id_col).alias("least"), F.count("*").alias("n")), "simhash-classes")
     edges = links(classes.select("fp"), limit)
-    roots = materialise(components(edges if more_links is None else edges.unionByName(more_links)), "simhash-roots")
+    roots = components(edges if more_links is None else edges.unionByName(more_links))
     roots = roots.unionByName(roots.select(F.col("root").alias("node"), "root").distinct())
-    linked = classes.join(roots, classes.fp == roots.node)
-    named = linked.groupBy("root").agg(F.min("least").alias("component_id"))
-    found = roots.join(named, "root").select(F.col("node").alias("fp"), "component_id", "root")
-    labels = classes.join(found, "fp", "left").select("fp", F.coalesce("component_id", "least").alias("component_id"), F.coalesce("root", "fp").alias("root"))
-    return prints.join(labels, "fp").select(id_col, "fp", "component_id", "root")
+    linked = materialise(classes.join(roots, classes.fp == roots.node).select("fp", "least", "root"), "simhash-linked")
+    named = linked.groupBy("root").agg(F.min("least").alias("component_id"), F.count("*").alias("n"))
+    found = hot_join(linked, named, ["root"], linked.count()).select("fp", "component_id", "root")
+    labels = classes.join(found, "fp", "left").select("fp", F.coalesce("component_id", "least").alias("component_id"), F.coalesce("root", "fp").alias("root"), "n")
+    labels = materialise(labels, "simhash-labels")
+    sweep(prints.sparkSession, start, labels)
+    return hot_join(prints, labels, ["fp"], prints.count()).select(id_col, "fp", "component_id", "root")
 
 
 def near_duplicates(documents: DataFrame, id_col: str = "doc_id", text_col: str = "text", width: int = WIDTH, limit: int = LIMIT) -> DataFrame:
@@ -203,10 +222,11 @@ def _extra(n: int) -> int:
 def sketches(documents: DataFrame, similarity: float, id_col: str = "doc_id", text_col: str = "text", width: int = 5) -> DataFrame:
     """(id, fp, sid, n, need, low): the fingerprint, a digest of the shingle set, its size and its lowest hashes.
 
-    Of these, a text with a partner of that similarity shares ``need`` or more with it.
+    Of these, a text with a partner of that similarity shares ``need`` or more with it. A task gives them once a digest.
     """
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        seen = set()
         for part in slices(batches, 128):
             fps, sids, sizes, needs, lows = [], [], [], [], []
             for text in as_bytes(part.column("text")):
@@ -216,7 +236,8 @@ def sketches(documents: DataFrame, similarity: float, id_col: str = "doc_id", te
                 sids.append(xxhash.xxh3_64_intdigest(own.tobytes()))
                 sizes.append(n)
                 needs.append(_extra(math.ceil(similarity * n - SLACK)))  # the smallest partner sets it
-                lows.append(own[: _spare(n, similarity) + _extra(n)].view(np.int64))
+                lows.append(None if sids[-1] in seen else own[: _spare(n, similarity) + _extra(n)].view(np.int64))
+                seen.add(sids[-1])
             yield pa.RecordBatch.from_arrays(
                 [part.column(0), *(pa.array(np.array(v, np.uint64).view(np.int64)) for v in (fps, sids)), pa.array(sizes, pa.int64()), pa.array(needs, pa.int64()), pa.array(lows, pa.list_(pa.int64()))],
                 names=[id_col, "fp", "sid", "n", "need", "low"],
@@ -226,142 +247,212 @@ def sketches(documents: DataFrame, similarity: float, id_col: str = "doc_id", te
     return documents.select(F.col(id_col), F.col(text_col).alias("text")).mapInArrow(run, f"{id_col} {kind}, fp long, sid long, n long, need long, low array<long>")
 
 
-def _settle(group: pa.Table, similarity: float) -> tuple[list[int], list[int]]:
-    """Links (rows a, b) that join the rows of one cluster just as all its pairs of that similarity would.
+def _alive(full: DataFrame, id_col: str) -> DataFrame:
+    """(sid, least): digests that share enough of their lowest hashes with others, and the least id of each."""
+    low = full.select("sid", F.explode("low").alias("token"))
+    total = full.agg(F.sum(F.coalesce(F.size("low"), F.lit(0)))).first()[0] or 0
+    many = low.groupBy("token").agg(F.count("*").alias("n")).filter("n > 1")
+    shared = hot_join(low, many, ["token"], total).groupBy("sid").agg(F.count("*").alias("shared"))
+    own = full.groupBy("sid").agg(F.min(id_col).alias("least"), F.max("need").alias("need"), F.count("low").alias("times"))
+    return materialise(own.join(shared, "sid").filter("shared >= need * times").select("sid", "least"), "simhash-alive")
 
-    A pair is left out only if its rows are joined already. The rows with the fewest shingles of their own (the
-    text that the others are copies of) go first; after them the rows outside the largest component
-    meet all rows of other components, and each such pair has one of them.
-    """
-    order = np.lexsort((group.column("sid").to_numpy(), (pc.subtract(group.column("n"), pc.list_value_length(group.column("tokens")))).to_numpy()))
-    group = group.take(pa.array(order)).combine_chunks()
-    n, lead = group.column("n").to_numpy(), group.column("lead").to_numpy()
-    size = pc.list_value_length(group.column("tokens")).to_numpy().astype(np.int64)
-    _, flat = np.unique(pc.list_flatten(group.column("tokens")).to_numpy(), return_inverse=True)
-    start = np.concatenate([[0], np.cumsum(size)])
-    rows = len(n)
-    place = np.arange(len(flat)) - np.repeat(start[:-1], size)
-    front = place < np.repeat(lead, size)
-    key, holder = flat[front], np.repeat(np.arange(rows), size)[front]
-    by = np.argsort(key, kind="stable")
-    holder = holder[by]
-    bound = np.concatenate([[0], np.cumsum(np.bincount(key, minlength=int(flat.max()) + 1))])
-    label, members = np.arange(rows), {i: [i] for i in range(rows)}
-    met, mark = np.zeros(rows, bool), np.zeros(len(bound), bool)
-    out: tuple[list[int], list[int]] = ([], [])
 
-    def meet(i: int) -> None:
-        own = flat[start[i] : start[i + 1]]
-        other = np.zeros(rows, bool)
-        for t in own[: lead[i]]:
-            other[holder[bound[t] : bound[t + 1]]] = True
-        other &= (label != label[i]) & ~met & (np.minimum(n, n[i]) >= similarity * np.maximum(n, n[i]) - SLACK)
-        met[i] = True
-        mark[own] = True
-        found = np.nonzero(other)[0]
-        for cut in range(0, len(found), 1024):
-            some = found[cut : cut + 1024]
-            first = np.concatenate([[0], np.cumsum(size[some])])
-            at = np.arange(first[-1]) + np.repeat(start[some] - first[:-1], size[some])
-            shared = np.add.reduceat(mark[flat[at]].astype(np.int64), first[:-1])
-            for j in some[shared >= similarity * (n[i] + n[some] - shared) - SLACK].tolist():
-                a, b = sorted((int(label[i]), int(label[j])), key=lambda c: len(members[c]))
-                if a != b:
-                    label[members[a]] = b
-                    members[b] += members.pop(a)
-                    out[0].append(i)
-                    out[1].append(j)
-        mark[own] = False
-
-    hubs = 0
-    for i in range(rows):
-        if hubs == HUBS or len(members) == 1:
-            break
-        if len(members[label[i]]) == 1:
-            meet(i)
-            hubs += 1
-    if len(members) > 1:
-        largest = max(members, key=lambda c: len(members[c]))
-        for i in np.nonzero(label != largest)[0].tolist():
-            if len(members) > 1 and not met[i]:
-                meet(i)
-    sid = group.column("sid").to_numpy()
-    return sid[out[0]].tolist(), sid[out[1]].tolist()
-
-
-def similar(documents: DataFrame, full: DataFrame, similarity: float, id_col: str, text_col: str, width: int) -> DataFrame:
-    """Links (a, b) between ``sid`` of ``full`` (from ``sketches``): the components of all pairs with that similarity."""
-    classes = full.dropDuplicates(["sid"])
-    by_token = Window.partitionBy("token")
-    shared = classes.select("sid", "need", F.explode("low").alias("token")).withColumn("df", F.count("*").over(by_token)).filter("df > 1")
-    shared = shared.groupBy("sid", "need").agg(F.count("*").alias("n")).filter("n >= need").select("sid")
-    alive = full.groupBy("sid").agg(F.min(id_col).alias("least")).join(shared, "sid")
-    alive = materialise(alive, "simhash-alive")
+def _sets(documents: DataFrame, alive: DataFrame, similarity: float, id_col: str, text_col: str, width: int) -> DataFrame:
+    """(sid, n, tokens, lead, own): shingles that other texts left hold too, rarest first, and how many of them lead.
+
+    ``own`` shingles, which no other text has, come before them in the common order.
+    """
     ids = alive.select("least").distinct()
 
-    def sets(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for part in slices(batches, 128):
             own = [shingles(t, width) for t in as_bytes(part.column("text"))]
             sids = np.array([xxhash.xxh3_64_intdigest(o.tobytes()) for o in own], np.uint64).view(np.int64)
             yield pa.RecordBatch.from_arrays([pa.array(sids), pa.array([o.view(np.int64) for o in own], pa.list_(pa.int64()))], names=["sid", "tokens"])
 
-    texts = documents.join(ids, F.col(id_col).eqNullSafe(F.col("least")), "left_semi").select(F.col(text_col).alias("text"))
-    whole = texts.mapInArrow(sets, "sid long, tokens array<long>").join(alive.select("sid"), "sid", "left_semi")
+    texts = documents.select(F.col(id_col).alias("id"), F.col(text_col).alias("text")).join(ids, F.col("id").eqNullSafe(F.col("least")), "left_semi").select("text")
+    whole = texts.mapInArrow(run, "sid long, tokens array<long>").join(alive.select("sid"), "sid", "left_semi")
+    start = mark()
     whole = materialise(whole.dropDuplicates(["sid"]), "simhash-whole")
-    counted = whole.select("sid", F.size("tokens").cast("long").alias("n"), F.explode("tokens").alias("token"))
-    counted = counted.withColumn("df", F.count("*").over(by_token)).filter("df > 1")
-    rare = counted.groupBy("sid", "n").agg(F.sort_array(F.collect_list(F.struct("df", "token"))).alias("t"))
-    spare = F.col("n") - F.ceil(F.col("n") * F.lit(similarity) - F.lit(SLACK))
-    lead = spare + 1 - (F.col("n") - F.size("t"))  # shingles that no other text has come first, and need no place
-    rare = materialise(rare.select("sid", "n", F.col("t.token").alias("tokens"), lead.alias("lead")).filter("lead > 0"), "simhash-rare")
-    heads = rare.select("sid", F.explode(F.slice("tokens", 1, F.col("lead").cast("int"))).alias("token"))
-    stars = heads.withColumn("head", F.min("sid").over(by_token)).filter("head <> sid").select(F.col("head").alias("a"), F.col("sid").alias("b"))
-    roots = materialise(components(stars.distinct()), "simhash-clusters")
-    roots = roots.unionByName(roots.select(F.col("root").alias("node"), "root").distinct())
-
-    def settle(group: pa.Table) -> pa.Table:
-        a, b = _settle(group, similarity)
+    total = whole.agg(F.sum(F.size("tokens"))).first()[0] or 0
+    tokens = whole.select("sid", F.explode("tokens").alias("token"))
+    many = tokens.groupBy("token").agg(F.count("*").alias("n")).filter("n > 1")
+    rare = hot_join(tokens, many, ["token"], total).groupBy("sid").agg(F.sort_array(F.collect_list(F.struct("n", "token"))).alias("t"))
+    rare = rare.join(whole.select("sid", F.size("tokens").cast("long").alias("size")), "sid")
+    spare = F.col("size") - F.ceil(F.col("size") * F.lit(similarity) - F.lit(SLACK))
+    own = F.col("size") - F.size("t")
+    rare = rare.select("sid", F.col("size").alias("n"), F.col("t.token").alias("tokens"), (spare + 1 - own).alias("lead"), own.alias("own"))
+    rare = materialise(rare.filter("lead > 0"), "simhash-rare")
+    sweep(documents.sparkSession, start, rare)
+    return rare
+
+
+def _open(members: DataFrame, joined: DataFrame | None, hubs: int) -> tuple[DataFrame, DataFrame]:
+    """Members with the ``label`` of their component, and the buckets that hold more than one label, with hubs.
+
+    A bucket's hubs are the members with the fewest shingles of their own in each of ``hubs`` hash classes.
+    """
+    if joined is None:
+        rows = members.withColumn("label", F.col("sid"))
+    else:
+        rows = members.join(joined, members.sid == joined.node, "left").select(*members.columns, F.coalesce("root", "sid").alias("label"))
+    rows = materialise(rows, "simhash-members")
+    one = F.struct("own", "sid", "size", "place", "label")
+    of = F.pmod(F.xxhash64("sid"), F.lit(hubs))
+    every = F.array_compact(F.array(*(F.min(F.when(of == k, one)) for k in range(hubs))))
+    buckets = rows.groupBy("token").agg(F.count("*").alias("n"), F.min("label").alias("lo"), F.max("label").alias("hi"), every.alias("hubs"))
+    return rows, materialise(buckets.filter("lo <> hi").select("token", "n", "hubs"), "simhash-buckets")
+
+
+def _fit(a: str, b: str, similarity: float):
+    """Whether two texts that meet can be similar, by their sizes and by what follows their places."""
+    size, place = (lambda x: F.col(f"{x}size")), (lambda x: F.col(f"{x}place"))
+    left = F.least(size(a) - place(a), size(b) - place(b))  # they have met for the first time: no more can be shared
+    sizes = F.least(size(a), size(b)) >= similarity * F.greatest(size(a), size(b)) - SLACK
+    return sizes & (left >= similarity / (1 + similarity) * (size(a) + size(b)) - SLACK)
+
+
+def _verified(pairs: DataFrame, sets: DataFrame, similarity: float) -> DataFrame:
+    """Links (a, b) from pairs (sid, hub) whose shingle sets have the similarity; a hub meets ``MEET`` texts at a time."""
+    pairs = materialise(pairs, "simhash-pairs")
+    per = pairs.groupBy("hub").agg(F.count("*").alias("n"))
+    ways = F.greatest(F.lit(1), F.ceil(F.col("n") / MEET))
+    dealt = hot_join(pairs, per, ["hub"], pairs.count()).select("sid", "hub", F.pmod(F.xxhash64("sid"), ways).alias("way"))
+    hubs = per.select("hub", F.explode(F.sequence(F.lit(0).cast("long"), ways - 1)).alias("way"))
+    hubs = hubs.join(sets.select(F.col("sid").alias("hub"), F.col("n").alias("hub_n"), F.col("tokens").alias("hub_tokens")), "hub")
+    both = dealt.join(sets.select("sid", "n", "tokens"), "sid").join(hubs, ["hub", "way"])
+    shared = F.size(F.array_intersect("tokens", "hub_tokens"))
+    alike = both.select("hub", "sid", "n", "hub_n", shared.alias("shared")).filter(F.col("shared") >= similarity * (F.col("n") + F.col("hub_n") - F.col("shared")) - SLACK)
+    return materialise(alike.select(F.col("hub").alias("a"), F.col("sid").alias("b")), "simhash-alike")
+
+
+def _compare(group: pa.Table, similarity: float, token: int) -> tuple[list[int], list[int]]:
+    """Links between the rows of a block: those of side 0 against those of side 1 in another component.
+
+    Two texts meet in every shingle that both lead with; the first one in their common order decides.
+    """
+    group = group.combine_chunks()
+    side, sid, n, lead, place, label, major = (group.column(c).to_numpy() for c in ("side", "sid", "n", "lead", "place", "label", "major"))
+    size = pc.list_value_length(group.column("tokens")).to_numpy().astype(np.int64)
+    names, flat = np.unique(pc.list_flatten(group.column("tokens")).to_numpy(), return_inverse=True)
+    start = np.concatenate([[0], np.cumsum(size)])
+    here = int(np.searchsorted(names, token))
+    all_of, lead_of = np.zeros(len(names), bool), np.zeros(len(names), bool)
+    right = np.nonzero(side == 1)[0]
+    out: tuple[list[int], list[int]] = ([], [])
+    for i in np.nonzero(side == 0)[0].tolist():
+        fit = (label[right] != label[i]) & (np.minimum(n[right], n[i]) >= similarity * np.maximum(n[right], n[i]) - SLACK)
+        fit &= np.minimum(n[right] - place[right], n[i] - place[i]) >= similarity / (1 + similarity) * (n[right] + n[i]) - SLACK
+        fit &= (label[right] == major[right]) | (sid[right] > sid[i])  # a pair of two minor members comes once
+        own = flat[start[i] : start[i + 1]]
+        all_of[own], lead_of[own[: lead[i]]] = True, True
+        for j in right[fit].tolist():
+            other = flat[start[j] : start[j + 1]]
+            first = other[: lead[j]]
+            first = first[lead_of[first]]
+            if len(first) and first[0] == here:
+                both = int(all_of[other].sum())
+                if both >= similarity * (n[i] + n[j] - both) - SLACK:
+                    out[0].append(int(sid[i]))
+                    out[1].append(int(sid[j]))
+        all_of[own], lead_of[own] = False, False
+    return out
+
+
+def _rest(rows: DataFrame, buckets: DataFrame, sets: DataFrame, similarity: float, block: int) -> DataFrame:
+    """Links (a, b) between members of one bucket that are in different components, compared block by block."""
+    counts = rows.groupBy("token", "label").agg(F.count("*").alias("c"))
+    major = counts.groupBy("token").agg(F.max(F.struct("c", "label")).alias("top"))
+    buckets = buckets.join(major, "token").select("token", "n", F.col("top.label").alias("major"), F.ceil(F.col("n") / block).alias("blocks"))
+    held = hot_join(rows, buckets, ["token"], rows.count()).withColumn("block", F.pmod(F.xxhash64("sid"), "blocks"))
+    held = materialise(held.select("token", "sid", "place", "label", "major", "blocks", "block"), "simhash-open")
+    every = F.explode(F.sequence(F.lit(0).cast("long"), F.col("blocks") - 1))
+    left = held.filter("label <> major").select("*", every.alias("j")).withColumnRenamed("block", "i").withColumn("side", F.lit(0))
+    right = held.select("*", every.alias("i")).withColumnRenamed("block", "j").withColumn("side", F.lit(1))
+    columns = ["token", "i", "j", "side", "sid", "place", "label", "major"]
+    blocks = left.select(*columns).unionByName(right.select(*columns)).join(sets.select("sid", "n", "lead", "tokens"), "sid")
+
+    def settle(key: tuple, group: pa.Table) -> pa.Table:
+        a, b = _compare(group, similarity, key[0].as_py())
         return pa.table({"a": pa.array(a, pa.int64()), "b": pa.array(b, pa.int64())})
 
-    clusters = rare.join(roots, rare.sid == roots.node).select("root", "sid", "n", "tokens", "lead")
-    return clusters.groupBy("root").applyInArrow(settle, "a long, b long")
+    return blocks.groupBy("token", "i", "j").applyInArrow(settle, "a long, b long")
+
+
+def _meet(rows: DataFrame, buckets: DataFrame, sets: DataFrame, similarity: float) -> tuple[DataFrame, DataFrame]:
+    """Links of the members of open buckets with their hubs, and the members that are no hubs of theirs."""
+    held = materialise(hot_join(rows, buckets, ["token"], rows.count()), "simhash-held")
+    met = held.select("token", "sid", "size", "own", "place", "label", F.explode("hubs").alias("hub"))
+    columns = ("sid", "size", "place", "label", *(F.col(f"hub.{c}").alias(f"hub_{c}") for c in ("sid", "size", "place", "label")))
+    pairs = met.select(*columns).filter((F.col("label") != F.col("hub_label")) & _fit("", "hub_", similarity))
+    pairs = pairs.select("sid", F.col("hub_sid").alias("hub")).distinct()
+    others = held.filter(~F.array_contains(F.transform("hubs", lambda h: h["sid"]), F.col("sid")))
+    return _verified(pairs, sets, similarity), others.select("token", "sid", "size", "own", "place")
+
+
+def similar(documents: DataFrame, full: DataFrame, similarity: float, id_col: str, text_col: str, width: int, hubs: tuple[int, ...] = HUBS, block: int = BLOCK) -> DataFrame:
+    """Links (a, b) between ``sid`` of ``full`` (from ``sketches``): the components of all pairs with that similarity."""
+    spark, begin = documents.sparkSession, mark()
+    alive = _alive(full, id_col)
+    sweep(spark, begin, alive)
+    sets = _sets(documents, alive, similarity, id_col, text_col, width)
+    lead = F.posexplode(F.slice("tokens", 1, F.col("lead").cast("int"))).alias("at", "token")
+    members = sets.select(lead, "sid", F.col("n").alias("size"), "own").select("token", "sid", "size", "own", (F.col("at") + F.col("own")).alias("place"))
+    found: list[DataFrame] = []
+    for number in (*hubs, None):
+        rows, buckets = _open(members, components(reduce(DataFrame.unionByName, found)) if found else None, number or 1)
+        if buckets.isEmpty():
+            break
+        if number is None:
+            found.append(_rest(rows, buckets, sets, similarity, block))
+        else:
+            links_now, members = _meet(rows, buckets, sets, similarity)
+            found.append(links_now)
+    none = spark.createDataFrame([], "a long, b long")
+    edges = materialise(reduce(DataFrame.unionByName, found, none), "simhash-links")
+    sweep(spark, begin, edges)
+    return edges
 
 
 def keep_one(documents: DataFrame, id_col: str = "doc_id", text_col: str = "text", width: int = 5, limit: int = LIMIT, similarity: float | None = 0.8) -> DataFrame:
     """One row of each component: the one whose id names it (of its rows that repeat this id, the smallest text).
 
     Fingerprints link within ``limit`` bits, and those of texts with the given similarity as well. Rows without
-    an id cannot be named and all stay. The columns are those of ``documents``.
+    an id cannot be named and all stay. The columns are those of ``documents``, which may have any names.
     """
+    own = documents.select(F.struct(*(documents[c] for c in documents.columns)).alias("row"))
+    rows = own.select(F.col(f"row.{id_col}").alias("id"), F.col(f"row.{text_col}").alias("text"), "row")
+    texts = rows.select("id", "text")
     if similarity is None:
-        prints = materialise(fingerprints(documents, id_col, text_col, width), "simhash")
+        prints = materialise(fingerprints(texts, "id", "text", width), "simhash")
         edges = None
     else:
-        full = materialise(sketches(documents, similarity, id_col, text_col, width), "simhash-sketches")
-        prints = full.select(id_col, "fp")
+        full = materialise(sketches(texts, similarity, "id", "text", width), "simhash-sketches")
+        prints = full.select("id", "fp")
         firsts = full.groupBy("sid").agg(F.min("fp").alias("first"))
         same = full.select("sid", "fp").distinct().join(firsts, "sid").filter("fp <> first").select(F.col("first").alias("a"), F.col("fp").alias("b"))
-        pairs = similar(documents, full, similarity, id_col, text_col, width)
-        pairs = pairs.join(firsts.select(F.col("sid").alias("a"), F.col("first").alias("x")), "a").join(firsts.select(F.col("sid").alias("b"), F.col("first").alias("y")), "b")
+        pairs = similar(texts, full, similarity, "id", "text", width)
+        hubs = pairs.groupBy("a").agg(F.count("*").alias("n")).join(firsts.select(F.col("sid").alias("a"), F.col("first").alias("x")), "a")
+        pairs = hot_join(pairs, hubs, ["a"], pairs.count()).join(firsts.select(F.col("sid").alias("b"), F.col("first").alias("y")), "b")
         edges = same.unionByName(pairs.select(F.col("x").alias("a"), F.col("y").alias("b")))
-    found = _labelled(prints, id_col, limit, edges)
-    named = F.col(id_col) == F.col("component_id")
-    ids = found.groupBy(F.col(id_col).alias("__id")).agg(F.count("*").alias("__n"), F.max(named).alias("__names")).filter("__names")
-    of_id = F.col(id_col) == F.col("__id")
-    kept = documents.join(ids.filter("__n = 1"), of_id, "left_semi")
+    found = _labelled(prints, "id", limit, edges)
+    named = found.filter(F.col("id") == F.col("component_id")).select("id", "fp", "root").distinct()
+    copies = found.filter("id is not null").groupBy("id").agg(F.count("*").alias("copies"), F.max(F.col("id") == F.col("component_id")).alias("names"))
+    ids = materialise(copies.filter("names").select("id", "copies"), "simhash-kept")
+    kept = rows.join(ids.filter("copies = 1"), "id", "left_semi").select("row").unionByName(rows.filter("id is null").select("row"))
+    again = ids.filter("copies > 1")
+    if again.isEmpty():
+        return kept.select("row.*")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for part in slices(batches):
-            fps = np.array([fingerprint(t, width) for t in as_bytes(part.column(text_col))], np.uint64)
-            yield pa.RecordBatch.from_arrays([*part.columns, pa.array(fps.view(np.int64))], names=[*part.schema.names, "__fp"])
-
-    repeated = documents.join(ids.filter("__n > 1"), of_id, "left_semi")
-    repeated = repeated.mapInArrow(run, StructType([*documents.schema.fields, StructField("__fp", LongType())]))
-    roots = found.filter(named).select(F.col(id_col).alias("__id"), F.col("fp").alias("__of"), F.col("root").alias("__root")).distinct()
-    repeated = repeated.join(roots, of_id & (F.col("__fp") == F.col("__of")))
-    repeated = repeated.withColumn("__k", F.row_number().over(Window.partitionBy("__root").orderBy(text_col))).filter("__k = 1")
-    kept = kept.unionByName(repeated.select(*documents.columns))
-    return kept.unionByName(documents.filter(F.col(id_col).isNull()))
+            fps = np.array([fingerprint(t, width) for t in as_bytes(part.column("text"))], np.uint64)
+            yield pa.RecordBatch.from_arrays([*part.columns, pa.array(fps.view(np.int64))], names=[*part.schema.names, "fp"])
+
+    repeated = rows.join(again, "id", "left_semi")
+    repeated = repeated.mapInArrow(run, StructType([*repeated.schema.fields, StructField("fp", LongType())])).join(named, ["id", "fp"])
+    repeated = repeated.withColumn("k", F.row_number().over(Window.partitionBy("root").orderBy("text"))).filter("k = 1")
+    return kept.unionByName(repeated.select("row")).select("row.*")
 
 
 def op7_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -2,12 +2,14 @@
 
 from __future__ import annotations
 
+import gc
 import tempfile
 import uuid
 from collections.abc import Iterator
 
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
 #: A-Z to a-z, all other bytes unchanged.
 LOWER = bytes(b + 32 if 0x41 <= b <= 0x5A else b for b in range(256))
@@ -16,11 +18,22 @@ LOWER = bytes(b + 32 if 0x41 <= b <= 0x5A else b for b in range(256))
 BATCH_ROWS = 1000
 _BATCH = "spark.sql.execution.arrow.maxRecordsPerBatch"
 
+#: A key is hot if it holds more than one in so many of a table's rows; fewer than so many keys can be.
+HOT_KEYS = 1000
+
+_WRITTEN: list[str] = []
+
 
 def shared_dir(spark: SparkSession) -> str:
-    """The folder named by ``spark.checkpoint.dir``; a temporary one of this process only where it is unset."""
+    """The folder named by ``spark.checkpoint.dir``.
+
+    Where it is unset, a local session gets a temporary folder of this process; on a cluster that would be a
+    folder which other machines cannot read, so there it is an error.
+    """
     found = spark.conf.get("spark.checkpoint.dir", None)
     if not found:
+        if not spark.sparkContext.master.startswith("local[") and spark.sparkContext.master != "local":
+            raise ValueError("spark.checkpoint.dir must name a folder that the driver and all executors share")
         found = "file://" + tempfile.mkdtemp(prefix="lexloom-")
         spark.conf.set("spark.checkpoint.dir", found)
     return found.rstrip("/")
@@ -40,16 +53,43 @@ def materialise(df: DataFrame, tag: str, codec: str = "zstd") -> DataFrame:
         df.write.option("compression", codec).parquet(path)
     finally:
         spark.conf.unset(_BATCH) if before is None else spark.conf.set(_BATCH, before)
+    _WRITTEN.append(path)
     out = spark.read.schema(df.schema).parquet(path)
     out.stored_at = path
     return out
 
 
-def discard(df: DataFrame) -> None:
-    """Delete what ``materialise`` wrote, once no later step reads it (tables of earlier rounds)."""
-    spark = df.sparkSession
-    at = spark._jvm.org.apache.hadoop.fs.Path(df.stored_at)
-    at.getFileSystem(spark._jsc.hadoopConfiguration()).delete(at, True)
+def mark() -> int:
+    """A place in the list of what this process has written, for ``sweep``."""
+    return len(_WRITTEN)
+
+
+def sweep(spark: SparkSession, since: int = 0, *keep: DataFrame) -> None:
+    """Delete what ``materialise`` wrote from ``since`` on, but for the tables ``keep``.
+
+    For a step whose result is stored: nothing reads what led to it any more. A lazy result still reads its
+    tables; its caller sweeps when it is done with it.
+    """
+    kept = [k.stored_at for k in keep]
+    gc.collect()
+    spark._jvm.System.gc()  # Spark deletes shuffle files once the driver's garbage collector has met their plans
+    for path in [p for p in _WRITTEN[since:] if p not in kept]:
+        at = spark._jvm.org.apache.hadoop.fs.Path(path)
+        at.getFileSystem(spark._jsc.hadoopConfiguration()).delete(at, True)
+        _WRITTEN.remove(path)
+
+
+def hot_join(left: DataFrame, right: DataFrame, on: list[str], total: int) -> DataFrame:
+    """``left`` joined with ``right``, which has one row a key and in ``n`` how many rows of ``left`` hold this key.
+
+    Keys that hold more than one in ``HOT_KEYS`` of the ``total`` rows of ``left`` meet by broadcast, all others by a shuffle
+    in which no key is larger than that. There are fewer than ``HOT_KEYS`` such keys at any size, which is what bounds
+    the broadcast. ``right`` must have narrow rows; ``left`` is read twice and is best a stored table.
+    """
+    hot = F.col("n") * HOT_KEYS > total
+    heavy = F.broadcast(right.filter(hot))
+    rest = left.join(heavy.select(*on), on, "left_anti").join(right.filter(~hot), on)
+    return left.join(heavy, on).unionByName(rest)
 
 
 def slices(batches: Iterator[pa.RecordBatch], rows: int = 256) -> Iterator[pa.RecordBatch]:

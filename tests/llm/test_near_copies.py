@@ -2,10 +2,12 @@
 
 import random
 
+import pytest
+
 from lexloom.llm import simhash
 
 
-def components(rows, width=5, similarity=0.8):
+def components(rows, width=5, similarity=0.8, limit=2):
     """The smallest id of each id's component: exact Jaccard similarity, or fingerprints within two bits."""
     sets, prints = {}, {}
     for i, text in rows:
@@ -23,7 +25,7 @@ def components(rows, width=5, similarity=0.8):
     for k, a in enumerate(ids):
         for b in ids[k + 1 :]:
             both = len(sets[a] & sets[b])
-            if 5 * both >= 4 * (len(sets[a]) + len(sets[b]) - both) or (prints[a] ^ prints[b]).bit_count() <= 2:
+            if 5 * both >= 4 * (len(sets[a]) + len(sets[b]) - both) or (prints[a] ^ prints[b]).bit_count() <= limit:
                 root[max(top(a), top(b))] = min(top(a), top(b))
     return {i: top(i) for i in ids}
 
@@ -91,3 +93,43 @@ def test_rows_that_share_an_id_with_different_texts(spark):
     df = spark.createDataFrame(rows, "doc_id long, text string")
     got = sorted((r.doc_id, r.text) for r in simhash.keep_one(df).collect())
     assert got == sorted([(3, a), (7, b), (8, c), (8, d)])
+
+
+@pytest.mark.parametrize("hubs, block", [((), 16), ((1,), 4), ((2, 3), 256), (simhash.HUBS, simhash.BLOCK)])
+def test_blocks_and_hubs_find_the_same_components(spark, hubs, block):
+    rng = random.Random(10)
+    common = [f"c{k}" for k in range(150)]
+    texts = [" ".join(common + [f"w{rng.random()}" for _ in range(30)]) for _ in range(40)]
+    base = [f"b{k}" for k in range(300)]
+    texts += [" ".join(changed(rng, base, rng.randrange(2, 6))) for _ in range(60)]  # 0.7 to 0.9 to each other
+    rows = list(enumerate(texts))
+    df = spark.createDataFrame(rows, "doc_id long, text string").repartition(3)
+    full = simhash.sketches(df, 0.8).cache()
+    sid = {r.doc_id: r.sid for r in full.collect()}
+    root = {s: s for s in sid.values()}
+
+    def top(s):
+        while root[s] != s:
+            s = root[s]
+        return s
+
+    for r in simhash.similar(df, full, 0.8, "doc_id", "text", 5, hubs, block).collect():
+        root[top(r.a)] = top(r.b)
+    want = components(rows, limit=-1)
+    groups = {frozenset(i for i in sid if top(sid[i]) == top(sid[k])) for k in sid}
+    assert groups == {frozenset(i for i in want if want[i] == r) for r in set(want.values())}
+    assert 1 < len(groups) < 100
+
+
+@pytest.mark.parametrize("crowd", [4, 64])
+def test_links_of_crowded_buckets_are_all_pairs(spark, crowd):
+    rng = random.Random(11)
+    prints = {rng.getrandbits(64) for _ in range(50)}
+    for base in list(prints)[:3]:
+        for _ in range(150):
+            prints.add(base ^ sum(1 << b for b in rng.sample(range(64), rng.randrange(4))))
+    signed = [p - (1 << 64) if p >> 63 else p for p in prints]
+    want = {(a, b) for a in signed for b in signed if a < b and ((a ^ b) & ((1 << 64) - 1)).bit_count() <= 2}
+    df = spark.createDataFrame([(p,) for p in signed], "fp long").repartition(3)
+    got = [(r.a, r.b) for r in simhash.links(df, crowd=crowd).collect()]
+    assert len(got) == len(set(got)) and set(got) == want and len(want) > 1000
