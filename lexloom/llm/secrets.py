@@ -41,16 +41,20 @@ HEX = re.compile(r"[0-9a-f]{24,}")
 KINDS = ("assign", "access", "hex", "linked")
 _KEYS = re.compile(r"passw(?:or)?d|secret|token|api_?key", re.I | re.A)
 
-#: Weak parts, each with its role; group 1 is the span.
+#: The scheme of a URL, from the beginning of its run of characters; runs are possessive, so each is read once.
+_SCHEME = r"(?<![a-z0-9+.-])[a-z0-9+.-]++://"
+_NAMED = r"""(?<![A-Za-z0-9])(?:%s)["']?\x20*[:=]\x20*["']?(%s)"""
+
+#: Weak parts, each with its role; group 1 is the span. Nothing limits the length of a part.
 WEAK = (
-    ("id", re.compile(r"""(?<![A-Za-z0-9])(?:user(?:name)?|login|account(?:_id)?|client_?id|access_?key_?id)["']?\x20*[:=]\x20*["']?([A-Za-z0-9@._+-]{3,128})""", re.I | re.A)),
-    ("secret", re.compile(r"""(?<![A-Za-z0-9])(?:pass(?:wor)?d?|pwd|secret|token|api_?key|private_?key|client_?secret)["']?\x20*[:=]\x20*["']?([!-~]{4,128})""", re.I | re.A)),
+    ("id", re.compile(_NAMED % ("user(?:name)?|login|account(?:_id)?|client_?id|access_?key_?id", "[A-Za-z0-9@._+-]{3,}+"), re.I | re.A)),
+    ("secret", re.compile(_NAMED % ("pass(?:wor)?d?|pwd|secret|token|api_?key|private_?key|client_?secret", "[!-~]{4,}+"), re.I | re.A)),
     ("secret", re.compile(r"(?<![A-Za-z0-9/+])([A-Za-z0-9/+]{40})(?![A-Za-z0-9/+=])")),
-    ("secret", re.compile(r"[a-z][a-z0-9+.-]{1,20}://[^\s/:@]{1,128}:([^\s/:@]{3,128})@", re.A)),
-    ("id", re.compile(r"[a-z][a-z0-9+.-]{1,20}://([^\s/:@]{1,128}):[^\s/:@]{3,128}@", re.A)),
-    ("endpoint", re.compile(r"(?<![A-Za-z0-9])(?:(?:jdbc:[a-z]{2,20}|postgres(?:ql)?|mysql|mongodb(?:\+srv)?|redis|amqps?|ftps?|sftp|ldaps?|s3)://)(?:[^\s/@]{1,256}@)?([^\s\"'<>@]{3,256})", re.A)),
-    ("endpoint", re.compile(r"[a-z][a-z0-9+.-]{1,20}://[^\s/:@]{1,128}:[^\s/:@]{3,128}@([^\s\"'<>/]{3,256})", re.A)),
-    ("endpoint", re.compile(r"""(?<![A-Za-z0-9])(?:host(?:name)?|server|endpoint|base_?url|region)["']?\x20*[:=]\x20*["']?([A-Za-z0-9._:/-]{3,256})""", re.I | re.A)),
+    ("secret", re.compile(_SCHEME + r"[^\s/:@]++:([^\s/:@]{3,}+)@", re.A)),
+    ("id", re.compile(_SCHEME + r"([^\s/:@]++):[^\s/:@]{3,}+@", re.A)),
+    ("endpoint", re.compile(r"(?<![A-Za-z0-9])(?:(?:jdbc:[a-z]++|postgres(?:ql)?|mysql|mongodb(?:\+srv)?|redis|amqps?|ftps?|sftp|ldaps?|s3)://)(?:[^\s/@]++@)?([^\s\"'<>@]{3,}+)", re.A)),
+    ("endpoint", re.compile(_SCHEME + r"[^\s/:@]++:[^\s/:@]{3,}+@([^\s\"'<>/]{3,}+)", re.A)),
+    ("endpoint", re.compile(_NAMED % ("host(?:name)?|server|endpoint|base_?url|region", "[A-Za-z0-9._:/-]{3,}+"), re.I | re.A)),
 )
 #: A text without any of these strings (lower case) has no id, and nothing is linked without one.
 _HINTS = ("://", "akia", "user", "login", "account", "client", "access", "host", "server", "endpoint", "url", "region")
