@@ -6,23 +6,26 @@ character; pieces hold that mark only at their beginning, so the lattice of a te
 lattices of its words. The marginal probability of a word is the sum over *all* its segmentations, by the
 forward recursion alpha[j] = logsumexp over pieces w[i:j] of alpha[i] + log p(piece), in log space; bytes are
 pieces too (fallback), so every word has a spelling. A piece has a probability as first and as later piece,
-and one of ending the word, so the probabilities of all words sum to one.
+and one of ending the word, so the probabilities of all words sum to one. (The byte strings that are no text
+keep the little mass that bytes give them.)
 
-The vocabulary and its ids come from a file and are never changed. The probabilities of its pieces are
-relative frequencies in the vocabulary's own segmentation of the distinct training words, with a half added:
-they describe words that are new. A word met in training is one more arc of its lattice, from its beginning to
-its end: its count less an absolute discount D = n1 / (n1 + 2 n2) goes to this arc, and what all discounts
-take away goes to the spelled segmentations.
+The vocabulary and its ids come from a file and are never changed. Its own scores are where the piece probabilities
+start: log probabilities as they are, merge ranks as 1 / (1 + rank). ``ROUNDS`` rounds of expectation maximisation
+follow: forward and backward recursions over the lattices of all training words, weighted by their counts, give the
+expected use of every piece, and these are the next probabilities, with ``FLOOR`` of a use added.
+With ``word_arcs`` a word met in training is one more arc of its lattice: its count less an absolute
+discount D = n1 / (n1 + 2 n2) goes to this arc, and what all discounts take away goes to the spelled segmentations.
 
 Plan: each task turns batches of documents into a *block*: its distinct words with counts in training texts,
 and each document's bag of words as indices into them. Blocks are written once. The words of all blocks
 are summed (this is what is gathered from the corpus; it grows with it), scored once for each distinct
 word, and joined back to (block, word); a block and its words then give all sums of its documents. Only
-piece counts (bounded by the vocabulary) and totals reach the driver. A word costs a block one row, however
-often it occurs; a block is bounded by ``block_bytes`` of text or one document.
+expected uses of pieces (bounded by the vocabulary) and totals reach the driver. A word costs a block one row, however
+often it occurs; a block is bounded by ``block_bytes`` of text or one document. Lattices of many words of one length
+are computed together, as arrays.
 
-Cases: null text is empty (one token, the end); null ids are training rows; repeated rows are rows; with an
-empty training set all probabilities are uniform; words of any length are scored whole.
+Cases: null text is empty (one token, the end); null ids are training rows, ids may be of any type; repeated rows
+are rows; with an empty training set the vocabulary's scores decide; words of any length are scored whole.
 """
 
 from __future__ import annotations
@@ -42,10 +45,16 @@ from .store import LOWER, as_bytes, materialise, slices
 from .toxicity import held_out
 
 VOCABULARY = "/opt/tokenizers/piece_bpe_32k.model"
-BLOCK_BYTES = 32 << 20
+BLOCK_BYTES = 16 << 20
 MARK = "▁"
+ROUNDS = 3
+FLOOR = 0.01
+#: Words whose lattices are computed together.
+WORDS_AT_ONCE = 50_000
+#: Cells (word, place) of one array.
+CELLS = 1 << 18
 
-_BLOCK = "block long, words array<string>, train array<long>, ids array<long>, held array<boolean>, ends array<long>, word_at binary, word_n binary"
+_BLOCK = "block long, words array<string>, train array<long>, ids array<{}>, held array<boolean>, ends array<long>, word_at binary, word_n binary"
 
 
 def _blocks(batches: Iterator[pa.RecordBatch], block_bytes: int) -> Iterator[pa.RecordBatch]:
@@ -55,13 +64,14 @@ def _blocks(batches: Iterator[pa.RecordBatch], block_bytes: int) -> Iterator[pa.
     ids: list = []
     held: list[bool] = []
     ends, at, n, size = [0], [], [], 0
+    kind = pa.int64()
 
     def out() -> pa.RecordBatch:
         values = [
             pa.array([number], pa.int64()),
             pa.array([list(index)], pa.list_(pa.binary())).cast(pa.list_(pa.string())),
             pa.array([train], pa.list_(pa.int64())),
-            pa.array([ids], pa.list_(pa.int64())),
+            pa.array([ids], pa.list_(kind)),
             pa.array([held], pa.list_(pa.bool_())),
             pa.array([ends], pa.list_(pa.int64())),
             pa.array([np.concatenate([np.empty(0, np.int32), *at]).tobytes()], pa.binary()),
@@ -70,6 +80,7 @@ def _blocks(batches: Iterator[pa.RecordBatch], block_bytes: int) -> Iterator[pa.
         return pa.RecordBatch.from_arrays(values, names=["block", "words", "train", "ids", "held", "ends", "word_at", "word_n"])
 
     for part in slices(batches):
+        kind = part.schema.field("id").type
         for doc, out_of, text in zip(part.column("id").to_pylist(), part.column("held").to_pylist(), as_bytes(part.column("text"))):
             bag = Counter(text.translate(LOWER).split())
             where = np.empty(len(bag), np.int32)
@@ -95,129 +106,248 @@ def _blocks(batches: Iterator[pa.RecordBatch], block_bytes: int) -> Iterator[pa.
         yield out()
 
 
-def read_vocabulary(path: str) -> list[str]:
-    """The pieces of a SentencePiece model, by id; the path is a parameter, nothing of it is kept here."""
+def read_vocabulary(path: str) -> tuple[list[str], list[float]]:
+    """The pieces of a SentencePiece model and their scores, by id; the path is a parameter, nothing of it is kept here."""
     import sentencepiece
 
     model = sentencepiece.SentencePieceProcessor(model_file=path)
-    return [model.id_to_piece(i) for i in range(model.get_piece_size())]
+    ids = range(model.get_piece_size())
+    return [model.id_to_piece(i) for i in ids], [model.get_score(i) for i in ids]
 
 
-def _piece_counts(path: str):
-    """(piece, first, later, last): how often a piece begins, continues and ends a distinct word."""
+_BASE = np.uint64(0x9E3779B97F4A7C15 | 1)
 
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        import sentencepiece
 
-        model = sentencepiece.SentencePieceProcessor(model_file=path)
-        total = np.zeros((3, model.get_piece_size()), np.int64)
-        for part in slices(batches, 4096):
-            for ids in model.encode(part.column("word").to_pylist(), num_threads=1):
-                if ids:
-                    total[0, ids[0]] += 1
-                    total[2, ids[-1]] += 1
-                    for i in ids[1:]:
-                        total[1, i] += 1
-        found = np.nonzero(total.any(axis=0))[0]
-        yield pa.RecordBatch.from_arrays([pa.array(found, pa.int64()), *(pa.array(row[found]) for row in total)], names=["piece", "first", "later", "last"])
+def _mixed(points: np.ndarray) -> np.ndarray:
+    """A 64-bit hash of each code point."""
+    with np.errstate(over="ignore"):
+        z = (points.astype(np.uint64) + np.uint64(1)) * np.uint64(0xBF58476D1CE4E5B9)
+        z = (z ^ (z >> np.uint64(29))) * np.uint64(0x94D049BB133111EB)
+        return z ^ (z >> np.uint64(32))
 
-    return run
 
+def _prefixes(points: np.ndarray) -> np.ndarray:
+    """[row, n]: rolling hashes of the first n code points of each row."""
+    out = np.zeros((points.shape[0], points.shape[1] + 1), np.uint64)
+    mixed = _mixed(points)
+    with np.errstate(over="ignore"):
+        for j in range(points.shape[1]):
+            out[:, j + 1] = out[:, j] * _BASE + mixed[:, j]
+    return out
 
-class Lattice:
-    """Natural log marginal probabilities of words.
 
-    ``first`` and ``later`` give for a piece two logs: of the piece and of going on after it, and of the piece and
-    of the word's end after it. ``byte`` has the same for one byte.
+class Pieces:
+    """The usable pieces of a vocabulary, and the places in words that they match.
+
+    Row k of the parameters belongs to piece k; the last row is one byte (any of 256).
     """
 
-    def __init__(self, first: dict[str, tuple[float, float]], later: dict[str, tuple[float, float]], byte: tuple[float, float]):
-        self.first, self.later, self.byte = first, later, byte
-        self.longest = max(map(len, [*first, *later]), default=1)
-        self._last: tuple[str, list[float]] = (MARK, [0.0])
-
-    def _terms(self, text: str, j: int, alpha: list[float], end: int) -> float:
-        """logsumexp over the pieces that end at ``j``; ``end`` is 1 for the last place of the word."""
-        low = max(0, j - self.longest)
-        terms = [alpha[j - 1] + (len(text[j - 1].encode()) - 1) * self.byte[0] + self.byte[end]] if j > 1 else [3 * self.byte[0]]
-        if low == 0:
-            p = self.first.get(text[:j])
-            if p is not None:
-                terms.append(p[end])
-            low = 1
-        get = self.later.get
-        for i in range(low, j):
-            p = get(text[i:j])
-            if p is not None:
-                terms.append(alpha[i] + p[end])
-        if len(terms) == 1:
-            return terms[0]
-        top = max(terms)
-        return top + math.log(sum([math.exp(t - top) for t in terms]))
-
-    def log(self, word: str) -> float:
-        """Words in sorted order share the part of the recursion that belongs to their common beginning."""
-        text = MARK + word
-        old, alpha = self._last
-        keep = 0
-        for a, b in zip(old, text):
-            if a != b:
-                break
-            keep += 1
-        alpha = alpha[: min(keep + 1, len(text))]
-        for j in range(len(alpha), len(text)):
-            alpha.append(self._terms(text, j, alpha, 0))
-        self._last = text, alpha
-        return self._terms(text, len(text), alpha, 1)
-
-
-def _lattice(pieces: list[str], counts: dict[int, tuple[int, int, int]]) -> tuple[dict, dict, tuple[float, float]]:
-    """The tables of ``Lattice`` from the counts of the pieces; 256 bytes share what half a count each gives them."""
-    special = {i for i, p in enumerate(pieces) if not p or p in ("<unk>", "<s>", "</s>") or (len(p) == 6 and p.startswith("<0x"))}
-    begins = [i for i, p in enumerate(pieces) if i not in special and p.startswith(MARK) and MARK not in p[1:]]
-    goes_on = [i for i, p in enumerate(pieces) if i not in special and MARK not in p]
-    none = (0, 0, 0)
-    n_first, n_later = (sum(counts.get(i, none)[k] for i in own) + 0.5 * len(own) + 128 for k, own in ((0, begins), (1, goes_on)))
-    ends = (sum(c[2] for c in counts.values()) + 1) / (sum(c[0] + c[1] for c in counts.values()) + 2)
-
-    def both(i: int, k: int, total: float) -> tuple[float, float]:
-        c = counts.get(i, none)
-        p, end = (c[k] + 0.5) / total, (c[2] + 2 * ends) / (c[0] + c[1] + 2)
-        return math.log(p) + math.log1p(-end), math.log(p) + math.log(end)
-
-    byte = 0.5 / n_later
-    tables = {pieces[i]: both(i, 0, n_first) for i in begins}, {pieces[i]: both(i, 1, n_later) for i in goes_on}
-    return *tables, (math.log(byte) + math.log1p(-ends), math.log(byte) + math.log(ends))
-
-
-def likelihood(documents: DataFrame, held_col, vocabulary: str = VOCABULARY, id_col: str = "doc_id", text_col: str = "text", block_bytes: int = BLOCK_BYTES) -> DataFrame:
+    def __init__(self, pieces: list[str], scores: list[float]):
+        usable = {}
+        for piece, score in zip(pieces, scores):
+            special = not piece or piece in ("<unk>", "<s>", "</s>") or (len(piece) == 6 and piece.startswith("<0x"))
+            if not special and MARK not in piece[1:]:
+                usable[piece] = max(score, usable.get(piece, score))
+        usable.setdefault(MARK, min(usable.values(), default=-1.0))
+        self.names = list(usable)
+        self.first = np.array([p.startswith(MARK) for p in self.names] + [False])
+        self.mark = self.names.index(MARK)
+        ranks = any(s < -100 for s in usable.values())  # merge ranks, not log probabilities
+        self.start = np.array([1 / (1 - s) if ranks else math.exp(s) for s in usable.values()])
+        self.longest = max(map(len, self.names))
+        hashes = np.array([_prefixes(np.array([[ord(c) for c in p]], np.uint32))[0, -1] for p in self.names], np.uint64)
+        self.order = np.argsort(hashes)
+        self.hashes = hashes[self.order]
+        self.sizes = np.array([len(p) for p in self.names])
+        with np.errstate(over="ignore"):
+            self.powers = np.cumprod(np.concatenate([[np.uint64(1)], np.full(self.longest, _BASE)]), dtype=np.uint64)
+
+    def matches(self, points: np.ndarray) -> list[np.ndarray]:
+        """For each length d from 1: [row, start] the piece of d code points there, or -1."""
+        prefixes, found = _prefixes(points), []
+        for d in range(1, min(self.longest, points.shape[1]) + 1):
+            with np.errstate(over="ignore"):
+                own = prefixes[:, d:] - prefixes[:, :-d] * self.powers[d]
+            at = np.searchsorted(self.hashes, own)
+            at[at == len(self.hashes)] = 0
+            piece = np.where(self.hashes[at] == own, self.order[at], -1)
+            wrong = self.first[piece]  # pieces with the mark begin a word, others don't
+            wrong[:, 0] = ~wrong[:, 0]
+            piece[wrong | (self.sizes[np.minimum(piece, len(self.sizes) - 1)] != d)] = -1
+            found.append(piece)
+        return found
+
+
+def _sum_log(terms: list[np.ndarray]) -> np.ndarray:
+    if len(terms) == 1:
+        return terms[0]
+    all_of = np.stack(terms)
+    top = all_of.max(axis=0)
+    safe = np.where(np.isneginf(top), 0.0, top)
+    with np.errstate(divide="ignore"):
+        return safe + np.log(np.exp(all_of - safe).sum(axis=0))
+
+
+class Lattice:
+    """Log marginal probabilities of words: ``go[k]`` and ``end[k]`` are the logs of piece k with the word going on or ending."""
+
+    def __init__(self, pieces: Pieces, go: np.ndarray, end: np.ndarray):
+        self.pieces, self.go, self.end = pieces, go, end
+
+    def _weights(self, points: np.ndarray) -> tuple[list[np.ndarray], list[np.ndarray], np.ndarray, np.ndarray]:
+        """The pieces by length and place, the logs of these arcs, and length and log of each character as bytes."""
+        ids = self.pieces.matches(points)
+        size = 1 + (points >= 0x80).astype(np.int64) + (points >= 0x800) + (points >= 0x10000)
+        logs = []
+        for d, piece in enumerate(ids, 1):
+            log = np.where(piece >= 0, self.go[piece], -np.inf)
+            log[:, -1] = np.where(piece[:, -1] >= 0, self.end[piece[:, -1]], -np.inf)
+            logs.append(log)
+        spelled = size * self.go[-1]
+        spelled[:, -1] += self.end[-1] - self.go[-1]
+        spelled[:, 0] = -np.inf  # the mark is no text: it comes as a piece or in one
+        return ids, logs, size, spelled
+
+    @staticmethod
+    def _forward(logs: list[np.ndarray], spelled: np.ndarray) -> np.ndarray:
+        rows, places = spelled.shape
+        alpha = np.full((rows, places + 1), -np.inf)
+        alpha[:, 0] = 0.0
+        for j in range(1, places + 1):
+            terms = [alpha[:, j - d] + logs[d - 1][:, j - d] for d in range(1, min(len(logs), j) + 1)]
+            alpha[:, j] = _sum_log([*terms, alpha[:, j - 1] + spelled[:, j - 1]])
+        return alpha
+
+    def batch(self, points: np.ndarray) -> np.ndarray:
+        """Natural logs for words of one length, given as code points with the mark."""
+        _, logs, _, spelled = self._weights(points)
+        return self._forward(logs, spelled)[:, -1]
+
+    def expect(self, points: np.ndarray, counts: np.ndarray, uses: np.ndarray, lasts: np.ndarray) -> None:
+        """Add the expected uses of pieces, and of pieces as last ones, in words that occur ``counts`` times."""
+        ids, logs, size, spelled = self._weights(points)
+        alpha = self._forward(logs, spelled)
+        places = points.shape[1]
+        beta = np.full_like(alpha, -np.inf)
+        beta[:, -1] = 0.0
+        for i in range(places - 1, -1, -1):
+            terms = [logs[d - 1][:, i] + beta[:, i + d] for d in range(1, min(len(logs), places - i) + 1)]
+            beta[:, i] = _sum_log([*terms, spelled[:, i] + beta[:, i + 1]])
+        total, weight = alpha[:, -1:], counts[:, None]
+        for d, (piece, log) in enumerate(zip(ids, logs), 1):
+            here = piece >= 0
+            share = np.where(here, np.exp(alpha[:, : places + 1 - d] + log + beta[:, d:] - total) * weight, 0.0)
+            uses += np.bincount(piece[here], share[here], len(uses))
+            lasts += np.bincount(piece[:, -1][here[:, -1]], share[:, -1][here[:, -1]], len(lasts))
+        share = np.exp(alpha[:, :-1] + spelled + beta[:, 1:] - total) * weight
+        uses[-1] += (share * size).sum()
+        lasts[-1] += share[:, -1].sum()
+
+
+def probabilities(pieces: Pieces, uses: np.ndarray | None = None, lasts: np.ndarray | None = None) -> Lattice:
+    """The lattice of the vocabulary's own scores, or of the expected uses of its pieces."""
+    byte = len(pieces.names)
+    if uses is None:
+        uses, lasts = np.append(pieces.start, 0.0), np.append(pieces.start, 0.0) * 0.3
+    mass = uses + FLOOR
+    mass[byte] = uses[byte] + 256 * FLOOR
+    share = np.where(pieces.first, mass / mass[pieces.first].sum(), mass / mass[~pieces.first].sum())
+    share[byte] /= 256
+    common = (lasts.sum() + 1) / (uses.sum() + 2)
+    ends = (lasts + 2 * common) / (uses + 2)
+    ends[pieces.mark] = 0.0  # the mark alone is no word
+    with np.errstate(divide="ignore"):
+        return Lattice(pieces, np.log(share) + np.log1p(-ends), np.log(share) + np.log(ends))
+
+
+def _same_length(words: list[str]) -> Iterator[tuple[np.ndarray, np.ndarray]]:
+    """(which words, their code points with the mark) for groups of words of one length."""
+    sizes = np.array([len(w) for w in words], np.int64)
+    flat = np.frombuffer("".join(words).encode("utf-32-le"), np.uint32)
+    starts = np.concatenate([[0], np.cumsum(sizes)[:-1]])
+    order = np.argsort(sizes, kind="stable")
+    for group in np.split(order, np.nonzero(np.diff(sizes[order]))[0] + 1):
+        size = int(sizes[group[0]])
+        step = max(1, CELLS // (size + 1))
+        for lo in range(0, len(group), step):
+            which = group[lo : lo + step]
+            points = np.empty((len(which), size + 1), np.uint32)
+            points[:, 0] = ord(MARK)
+            points[:, 1:] = flat[starts[which][:, None] + np.arange(size)]
+            yield which, points
+
+
+def _many(batches: Iterator[pa.RecordBatch]) -> Iterator[tuple[list[str], np.ndarray]]:
+    """Words and counts, ``WORDS_AT_ONCE`` or the last ones."""
+    words: list[str] = []
+    counts: list[np.ndarray] = []
+    for part in batches:
+        words += part.column("word").to_pylist()
+        counts.append(part.column("c").to_numpy(zero_copy_only=False))
+        if len(words) >= WORDS_AT_ONCE:
+            yield words, np.concatenate(counts)
+            words, counts = [], []
+    if words:
+        yield words, np.concatenate(counts)
+
+
+def learn(words: DataFrame, vocabulary: str = VOCABULARY, rounds: int = ROUNDS) -> Lattice:
+    """Piece probabilities by expectation maximisation over (word, c): all words, as often as they occur."""
+    pieces = Pieces(*read_vocabulary(vocabulary))
+    lattice = probabilities(pieces)
+    for _ in range(rounds):
+        shared = words.sparkSession.sparkContext.broadcast((pieces, lattice.go, lattice.end))
+
+        def run(batches: Iterator[pa.RecordBatch], shared=shared) -> Iterator[pa.RecordBatch]:
+            own = Lattice(*shared.value)
+            uses, lasts = np.zeros(len(own.go)), np.zeros(len(own.go))
+            for some, counts in _many(batches):
+                for which, points in _same_length(some):
+                    own.expect(points, counts[which].astype(float), uses, lasts)
+            found = np.nonzero(uses)[0]
+            yield pa.RecordBatch.from_arrays([pa.array(found, pa.int64()), pa.array(uses[found]), pa.array(lasts[found])], names=["piece", "uses", "lasts"])
+
+        sums = words.mapInArrow(run, "piece long, uses double, lasts double").groupBy("piece").agg(F.sum("uses"), F.sum("lasts"))
+        uses, lasts = np.zeros(len(lattice.go)), np.zeros(len(lattice.go))
+        for piece, use, last in sums.collect():  # one row a piece of the vocabulary
+            uses[piece], lasts[piece] = use, last
+        if not uses.any():
+            break
+        lattice = probabilities(pieces, uses, lasts)
+    return lattice
+
+
+def likelihood(documents: DataFrame, held_col, vocabulary: str = VOCABULARY, id_col: str = "doc_id", text_col: str = "text", block_bytes: int = BLOCK_BYTES, word_arcs: bool = False, rounds: int = ROUNDS) -> DataFrame:
     """(id, held_out, n_tokens, n_known, train_tokens, base_score, score) for every row."""
     spark = documents.sparkSession
-    docs = documents.select(F.col(id_col).cast("long").alias("id"), held_col.alias("held"), F.col(text_col).alias("text"))
-    blocks = materialise(docs.mapInArrow(lambda it: _blocks(it, block_bytes), _BLOCK), "lm-blocks")
+    kind = documents.schema[id_col].dataType.simpleString()
+    docs = documents.select(F.col(id_col).alias("id"), held_col.alias("held"), F.col(text_col).alias("text"))
+    blocks = materialise(docs.mapInArrow(lambda it: _blocks(it, block_bytes), _BLOCK.format(kind)), "lm-blocks")
     words = blocks.select(F.explode(F.arrays_zip("words", "train")).alias("w")).groupBy(F.col("w.words").alias("word")).agg(F.sum("w.train").alias("c"))
     words = materialise(words, "lm-words")
     known = words.filter("c > 0")
     in_words, kinds, once, twice = known.agg(F.coalesce(F.sum("c"), F.lit(0)), F.count("*"), F.count_if(F.col("c") == 1), F.count_if(F.col("c") == 2)).first()
     ends = blocks.agg(F.sum(F.aggregate("held", F.lit(0).cast("long"), lambda a, h: a + F.when(h, 0).otherwise(1)))).first()[0] or 0
     tokens = in_words + ends
-    counted = known.mapInArrow(_piece_counts(vocabulary), "piece long, first long, later long, last long").groupBy("piece").agg(*(F.sum(c) for c in ("first", "later", "last")))
-    shared = spark.sparkContext.broadcast(_lattice(read_vocabulary(vocabulary), {r[0]: tuple(r[1:]) for r in counted.collect()}))
+    lattice = learn(known.select("word", "c"), vocabulary, rounds)
+    shared = spark.sparkContext.broadcast((lattice.pieces, lattice.go, lattice.end))
     floor = tokens + 0.5 * (kinds + (ends > 0) + 1)
     discount = min(0.9, max(0.1, once / (once + 2 * twice))) if once else 0.5
-    spelled = discount * kinds / in_words if in_words else 1.0  # what the discounts leave to spelling
+    spelled = discount * kinds / in_words if in_words and word_arcs else 1.0  # what the discounts leave to spelling
     end_p = (ends + 0.5) / (tokens + 1)
 
     def weigh(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        """log10 of each word's marginal: its own arc and its spellings."""
-        lattice = Lattice(*shared.value)
-        for part in slices(batches, 4096):
-            found = sorted(zip(part.column("word").to_pylist(), part.column("c").to_pylist()))
-            c, log_p = np.array([c for _, c in found], float), np.array([lattice.log(w) for w, _ in found]) + math.log(spelled)
-            with np.errstate(divide="ignore"):
-                own = np.log(np.maximum(c - discount, 0) / max(in_words, 1))
-            score = (np.logaddexp(own, log_p) + math.log1p(-end_p)) / math.log(10)
-            yield pa.RecordBatch.from_arrays([pa.array([w for w, _ in found], pa.string()), pa.array([c for _, c in found], pa.int64()), pa.array(score)], names=["word", "c", "logp"])
+        """log10 of each word's marginal over its spellings, and its own arc where words have arcs."""
+        own = Lattice(*shared.value)
+        for some, c in _many(batches):
+            log_p = np.empty(len(some))
+            for which, points in _same_length(some):
+                log_p[which] = own.batch(points)
+            if word_arcs:
+                with np.errstate(divide="ignore"):
+                    log_p = np.logaddexp(np.log(np.maximum(c - discount, 0) / max(in_words, 1)), log_p + math.log(spelled))
+            score = (log_p + math.log1p(-end_p)) / math.log(10)
+            yield pa.RecordBatch.from_arrays([pa.array(some, pa.string()), pa.array(c, pa.int64()), pa.array(score)], names=["word", "c", "logp"])
 
     scored = words.mapInArrow(weigh, "word string, c long, logp double")
     pairs = blocks.select(F.col("block").alias("of"), F.posexplode("words").alias("at", "word")).join(scored, "word").select("of", "at", "c", "logp")
@@ -247,8 +377,11 @@ def likelihood(documents: DataFrame, held_col, vocabulary: str = VOCABULARY, id_
             }
         )
 
-    schema = T._parse_datatype_string("id long, held_out boolean, n_tokens long, n_known long, train_tokens long, base_score double, score double")
-    done = blocks.select("block", "ids", "held", "ends", "word_at", "word_n").groupBy("block").cogroup(pairs.groupBy("of")).applyInArrow(total, schema)
+    schema = T._parse_datatype_string(f"id {kind}, held_out boolean, n_tokens long, n_known long, train_tokens long, base_score double, score double")
+    # partitions follow the number of blocks, so that a task holds few of them at any size
+    tasks = max(int(spark.conf.get("spark.sql.shuffle.partitions")), -(-blocks.count() // 4))
+    left = blocks.select("block", "ids", "held", "ends", "word_at", "word_n").repartition(tasks, "block")
+    done = left.groupBy("block").cogroup(pairs.repartition(tasks, "of").groupBy("of")).applyInArrow(total, schema)
     return done.withColumnRenamed("id", id_col)
 
 

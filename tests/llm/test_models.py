@@ -1,45 +1,137 @@
 """The lattice against sums over all segmentations, and held-out results of the learned operators."""
 
+import functools
 import itertools
 import math
+from collections import Counter
 
+import numpy as np
 from pyspark.sql import functions as F
 
 from lexloom.llm import lattice_lm, toxicity
 
+from . import brute
+
+
+TOY = ["<unk>", "<s>", "</s>", "<0x41>", "\u2581", "\u2581a", "\u2581ab", "a", "b", "ba", "bab", "a\u2581"]
+
+
+def toy(byte_floor=None):
+    pieces = lattice_lm.Pieces(TOY, [-1.0 - 0.1 * k for k in range(len(TOY))])
+    uses, lasts = np.array([3.0, 5, 4, 6, 5, 2, 3, 1]), np.array([0.0, 2, 3, 4, 3, 1, 2, 0.5])
+    lattice = lattice_lm.probabilities(pieces, uses, lasts)
+    if byte_floor is not None:  # no bytes: all mass is with words over a and b
+        share = np.where(pieces.first, 0, np.exp(lattice.go) + np.exp(lattice.end))
+        share[-1] = 0
+        shift = np.where(pieces.first, 0.0, -np.log(share.sum()))
+        lattice.go, lattice.end = lattice.go + shift, lattice.end + shift
+        lattice.go[-1] = lattice.end[-1] = byte_floor
+    return pieces, lattice
+
+
+def log_of(lattice, word):
+    return float(lattice.batch(next(lattice_lm._same_length([word]))[1])[0])
+
+
+def spellings(lattice, word):
+    """(log probability, pieces) of every segmentation; a character without a piece, or beside one, is its bytes."""
+    text, index = lattice_lm.MARK + word, {p: k for k, p in enumerate(lattice.pieces.names)}
+    byte = len(index)
+    for cuts in itertools.product((0, 1), repeat=len(text) - 1):
+        edges = [0, *(i + 1 for i, c in enumerate(cuts) if c), len(text)]
+        ways = [(0.0, [])]
+        for k, (i, j) in enumerate(zip(edges, edges[1:])):
+            logs, options = lattice.end if j == len(text) else lattice.go, []
+            if (p := index.get(text[i:j])) is not None and bool(lattice.pieces.first[p]) == (k == 0):
+                options.append((logs[p], [p]))
+            if j == i + 1 and k:
+                n = len(text[i].encode())
+                options.append(((n - 1) * lattice.go[byte] + logs[byte], [byte] * n))
+            ways = [(w + o, u + v) for w, u in ways for o, v in options]
+        yield from ways
+
 
 def test_lattice_sums_all_segmentations():
-    first = {"▁": (-1.0, -2.5), "▁a": (-1.5, -1.2), "▁ab": (-2.0, -0.7)}
-    later = {"a": (-1.1, -2.0), "b": (-0.9, -1.7), "ba": (-1.3, -1.1), "bab": (-2.2, -0.8)}
-    byte = (-6.0, -7.0)
-    lattice = lattice_lm.Lattice(first, later, byte)
-
-    def brute(word):
-        text, total = "▁" + word, 0.0
-        for cuts in itertools.product((0, 1), repeat=len(text) - 1):
-            edges = [0, *(i + 1 for i, c in enumerate(cuts) if c), len(text)]
-            ways = [0.0]
-            for k, (i, j) in enumerate(zip(edges, edges[1:])):
-                end, piece = int(j == len(text)), text[i:j]
-                options = []
-                if (p := (first if k == 0 else later).get(piece)) is not None:
-                    options.append(p[end])
-                if j == i + 1:
-                    n = len(piece.encode())
-                    options.append((n - 1) * byte[0] + (byte[end] if k else byte[0]))
-                ways = [w + o for w in ways for o in options]
-            total += sum(map(math.exp, ways))
-        return math.log(total)
-
-    for word in sorted(["a", "ab", "aba", "abab", "babab", "b", "éa"]):
-        assert math.isclose(lattice.log(word), brute(word), rel_tol=1e-9), word
+    _, lattice = toy()
+    for word in ["a", "ab", "aba", "abab", "babab", "b", "\u00e9a", "a\u20acb", "\U0001f600"]:
+        assert math.isclose(log_of(lattice, word), math.log(math.fsum(math.exp(w) for w, _ in spellings(lattice, word))), rel_tol=1e-9), word
+    assert log_of(lattice, "ab\u2581") > -100  # the mark inside a word is spelled by bytes
+
+
+def test_expected_uses():
+    pieces, lattice = toy()
+    words = {"ab": 3, "abab": 2, "babab": 1, "\u00e9a": 4, "b": 5}
+    uses, lasts = np.zeros(len(lattice.go)), np.zeros(len(lattice.go))
+    for which, points in lattice_lm._same_length(list(words)):
+        lattice.expect(points, np.array(list(words.values()), float)[which], uses, lasts)
+    want_uses, want_lasts = np.zeros(len(uses)), np.zeros(len(uses))
+    for word, c in words.items():
+        ways = [(math.exp(w), u) for w, u in spellings(lattice, word) if w > -math.inf]
+        total = math.fsum(w for w, _ in ways)
+        for w, used in ways:
+            for p in used:
+                want_uses[p] += c * w / total
+            want_lasts[used[-1]] += c * w / total
+    assert np.allclose(uses, want_uses) and np.allclose(lasts, want_lasts)
+    better = lattice_lm.probabilities(pieces, uses, lasts)
+    assert sum(c * log_of(better, w) for w, c in words.items()) > sum(c * log_of(lattice, w) for w, c in words.items())
 
 
 def test_word_probabilities_sum_to_one():
-    """Over an alphabet of one piece kind, the mass of all words up to a length tends to one."""
-    tables = lattice_lm._lattice(["<unk>", "▁a", "a"], {1: (5, 0, 2), 2: (0, 9, 3)})
-    lattice = lattice_lm.Lattice(*tables)
-    assert sum(math.exp(lattice.log("a" * n)) for n in range(1, 60)) < 1.0
+    _, lattice = toy(-300.0)
+    by_size = [sum(math.exp(log_of(lattice, "".join(w))) for w in itertools.product("ab", repeat=n)) for n in range(1, 12)]
+    falls = by_size[-1] / by_size[-2]  # longer words: a geometric tail
+    assert math.isclose(sum(by_size) + by_size[-1] * falls / (1 - falls), 1.0, rel_tol=1e-3)
+    lattice.end -= 0.05
+    assert sum(math.exp(log_of(lattice, "".join(w))) for n in range(1, 12) for w in itertools.product("ab", repeat=n)) < 0.97
+
+
+def test_every_score_of_a_table(spark, sf_dir):
+    """The scores of the query against plain sums over each word's lattice, with the learned pieces."""
+    docs = spark.read.parquet(f"{sf_dir}/documents.parquet").select("doc_id", "text")
+    rows = [tuple(r) for r in docs.collect()]
+    counts, ends = Counter(), 0
+    for doc, text in rows:
+        if not brute.held(doc, 5, 1):
+            counts.update(brute.WORD.findall(brute.lower(text or "")))
+            ends += 1
+    words = spark.createDataFrame(list(counts.items()), "word string, c long")
+    lattice = lattice_lm.learn(words)
+    names = lattice.pieces.names
+    first, later = ({p: (lattice.go[k], lattice.end[k]) for k, p in enumerate(names) if p.startswith("\u2581") == kind} for kind in (True, False))
+    byte, longest = (lattice.go[-1], lattice.end[-1]), max(map(len, names))
+
+    @functools.cache
+    def word_log(word):
+        text = "\u2581" + word
+        prob = [0.0] * (len(text) + 1)  # scaled by e^scale, so that long words don't vanish
+        scale, prob[0] = 0.0, 1.0
+        for j in range(1, len(text) + 1):
+            end = int(j == len(text))
+            for i in range(max(0, j - longest), j):
+                if p := (later if i else first).get(text[i:j]):
+                    prob[j] += prob[i] * math.exp(p[end])
+            if j > 1:
+                n = len(text[j - 1].encode())
+                prob[j] += prob[j - 1] * math.exp((n - 1) * byte[0] + byte[end])
+            if 0 < prob[j] < 1e-100 and j > longest:
+                scale -= math.log(1e100)
+                prob[max(0, j - longest) : j + 1] = [x * 1e100 for x in prob[max(0, j - longest) : j + 1]]
+        return math.log(prob[-1]) + scale
+
+    total = sum(counts.values()) + ends
+    p_end = (ends + 0.5) / (total + 1)
+    got = {r.doc_id: r.score for r in lattice_lm.op3_lattice_lm(spark, sf_dir).collect()}
+    for doc, text in rows:
+        own = brute.WORD.findall(brute.lower(text or ""))
+        want = (math.fsum(map(word_log, own)) + len(own) * math.log1p(-p_end) + math.log(p_end)) / math.log(10)
+        assert math.isclose(got[doc], want, rel_tol=1e-9)
+
+
+def test_ids_of_any_type(spark):
+    df = spark.createDataFrame([("a-1", "one two"), (None, None), ("b", "two")], "doc_id string, text string")
+    got = {r.doc_id: r.n_tokens for r in lattice_lm.likelihood(df, toxicity.held_out("doc_id", 5, 1)).collect()}
+    assert got == {"a-1": 3, None: 1, "b": 2}
 
 
 def test_lattice_learns(spark, sf_dir):
