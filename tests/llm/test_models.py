@@ -3,9 +3,12 @@
 import functools
 import itertools
 import math
+import re
 from collections import Counter
 
 import numpy as np
+from hypothesis import given, settings
+from hypothesis import strategies as st
 from pyspark.sql import functions as F
 
 from lexloom.llm import lattice_lm, toxicity
@@ -152,8 +155,75 @@ def test_toxicity_held_out(spark, sf_dir):
     assert right / n > 0.93 and caught / toxic > 0.8
 
 
+def paths(machine, clause):
+    """(symbols given off, scales) of every accepting path of a transducer over a list of symbols."""
+    found = [(machine.start, [], [])]
+    for symbol in clause:
+        found = [(to, out + [x], scales + [w]) for state, out, scales in found for to, x, w in machine.arcs.get((state, symbol), ())]
+    return [(out, scales) for state, out, scales in found if state in machine.finals]
+
+
+@settings(max_examples=300, deadline=None)
+@given(st.lists(st.sampled_from(toxicity.SYMBOLS), max_size=7))
+def test_composition_is_one_machine_after_the_other(clause):
+    parts = [toxicity.negation(), toxicity.reported(), toxicity.target(), toxicity.threat()]
+    for n in range(2, 5):
+        whole = functools.reduce(toxicity.compose, parts[:n])
+        cascade = [(clause, [1.0] * len(clause))]
+        for part in parts[:n]:
+            cascade = [(out, [a * b for a, b in zip(scales, more)]) for read, scales in cascade for out, more in paths(part, read)]
+        assert sorted(paths(whole, clause)) == sorted(cascade)
+
+
+def clause_weight(grammar, words):
+    """The weight of a clause straight from the definitions, over the choices of words with two symbols."""
+    best = 0.0
+    for choice in itertools.product(*(grammar.symbols(w) for w in words)):
+        aimed = any(s == "target" for s, _ in choice)
+        total, negated, told = 0.0, 0, False
+        for symbol, weight in choice:
+            scale = (toxicity.NEGATED if negated else 1) * (toxicity.REPORTED if told else 1)
+            if symbol == "insult":
+                total += weight * scale * (toxicity.BOOST if aimed else 1)
+            elif symbol == "harm" and aimed:
+                total += weight * scale
+            negated = toxicity.SPAN if symbol == "negation" else max(0, negated - 1)
+            told = told or symbol == "report"
+        best = max(best, total)
+    return best
+
+
+@settings(max_examples=300, deadline=None)
+@given(st.lists(st.sampled_from("idiot scum kill die you he not said plain words grim".split()), max_size=8))
+def test_clauses_by_definition(words):
+    grammar = toxicity.Grammar({"grim$": 1.5, "die$": 0.7}, {"grim": 2.0})
+    best, total, share = grammar.features(" ".join(words))
+    want = clause_weight(grammar, words)
+    assert math.isclose(best, want) and math.isclose(total, math.log1p(want)) and share == float(want > 0)
+
+
+def test_every_toxicity_score_of_a_table(spark, sf_dir):
+    docs, labels = (spark.read.parquet(f"{sf_dir}/{t}.parquet") for t in ("documents", "labels"))
+    grammar = toxicity.fit(docs, labels.filter(~toxicity.held_out("doc_id", 4, 2)))
+    got = {r.doc_id: (r.score, r.predicted, r.held_out) for r in toxicity.op10_toxicity(spark, sf_dir).collect()}
+    for doc, text in docs.select("doc_id", "text").collect():
+        clauses = [re.findall(r"""[^\W\d_]+|["\u201c\u201e\u00ab]""", c) for c in re.split(r"[.!?;:\n|]", (text or "").lower())]
+        weights = [clause_weight(grammar, c) for c in clauses if c]
+        hits = [w for w in weights if w]
+        x = (max(hits, default=0.0), math.log1p(sum(hits)), len(hits) / len(weights) if hits else 0.0)
+        want = 1 / (1 + math.exp(-(grammar.weights[0] + sum(a * b for a, b in zip(grammar.weights[1:], x)))))
+        assert math.isclose(got[doc][0], want, rel_tol=1e-9) and got[doc][1:] == (int(want >= 0.3), brute.held(doc, 4, 2))
+
+
+def test_harm_is_learned_from_clauses_with_a_target(spark):
+    rows = [(k, f"Words about w{k % 7}. You will grok soon." if k % 2 else f"Words w{k % 7}. The grok is here. You like it.", k % 2) for k in range(400)]
+    df = spark.createDataFrame(rows, "doc_id long, text string, toxic int")
+    grammar = toxicity.fit(df, df)
+    assert any("grok".startswith(s.rstrip("$")) for s in grammar.harms) and not any("grok".startswith(s.rstrip("$")) for s in grammar.stems)
+
+
 def test_grammar_composes():
-    g = toxicity.Grammar({}, (-4.0, 1.0, 1.0, 1.0))
+    g = toxicity.Grammar({}, {}, (-4.0, 1.0, 1.0, 1.0))
     plain = g.features("You are an idiot.")
     assert plain[0] > g.features("The idiot.")[0] > g.features("Not an idiot.")[0] > 0
     assert g.features("She said idiot.")[0] < g.features("She is an idiot.")[0]
