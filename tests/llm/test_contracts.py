@@ -62,10 +62,17 @@ def test_line_dedup(docs, local):
     assert rows_of(line_dedup.dedup_lines(docs), "doc_id", "n_lines", "n_dropped", "kept_sha256") == want
 
 
-def test_line_dedup_with_a_full_filter(docs, local):
-    """A filter that says yes to everything sends every line to the exact check; the result is the same."""
-    small = line_dedup.dedup_lines(docs, bits=8 * line_dedup.PARTS)
-    assert rows_of(small, "doc_id", "n_dropped", "kept_sha256") == rows_of(line_dedup.dedup_lines(docs), "doc_id", "n_dropped", "kept_sha256")
+@pytest.mark.parametrize("how", [{"bits_per_key": 0.01}, {"broadcast_bytes": 0}, {"broadcast_bytes": 0, "bits_per_key": 0.01}, {"parts": 1}, {"parts": 4096}])
+def test_line_dedup_by_other_ways(docs, local, how):
+    """A filter that says yes to everything, segments that stay where they are, few and many segments: one result."""
+    other = line_dedup.dedup_lines(docs, **how)
+    assert rows_of(other, "doc_id", "n_dropped", "kept_sha256") == rows_of(line_dedup.dedup_lines(docs), "doc_id", "n_dropped", "kept_sha256")
+
+
+def test_line_dedup_of_string_ids(spark):
+    rows = [("b", "a long enough line"), ("a", "a long enough line\nx"), (None, "A long enough line "), ("9223372036854775807", "none")]
+    got = {r.doc_id: r.n_dropped for r in line_dedup.dedup_lines(spark.createDataFrame(rows, "doc_id string, text string")).collect()}
+    assert got == {"b": 1, "a": 0, None: 1, "9223372036854775807": 0}
 
 
 ITEMS = [(1, "c d e"), (2, "b c d e f g h i j a"), (3, None), (4, ""), (None, "x x x"), (5, "w100 w101 w102 w103 w104 w105 w106 w107 w108 w109 w110 W111"), (5, "c d e"), (6, "one")]
