@@ -7,15 +7,18 @@ state and the matched length after each word give the longest item passage that
 * A *window* is ``window`` consecutive words of an item, or the whole item where that is shorter.
 * A document word is *hit* if it lies inside an occurrence of a window.
 * Maximal runs of hit words are spans. ``remove`` cuts every span of at least ``min_span`` words, and a
-  document of which more than ``max_coverage`` of the words is hit goes as a whole.
+  document of which more than ``max_coverage`` of the words is hit goes as a whole. ``report`` also tells the
+  longest match of each document, be it shorter than a window or not.
 
 Cases: null text has no words; null or word-less items match nothing; repeated items count once by id; an
 item without an id still hits words but is not listed; repeated rows are handled row by row; empty tables
 give empty results (documents unchanged, if only the benchmark is empty).
 
-Scale: documents are only mapped (no shuffle). Items are read through ``toLocalIterator`` into automata of
-at most ``max_words`` words each, so what one broadcast carries is bounded; a worker opens one automaton at
-a time. Further automata cost further passes over the batch in memory, not over the input.
+Scale: documents are only mapped (no shuffle). Items are dealt by their hash to automata of about ``max_words`` words,
+which tasks build and store; so neither the driver nor a worker holds the benchmark. ``GROUP`` automata at a time
+are broadcast and take one pass over the documents, in which a worker has one of them open and reads
+``MANY_BYTES`` of texts before the next; with more automata than that, what a pass has found is stored and the next pass adds
+to it.
 """
 
 from __future__ import annotations
@@ -30,14 +33,15 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .store import slices
+from .store import mark, materialise, slices, sweep
 
 WINDOW = 10
 MIN_SPAN = 1
 MAX_COVERAGE = 0.5
 MAX_WORDS = 250_000
-#: Rows for which a worker opens each automaton, where there are several.
-MANY_ROWS = 8192
+#: Automata of one pass, and the bytes of text for which a worker opens each, where there are several.
+GROUP = 4
+MANY_BYTES = 32 << 20
 
 #: Everything but [0-9a-z] after lower-casing and bytes of non-ASCII characters separates words.
 _NORMAL = bytes(
@@ -130,13 +134,13 @@ class Automaton:
             if more := (*self.short.get(self.link[s], ()), *here):
                 self.short[s] = more
 
-    def scan(self, words: list[bytes]) -> tuple[list[tuple[int, int]], set[str]]:
-        """Hit spans (start, end) in order, disjoint and not touching, and the names of the items found."""
+    def scan(self, words: list[bytes]) -> tuple[list[tuple[int, int]], set[str], int]:
+        """Hit spans (start, end) in order, disjoint and not touching, the names of the items found, the longest match."""
         moves, link, length, full, short, w = self.next, self.link, self.length, self.full, self.short, self.window
         spans: list[tuple[int, int]] = []
         states: set[int] = set()
         names: set[str] = set()
-        state = matched = 0
+        state = matched = longest = 0
         root = moves[0]
         for i, word in enumerate(words, 1):
             to = moves[state].get(word)
@@ -152,6 +156,8 @@ class Automaton:
                 matched = length[state]
             state = to
             matched += 1
+            if matched > longest:
+                longest = matched
             start = i
             if matched >= w:
                 states.add(full[state])
@@ -167,31 +173,30 @@ class Automaton:
                 spans.append((start, i))
         for s in states:
             names.update(self.items[s])
-        return spans, names
+        return spans, names, longest
 
 
-def build(items: Iterable[tuple[str | None, bytes]], window: int = WINDOW, max_words: int = MAX_WORDS) -> Iterator[Automaton]:
-    """Automata over the items, each of at most ``max_words`` words (or of one longer item)."""
-    held: list[tuple[str | None, list[bytes]]] = []
-    size = 0
-    for name, text in items:
-        words = words_of(text)
-        if held and size + len(words) > max_words:
-            yield Automaton(held, window)
-            held, size = [], 0
-        if words:
-            held.append((name, words))
-            size += len(words)
-    if held:
-        yield Automaton(held, window)
+def automata(benchmark: DataFrame, window: int = WINDOW, max_words: int = MAX_WORDS, id_col: str = "item_id", text_col: str = "text") -> list[DataFrame]:
+    """Stored automata, ``GROUP`` to a table (number, packed); none for a benchmark without words."""
+    items = benchmark.select(F.col(id_col).cast("string").alias("name"), F.col(text_col).cast("binary").alias("text"))
+
+    def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for part in slices(batches):
+            yield pa.RecordBatch.from_arrays([pa.array([len(words_of(t or b"")) for t in part.column("text").to_pylist()], pa.int64())], names=["words"])
 
+    total = items.mapInArrow(count, "words long").agg(F.sum("words")).first()[0] or 0
+    if not total:
+        return []
+    parts = -(-total // max_words)
 
-def automata(benchmark: DataFrame, window: int = WINDOW, max_words: int = MAX_WORDS, id_col: str = "item_id", text_col: str = "text") -> list:
-    """Broadcast automata of the items, in the order in which the table gives them."""
-    sc = benchmark.sparkSession.sparkContext
-    rows = benchmark.select(F.col(id_col).cast("string"), F.col(text_col).cast("binary")).toLocalIterator()
-    items = ((name, bytes(text or b"")) for name, text in rows)
-    return [(uuid.uuid4().hex, sc.broadcast(zlib.compress(pickle.dumps(a), 1))) for a in build(items, window, max_words)]
+    def build(key: tuple, group: pa.Table) -> pa.Table:
+        named = sorted(((name, text or b"") for name, text in zip(group.column("name").to_pylist(), group.column("text").to_pylist())), key=lambda x: (x[0] is None, x[0] or "", x[1]))
+        packed = zlib.compress(pickle.dumps(Automaton([(name, words_of(text)) for name, text in named], window)), 1)
+        return pa.table({"number": pa.array([key[0].as_py()], pa.int64()), "packed": pa.array([packed], pa.binary())})
+
+    dealt = items.withColumn("number", F.pmod(F.xxhash64("name", "text"), F.lit(parts)))
+    stored = materialise(dealt.groupBy("number").applyInArrow(build, "number long, packed binary"), "automata")
+    return [stored.filter(F.col("number").between(lo, lo + GROUP - 1)) for lo in range(0, parts, GROUP)]
 
 
 def _merged(parts: list[list[tuple[int, int]]]) -> list[tuple[int, int]]:
@@ -206,32 +211,75 @@ def _merged(parts: list[list[tuple[int, int]]]) -> list[tuple[int, int]]:
     return out
 
 
-def _scan_all(texts: list[bytes], shared: list) -> list[tuple[int, list[tuple[int, int]], set[str]]]:
-    spans: list[list] = [[] for _ in texts]
-    names: list[set[str]] = [set() for _ in texts]
+_LAST: dict[str, Automaton] = {}
+
+
+def _open(key: str, packed: bytes) -> Automaton:
+    """The automaton of these bytes; a worker keeps only the last one it opened."""
+    if key not in _LAST:
+        _LAST.clear()
+        _LAST[key] = pickle.loads(zlib.decompress(packed))
+    return _LAST[key]
+
+
+def _scan_all(texts: list[bytes], shared: list[tuple[str, bytes]], before: list) -> list[tuple[int, list[tuple[int, int]], set[str], int]]:
+    """(words, spans, names, longest match) of each text, added to what earlier passes have found."""
+    spans = [[found[0]] if found else [] for found in before]
+    names = [set(found[1]) if found else set() for found in before]
+    longest = [found[2] if found else 0 for found in before]
     counts = [0] * len(texts)
-    if not shared:
-        return [(len(words_of(t)), [], set()) for t in texts]
     for key, packed in shared:
         automaton = _open(key, packed)
         for k, text in enumerate(texts):
             words = words_of(text)
             counts[k] = len(words)
-            found, who = automaton.scan(words)
+            found, who, most = automaton.scan(words)
             spans[k].append(found)
             names[k] |= who
-    return [(counts[k], _merged(spans[k]), names[k]) for k in range(len(texts))]
+            longest[k] = max(longest[k], most)
+    if not shared:
+        counts = [len(words_of(t)) for t in texts]
+    return [(counts[k], _merged(spans[k]) if spans[k] else [], names[k], longest[k]) for k in range(len(texts))]
+
+
+def _large(batches: Iterator[pa.RecordBatch], text_col: str, several: bool) -> Iterator[pa.RecordBatch]:
+    """Slices of 256 rows; where several automata are to be opened, ``MANY_BYTES`` of text or the last rows."""
+    if not several:
+        yield from slices(batches, 256)
+        return
+    held, size = [], 0
+    for part in slices(batches, 256):
+        held.append(part)
+        size += part.column(text_col).nbytes
+        if size >= MANY_BYTES:
+            yield pa.concat_batches(held)
+            held, size = [], 0
+    if held:
+        yield pa.concat_batches(held)
 
 
-_LAST: dict[str, Automaton] = {}
+def _scanned(rows: DataFrame, benchmark: DataFrame, window: int, max_words: int):
+    """``rows`` (row, text, found) after all passes but the last, and the automata of the last one."""
+    spark = rows.sparkSession
+    groups = automata(benchmark, window, max_words)
+    rows = rows.withColumn("found", F.lit(None).cast("binary"))
+    opened = lambda group: [(uuid.uuid4().hex, bytes(r.packed)) for r in group.collect()] if group else []  # noqa: E731  ``GROUP`` rows
+    start = None
+    for group in groups[:-1]:
+        shared = spark.sparkContext.broadcast(opened(group))
 
+        def run(batches: Iterator[pa.RecordBatch], shared=shared) -> Iterator[pa.RecordBatch]:
+            for part in _large(batches, "text", True):
+                before = [None if f is None else pickle.loads(f) for f in part.column("found").to_pylist()]
+                found = _scan_all([t or b"" for t in part.column("text").to_pylist()], shared.value, before)
+                yield part.set_column(part.schema.get_field_index("found"), "found", pa.array([pickle.dumps(x[1:]) for x in found], pa.binary()))
 
-def _open(key: str, packed) -> Automaton:
-    """The automaton of a broadcast; a worker keeps only the last one it opened."""
-    if key not in _LAST:
-        _LAST.clear()
-        _LAST[key] = pickle.loads(zlib.decompress(packed.value))
-    return _LAST[key]
+        begin, rows = mark(), materialise(rows.mapInArrow(run, rows.schema), "decontaminate")
+        if start is not None:
+            sweep(spark, start, rows)
+        start = begin
+        shared.unpersist()
+    return rows, spark.sparkContext.broadcast(opened(groups[-1] if groups else None))
 
 
 def word_edges(text: bytes) -> list[tuple[int, int]]:
@@ -255,35 +303,36 @@ def cut(text: bytes, spans: list[tuple[int, int]]) -> bytes:
     return b"".join((*parts, text[at:]))
 
 
-REPORT = "n_words long, n_hit long, n_items long, items_sha256 string, contaminated boolean, coverage double, longest_span long, remove_document boolean"
+REPORT = "n_words long, n_hit long, n_items long, items_sha256 string, contaminated boolean, coverage double, longest_span long, longest_match long, remove_document boolean"
 
 
 def report(documents: DataFrame, benchmark: DataFrame, id_col: str = "doc_id", text_col: str = "text", window: int = WINDOW, max_coverage: float = MAX_COVERAGE, max_words: int = MAX_WORDS) -> DataFrame:
     """One row for each document: what of it is in the benchmark, and whether it should go as a whole."""
-    shared = automata(benchmark, window, max_words)
-    docs = documents.select(F.col(id_col), F.col(text_col).cast("binary").alias("text"))
+    rows, shared = _scanned(documents.select(F.col(id_col).alias("row"), F.col(text_col).cast("binary").alias("text")), benchmark, window, max_words)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for part in slices(batches, 256 if len(shared) < 2 else MANY_ROWS):
-            rows = _scan_all([t or b"" for t in part.column("text").to_pylist()], shared)
-            hit = [sum(e - s for s, e in spans) for _, spans, _ in rows]
-            cover = [h / n if n else 0.0 for h, (n, _, _) in zip(hit, rows)]
+        for part in _large(batches, "text", len(shared.value) > 1):
+            before = [None if f is None else pickle.loads(f) for f in part.column("found").to_pylist()]
+            found = _scan_all([t or b"" for t in part.column("text").to_pylist()], shared.value, before)
+            hit = [sum(e - s for s, e in spans) for _, spans, _, _ in found]
+            cover = [h / n if n else 0.0 for h, (n, _, _, _) in zip(hit, found)]
             yield pa.RecordBatch.from_arrays(
                 [
                     part.column(0),
-                    pa.array([n for n, _, _ in rows], pa.int64()),
+                    pa.array([n for n, _, _, _ in found], pa.int64()),
                     pa.array(hit, pa.int64()),
-                    pa.array([len(names) for _, _, names in rows], pa.int64()),
-                    pa.array([hashlib.sha256(",".join(sorted(names)).encode()).hexdigest() for _, _, names in rows], pa.string()),
+                    pa.array([len(names) for _, _, names, _ in found], pa.int64()),
+                    pa.array([hashlib.sha256(",".join(sorted(names)).encode()).hexdigest() for _, _, names, _ in found], pa.string()),
                     pa.array([h > 0 for h in hit], pa.bool_()),
                     pa.array(cover, pa.float64()),
-                    pa.array([max((e - s for s, e in spans), default=0) for _, spans, _ in rows], pa.int64()),
+                    pa.array([max((e - s for s, e in spans), default=0) for _, spans, _, _ in found], pa.int64()),
+                    pa.array([most for _, _, _, most in found], pa.int64()),
                     pa.array([c > max_coverage for c in cover], pa.bool_()),
                 ],
-                names=[id_col, "n_words", "n_hit", "n_items", "items_sha256", "contaminated", "coverage", "longest_span", "remove_document"],
+                names=[id_col, *(x.split()[0] for x in REPORT.split(", "))],
             )
 
-    return docs.mapInArrow(run, f"{id_col} {docs.schema[id_col].dataType.simpleString()}, {REPORT}")
+    return rows.mapInArrow(run, f"{id_col} {rows.schema['row'].dataType.simpleString()}, {REPORT}")
 
 
 def remove(documents: DataFrame, benchmark: DataFrame, text_col: str = "text", window: int = WINDOW, min_span: int = MIN_SPAN, max_coverage: float = MAX_COVERAGE, max_words: int = MAX_WORDS) -> DataFrame:
@@ -291,24 +340,25 @@ def remove(documents: DataFrame, benchmark: DataFrame, text_col: str = "text", w
 
     Spans shorter than ``min_span`` words stay.
     """
-    shared = automata(benchmark, window, max_words)
-    schema = documents.schema
+    others = [c for c in documents.columns if c != text_col]
+    row = F.struct(*(documents[c] for c in others)).alias("row") if others else F.lit(True).alias("row")
+    rows, shared = _scanned(documents.select(row, documents[text_col].cast("binary").alias("text")), benchmark, window, max_words)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for part in slices(batches, 256 if len(shared) < 2 else MANY_ROWS):
-            column = part.column(text_col)
-            raw = column.cast(pa.binary()).to_pylist()
+        for part in _large(batches, "text", len(shared.value) > 1):
+            raw = part.column("text").to_pylist()
+            before = [None if f is None else pickle.loads(f) for f in part.column("found").to_pylist()]
             keep, texts = [], []
-            for text, (n, spans, _) in zip(raw, _scan_all([t or b"" for t in raw], shared)):
+            for text, (n, spans, _, _) in zip(raw, _scan_all([t or b"" for t in raw], shared.value, before)):
                 hit = sum(e - s for s, e in spans)
                 keep.append(not n or hit <= max_coverage * n)
                 spans = [s for s in spans if s[1] - s[0] >= min_span]
                 texts.append(cut(text, spans) if spans and keep[-1] else text)
-            at = part.schema.get_field_index(text_col)
-            new = pa.array(texts, pa.binary()).cast(column.type)
-            yield part.set_column(at, part.schema.field(at), new).filter(pa.array(keep, pa.bool_()))
+            yield pa.RecordBatch.from_arrays([part.column("row"), pa.array(texts, pa.binary())], names=["row", "text"]).filter(pa.array(keep, pa.bool_()))
 
-    return documents.mapInArrow(run, schema)
+    out = rows.mapInArrow(run, rows.select("row", "text").schema)
+    kind = documents.schema[text_col].dataType
+    return out.select(*(F.col("text").cast(kind).alias(c) if c == text_col else F.col("row")[c].alias(c) for c in documents.columns))
 
 
 def op5_decontaminate(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -2,8 +2,8 @@
 
 Documents are encoded with an existing byte-level vocabulary (its path is a parameter), each closed by an end
 token, and laid end to end in the order of a hash of their id; every ``length`` tokens are a sequence (the
-last is filled with end tokens). Where a document begins in this stream comes from sums over 4096 hash ranges,
-then a running sum inside each range, so no task sees the whole stream.
+last is filled with end tokens). Where a document begins in this stream comes from sums over 2^18 hash ranges
+(a few MB at most, whatever the input), then a running sum inside each range, so no task sees the whole stream.
 
 The slot of sequence s is a Feistel network over the smallest even number of bits that covers the number of
 sequences, keyed by ``seed`` and applied again while its result is out of range (cycle-walking). It is a bijection
@@ -13,9 +13,9 @@ A shard is ``per_shard`` consecutive slots, so it can be told from the slot alon
 task by its number (ranges of shards, without sampling), and it writes them at slot times stride. One row a
 shard holds these bytes (little-endian 16 or 32 bit ids) with what a reader needs; the row is written by
 Spark's own committer to any store, a rerun of a lost task gives the same bytes, and ``read_from`` resumes at a
-slot by opening the shards from there on.
+slot by opening the shards from there on: its filter on ``first_slot`` is pushed down to the files.
 
-Cases: null text is a lone end token; a null id is hashed like others; rows that repeat an id follow one another in
+Cases: null text is a lone end token; rows without an id are placed by a hash of their text; rows that repeat an id follow one another in
 the order of their tokens; an empty table gives no shards; texts of any length are encoded whole.
 """
 
@@ -39,6 +39,9 @@ LENGTH = 1024
 PER_SHARD = 512
 SEED = 20_240_601
 ROUNDS = 6
+RANGE_BITS = 18
+#: Bytes of shards that a task writes, where there is enough of them for all cores.
+TASK_BYTES = 128 << 20
 
 _ENCODERS: dict[str, object] = {}
 
@@ -93,7 +96,8 @@ class Feistel:
 def encode(documents: DataFrame, id_col: str = "doc_id", text_col: str = "text", vocabulary: str = VOCABULARY) -> DataFrame:
     """(order_key, n, tokens): every document's ids with its end token, as bytes."""
     width = np.dtype("<u2" if encoder(vocabulary).n_vocab < 1 << 16 else "<u4")
-    docs = documents.select(F.xxhash64(F.col(id_col)).alias("order_key"), F.col(text_col).alias("text"))
+    key = F.when(F.col(id_col).isNull(), F.xxhash64(F.col(text_col))).otherwise(F.xxhash64(F.col(id_col)))
+    docs = documents.select(key.alias("order_key"), F.col(text_col).alias("text"))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         own = encoder(vocabulary)
@@ -114,7 +118,7 @@ def materialise_order(documents: DataFrame, id_col: str = "doc_id", text_col: st
     """One row a shard, as ``SCHEMA``."""
     end = encoder(vocabulary).n_vocab
     width = np.dtype("<u2" if end < 1 << 16 else "<u4")
-    tokens = encode(documents, id_col, text_col, vocabulary).withColumn("range", F.shiftright("order_key", 52))
+    tokens = encode(documents, id_col, text_col, vocabulary).withColumn("range", F.shiftright("order_key", 64 - RANGE_BITS))
     inside = F.sum("n").over(Window.partitionBy("range").orderBy("order_key", "tokens").rowsBetween(Window.unboundedPreceding, -1))
     tokens = materialise(tokens.select("range", "n", F.coalesce(inside, F.lit(0)).alias("inside"), "tokens"), "tokens")
     ranges = tokens.groupBy("range").agg(F.sum("n").alias("n"))
@@ -162,15 +166,22 @@ def materialise_order(documents: DataFrame, id_col: str = "doc_id", text_col: st
             yield out(now, page)
 
     pieces = placed.mapInArrow(cut, "shard long, slot long, at int, tokens binary")
-    each = 4  # shards to a task
+    spread = -(-shards // (2 * documents.sparkSession.sparkContext.defaultParallelism))
+    each = max(1, min(spread, TASK_BYTES // (per_shard * length * width.itemsize)))  # shards to a task
     tasks = max(1, -(-shards // each))
     dealt = pieces.repartitionById(tasks, F.expr(f"cast(shard div {each} as int)"))
     return dealt.sortWithinPartitions("shard").mapInArrow(write, SCHEMA)
 
 
+def shards_from(shards: DataFrame, slot: int = 0) -> DataFrame:
+    """The shards that hold ``slot`` and what follows; the filter reaches the files, which hold shards in order."""
+    stride = shards.agg(F.max("n_sequences")).first()[0] or 1  # all shards but the last are full
+    return shards.filter(F.col("first_slot") >= slot // stride * stride)
+
+
 def read_from(shards: DataFrame, slot: int = 0, wide: bool = False) -> Iterator[tuple[int, np.ndarray]]:
-    """(slot, ids) from ``slot`` on, in order; shards before it are pruned by their first slot."""
-    rows = shards.filter((F.col("first_slot") + F.col("n_sequences")) > slot).orderBy("first_slot").toLocalIterator()
+    """(slot, ids) from ``slot`` on, in order, shard by shard."""
+    rows = shards_from(shards, slot).orderBy("first_slot").toLocalIterator(prefetchPartitions=True)
     for row in rows:
         page = np.frombuffer(bytes(row.payload), "<u4" if wide else "<u2").reshape(row.n_sequences, -1)
         for k in range(max(0, slot - row.first_slot), row.n_sequences):

@@ -68,6 +68,17 @@ def test_shards_round_trip(spark, sf_dir):
     assert shards.materialise_order(spark.createDataFrame([], "doc_id long, text string")).count() == 0
 
 
+def test_resuming_reads_only_what_follows(spark, tmp_path):
+    docs = spark.range(400).selectExpr("id AS doc_id", "repeat('some words to encode ', 40) AS text")
+    shards.materialise_order(docs, length=64, per_shard=8).write.parquet(f"file://{tmp_path}/shards")
+    stored = spark.read.parquet(f"file://{tmp_path}/shards")
+    total = stored.first().total_sequences
+    late = shards.shards_from(stored, total - 20)
+    assert "GreaterThanOrEqual(first_slot" in late._jdf.queryExecution().toString()
+    assert late.count() <= 4 and [s for s, _ in shards.read_from(stored, total - 20)] == list(range(total - 20, total))
+    assert shards.shards_from(stored.limit(0), 5).count() == 0
+
+
 def test_keep_one_and_remove(spark):
     rows = [(5, "a b c d e f", "x"), (2, "a b c d e f", "y"), (2, "a b c d e f", "z"), (None, "a b c d e f", "n"), (9, "other words here now and then", "w")]
     df = spark.createDataFrame(rows, "doc_id long, text string, fp string")

@@ -15,7 +15,9 @@ WORDS = st.lists(st.sampled_from("abc"), max_size=24)
 def test_automaton(items, doc, window):
     names = [(str(i), " ".join(w)) for i, w in enumerate(items)]
     got = decontaminate.Automaton([(n, t.encode().split()) for n, t in names], window)
-    spans, found = got.scan([w.encode() for w in doc])
+    spans, found, longest = got.scan([w.encode() for w in doc])
+    grams = {tuple(w[i:j]) for w in items for i in range(len(w)) for j in range(i + 1, len(w) + 1)}
+    assert longest == max((j - i for i in range(len(doc)) for j in range(i + 1, len(doc) + 1) if tuple(doc[i:j]) in grams), default=0)
     want = brute.decontaminate([(0, " ".join(doc))], names, window)[0]
     assert sum(e - s for s, e in spans) == want[2] and len(found) == want[3]
     assert all(a[1] < b[0] for a, b in zip(spans, spans[1:]))
