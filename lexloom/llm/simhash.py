@@ -51,7 +51,7 @@ from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 from pyspark.sql.types import LongType, StructField, StructType
 
-from .store import LOWER, as_bytes, hot_join, mark, materialise, slices, sweep
+from .store import LOWER, as_bytes, hot_join, mark, materialise, sieve, sieve_of, slices, sweep
 
 SEED = 42
 WIDTH = 3
@@ -270,7 +270,8 @@ def _sets(documents: DataFrame, alive: DataFrame, similarity: float, id_col: str
             sids = np.array([xxhash.xxh3_64_intdigest(o.tobytes()) for o in own], np.uint64).view(np.int64)
             yield pa.RecordBatch.from_arrays([pa.array(sids), pa.array([o.view(np.int64) for o in own], pa.list_(pa.int64()))], names=["sid", "tokens"])
 
-    texts = documents.select(F.col(id_col).alias("id"), F.col(text_col).alias("text")).join(ids, F.col("id").eqNullSafe(F.col("least")), "left_semi").select("text")
+    texts = documents.select(F.col(id_col).alias("id"), F.col(text_col).alias("text"), sieve_of(F.col(id_col)).alias("sieve"))
+    texts = texts.join(sieve(ids, "least"), "sieve", "left_semi").join(ids, F.col("id").eqNullSafe(F.col("least")), "left_semi").select("text")
     whole = texts.mapInArrow(run, "sid long, tokens array<long>").join(alive.select("sid"), "sid", "left_semi")
     start = mark()
     whole = materialise(whole.dropDuplicates(["sid"]), "simhash-whole")
@@ -326,6 +327,13 @@ def _verified(pairs: DataFrame, sets: DataFrame, similarity: float) -> DataFrame
     return materialise(alike.select(F.col("hub").alias("a"), F.col("sid").alias("b")), "simhash-alike")
 
 
+def _allowed(i: int, right: np.ndarray, sid, n, place, label, major, similarity: float) -> np.ndarray:
+    """Which of the rows ``right`` row ``i`` has to be compared with."""
+    fit = (label[right] != label[i]) & (np.minimum(n[right], n[i]) >= similarity * np.maximum(n[right], n[i]) - SLACK)
+    fit &= np.minimum(n[right] - place[right], n[i] - place[i]) >= similarity / (1 + similarity) * (n[right] + n[i]) - SLACK
+    return fit & ((label[right] == major[right]) | (sid[right] > sid[i]))  # a pair of two minor members comes once
+
+
 def _compare(group: pa.Table, similarity: float, token: int) -> tuple[list[int], list[int]]:
     """Links between the rows of a block: those of side 0 against those of side 1 in another component.
 
@@ -341,12 +349,9 @@ def _compare(group: pa.Table, similarity: float, token: int) -> tuple[list[int],
     right = np.nonzero(side == 1)[0]
     out: tuple[list[int], list[int]] = ([], [])
     for i in np.nonzero(side == 0)[0].tolist():
-        fit = (label[right] != label[i]) & (np.minimum(n[right], n[i]) >= similarity * np.maximum(n[right], n[i]) - SLACK)
-        fit &= np.minimum(n[right] - place[right], n[i] - place[i]) >= similarity / (1 + similarity) * (n[right] + n[i]) - SLACK
-        fit &= (label[right] == major[right]) | (sid[right] > sid[i])  # a pair of two minor members comes once
         own = flat[start[i] : start[i + 1]]
         all_of[own], lead_of[own[: lead[i]]] = True, True
-        for j in right[fit].tolist():
+        for j in right[_allowed(i, right, sid, n, place, label, major, similarity)].tolist():
             other = flat[start[j] : start[j + 1]]
             first = other[: lead[j]]
             first = first[lead_of[first]]
@@ -360,23 +365,38 @@ def _compare(group: pa.Table, similarity: float, token: int) -> tuple[list[int],
 
 
 def _rest(rows: DataFrame, buckets: DataFrame, sets: DataFrame, similarity: float, block: int) -> DataFrame:
-    """Links (a, b) between members of one bucket that are in different components, compared block by block."""
+    """Links (a, b) between members of one bucket that are in different components, compared block by block.
+
+    Blocks are gone through twice: narrow rows tell which members have a partner that sizes and places allow, and only
+    these bring their shingles.
+    """
     counts = rows.groupBy("token", "label").agg(F.count("*").alias("c"))
     major = counts.groupBy("token").agg(F.max(F.struct("c", "label")).alias("top"))
     buckets = buckets.join(major, "token").select("token", "n", F.col("top.label").alias("major"), F.ceil(F.col("n") / block).alias("blocks"))
     held = hot_join(rows, buckets, ["token"], rows.count()).withColumn("block", F.pmod(F.xxhash64("sid"), "blocks"))
-    held = materialise(held.select("token", "sid", "place", "label", "major", "blocks", "block"), "simhash-open")
+    held = materialise(held.select("token", "sid", F.col("size").alias("n"), "place", "label", "major", "blocks", "block"), "simhash-open")
     every = F.explode(F.sequence(F.lit(0).cast("long"), F.col("blocks") - 1))
     left = held.filter("label <> major").select("*", every.alias("j")).withColumnRenamed("block", "i").withColumn("side", F.lit(0))
     right = held.select("*", every.alias("i")).withColumnRenamed("block", "j").withColumn("side", F.lit(1))
-    columns = ["token", "i", "j", "side", "sid", "place", "label", "major"]
-    blocks = left.select(*columns).unionByName(right.select(*columns)).join(sets.select("sid", "n", "lead", "tokens"), "sid")
+    columns = ["token", "i", "j", "side", "sid", "n", "place", "label", "major"]
+    blocks = left.select(*columns).unionByName(right.select(*columns))
+
+    def partnered(group: pa.Table) -> pa.Table:
+        group = group.combine_chunks()
+        side, sid, n, place, label, major = (group.column(c).to_numpy() for c in columns[3:])
+        right, keep = np.nonzero(side == 1)[0], np.zeros(len(side), bool)
+        for i in np.nonzero(side == 0)[0].tolist():
+            fit = right[_allowed(i, right, sid, n, place, label, major, similarity)]
+            keep[fit] = True
+            keep[i] = len(fit) > 0
+        return group.filter(pa.array(keep))
 
     def settle(key: tuple, group: pa.Table) -> pa.Table:
         a, b = _compare(group, similarity, key[0].as_py())
         return pa.table({"a": pa.array(a, pa.int64()), "b": pa.array(b, pa.int64())})
 
-    return blocks.groupBy("token", "i", "j").applyInArrow(settle, "a long, b long")
+    few = materialise(blocks.groupBy("token", "i", "j").applyInArrow(partnered, blocks.schema), "simhash-partnered")
+    return few.join(sets.select("sid", "lead", "tokens"), "sid").groupBy("token", "i", "j").applyInArrow(settle, "a long, b long")
 
 
 def _meet(rows: DataFrame, buckets: DataFrame, sets: DataFrame, similarity: float) -> tuple[DataFrame, DataFrame]:
@@ -432,15 +452,20 @@ def keep_one(documents: DataFrame, id_col: str = "doc_id", text_col: str = "text
         firsts = full.groupBy("sid").agg(F.min("fp").alias("first"))
         same = full.select("sid", "fp").distinct().join(firsts, "sid").filter("fp <> first").select(F.col("first").alias("a"), F.col("fp").alias("b"))
         pairs = similar(texts, full, similarity, "id", "text", width)
-        hubs = pairs.groupBy("a").agg(F.count("*").alias("n")).join(firsts.select(F.col("sid").alias("a"), F.col("first").alias("x")), "a")
-        pairs = hot_join(pairs, hubs, ["a"], pairs.count()).join(firsts.select(F.col("sid").alias("b"), F.col("first").alias("y")), "b")
+        for end, name in (("a", "x"), ("b", "y")):
+            ends = pairs.groupBy(end).agg(F.count("*").alias("n")).join(firsts.select(F.col("sid").alias(end), F.col("first").alias(name)), end)
+            pairs = materialise(hot_join(pairs, ends, [end], pairs.count()).drop("n"), "simhash-ends")
         edges = same.unionByName(pairs.select(F.col("x").alias("a"), F.col("y").alias("b")))
     found = _labelled(prints, "id", limit, edges)
     named = found.filter(F.col("id") == F.col("component_id")).select("id", "fp", "root").distinct()
     copies = found.filter("id is not null").groupBy("id").agg(F.count("*").alias("copies"), F.max(F.col("id") == F.col("component_id")).alias("names"))
-    ids = materialise(copies.filter("names").select("id", "copies"), "simhash-kept")
-    kept = rows.join(ids.filter("copies = 1"), "id", "left_semi").select("row").unionByName(rows.filter("id is null").select("row"))
-    again = ids.filter("copies > 1")
+    ids = materialise(copies, "simhash-kept")
+    gone = sieve(ids.filter("not names or copies > 1"), "id")
+    rows = rows.withColumn("sieve", sieve_of(F.col("id")))
+    held = rows.join(gone, "sieve", "left_semi").drop("sieve").filter("id is not null")
+    kept = held.join(ids.filter("names and copies = 1"), "id", "left_semi").select("row")
+    kept = kept.unionByName(rows.filter("id is not null").join(gone, "sieve", "left_anti").select("row")).unionByName(rows.filter("id is null").select("row"))
+    again = ids.filter("names and copies > 1")
     if again.isEmpty():
         return kept.select("row.*")
 
@@ -449,7 +474,7 @@ def keep_one(documents: DataFrame, id_col: str = "doc_id", text_col: str = "text
             fps = np.array([fingerprint(t, width) for t in as_bytes(part.column("text"))], np.uint64)
             yield pa.RecordBatch.from_arrays([*part.columns, pa.array(fps.view(np.int64))], names=[*part.schema.names, "fp"])
 
-    repeated = rows.join(again, "id", "left_semi")
+    repeated = held.join(again, "id", "left_semi")
     repeated = repeated.mapInArrow(run, StructType([*repeated.schema.fields, StructField("fp", LongType())])).join(named, ["id", "fp"])
     repeated = repeated.withColumn("k", F.row_number().over(Window.partitionBy("root").orderBy("text"))).filter("k = 1")
     return kept.unionByName(repeated.select("row")).select("row.*")

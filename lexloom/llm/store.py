@@ -8,7 +8,7 @@ import uuid
 from collections.abc import Iterator
 
 import pyarrow as pa
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 #: A-Z to a-z, all other bytes unchanged.
@@ -20,6 +20,8 @@ _BATCH = "spark.sql.execution.arrow.maxRecordsPerBatch"
 
 #: A key is hot if it holds more than one in so many of a table's rows; fewer than so many keys can be.
 HOT_KEYS = 1000
+#: Rows of a sieve at most.
+SIEVE = 1 << 20
 
 _WRITTEN: list[str] = []
 
@@ -79,6 +81,18 @@ def sweep(spark: SparkSession, since: int = 0, *keep: DataFrame) -> None:
         _WRITTEN.remove(path)
 
 
+def sieve(ids: DataFrame, col: str) -> DataFrame:
+    """(sieve): the numbers below ``SIEVE`` that hashes of the ids leave, for a broadcast join before the exact one.
+
+    Wide rows whose id leaves none of them need no shuffle. With many more ids than ``SIEVE`` all rows pass it.
+    """
+    return F.broadcast(ids.select(sieve_of(F.col(col)).alias("sieve")).distinct())
+
+
+def sieve_of(col: Column) -> Column:
+    return F.pmod(F.xxhash64(col), F.lit(SIEVE))
+
+
 def hot_join(left: DataFrame, right: DataFrame, on: list[str], total: int) -> DataFrame:
     """``left`` joined with ``right``, which has one row a key and in ``n`` how many rows of ``left`` hold this key.
 
@@ -87,7 +101,9 @@ def hot_join(left: DataFrame, right: DataFrame, on: list[str], total: int) -> Da
     the broadcast. ``right`` must have narrow rows; ``left`` is read twice and is best a stored table.
     """
     hot = F.col("n") * HOT_KEYS > total
-    heavy = F.broadcast(right.filter(hot))
+    # a row without a key matches nothing; with it the plan is the same with and without hot keys
+    none = left.sparkSession.range(1).select(*(F.lit(None).cast(f.dataType).alias(f.name) for f in right.schema))
+    heavy = F.broadcast(right.filter(hot).unionByName(none))
     rest = left.join(heavy.select(*on), on, "left_anti").join(right.filter(~hot), on)
     return left.join(heavy, on).unionByName(rest)
 
