@@ -53,6 +53,11 @@ LEXICON = {
 # --- fixed values: enumerations --------------------------------------------------------------------
 SEVERITIES = ("low", "medium", "high")
 SEVERITY_ORDER = {"high": 0, "medium": 1, "needs_manual_review": 2, "flagging_failed": 3, "low": 4}
+AUDIT_EVENTS = (
+    "validation_failure", "validation_retry_success", "validation_needs_manual_review", "api_error_retry", "api_error_failed",
+    "grounding_failure", "grounding_error", "final_flag_decision",
+)
+NOT_FOUND_TOLERANCE = 3
 STAGES = ("extracting", "chunking", "persisting", "embedding", "flagging", "complete")
 
 # --- fixed values: patterns, usable in Java and RE2 --------------------------------------------------

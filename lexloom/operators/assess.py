@@ -65,11 +65,50 @@ def outcome_row(outcome: Column, skipped: Column, flag: Column, clause_text: Col
     return F.when(skipped | (outcome == "exhausted") | (outcome == "failed"), failed).when(outcome == "review", review).otherwise(ok)
 
 
-def audit_events(outcomes: DataFrame, key: str) -> DataFrame:
-    """(key, seq, event_type): the audit trail that an outcome implies, from columns n_calls, outcome, skipped."""
-    retries = F.transform(F.when(F.col("n_calls") > 1, F.sequence(F.lit(2), F.col("n_calls").cast("int"))).otherwise(F.array().cast("array<int>")), lambda _: F.lit("api_retry"))
-    last = F.when(F.col("skipped"), F.array(F.lit("clause_skipped"))).otherwise(F.concat(retries, F.array(F.concat(F.lit("clause_"), F.col("outcome")))))
-    return outcomes.select(key, F.posexplode(last).alias("seq", "event_type"))
+def audit_events(clauses: DataFrame, calls: DataFrame, outputs: DataFrame, suggestions: DataFrame, key: str, max_retries: int = 2, retries: int = 1) -> DataFrame:
+    """(key, seq, event_type): the audit trail of assessed clauses, numbered from 0 in the order of events.
+
+    ``clauses``: key, skipped (an open breaker: nothing was called). ``calls``: key, n, code, retry_after. ``outputs``: key, n,
+    raw. ``suggestions``: key, n, cited, retrieved, failed. The types are those of ``fixed.AUDIT_EVENTS``: each call that is
+    tried again, the one that ends in failure, each refused output, the output that a second try made valid, the end of
+    tries, the decision, and for suggestions those that cite what was not retrieved in all tries, and those that failed.
+    """
+    live = clauses.filter(~F.col("skipped")).select(key)
+    done = reduce_calls(calls, key, max_retries).select(key, "outcome", "n_calls")
+    call = calls.join(live, key, "left_semi").join(done, key).filter(F.col("n") <= F.col("n_calls"))
+    failed = F.col("outcome") != "ok"
+    kind = F.when(F.col("n") < F.col("n_calls"), "api_error_retry").when(failed, "api_error_failed")
+    events = [call.select(key, F.lit(0).alias("phase"), F.col("n").cast("long").alias("at"), kind.alias("event_type"))]
+    answered = live.join(done.filter("outcome = 'ok'"), key, "left_semi")
+    out = outputs.join(answered, key, "left_semi").filter(F.col("n") <= retries + 1).withColumn("error", flag_error(F.col("raw")))
+    first = Window.partitionBy(key).orderBy("n").rowsBetween(Window.unboundedPreceding, -1)
+    out = out.withColumn("over", F.coalesce(F.max(F.col("error").isNull()).over(first), F.lit(False))).filter(~F.col("over"))
+    last = F.when(F.col("n") == retries + 1, F.lit("validation_needs_manual_review"))
+    kinds = F.when(F.col("error").isNull(), F.array(F.when(F.col("n") > 1, F.lit("validation_retry_success")))).otherwise(F.array(F.lit("validation_failure"), last))
+    refused = out.select(key, F.lit(1).alias("phase"), F.col("n").cast("long").alias("n"), F.posexplode(kinds).alias("k", "event_type"))
+    events.append(refused.select(key, "phase", (F.col("n") * 2 + F.col("k")).alias("at"), "event_type"))
+    events.append(clauses.select(key, F.lit(2).alias("phase"), F.lit(0).cast("long").alias("at"), F.lit("final_flag_decision").alias("event_type")))
+    judged = reduce_suggestions(suggestions.join(answered, key, "left_semi"), key, retries)
+    kind = F.when(F.col("status") == "failed", "grounding_error").when(F.col("status") == "needs_manual_review", "grounding_failure")
+    events.append(judged.select(key, F.lit(3).alias("phase"), F.lit(0).cast("long").alias("at"), kind.alias("event_type")))
+    every = events[0]
+    for more in events[1:]:
+        every = every.unionByName(more)
+    order = Window.partitionBy(key).orderBy("phase", "at")
+    return every.filter("event_type is not null").select(key, (F.row_number().over(order) - 1).cast("long").alias("seq"), "event_type")
+
+
+def reduce_suggestions(suggestions: DataFrame, key: str, retries: int = 1) -> DataFrame:
+    """(key, status, n): the first of ``retries`` + 1 suggestions that cites only what was retrieved.
+
+    ``suggestions``: key, n, cited, retrieved (of this clause's own call), failed. grounded; needs_manual_review after tries that all
+    cite something else; failed if a call before that fails.
+    """
+    a = suggestions.filter(F.col("n") <= retries + 1)
+    kind = F.when(F.col("failed"), "failed").when(F.size(ungrounded(F.col("cited"), F.col("retrieved"))) == 0, "grounded")
+    a = a.withColumn("kind", kind)
+    ends = a.groupBy(key).agg(F.min_by(F.when(F.col("kind").isNotNull(), F.struct("kind", "n")), F.when(F.col("kind").isNotNull(), F.col("n"))).alias("e"), F.max("n").alias("tries"))
+    return ends.select(key, F.coalesce("e.kind", F.lit("needs_manual_review")).alias("status"), F.coalesce("e.n", "tries").cast("long").alias("n"))
 
 
 def ungrounded(cited: Column, retrieved: Column) -> Column:
@@ -77,6 +116,11 @@ def ungrounded(cited: Column, retrieved: Column) -> Column:
     return F.filter(cited, lambda x: ~F.array_contains(retrieved, x))
 
 
-def run_summary(rows: DataFrame, run: str) -> DataFrame:
+def run_summary(rows: DataFrame, run: str, vectors: DataFrame | None = None) -> DataFrame:
+    """(run, persisted, indexed, flagged, failed): indexed is the number of the run's rows of ``vectors``, or all."""
     s = F.col("severity")
-    return rows.groupBy(run).agg(F.count("*").alias("persisted"), F.count_if(s.isin("high", "medium", "low")).alias("flagged"), F.count_if(s.isin("flagging_failed", "needs_manual_review")).alias("failed"))
+    out = rows.groupBy(run).agg(F.count("*").alias("persisted"), F.count_if(s.isin(*fixed.SEVERITIES)).alias("flagged"), F.count_if(s.isin("flagging_failed", "needs_manual_review")).alias("failed"))
+    if vectors is None:
+        return out.select(run, "persisted", F.col("persisted").alias("indexed"), "flagged", "failed")
+    indexed = vectors.groupBy(run).agg(F.count("*").alias("indexed"))
+    return out.join(indexed, run, "left").select(run, "persisted", F.coalesce("indexed", F.lit(0)).alias("indexed"), "flagged", "failed")

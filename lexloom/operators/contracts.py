@@ -80,6 +80,27 @@ def read_evolved(spark: SparkSession, path: str, columns: dict[str, str]) -> Dat
     return df.select("*", *(F.lit(None).cast(kind).alias(name) for name, kind in columns.items() if name not in df.columns))
 
 
+def ensure_table(spark: SparkSession, name: str, columns: dict[str, str]) -> None:
+    """Create a Parquet table, or add the columns that an existing one lacks."""
+    if not spark.catalog.tableExists(name):
+        spark.sql(f"CREATE TABLE {name} ({', '.join(f'`{c}` {kind}' for c, kind in columns.items())}) USING parquet")
+        return
+    have = set(spark.table(name).columns)
+    if more := [f"`{c}` {kind}" for c, kind in columns.items() if c not in have]:
+        spark.sql(f"ALTER TABLE {name} ADD COLUMNS ({', '.join(more)})")
+
+
+def store_index(vectors: DataFrame, path: str) -> None:
+    """Write (scope, item_id, embedding, ...) partitioned by scope; the scopes written replace their older rows, others stay."""
+    vectors.write.mode("overwrite").option("partitionOverwriteMode", "dynamic").partitionBy("scope").parquet(path)
+
+
+def load_index(spark: SparkSession, path: str, *scopes: str) -> DataFrame:
+    """The stored vectors, of the given scopes only if there are any: the filter prunes partitions."""
+    df = spark.read.parquet(path)
+    return df.filter(F.col("scope").isin(*scopes)) if scopes else df
+
+
 def grounding(clauses: DataFrame, items: DataFrame, severities: DataFrame) -> DataFrame:
     """Related clauses for every high or medium clause of a contract, by the full search without the gate's split.
 

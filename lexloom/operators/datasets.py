@@ -33,13 +33,34 @@ def group_split(rows: DataFrame, group: str, train: float = 0.70, validation: fl
     return rows.join(place.select(group, split.alias("split")), group)
 
 
-def stratified_sample(rows: DataFrame, targets: DataFrame, keys: list[str], id_col: str, seed: str = "42") -> DataFrame:
-    """``target`` rows of each stratum in the order of a seeded hash, with ``sample_id`` (prefix_%04d) and ``short`` strata marked."""
+def short_strata(rows: DataFrame, targets: DataFrame, keys: list[str]) -> DataFrame:
+    """(keys, target, available) of the strata that have fewer rows than their target."""
+    have = rows.groupBy(*keys).agg(F.count("*").alias("available"))
+    return targets.join(have, keys, "left").withColumn("available", F.coalesce("available", F.lit(0))).filter(F.col("available") < F.col("target"))
+
+
+def stratified_sample(rows: DataFrame, targets: DataFrame, keys: list[str], id_col: str, seed: str = "42", allow_short: bool = False) -> DataFrame:
+    """``target`` rows of each stratum in the order of a seeded hash, with ``sample_id`` (prefix_%04d).
+
+    A stratum with fewer rows than its target is an error; with ``allow_short`` all its rows are taken and marked ``short``.
+    """
+    short = short_strata(rows, targets, keys)
+    if not allow_short and (found := short.limit(3).collect()):
+        raise ValueError("too few rows: " + "; ".join(", ".join(f"{c}={r[c]}" for c in [*keys, "target", "available"]) for r in found))
     order = Window.partitionBy(*keys).orderBy(F.md5(F.concat(F.lit(seed), F.col(id_col).cast("string"))), id_col)
-    df = rows.join(F.broadcast(targets), keys).withColumn("k", F.row_number().over(order))
+    wanted = targets.join(short.select(*keys, F.lit(True).alias("short")), keys, "left").withColumn("short", F.coalesce("short", F.lit(False)))
+    df = rows.join(wanted, keys).withColumn("k", F.row_number().over(order))
     return df.filter(F.col("k") <= F.col("target")).withColumn("sample_id", F.format_string("%s_%04d", F.concat_ws("_", *keys), F.col("k") - 1))
 
 
+def status_counts(rows: DataFrame, status: str, known: tuple[str, ...] = ("ok", "flagging_failed", "needs_manual_review"), unknown: str = "UNKNOWN") -> DataFrame:
+    """(status, n, expected): every known status, also with no rows, and any other that occurs; null counts as ``unknown``."""
+    scaffold = rows.sparkSession.createDataFrame([(s,) for s in known], f"{status} string")
+    counts = rows.groupBy(F.coalesce(F.col(status), F.lit(unknown)).alias(status)).agg(F.count("*").alias("n"))
+    both = scaffold.join(counts, status, "full")
+    return both.select(status, F.coalesce("n", F.lit(0)).alias("n"), F.col(status).isin(*known).alias("expected"))
+
+
 def deficit_assign(groups: DataFrame, group: str, size: str, shares: dict[str, float]) -> DataFrame:
     """(group, split): groups from the largest on, each to the split that is furthest below its share.
 

@@ -100,3 +100,37 @@ def citation_resolved(body: Column, citation: Column) -> Column:
     """The citation occurs in the text after white space is evened out; empty ones don't."""
     c = text.squeeze(F.coalesce(citation, F.lit("")))
     return (c != "") & F.contains(text.squeeze(body), c)
+
+
+def _places(hashed, k: int):
+    return lambda at: hashed(at, k)
+
+
+def containing(rows: DataFrame, body: str, passages: DataFrame, passage: str, row_id: str, passage_id: str, size: int = 5) -> DataFrame:
+    """(row_id, passage_id) of the rows whose text contains a passage, by an equi-join on words inside it.
+
+    Whatever surrounds a passage in a text, all its words (runs between spaces) but the first and the last are words of the
+    text. The first ``size`` of these, or all, are its anchor; texts give the hashes of as many words from every
+    place, and only those that anchors have go on to the exact test. Passages of one or two words have no such word
+    and meet the texts directly.
+    """
+    words = F.split("p", " ")
+    p = passages.filter(F.length(passage) > 0).select(F.col(passage_id).alias("p_id"), F.col(passage).alias("p"))
+    p = p.withColumn("k", F.least(F.size(words) - 2, F.lit(size)))
+    texts = rows.select(F.col(row_id).alias("r_id"), F.col(body).alias("b"))
+    hashed = lambda at, k: F.xxhash64(F.lit(k), *(F.get(F.col("w"), at + j) for j in range(k)))
+    anchor = F.lit(None).cast("long")
+    every = []
+    for k in range(1, size + 1):
+        anchor = F.when(F.col("k") == k, hashed(F.lit(1), k)).otherwise(anchor)
+        every.append(F.when(F.size("w") >= k + 2, F.transform(F.sequence(F.lit(1), F.size("w") - k - 1), _places(hashed, k))).otherwise(F.array().cast("array<long>")))
+    anchors = p.filter("k > 0").withColumn("w", words).select("p_id", "p", "k", anchor.alias("anchor"))
+    used = sorted(r[0] for r in anchors.select("k").distinct().collect())  # at most ``size`` numbers
+    each = texts.select("r_id", F.split("b", " ").alias("w"))
+    places = each.select("r_id", F.explode(F.array_distinct(F.concat(F.array().cast("array<long>"), *(every[k - 1] for k in used)))).alias("anchor"))
+    sieve = F.pmod("anchor", F.lit(1 << 20)).alias("sieve")  # 2^20 rows at most are broadcast
+    places = places.withColumn("sieve", sieve).join(F.broadcast(anchors.select(sieve).distinct()), "sieve", "left_semi")
+    pairs = places.join(anchors, "anchor").select("r_id", "p_id", "p").join(texts, "r_id")
+    short = texts.join(p.filter("k <= 0").select("p_id", "p"), F.contains("b", "p"))
+    both = pairs.filter(F.contains("b", "p")).select("r_id", "p_id").unionByName(short.select("r_id", "p_id"))
+    return both.select(F.col("r_id").alias(row_id), F.col("p_id").alias(passage_id)).distinct()

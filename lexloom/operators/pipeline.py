@@ -26,7 +26,7 @@ def run_pipeline(pages: DataFrame, centroids: DataFrame, embed: providers.Embedd
     chunks = segment.chunk_documents(pages)
     chunks = chunks.withColumn("clause_id", text.stable_id(F.col("doc_id").cast("string"), F.col("chunk_ord").cast("string")))
     clauses = classify.cascade(chunks, embed, centroids)
-    vectors = embed(clauses.select("clause_id", "text"))
+    vectors = embed(clauses.select("doc_id", "clause_id", "text"))
     attempts = assessor(clauses.select("clause_id", "doc_id", "text")).withColumn("n", F.lit(1))
     flags = assess.reduce_validation(attempts, "clause_id").join(clauses.select("clause_id", "doc_id"), "clause_id")
-    return Result(clauses, vectors, flags, assess.run_summary(flags, "doc_id"))
+    return Result(clauses, vectors, flags, assess.run_summary(flags, "doc_id", vectors))

@@ -11,7 +11,7 @@ from collections.abc import Callable
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from ..functions import text
+from ..functions import text, vectors
 
 Embedder = Callable[[DataFrame], DataFrame]
 DIMENSIONS = 64
@@ -44,6 +44,21 @@ def cached(rows: DataFrame, cache: DataFrame, model: str, embed: Embedder) -> tu
     return done, fresh
 
 
+def centroids(examples: DataFrame, cache: DataFrame, model: str, embed: Embedder) -> tuple[DataFrame, DataFrame]:
+    """((category, centroid), new cache rows) from examples (category, text): built again only where they have changed.
+
+    ``cache``: model, category, examples_sha, centroid. The key is a hash of a category's examples in order.
+    """
+    keyed = examples.groupBy("category").agg(F.sha2(F.array_join(F.sort_array(F.collect_list("text")), "\u0001"), 256).alias("examples_sha"))
+    own = cache.filter(F.col("model") == model).select("category", "examples_sha", "centroid")
+    hits = keyed.join(own, ["category", "examples_sha"])
+    changed = examples.join(keyed.join(own, ["category", "examples_sha"], "left_anti").select("category"), "category", "left_semi")
+    texts = changed.select("category", F.sha2("text", 256).alias("ref"), "text").dropDuplicates(["category", "ref"])
+    built = vectors.mean_vectors(embed(texts), "category", "embedding")
+    fresh = built.join(keyed, "category").select(F.lit(model).alias("model"), "category", "examples_sha", "centroid")
+    return hits.select("category", "centroid").unionByName(fresh.select("category", "centroid")), fresh
+
+
 def rule_severity(body: Column) -> Column:
     """The offline assessor: severity by phrases of the clause."""
     low = F.lower(body)
@@ -57,4 +72,4 @@ def rule_severity(body: Column) -> Column:
 def assess(clauses: DataFrame, body: str = "text") -> DataFrame:
     """Adds ``raw``: the assessor's JSON output."""
     s = rule_severity(F.col(body))
-    return clauses.withColumn("raw", F.to_json(F.struct(s.alias("severity"), F.concat(F.lit("rule: "), s).alias("explanation"), F.left(F.col(body), F.lit(200)).alias("citation"))))
+    return clauses.withColumn("raw", F.to_json(F.struct(s.alias("severity"), F.concat(F.lit("rule: "), s).alias("explanation"), F.col(body).alias("citation"))))

@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions import fixed
@@ -101,3 +101,12 @@ def backfill_stage(current: Column, status: Column) -> Column:
 
 def progress_index(stage: Column) -> Column:
     return F.array_position(F.array(*(F.lit(s) for s in fixed.STAGES)), stage) - 1
+
+
+def poll_state(polls: DataFrame, key: str, order: str, found: str = "found", stage: str = "stage", tolerance: int = fixed.NOT_FOUND_TOLERANCE) -> DataFrame:
+    """(key, order, state) of each poll: the stage, or ``waiting`` while not more than ``tolerance`` polls in a row found nothing, then ``not_found``."""
+    w = Window.partitionBy(key).orderBy(order)
+    df = polls.withColumn("run", F.sum(F.col(found).cast("int")).over(w))
+    misses = F.sum(F.when(F.col(found), 0).otherwise(1)).over(Window.partitionBy(key, "run").orderBy(order))
+    state = F.when(F.col(found), F.col(stage)).when(misses <= tolerance, "waiting").otherwise("not_found")
+    return df.select(key, order, state.alias("state"))

@@ -10,8 +10,6 @@ from pyspark.sql import functions as F
 
 from ..functions import fixed, text
 
-DEEPEST = 12
-
 
 def explode_lines(pages: DataFrame) -> DataFrame:
     """(doc_id, line_no, page_number, line) from (doc_id, page_number, text); line_no counts from 1."""
@@ -39,17 +37,18 @@ def detect_headings(lines: DataFrame) -> DataFrame:
     return df.withColumn("level", level.cast("int")).select(*lines.columns, "level")
 
 
-def breadcrumbs(lines: DataFrame, deepest: int = DEEPEST) -> DataFrame:
+def breadcrumbs(lines: DataFrame, deepest: int | None = None) -> DataFrame:
     """Adds ``heading_path`` ("A > B") and ``candidate`` (headings so far).
 
-    The ancestor at level k is the last heading of level k or less, if its level is k; headings deeper than
-    ``deepest`` count as that deep.
+    The ancestor at level k is the last heading of level k or less, if its level is k. ``deepest`` is the
+    deepest level that occurs; where it is not given, the lines are asked for it.
     """
     doc = Window.partitionBy("doc_id").orderBy("line_no")
-    level = F.when(F.col("level").isNotNull(), F.least("level", F.lit(deepest)))
+    if deepest is None:
+        deepest = lines.agg(F.max("level")).first()[0] or 1
     levels: list[Column] = []
     for k in range(1, deepest + 1):
-        last = F.last(F.when(level <= k, F.struct(level.alias("level"), F.col("line").alias("title"))), ignorenulls=True).over(doc)
+        last = F.last(F.when(F.col("level") <= k, F.struct("level", F.col("line").alias("title"))), ignorenulls=True).over(doc)
         levels.append(F.when(last["level"] == k, last["title"]))
     path = F.array_join(F.array_compact(F.array(*levels)), " > ")
     return lines.withColumn("candidate", F.count("level").over(doc).cast("int")).withColumn("heading_path", F.when(path == "", fixed.UNTITLED).otherwise(path))

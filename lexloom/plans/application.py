@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from ..operators import contracts, datasets, evaluate, learn
-from .base import Inline, query, table
+from .base import Derived, query, table
 
 
 def _tables(spark, d):
@@ -45,13 +45,14 @@ def flagged_clauses(spark, d):
     return contracts.flagged_clauses(own, clauses, flags, 5, "me").select("clause_id", "severity", "page_number")
 
 
-_SPANS = Inline("contract string, text string, at int", ("a", "the  parties agree", 9), ("a", "the parties\nagree", 4), ("b", "the parties agree", 1))
+_SPANS = Derived("SELECT source AS contract, replace(left(text, 24), ' ', '  ') AS text, doc_id AS pos FROM documents")
+_ROWS = Derived("SELECT doc_id, CASE WHEN doc_id % 9 = 0 THEN 'elsewhere' ELSE source END AS contract, concat(' ', left(text, CASE WHEN doc_id % 7 = 0 THEN 20 ELSE 24 END)) AS text FROM documents")
+_EVEN = "trim(regexp_replace(text, '\\s+', ' ', 'g'))"
 
 
-@query("SELECT * FROM (VALUES ('a', 4), ('b', 1)) v(contract, pos)")
+@query(f"WITH s AS (SELECT contract, {_EVEN} AS body, min(pos) AS pos FROM {_SPANS.sql} GROUP BY ALL) SELECT r.doc_id, s.pos FROM (SELECT doc_id, contract, {_EVEN} AS body FROM {_ROWS.sql}) r JOIN s USING (contract, body)")
 def first_match_join(spark, d):
-    rows = spark.createDataFrame([("a", "the parties agree"), ("b", " the parties  agree"), ("c", "the parties agree")], "contract string, text string")
-    return contracts.first_match(rows, _SPANS.df(spark), "contract", "text", "at").select("contract", F.col("span.at").alias("pos"))
+    return contracts.first_match(_ROWS.df(spark, d), _SPANS.df(spark, d), "contract", "text", "pos").select("doc_id", F.col("span.pos").alias("pos"))
 
 
 @query()

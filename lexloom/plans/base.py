@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import re
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
@@ -40,6 +41,23 @@ def _literal(value) -> str:
     return str(value) if isinstance(value, int | float) else "'" + str(value).replace("'", "''") + "'"
 
 
+_TABLES = "region nation customer supplier part orders lineitem events documents embeddings pages benchmark labels conversations".split()
+
+
+class Derived:
+    """Input of an operator made from the whole tables by one SQL text that both engines read."""
+
+    def __init__(self, body: str):
+        self.body, self.sql = body, f"({body})"
+
+    def df(self, spark: SparkSession, sf_dir: str) -> DataFrame:
+        used = [t for t in _TABLES if re.search(rf"\b{t}\b", self.body)]
+        body = self.body.replace("{", "{{").replace("}", "}}")
+        for t in used:
+            body = re.sub(rf"\b{t}\b", f"{{{t}}}", body)
+        return spark.sql(body, **{t: table(spark, sf_dir, t) for t in used})
+
+
 class Inline:
     """A small fixed table, as a DataFrame and as a SQL subquery."""
 

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from ..operators import datasets, evaluate, observe, report
-from .base import Inline, query, table
+from .base import Derived, Inline, query, table
 
 
 @query("SELECT doc_id, lang, n_chars FROM documents WHERE lang = 'en' AND length(text) >= 40")
@@ -37,12 +37,12 @@ def quota_window_count(spark, d):
     return e.join(F.broadcast(last), F.col("ts").cast("timestamp") >= F.col("since")).filter(F.col("event_type").isin("click", "error")).groupBy("user_id").agg(F.count("*").alias("n"))
 
 
-_ERRORS = Inline("id int, severity string, explanation string, citation string", (1, "low", "a", "b"), (2, None, "a", "b"), (3, "high", None, None))
+_ERRORS = Derived("SELECT doc_id AS id, CASE WHEN doc_id % 3 = 0 THEN NULL ELSE lang END AS severity, CASE WHEN doc_id % 5 = 0 THEN NULL ELSE source END AS explanation, CASE WHEN doc_id % 7 = 0 THEN NULL ELSE text END AS citation FROM documents")
 
 
 @query(f"SELECT id, concat_ws(',', CASE WHEN severity IS NULL THEN 'severity' END, CASE WHEN explanation IS NULL THEN 'explanation' END, CASE WHEN citation IS NULL THEN 'citation' END) AS missing FROM {_ERRORS.sql}")
 def missing_fields(spark, d):
-    return datasets.missing_fields(_ERRORS.df(spark), "severity", "explanation", "citation").select("id", "missing")
+    return datasets.missing_fields(_ERRORS.df(spark, d), "severity", "explanation", "citation").select("id", "missing")
 
 
 @query("SELECT o_orderkey, o_orderpriority, l_linenumber, l_partkey FROM orders JOIN lineitem ON o_orderkey = l_orderkey WHERE o_orderstatus = 'F'")
@@ -142,7 +142,10 @@ def stage_current(spark, d):
     return report.current_stage(table(spark, d, "events"), "user_id", "event_type", "ts", "event_id")
 
 
-_STATUS = Inline("id int, stage string, status string", (1, None, "complete"), (2, "embedding", "failed"), (3, None, "failed"), (4, "chunking", "complete"), (5, "chunking", "processing"), (6, None, "processing"))
+_STATUS = Derived(
+    """SELECT event_id AS id, CASE event_id % 7 WHEN 0 THEN 'extracting' WHEN 1 THEN 'chunking' WHEN 2 THEN 'embedding' WHEN 3 THEN 'flagging' WHEN 4 THEN 'complete' WHEN 5 THEN 'persisting' END AS stage,
+    CASE user_id % 3 WHEN 0 THEN 'complete' WHEN 1 THEN 'failed' ELSE 'processing' END AS status FROM events"""
+)
 
 
 @query(
@@ -152,7 +155,7 @@ _STATUS = Inline("id int, stage string, status string", (1, None, "complete"), (
 )
 def stage_writes(spark, d):
     s, t = F.col("stage"), F.col("status")
-    return _STATUS.df(spark).select("id", report.terminal_stage(s, t).alias("terminal"), report.backfill_stage(s, t).alias("backfilled"), report.progress_index(s).alias("progress"))
+    return _STATUS.df(spark, d).select("id", report.terminal_stage(s, t).alias("terminal"), report.backfill_stage(s, t).alias("backfilled"), report.progress_index(s).alias("progress"))
 
 
 @query("SELECT event_type, count(value) AS n, min(value) AS min, max(value) AS max, round(avg(value), 6) AS mean, quantile_disc(value, 0.5) AS p50, quantile_disc(value, 0.95) AS p95 FROM events GROUP BY event_type")
@@ -165,19 +168,16 @@ def timing_percentiles_empty(spark, d):
     return observe.percentiles(table(spark, d, "events").filter("value > 1e300"), "value").select("n", "p50", "p95")
 
 
-_LOG = Inline(
-    "value string",
-    ('2024-01-01 INFO TIMING {"stage": "rerank", "duration_ms": 312.456, "timestamp": "2024-01-01T00:00:00+00:00", "n_candidates": 20}',),
-    ('TIMING {"stage": "embed", "duration_ms": "12", "timestamp": "x"}',),
-    ("TIMING {broken",),
-    ("no timing here",),
-    ('TIMING {"stage": "flag", "duration_ms": 7, "timestamp": "2024-01-02T03:04:05+00:00", "contract_id": "c"}',),
+_LOG = Derived(
+    """SELECT event_id, CASE event_id % 6 WHEN 0 THEN 'no timing here' WHEN 1 THEN 'TIMING {broken' WHEN 2 THEN concat('TIMING {"stage": "', event_type, '", "duration_ms": "12", "timestamp": "x"}')
+    WHEN 3 THEN concat('INFO TIMING {"stage": "', event_type, '", "duration_ms": ', event_id % 500, '.5, "timestamp": "2024-01-01T00:00:00+00:00", "n_candidates": ', user_id, '}  ')
+    WHEN 4 THEN concat('TIMING {"stage": "', event_type, '", "duration_ms": ', event_id, ', "timestamp": "2024-01-02T03:04:05+00:00", "contract_id": "c', user_id, '"}') ELSE concat('TIMING ', props) END AS value FROM events"""
 )
 
 
-@query("SELECT * FROM (VALUES ('rerank', 312.456::DOUBLE, NULL::VARCHAR, 20::INTEGER), ('flag', 7::DOUBLE, 'c', NULL)) AS v(stage, duration_ms, contract_id, n_candidates)")
+@query(f"SELECT regexp_extract(value, '\"stage\": \"(\\w+)\"', 1) AS stage, CASE WHEN event_id % 6 = 3 THEN event_id % 500 + 0.5 ELSE event_id END::DOUBLE AS duration_ms, CASE WHEN event_id % 6 = 4 THEN regexp_extract(value, 'c\\d+') END AS contract_id, CASE WHEN event_id % 6 = 3 THEN CAST(regexp_extract(value, 'n_candidates\": (\\d+)', 1) AS INTEGER) END AS n_candidates FROM {_LOG.sql} WHERE event_id % 6 IN (3, 4)")
 def timing_log_parse(spark, d):
-    return observe.parse_timing(_LOG.df(spark)).select("stage", "duration_ms", "contract_id", "n_candidates")
+    return observe.parse_timing(_LOG.df(spark, d)).select("stage", "duration_ms", "contract_id", "n_candidates")
 
 
 @query(
@@ -188,29 +188,31 @@ def precision_recall(spark, d):
     return evaluate.binary_confusion(table(spark, d, "labels").select((F.col("toxic") == 1).alias("a"), (F.col("quality") == 0).alias("p")), "a", "p")
 
 
-_CITED = Inline("id int, body string, citation string", (1, "the  parties\nagree to pay", "parties agree"), (2, "the parties agree", "parties concur"), (3, "text", ""), (4, "text", None))
+_CITED = Derived("SELECT doc_id AS id, text AS body, CASE doc_id % 6 WHEN 0 THEN '' WHEN 1 THEN NULL WHEN 2 THEN concat('no such words', doc_id) WHEN 3 THEN left(text, 40) ELSE replace(substr(text, 10, 60), ' ', '  ') END AS citation FROM documents")
 
 
 @query(f"SELECT id, coalesce(trim(regexp_replace(citation, '\\s+', ' ', 'g')), '') <> '' AND contains(trim(regexp_replace(body, '\\s+', ' ', 'g')), coalesce(trim(regexp_replace(citation, '\\s+', ' ', 'g')), '')) AS resolved FROM {_CITED.sql}")
 def citation_resolved_edges(spark, d):
-    return _CITED.df(spark).select("id", evaluate.citation_resolved(F.col("body"), F.col("citation")).alias("resolved"))
+    return _CITED.df(spark, d).select("id", evaluate.citation_resolved(F.col("body"), F.col("citation")).alias("resolved"))
 
 
 @query("SELECT b.item_id, count(d.doc_id) AS n_docs FROM benchmark b LEFT JOIN documents d ON contains(trim(regexp_replace(d.text, '\\s+', ' ', 'g')), trim(regexp_replace(b.text, '\\s+', ' ', 'g'))) GROUP BY b.item_id")
 def citation_resolved(spark, d):
-    """Which benchmark passages occur in documents. The passages are a fixed query set (a small side by its own size)."""
+    """Which benchmark passages occur in documents, after white space is evened out."""
     docs = table(spark, d, "documents").select("doc_id", F.trim(F.regexp_replace("text", r"\s+", " ")).alias("body"))
     items = table(spark, d, "benchmark").select("item_id", F.trim(F.regexp_replace("text", r"\s+", " ")).alias("passage"))
-    hits = docs.join(items, F.contains("body", "passage")).groupBy("item_id").agg(F.count("*").alias("n"))
+    hits = evaluate.containing(docs, "body", items, "passage", "doc_id", "item_id").groupBy("item_id").agg(F.count("*").alias("n"))
     return items.join(hits, "item_id", "left").select("item_id", F.coalesce("n", F.lit(0)).alias("n_docs"))
 
 
-_SEV = Inline("a string, b string", ("low", "low"), ("low", "medium"), ("high", "low"), ("medium", "high"))
+_SEV = Derived(
+    """SELECT l_orderkey, l_linenumber, CASE l_returnflag WHEN 'R' THEN 'high' WHEN 'A' THEN 'medium' ELSE 'low' END AS a, CASE l_linenumber % 3 WHEN 0 THEN 'low' WHEN 1 THEN 'medium' ELSE 'high' END AS b FROM lineitem"""
+)
 
 
-@query(f"SELECT a, b, CASE abs(list_position(['low', 'medium', 'high'], a) - list_position(['low', 'medium', 'high'], b)) WHEN 0 THEN 'EXACT' WHEN 1 THEN 'CLOSE' ELSE 'FAR' END AS closeness, a <> 'low' AS flagged FROM {_SEV.sql}")
+@query(f"SELECT l_orderkey, l_linenumber, CASE abs(list_position(['low', 'medium', 'high'], a) - list_position(['low', 'medium', 'high'], b)) WHEN 0 THEN 'EXACT' WHEN 1 THEN 'CLOSE' ELSE 'FAR' END AS closeness, a <> 'low' AS flagged FROM {_SEV.sql}")
 def severity_closeness(spark, d):
-    return _SEV.df(spark).select("a", "b", evaluate.severity_closeness(F.col("a"), F.col("b")).alias("closeness"), (F.col("a") != "low").alias("flagged"))
+    return _SEV.df(spark, d).select("l_orderkey", "l_linenumber", evaluate.severity_closeness(F.col("a"), F.col("b")).alias("closeness"), (F.col("a") != "low").alias("flagged"))
 
 
 @query("SELECT min(doc_id) AS doc_id, sha256(concat(lang, chr(1), text)) AS key FROM documents GROUP BY lang, text")
@@ -231,13 +233,30 @@ _TARGETS = Inline("lang string, target int", ("en", 12), ("de", 5), ("fr", 10000
 
 
 @query(
-    f"""SELECT doc_id, lang, format('{{}}_{{:04d}}', lang, k - 1) AS sample_id FROM (SELECT doc_id, lang, target, row_number() OVER (PARTITION BY lang ORDER BY md5('42' || doc_id), doc_id) AS k FROM documents JOIN {_TARGETS.sql} USING (lang)) WHERE k <= target"""
+    f"""SELECT doc_id, lang, format('{{}}_{{:04d}}', lang, k - 1) AS sample_id, target > n AS short FROM (SELECT doc_id, lang, target, count(*) OVER (PARTITION BY lang) AS n, row_number() OVER (PARTITION BY lang ORDER BY md5('42' || doc_id), doc_id) AS k FROM documents JOIN {_TARGETS.sql} USING (lang)) WHERE k <= target"""
 )
 def stratified_sample(spark, d):
-    return datasets.stratified_sample(table(spark, d, "documents").select("doc_id", "lang"), _TARGETS.df(spark), ["lang"], "doc_id").select("doc_id", "lang", "sample_id")
+    return datasets.stratified_sample(table(spark, d, "documents").select("doc_id", "lang"), _TARGETS.df(spark), ["lang"], "doc_id", allow_short=True).select("doc_id", "lang", "sample_id", "short")
+
+
+_LABELS = Derived("SELECT CASE event_type WHEN 'click' THEN 'ok' WHEN 'error' THEN 'flagging_failed' WHEN 'view' THEN 'odd' WHEN 'signup' THEN NULL ELSE 'ok' END AS status FROM events")
+
+
+@query(
+    f"""WITH c AS (SELECT coalesce(status, 'UNKNOWN') AS status, count(*) AS n FROM {_LABELS.sql} GROUP BY 1), k AS (SELECT unnest(['ok', 'flagging_failed', 'needs_manual_review']) AS status)
+    SELECT status, coalesce(n, 0) AS n, k.status IS NOT NULL AS expected FROM k FULL JOIN c USING (status)"""
+)
+def status_counts(spark, d):
+    return datasets.status_counts(_LABELS.df(spark, d), "status")
 
 
-@query()
+@query(
+    """WITH RECURSIVE g AS (SELECT source, count(*) AS n, sum(count(*)) OVER () AS total, row_number() OVER (ORDER BY count(*) DESC, source) AS k FROM documents GROUP BY source),
+    f AS (SELECT CAST(0 AS BIGINT) AS k, [0.0::DOUBLE, 0.0, 0.0] AS have, CAST(NULL AS VARCHAR) AS source, 0 AS pick
+      UNION ALL SELECT k, list_transform(have, lambda h, i: h + CASE WHEN i = pick THEN n ELSE 0 END), source, pick FROM (
+        SELECT g.k, g.source, g.n, have, list_position(gaps, list_max(gaps)) AS pick FROM (SELECT f.k AS before, f.have, list_transform([0.7::DOUBLE, 0.15, 0.15], lambda s, i: round(s * t.total - f.have[i], 6)) AS gaps FROM f, (SELECT any_value(total) AS total FROM g) t) JOIN g ON g.k = before + 1))
+    SELECT source, ['train', 'val', 'test'][pick] AS split FROM f WHERE k > 0"""
+)
 def deficit_assign(spark, d):
     groups = table(spark, d, "documents").groupBy("source").agg(F.count("*").alias("n"))
     return datasets.deficit_assign(groups, "source", "n", {"train": 0.7, "val": 0.15, "test": 0.15})

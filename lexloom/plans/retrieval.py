@@ -6,7 +6,7 @@ from pyspark.sql import functions as F
 
 from ..functions import fixed, vectors
 from ..operators import classify, evaluate, retrieve
-from .base import Inline, query, spread, table
+from .base import Derived, Inline, query, spread, table
 
 _WORD = fixed.WORD
 _BM25 = rf"""items AS (SELECT lang AS scope, doc_id AS item_id, regexp_extract_all(lower(text), '{_WORD}') AS words FROM documents),
@@ -139,36 +139,64 @@ def centroid_gate(spark, d):
     return _best(spark, d, fixed.CENTROID_THRESHOLD).agg(F.count("*").alias("n"), F.count("assigned").alias("assigned"))
 
 
-_CONF = Inline("id int, heading string, category string, sim double", (1, "x", "x", None), (2, None, "x", None), (3, None, "x", 0.6), (4, None, "x", 0.6001), (5, None, None, 0.31239), (6, None, None, None))
-
-
-@query("SELECT * FROM (VALUES (1, 'heading_match', 'high', NULL::DOUBLE), (2, 'centroid', 'low', NULL), (3, 'centroid', 'low', 0.6), (4, 'centroid', 'high', 0.6001), (5, 'unclassified', 'low', 0.3124), (6, 'unclassified', 'low', NULL)) v(id, stage, confidence, similarity)")
+@query(
+    f"""WITH {_CENTROIDS}, p AS (SELECT vec_id, CASE WHEN vec_id % 4 = 0 THEN 'x' END AS heading, CASE WHEN vec_id % 5 > 0 THEN 'x' END AS category, CASE WHEN vec_id % 7 > 0 THEN sim * 3 END AS similarity FROM b)
+    SELECT vec_id, CASE WHEN heading IS NOT NULL THEN 'heading_match' WHEN category IS NULL THEN 'unclassified' ELSE 'centroid' END AS stage, CASE WHEN heading IS NOT NULL OR (category IS NOT NULL AND similarity > 0.6) THEN 'high' ELSE 'low' END AS confidence,
+    CASE WHEN heading IS NULL THEN round(similarity, 4) END AS similarity FROM p"""
+)
 def centroid_confidence(spark, d):
-    p = classify.provenance(F.col("heading"), F.col("category"), F.col("sim"))
-    return _CONF.df(spark).select("id", p.alias("p")).select("id", "p.*")
+    p = _best(spark, d, 0.2).withColumn("s", F.when(F.col("vec_id") % 7 > 0, F.col("similarity") * 3))
+    p = p.select("vec_id", classify.provenance(F.when(F.col("vec_id") % 4 == 0, "x"), F.when(F.col("vec_id") % 5 > 0, "x"), F.col("s")).alias("p"))
+    return p.select("vec_id", "p.*")
 
 
-_GATE = Inline("id int, category string, score double", (1, "Indemnification", 0.71), (2, "Indemnification", 0.7099), (3, None, 0.99), (4, "Other", 0.99), (5, "Termination", 0.9))
+_GATE = Derived("SELECT vec_id, CASE vec_id % 7 WHEN 0 THEN 'Indemnification' WHEN 1 THEN 'Termination' WHEN 2 THEN 'Confidentiality' WHEN 3 THEN 'Limitation of Liability' WHEN 4 THEN 'Governing Law / Jurisdiction' WHEN 5 THEN 'Other' END AS category, CAST(vec_id % 101 AS DOUBLE) / 100 AS score FROM embeddings")
+_LIMIT = "CASE category WHEN 'Indemnification' THEN 0.71::DOUBLE WHEN 'Termination' THEN 0.65 WHEN 'Confidentiality' THEN 0.68 WHEN 'Limitation of Liability' THEN 0.62 WHEN 'Governing Law / Jurisdiction' THEN 0.55 END"
 
 
-@query(f"SELECT id, CASE category WHEN 'Indemnification' THEN 0.71::DOUBLE WHEN 'Termination' THEN 0.65 END AS threshold, coalesce(score >= CASE category WHEN 'Indemnification' THEN 0.71::DOUBLE WHEN 'Termination' THEN 0.65 END, false) AS is_confident FROM {_GATE.sql}")
+@query(f"SELECT vec_id, {_LIMIT} AS threshold, coalesce(score >= {_LIMIT}, false) AS is_confident FROM {_GATE.sql}")
 def threshold_gate(spark, d):
-    return retrieve.gate(_GATE.df(spark), F.col("category"), F.col("score")).select("id", "threshold", "is_confident")
+    return retrieve.gate(_GATE.df(spark, d), F.col("category"), F.col("score")).select("vec_id", "threshold", "is_confident")
 
 
 _TRUTH = "truth AS (SELECT b.item_id AS query_id, d.doc_id AS item_id, d.lang AS scope FROM benchmark b JOIN documents d ON contains(d.text, b.text))"
-_HITS = f"""{_BM25}, {_KEYWORDS}, {_TRUTH},
-    r AS (SELECT 'bm25' AS method, query_id, item_id, rank FROM bm WHERE rank <= 20 UNION ALL SELECT 'keyword', query_id, item_id, rank FROM kw WHERE rank <= 20),
+_LETTERS = "abcdefghijklmnopqrstuvwxyz"
+_FREQ = f"list_transform(string_split('{','.join(_LETTERS)}', ','), lambda c: CAST(100 * (length(t) - length(replace(t, c, ''))) AS DOUBLE) / greatest(length(t), 1))"
+_HYBRID = f"""iv AS (SELECT lang AS scope, doc_id AS item_id, {_FREQ} AS e FROM (SELECT *, lower(text) AS t FROM documents)), qv AS (SELECT item_id AS query_id, {_FREQ} AS e FROM (SELECT *, lower(text) AS t FROM benchmark)),
+    vec AS (SELECT *, row_number() OVER (PARTITION BY query_id, scope ORDER BY distance, item_id) AS rank FROM (SELECT query_id, scope, item_id, round(list_sum(list_transform(list_zip(a.e, b.e), lambda p: (p[1] - p[2]) * (p[1] - p[2]))), 6) AS distance FROM qv a, iv b)),
+    hy AS (SELECT *, row_number() OVER (PARTITION BY query_id, scope ORDER BY score DESC, item_id) AS rank FROM (SELECT query_id, scope, item_id, round(sum(1.0 / (60 + rank)), 9) AS score FROM (SELECT query_id, scope, item_id, rank FROM bm WHERE rank <= 20 UNION ALL SELECT query_id, scope, item_id, rank FROM vec WHERE rank <= 20) GROUP BY ALL)),
+    qn AS (SELECT query_id, count(DISTINCT term) AS n FROM q GROUP BY query_id),
+    re AS (SELECT *, row_number() OVER (PARTITION BY query_id, scope ORDER BY score DESC, item_id) AS rank FROM (SELECT hy.query_id, hy.scope, hy.item_id, round(1 / (1 + exp(-(8 * (coalesce(kw.score, 0) / n) - 4))), 6) AS score FROM hy JOIN qn USING (query_id) LEFT JOIN kw USING (query_id, scope, item_id) WHERE hy.rank <= 20))"""
+_HITS = f"""{_BM25}, {_KEYWORDS}, {_TRUTH}, {_HYBRID},
+    r AS (SELECT 'bm25' AS method, query_id, item_id, rank FROM bm WHERE rank <= 20 UNION ALL SELECT 'keyword', query_id, item_id, rank FROM kw WHERE rank <= 20 UNION ALL SELECT 'vector', query_id, item_id, rank FROM vec WHERE rank <= 20
+      UNION ALL SELECT 'hybrid', query_id, item_id, rank FROM hy WHERE rank <= 20 UNION ALL SELECT 'reranked', query_id, item_id, rank FROM re WHERE rank <= 5),
     best AS (SELECT m.method, t.query_id, min(r.rank) AS best FROM (SELECT DISTINCT query_id FROM truth) t CROSS JOIN (SELECT DISTINCT method FROM r) m
       LEFT JOIN (SELECT r.* FROM r JOIN truth USING (query_id, item_id)) r ON r.method = m.method AND r.query_id = t.query_id GROUP BY ALL),
     hits AS (SELECT method, query_id, CAST(k AS INTEGER) AS k, coalesce(best <= k, false) AS hit FROM best, (SELECT unnest([1, 3, 5]) AS k))"""
 
 
+def _letters(text):
+    """The offline embedder of the evaluation: how often each letter occurs in a hundred characters."""
+    n = F.greatest(F.length(text), F.lit(1))
+    return F.array(*((100 * (F.length(text) - F.length(F.replace(text, F.lit(c), F.lit(""))))).cast("double") / n for c in _LETTERS))
+
+
 def _hits(spark, d):
+    """Five rankings of the same pools: keywords, BM25, vectors, the last two fused, and those re-scored."""
     docs, items = _items(spark, d), _queries(spark, d)
-    truth = docs.join(items.withColumnRenamed("text", "passage"), F.contains("text", "passage")).select("query_id", "item_id")
-    rank = lambda name, df: df.select(F.lit(name).alias("method"), "query_id", "item_id", "rank")
-    rankings = rank("bm25", retrieve.bm25(items, docs, fixed.POOL)).unionByName(rank("keyword", retrieve.keyword_overlap(items, docs, fixed.POOL)))
+    truth = evaluate.containing(docs, "text", items, "text", "item_id", "query_id")
+    low = F.lower("text")
+    asked = items.crossJoin(F.broadcast(docs.select("scope").distinct())).select("query_id", "scope", _letters(low).alias("embedding"))
+    near = retrieve.knn(asked, docs.select("scope", "item_id", _letters(low).alias("embedding")))
+    words = retrieve.bm25(items, docs, fixed.POOL)
+    fused = retrieve.fuse(words, near, limit=fixed.POOL)
+    full = fused.select("query_id", "scope", "item_id").join(docs, ["scope", "item_id"]).join(items.withColumnRenamed("text", "query_text"), "query_id")
+    again = retrieve.ranked(full.withColumn("score", F.round(retrieve.overlap_rerank(full), 6)), fixed.TOP_K)
+    methods = {"bm25": words, "keyword": retrieve.keyword_overlap(items, docs, fixed.POOL), "vector": near, "hybrid": fused, "reranked": again}
+    rankings = None
+    for name, df in methods.items():
+        df = df.select(F.lit(name).alias("method"), "query_id", "item_id", "rank")
+        rankings = df if rankings is None else rankings.unionByName(df)
     return evaluate.hits(rankings, truth)
 
 
@@ -239,15 +267,19 @@ def threshold_gap(spark, d):
     return evaluate.threshold_gap(rows, thresholds)
 
 
-@query()
+_CATEGORY = "CASE item_id % 5 WHEN 0 THEN 'Confidentiality' WHEN 1 THEN 'Governing Law / Jurisdiction' WHEN 2 THEN 'Indemnification' WHEN 3 THEN 'Limitation of Liability' ELSE 'Termination' END"
+
+
+@query(
+    f"""WITH {_BM25}, {_KEYWORDS}, {_HYBRID}, found AS (SELECT query_id, scope, item_id, {_CATEGORY} AS category, score, rank FROM re WHERE rank <= 5)
+    SELECT *, {_LIMIT} AS threshold, score >= {_LIMIT} AS is_confident FROM found"""
+)
 def search_gated(spark, d):
     """Full hybrid search: benchmark passages in the scopes of their language peers, offline embedder and re-scorer."""
-    from ..operators import providers
-
+    low = F.lower("text")
     docs = _items(spark, d).withColumn("category", F.element_at(F.array(*(F.lit(c) for c in fixed.CATEGORIES)), F.pmod(F.col("item_id"), F.lit(5)).cast("int") + 1))
-    items = providers.hashed_embedding(docs.select("scope", "item_id", "category", "text")).join(docs.select("scope", "item_id", "text"), ["scope", "item_id"])
-    q = _queries(spark, d).crossJoin(F.broadcast(docs.select("scope").distinct()))
-    queries = providers.hashed_embedding(q.select("query_id", "scope", "text")).join(q, ["query_id", "scope"])
+    items = docs.withColumn("embedding", _letters(low))
+    queries = _queries(spark, d).crossJoin(F.broadcast(docs.select("scope").distinct())).withColumn("embedding", _letters(low))
     return _long(retrieve.search(queries, items)).select("query_id", "scope", "item_id", "category", "score", "rank", "threshold", "is_confident")
 
 

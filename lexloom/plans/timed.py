@@ -6,9 +6,9 @@ import uuid
 
 from pyspark.sql import functions as F
 
-from ..operators import assess, quota
+from ..operators import assess, quota, report
 from ..streaming import twins
-from .base import Inline, query, table
+from .base import Derived, query, table
 
 
 @query(
@@ -30,32 +30,48 @@ def pace_fixed_floor(spark, d):
     return quota.fixed_floor_pace(e, "user_id", "event_id", "at").select("event_id", "start_s")
 
 
-_SENDS = Inline("user_id int, n int, at double", *[(1, k, float(t)) for k, t in enumerate((0, 30, 61, 130, 200, 270, 340, 899, 901, 961), 1)], (2, 1, 5.0))
+#: Requests that come close enough to one another for every rule: seconds from the event's id.
+_SENDS = Derived("SELECT user_id, event_id, CAST((event_id * 37) % 4000 + event_id % 7 AS DOUBLE) AS sec FROM events")
 
 
 @query(
-    """SELECT * FROM (VALUES (1, 1, true, NULL::BIGINT), (1, 2, false, 31), (1, 3, true, NULL), (1, 4, true, NULL), (1, 5, true, NULL), (1, 6, true, NULL), (1, 7, false, 561), (1, 8, false, 2), (1, 9, true, NULL), (1, 10, true, NULL), (2, 1, true, NULL)) v(user_id, n, sent, retry_after_s)"""
+    f"""WITH RECURSIVE e AS (SELECT *, row_number() OVER (PARTITION BY user_id ORDER BY sec, event_id) AS k FROM {_SENDS.sql}),
+    p AS (SELECT user_id, event_id, k, true AS sent, CAST(NULL AS BIGINT) AS retry_after_s, sec AS first, sec AS last, 1 AS n FROM e WHERE k = 1
+      UNION ALL SELECT user_id, event_id, k, NOT cool AND NOT full_, CAST(CASE WHEN cool THEN floor(60 - (sec - last)) + 1 WHEN full_ THEN floor(900 - (sec - first)) + 1 END AS BIGINT),
+        CASE WHEN NOT cool AND NOT full_ AND fresh THEN sec ELSE first END, CASE WHEN NOT cool AND NOT full_ THEN sec ELSE last END, CASE WHEN cool OR full_ THEN n WHEN fresh THEN 1 ELSE n + 1 END
+      FROM (SELECT e.user_id, e.event_id, e.k, e.sec, p.first, p.last, p.n, e.sec - p.last < 60 AS cool, e.sec - p.first >= 900 AS fresh, e.sec - p.first < 900 AND p.n >= 5 AS full_ FROM p JOIN e ON e.user_id = p.user_id AND e.k = p.k + 1))
+    SELECT user_id, event_id, sent, retry_after_s FROM p"""
 )
 def otp_window(spark, d):
-    return quota.otp_sends(_SENDS.df(spark), "user_id", "n", "at").select("user_id", F.col("n").cast("int").alias("n"), "sent", "retry_after_s")
+    return quota.otp_sends(_SENDS.df(spark, d), "user_id", "event_id", "sec").select("user_id", "event_id", "sent", "retry_after_s")
 
 
-_TRIES = Inline("user_id int, n int, at double, issued double, ok boolean", *[(1, k, float(k), 0.0, k == 7) for k in range(1, 8)], (2, 1, 1.0, 0.0, False), (2, 2, 2.0, 0.0, True), (2, 3, 3.0, 0.0, True), (3, 1, 601.0, 0.0, True))
+_TRIES = Derived("SELECT user_id * 1000 + event_id % 40 AS code_id, event_id, CAST(event_id % 640 AS DOUBLE) AS sec, CAST(0 AS DOUBLE) AS issued, event_id % 9 = 0 AS ok FROM events")
 
 
 @query(
-    """SELECT * FROM (VALUES (1, 1, 'wrong'), (1, 2, 'wrong'), (1, 3, 'wrong'), (1, 4, 'wrong'), (1, 5, 'locked'), (1, 6, 'cleared'), (1, 7, 'cleared'), (2, 1, 'wrong'), (2, 2, 'verified'), (2, 3, 'cleared'), (3, 1, 'expired')) v(user_id, n, verdict)"""
+    f"""WITH RECURSIVE e AS (SELECT *, row_number() OVER (PARTITION BY code_id ORDER BY sec, event_id) AS k FROM {_TRIES.sql}),
+    p AS (SELECT code_id, event_id, k, CASE WHEN sec - issued > 600 THEN 'expired' WHEN ok THEN 'verified' ELSE 'wrong' END AS verdict, 1 AS wrong FROM e WHERE k = 1
+      UNION ALL SELECT e.code_id, e.event_id, e.k, CASE WHEN p.verdict <> 'wrong' THEN 'cleared' WHEN e.sec - e.issued > 600 THEN 'expired' WHEN e.ok THEN 'verified' WHEN p.wrong + 1 >= 5 THEN 'locked' ELSE 'wrong' END, p.wrong + 1 FROM p JOIN e ON e.code_id = p.code_id AND e.k = p.k + 1)
+    SELECT code_id, event_id, verdict FROM p"""
 )
 def otp_verify(spark, d):
-    return quota.otp_verify(_TRIES.df(spark), "user_id", "n", "at", "ok", "issued").select("user_id", F.col("n").cast("int").alias("n"), "verdict")
+    return quota.otp_verify(_TRIES.df(spark, d), "code_id", "event_id", "sec", "ok", "issued").select("code_id", "event_id", "verdict")
 
 
-_CALLS = Inline("provider string, n int, at double, tokens int", ("p", 1, 0.0, 4000), ("p", 2, 1.0, 4000), ("p", 3, 2.0, 4000), ("p", 4, 300.0, 20000), ("q", 1, 10.0, 1))
+_CALLS = Derived("SELECT user_id AS provider, event_id, CAST((event_id * 13) % 3000 AS DOUBLE) AS sec, CAST(500 + (event_id * 97) % 6000 AS INTEGER) AS tokens FROM events")
 
 
-@query("SELECT * FROM (VALUES ('p', 1, 0.0::DOUBLE), ('p', 2, 21.0), ('p', 3, 60.0), ('p', 4, 300.0), ('q', 1, 10.0)) v(provider, n, start_s)")
+@query(
+    f"""WITH RECURSIVE e AS (SELECT *, row_number() OVER (PARTITION BY provider ORDER BY sec, event_id) AS k FROM {_CALLS.sql}),
+    p AS (SELECT provider, event_id, k, sec AS start_s, [{{'t': sec, 'n': tokens}}] AS held FROM e WHERE k = 1
+      UNION ALL SELECT provider, event_id, k, start_s, list_append(held, {{'t': start_s, 'n': tokens}}) FROM (
+        SELECT *, now + greatest(21 - (now - last), CASE WHEN len(held) > 0 AND coalesce(list_sum(list_transform(held, lambda h: h.n)), 0) + tokens > 10000 THEN 60 - (now - held[1].t) ELSE 0 END, 0) AS start_s FROM (
+          SELECT *, list_filter(before, lambda h: now - h.t < 60) AS held FROM (SELECT e.provider, e.event_id, e.k, e.tokens, p.start_s AS last, greatest(e.sec, p.start_s) AS now, p.held AS before FROM p JOIN e ON e.provider = p.provider AND e.k = p.k + 1))))
+    SELECT provider, event_id, start_s FROM p"""
+)
 def token_pace(spark, d):
-    return quota.token_pace(_CALLS.df(spark), "provider", "n", "at", "tokens").select("provider", F.col("n").cast("int").alias("n"), "start_s")
+    return quota.token_pace(_CALLS.df(spark, d), "provider", "event_id", "sec", "tokens").select("provider", "event_id", "start_s")
 
 
 @query(r"SELECT lang, count(*) AS n_calls, sum(n_chars)::BIGINT AS tokens, (count(*) - 1) * 21 AS seconds, sum(n_chars) > 10000 AS over_budget FROM documents GROUP BY lang")
@@ -76,19 +92,30 @@ def circuit_breaker(spark, d):
     return assess.circuit_breaker(e, "user_id", "ts", "event_id", tripped=F.col("event_type") == "error").select("event_id", "user_id", "skipped")
 
 
-_OUT = Inline("id int, outcome string, n_calls int, skipped boolean", (1, "ok", 1, False), (2, "ok", 3, False), (3, "exhausted", 2, False), (4, "ok", 1, True))
-
-
-@query("SELECT * FROM (VALUES (1, 0, 'clause_ok'), (2, 0, 'api_retry'), (2, 1, 'api_retry'), (2, 2, 'clause_ok'), (3, 0, 'api_retry'), (3, 1, 'clause_exhausted'), (4, 0, 'clause_skipped')) v(id, seq, event_type)")
-def audit_explode(spark, d):
-    return assess.audit_events(_OUT.df(spark), "id")
+_OUTCOMES = Derived(
+    "SELECT event_id AS id, CASE event_id % 5 WHEN 0 THEN 'review' WHEN 1 THEN 'exhausted' WHEN 2 THEN 'failed' ELSE 'ok' END AS outcome, event_id % 7 = 0 AS skipped, CASE user_id % 3 WHEN 0 THEN 'low' WHEN 1 THEN 'medium' ELSE 'high' END AS severity, CASE WHEN user_id % 4 = 0 THEN NULL ELSE event_type END AS citation, props AS text FROM events"
+)
 
 
-@query("SELECT * FROM (VALUES (1, 'high', 'c'), (2, 'flagging_failed', 't'), (3, 'needs_manual_review', 't'), (4, 'low', 't')) v(id, severity, citation)")
+@query(
+    f"""SELECT id, CASE WHEN skipped OR outcome IN ('exhausted', 'failed') THEN 'flagging_failed' WHEN outcome = 'review' THEN 'needs_manual_review' ELSE severity END AS severity,
+    CASE WHEN skipped OR outcome IN ('exhausted', 'failed') OR outcome = 'review' THEN text ELSE coalesce(citation, text) END AS citation FROM {_OUTCOMES.sql}"""
+)
 def outcome_rows(spark, d):
-    rows = spark.createDataFrame([(1, "ok", False, "high", "c"), (2, "ok", True, "high", "c"), (3, "review", False, None, None), (4, "ok", False, "low", None)], "id int, outcome string, skipped boolean, severity string, citation string")
     flag = F.struct("severity", F.lit("e").alias("explanation"), "citation")
-    return rows.select("id", assess.outcome_row(F.col("outcome"), F.col("skipped"), flag, F.lit("t")).alias("r")).select("id", "r.severity", "r.citation")
+    return _OUTCOMES.df(spark, d).select("id", assess.outcome_row(F.col("outcome"), F.col("skipped"), flag, F.col("text")).alias("r")).select("id", "r.severity", "r.citation")
+
+
+_POLLS = Derived("SELECT user_id, event_id, event_type <> 'error' AND event_id % 3 = 0 AS found, event_type AS stage FROM events")
+
+
+@query(
+    f"""WITH r AS (SELECT *, sum(CAST(found AS INTEGER)) OVER (PARTITION BY user_id ORDER BY event_id) AS run FROM {_POLLS.sql}),
+    m AS (SELECT *, sum(CASE WHEN found THEN 0 ELSE 1 END) OVER (PARTITION BY user_id, run ORDER BY event_id) AS misses FROM r)
+    SELECT user_id, event_id, CASE WHEN found THEN stage WHEN misses <= 3 THEN 'waiting' ELSE 'not_found' END AS state FROM m"""
+)
+def poll_state(spark, d):
+    return report.poll_state(_POLLS.df(spark, d), "user_id", "event_id")
 
 
 def _drained(spark, sf_dir, build, *keys):

@@ -2,15 +2,24 @@
 
 from __future__ import annotations
 
+import functools
 import io
+import os
+import pickle
 import re
+import select
+import signal
+import struct
+import subprocess
+import sys
+import time
 import zipfile
+import zlib
 from collections.abc import Callable, Iterator
-from concurrent.futures import ThreadPoolExecutor
-from concurrent.futures import TimeoutError as Late
 from xml.etree import ElementTree
 
 import pyarrow as pa
+from pyspark import cloudpickle
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -20,7 +29,8 @@ PAGES = "path string, page_number int, text string, ocr_derived boolean, status
 EXTRACT_TIMEOUT_S = 120
 _DOCX = "{http://schemas.openxmlformats.org/wordprocessingml/2006/main}"
 
-Parser = Callable[[bytes], list[str]]
+#: Gives the pages of a file; a page may be a function that gives its text, and one that fails is an empty page.
+Parser = Callable[[bytes], list]
 
 
 def read_binary(spark: SparkSession, path: str, pattern: str | None = None) -> DataFrame:
@@ -48,36 +58,124 @@ def docx_pages(content: bytes) -> list[str]:
     return ["\n".join("".join(t.text or "" for t in p.iter(f"{_DOCX}t")) for p in root.iter(f"{_DOCX}p"))]
 
 
-def plain_pdf_pages(content: bytes) -> list[str]:
-    """Literal strings of uncompressed content streams, a page per stream: a stand-in for a real parser."""
-    streams = re.findall(rb"stream\r?\n(.*?)endstream", content, re.S)
-    shown = [re.findall(rb"\(((?:[^()\\]|\\.)*)\)\s*Tj", s) for s in streams]
-    return ["\n".join(re.sub(rb"\\(.)", rb"\1", t).decode("latin-1") for t in page) for page in shown]
+def plain_pdf_pages(content: bytes) -> list:
+    """Literal strings of the content streams, plain or deflated, a page per stream: a stand-in for a real parser."""
 
+    def shown(stream: bytes, packed: bool) -> str:
+        body = zlib.decompress(stream.strip(b"\r\n")) if packed else stream
+        return "\n".join(re.sub(rb"\\(.)", rb"\1", t).decode("latin-1") for t in re.findall(rb"\(((?:[^()\\]|\\.)*)\)\s*Tj", body))
+
+    found = re.findall(rb"(/FlateDecode[^>]*>>\s*)?stream\r?\n(.*?)endstream", content, re.S)
+    return [functools.partial(shown, stream, bool(packed)) for packed, stream in found]
 
-PARSERS: dict[str, Parser] = {"pdf": plain_pdf_pages, "docx": docx_pages}
 
+PARSERS: dict[str, Parser] = {"pdf": plain_pdf_pages, "docx": docx_pages}
 
-def extract_pages(files: DataFrame, parsers: dict[str, Parser] | None = None, timeout_s: int = EXTRACT_TIMEOUT_S) -> DataFrame:
-    """One row a page from (path, content, kind); a file that fails or takes too long gives one row with its status."""
+#: What an extraction process runs: length-prefixed pickles in and out, one for each file.
+_CHILD = """
+import pickle, struct, sys
+def take(n):
+    data = sys.stdin.buffer.read(n)
+    if len(data) < n:
+        sys.exit(0)
+    return data
+out, sys.stdout = sys.stdout.buffer, sys.stderr
+sys.path[:0] = pickle.loads(take(*struct.unpack(">Q", take(8))))
+parsers = pickle.loads(take(*struct.unpack(">Q", take(8))))
+while True:
+    kind, content = pickle.loads(take(*struct.unpack(">Q", take(8))))
+    try:
+        pages = []
+        for page in parsers[kind](content):
+            try:
+                pages.append(page() if callable(page) else page)
+            except Exception:
+                pages.append("")
+        answer = "ok", pages
+    except Exception as error:
+        answer = f"failed: {type(error).__name__}", []
+    data = pickle.dumps(answer)
+    out.write(struct.pack(">Q", len(data)) + data)
+    out.flush()
+"""
+
+
+class _Extractor:
+    """A process that parses files for a task; a late one is killed with all that it has started, and replaced."""
+
+    def __init__(self, parsers: dict[str, Parser]):
+        self.parsers, self.process = cloudpickle.dumps(parsers), None
+
+    def _send(self, data: bytes) -> None:
+        self.process.stdin.write(struct.pack(">Q", len(data)) + data)
+        self.process.stdin.flush()
+
+    def _take(self, n: int, deadline: float) -> bytes:
+        data = b""
+        while len(data) < n:
+            ready, _, _ = select.select([self.process.stdout], [], [], max(0.0, deadline - time.monotonic()))
+            if not ready:
+                raise TimeoutError
+            more = os.read(self.process.stdout.fileno(), min(n - len(data), 1 << 20))
+            if not more:
+                raise EOFError
+            data += more
+        return data
+
+    def pages(self, kind: str, content: bytes, timeout_s: float) -> tuple[str, list[str]]:
+        """(status, texts): ok, timeout, crashed (the process ended without an answer), or failed with the error's name."""
+        try:
+            if self.process is None:
+                self.process = subprocess.Popen([sys.executable, "-c", _CHILD], stdin=subprocess.PIPE, stdout=subprocess.PIPE, stderr=subprocess.DEVNULL, start_new_session=True)
+                self._send(pickle.dumps(sys.path))
+                self._send(self.parsers)
+            self._send(pickle.dumps((kind, content)))
+            deadline = time.monotonic() + timeout_s
+            return pickle.loads(self._take(*struct.unpack(">Q", self._take(8, deadline)), deadline))
+        except TimeoutError:
+            self.close()
+            return "timeout", []
+        except (EOFError, OSError):
+            self.close()
+            return "crashed", []
+
+    def close(self) -> None:
+        if self.process is not None:
+            try:
+                os.killpg(self.process.pid, signal.SIGKILL)
+            except ProcessLookupError:
+                pass
+            self.process.wait()
+            self.process.stdin = self.process.stdout = None
+            self.process = None
+
+
+def clean_utf8(value: str) -> str:
+    """Characters that UTF-8 cannot hold (lone surrogates) become question marks."""
+    return value.encode("utf-8", "replace").decode()
+
+
+def extract_pages(files: DataFrame, parsers: dict[str, Parser] | None = None, timeout_s: float = EXTRACT_TIMEOUT_S) -> DataFrame:
+    """One row a page from (path, content, kind); a file that fails, crashes or takes too long gives one row with its status.
+
+    Parsers run in a process of their own, so a file that hangs in foreign code or ends the process costs only itself. A page
+    that fails is empty.
+    """
     parsers = parsers or PARSERS
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            rows = []
-            for path, content, kind in zip(*(batch.column(c).to_pylist() for c in ("path", "content", "kind"))):
-                pool = ThreadPoolExecutor(1)
-                try:
-                    pages = pool.submit(parsers[kind], content or b"").result(timeout_s)
-                    rows += [(path, n, t.encode("utf-8", "replace").decode(), False, "ok") for n, t in enumerate(pages, 1)]
-                except Late:
-                    rows.append((path, 1, "", False, "timeout"))
-                except Exception as error:  # one bad file must not end the job
-                    rows.append((path, 1, "", False, f"failed: {type(error).__name__}"))
-                pool.shutdown(wait=False)
-            kinds = (pa.string(), pa.int32(), pa.string(), pa.bool_(), pa.string())
-            columns = zip(*rows) if rows else ([] for _ in kinds)
-            yield pa.RecordBatch.from_arrays([pa.array(list(c), k) for c, k in zip(columns, kinds)], names=["path", "page_number", "text", "ocr_derived", "status"])
+        extractor = _Extractor(parsers)
+        try:
+            for batch in batches:
+                rows = []
+                for path, content, kind in zip(*(batch.column(c).to_pylist() for c in ("path", "content", "kind"))):
+                    status, pages = extractor.pages(kind, content or b"", timeout_s)
+                    rows += [(path, n, clean_utf8(t), False, status) for n, t in enumerate(pages if status == "ok" else [""], 1)]
+                kinds = (pa.string(), pa.int32(), pa.string(), pa.bool_(), pa.string())
+                columns = zip(*rows) if rows else ([] for _ in kinds)
+                yield pa.RecordBatch.from_arrays([pa.array(list(c), k) for c, k in zip(columns, kinds)], names=["path", "page_number", "text", "ocr_derived", "status"])
+        finally:
+            extractor.close()
 
     return files.select("path", "content", "kind").mapInArrow(run, PAGES)
 

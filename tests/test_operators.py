@@ -112,6 +112,117 @@ def test_extract_pages(spark, tmp_path):
     assert got == [("a.docx", 1, "First\nSecond", "ok"), ("b.pdf", 1, "Page one", "ok"), ("b.pdf", 2, "Page (two)", "ok"), ("c.docx", 1, "", "failed")]
 
 
+def _hangs(content):
+    import subprocess
+    import time
+
+    subprocess.Popen(["sleep", "600"])
+    time.sleep(600)
+
+
+def _crashes(content):
+    import os
+
+    os._exit(9)
+
+
+def _one_bad_page(content):
+    return ["first", lambda: 1 / 0, lambda: "third \ud800"]
+
+
+def test_extraction_survives_hanging_and_crashing_parsers(spark):
+    import time
+
+    rows = [(f"{k}{n}", b"x", k) for n in range(2) for k in ("hang", "crash", "bad", "fine", "error")]
+    parsers = {"hang": _hangs, "crash": _crashes, "bad": _one_bad_page, "fine": lambda c: [c.decode()], "error": lambda c: [1 / 0]}
+    df = spark.createDataFrame(rows, "path string, content binary, kind string").repartition(2)
+    start = time.time()
+    got = {(r.path, r.page_number): (r.text, r.status) for r in files.extract_pages(df, parsers, timeout_s=2).collect()}
+    assert time.time() - start < 60
+    for n in "01":
+        assert got["hang" + n, 1] == ("", "timeout") and got["crash" + n, 1] == ("", "crashed") and got["fine" + n, 1] == ("x", "ok")
+        assert got["error" + n, 1] == ("", "failed: ZeroDivisionError")
+        assert [got["bad" + n, k] for k in (1, 2, 3)] == [("first", "ok"), ("", "ok"), ("third ?", "ok")]
+
+
+def test_deflated_and_broken_streams():
+    import zlib
+
+    good = zlib.compress(b"BT (Packed page) Tj ET")
+    content = b"%PDF-1.4\n<< /Filter /FlateDecode >>\nstream\n" + good + b"\nendstream\n<< /Filter /FlateDecode >>\nstream\nnot deflated\nendstream\nstream\n(Plain) Tj\nendstream"
+    pages = files.plain_pdf_pages(content)
+    assert pages[0]() == "Packed page" and pages[2]() == "Plain"
+    with pytest.raises(zlib.error):
+        pages[1]()
+
+
+def test_short_strata(spark):
+    from lexloom.operators import datasets
+
+    rows = spark.createDataFrame([(k, "a" if k < 5 else "b") for k in range(8)], "id int, kind string")
+    targets = spark.createDataFrame([("a", 2), ("b", 4), ("c", 1)], "kind string, target int")
+    with pytest.raises(ValueError, match="kind=b, target=4, available=3"):
+        datasets.stratified_sample(rows, targets.filter("kind <> 'c'"), ["kind"], "id")
+    got = [(r.kind, r.short) for r in datasets.stratified_sample(rows, targets, ["kind"], "id", allow_short=True).collect()]
+    assert sorted(got) == [("a", False)] * 2 + [("b", True)] * 3
+    assert sorted((r.kind, r.available) for r in datasets.short_strata(rows, targets, ["kind"]).collect()) == [("b", 3), ("c", 0)]
+
+
+def test_centroids_are_built_again_only_for_changed_examples(spark):
+    from lexloom.operators import providers
+
+    asked = []
+
+    def embed(df):
+        asked.extend(r.text for r in df.collect())
+        return providers.hashed_embedding(df)
+
+    examples = spark.createDataFrame([("x", "one text"), ("x", "two texts"), ("y", "other")], "category string, text string")
+    none = spark.createDataFrame([], "model string, category string, examples_sha string, centroid array<double>")
+    first, cache = providers.centroids(examples, none, "m", embed)
+    want = {r.category: r.centroid for r in first.collect()}
+    assert sorted(asked) == ["one text", "other", "two texts"] and set(want) == {"x", "y"}
+    asked.clear()
+    kept = spark.createDataFrame(cache.collect(), cache.schema)
+    changed = examples.filter("text <> 'other'").unionByName(spark.createDataFrame([("y", "new")], examples.schema))
+    again, fresh = providers.centroids(changed, kept, "m", embed)
+    got = {r.category: r.centroid for r in again.collect()}
+    assert asked == ["new"] and got["x"] == want["x"] and got["y"] != want["y"] and [r.category for r in fresh.collect()] == ["y"]
+
+
+def test_stored_index_and_tables(spark, tmp_path):
+    from lexloom.operators import contracts
+
+    path = f"file://{tmp_path}/index"
+    v = spark.createDataFrame([("a", 1, [1.0]), ("b", 2, [2.0])], "scope string, item_id int, embedding array<float>")
+    contracts.store_index(v, path)
+    contracts.store_index(spark.createDataFrame([("b", 3, [3.0])], v.schema), path)
+    assert sorted((r.scope, r.item_id) for r in contracts.load_index(spark, path).collect()) == [("a", 1), ("b", 3)]
+    one = contracts.load_index(spark, path, "b")
+    assert [r.item_id for r in one.collect()] == [3] and "PartitionFilters: [scope" in one._jdf.queryExecution().toString().replace("isnotnull(scope#", "scope#")
+    name = "grown_table"
+    spark.sql(f"DROP TABLE IF EXISTS {name}")
+    try:
+        contracts.ensure_table(spark, name, {"id": "INT"})
+        spark.sql(f"INSERT INTO {name} VALUES (1)")
+        contracts.ensure_table(spark, name, {"id": "INT", "note": "STRING"})
+        contracts.ensure_table(spark, name, {"note": "STRING"})
+        assert [tuple(r) for r in spark.table(name).collect()] == [(1, None)]
+    finally:
+        spark.sql(f"DROP TABLE IF EXISTS {name}")
+
+
+def test_containing(spark):
+    from lexloom.operators import evaluate
+
+    texts = ["", "a", "xa b c dy e", "one two three four five six seven", "two three", " two  three ", "say: one two three four five six seven!", None, "b c"]
+    parts = ["a b c d", "two three", "three", "ne two three four five six sev", "one two three four five six seven", "b c", "", "zzz", "o"]
+    rows = spark.createDataFrame(list(enumerate(texts)), "i int, body string")
+    passages = spark.createDataFrame(list(enumerate(parts)), "j int, passage string")
+    got = sorted(tuple(r) for r in evaluate.containing(rows, "body", passages, "passage", "i", "j").collect())
+    assert got == sorted((i, j) for i, t in enumerate(texts) for j, p in enumerate(parts) if t is not None and p and p in t)
+
+
 def test_json_sources(spark, tmp_path):
     (tmp_path / "a.jsonl").write_text('{"id": "x", "n": 1}\n\n{"id": "y"}\n{broken\n')
     rows = json_source.read_jsonl(spark, str(tmp_path / "a.jsonl"), "id string, n int").collect()
