@@ -2,10 +2,9 @@
 
 from __future__ import annotations
 
-import uuid
-
 from pyspark.sql import functions as F
 
+from .. import storage
 from ..operators import assess, quota, report
 from ..streaming import twins
 from .base import Derived, query, table
@@ -120,7 +119,7 @@ def poll_state(spark, d):
 
 def _drained(spark, sf_dir, build, *keys):
     """Run a stream over ``events`` to its end and read the last row of each key."""
-    root = f"{_shared(spark)}/twins-{uuid.uuid4().hex}"
+    root = storage.new_path(spark, "twins")
     source = f"{sf_dir}/events.parquet"
     batch = spark.read.parquet(source)
     stream = spark.readStream.schema(batch.schema).parquet(source if _is_folder(spark, source) else f"{sf_dir}/events*.parquet")
@@ -133,16 +132,6 @@ def _is_folder(spark, path: str) -> bool:
     return at.getFileSystem(spark._jsc.hadoopConfiguration()).getFileStatus(at).isDirectory()
 
 
-def _shared(spark) -> str:
-    import tempfile
-
-    found = spark.conf.get("spark.checkpoint.dir", None)
-    if not found:
-        found = "file://" + tempfile.mkdtemp(prefix="lexloom-")
-        spark.conf.set("spark.checkpoint.dir", found)
-    return found.rstrip("/")
-
-
 @query("SELECT user_id, CAST(CAST(ts AS DATE) AS VARCHAR) AS day, count(*) AS n FROM events GROUP BY ALL")
 def tumbling_counts(spark, d):
     out = _drained(spark, d, lambda s: twins.tumbling_counts(s, "user_id"), "start", "user_id")
