@@ -5,7 +5,7 @@ speaker is the assistant, the others are users with their names, narrators stay
 mask is the list of code point ranges of the assistant's words (with the end mark, without the header).
 
 A rendering comes in chunks of at most ``chunk_turns`` turns, numbered from 0, so no row holds an unbounded
-dialogue. A turn's place in its dialogue comes from two steps: counts of (dialogue, ``turn`` div 64) are
+dialogue. A turn's place in its dialogue comes from two steps: counts of (dialogue, ``turn`` div ``chunk_turns``) are
 summed up over the dialogue, and rows are numbered inside each such block; so a dialogue with a third of
 all turns is spread over its blocks. Participants are a distinct over (dialogue, speaker), reduced before the
 shuffle. A participant without a turn in a chunk still gets this chunk (with an empty mask), as context.
@@ -32,7 +32,7 @@ def rotate(turns: DataFrame, conv_col: str = "conv_id", turn_col: str = "turn",
         F.coalesce(F.col(turn_col).cast("long"), F.lit(-1)).alias("turn"),
         F.coalesce(F.col(role_col), F.lit("unknown")).alias("name"),
         F.coalesce(F.col(text_col), F.lit("")).alias("said"),
-    ).withColumn("block", F.expr("turn div 64"))
+    ).withColumn("block", F.expr(f"turn div {chunk_turns}"))
     blocks = rows.groupBy("conv", "block").agg(F.count("*").alias("n"))
     before = F.sum("n").over(Window.partitionBy("conv").orderBy("block").rowsBetween(Window.unboundedPreceding, -1))
     blocks = blocks.select(F.col("conv").alias("c"), F.col("block").alias("b"), F.coalesce(before, F.lit(0)).alias("base"))

@@ -41,11 +41,11 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .store import LOWER, as_bytes, materialise, slices
+from .store import LOWER, as_bytes, mark, materialise, slices, sweep
 from .toxicity import held_out
 
 VOCABULARY = "/opt/tokenizers/piece_bpe_32k.model"
-BLOCK_BYTES = 16 << 20
+BLOCK_BYTES = 24 << 20
 MARK = "▁"
 ROUNDS = 3
 FLOOR = 0.01
@@ -325,6 +325,7 @@ def likelihood(documents: DataFrame, held_col, vocabulary: str = VOCABULARY, id_
     blocks = materialise(docs.mapInArrow(lambda it: _blocks(it, block_bytes), _BLOCK.format(kind)), "lm-blocks")
     words = blocks.select(F.explode(F.arrays_zip("words", "train")).alias("w")).groupBy(F.col("w.words").alias("word")).agg(F.sum("w.train").alias("c"))
     words = materialise(words, "lm-words")
+    sweep(spark, mark())  # the shuffle that counted them may go
     known = words.filter("c > 0")
     in_words, kinds, once, twice = known.agg(F.coalesce(F.sum("c"), F.lit(0)), F.count("*"), F.count_if(F.col("c") == 1), F.count_if(F.col("c") == 2)).first()
     ends = blocks.agg(F.sum(F.aggregate("held", F.lit(0).cast("long"), lambda a, h: a + F.when(h, 0).otherwise(1)))).first()[0] or 0

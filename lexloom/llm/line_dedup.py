@@ -177,8 +177,7 @@ def _with_known(docs: DataFrame, suspects: DataFrame, min_chars: int, kind: str)
 
     lines = docs.mapInArrow(run, f"id {kind}, hashes array<long>").select("id", F.explode("hashes").alias("hash"))
     lines = materialise(lines, "lines-hashes")
-    counts = lines.groupBy("hash").agg(F.count("*").alias("n")).join(suspects, "hash")
-    known = hot_join(lines, counts, ["hash"], lines.count()).groupBy("id").agg(F.collect_set("hash").alias("known"))
+    known = hot_join(lines, suspects, ["hash"], "id").groupBy("id").agg(F.collect_set("hash").alias("known"))
     known = known.withColumnRenamed("id", "of")
     return docs.join(known, F.col("id").eqNullSafe(F.col("of")), "left").select("id", "text", "known")
 
@@ -227,8 +226,8 @@ def dedup_lines(
     order = F.struct(F.col("id").isNull().alias("last"), "id")  # a null id comes after all others
     pairs = materialise(held.select("id", F.explode("suspects").alias("key")).distinct(), "lines-pairs")
     found = pairs.groupBy("key").agg(F.min(order).alias("first"), F.count("*").alias("n"))
-    found = found.filter("n > 1").select("key", F.col("first.id").alias("first"), "n")
-    drops = hot_join(pairs, found, ["key"], pairs.count()).filter(~F.col("id").eqNullSafe(F.col("first")))
+    found = found.filter("n > 1").select("key", F.col("first.id").alias("first"))
+    drops = hot_join(pairs, found, ["key"], "id").filter(~F.col("id").eqNullSafe(F.col("first")))
     drops = drops.groupBy(F.col("id").alias("of")).agg(F.collect_list("key").alias("drop"))
     met = held.join(drops, F.col("id").eqNullSafe(F.col("of")), "left").select("id", "n_lines", "text", "drop")
 

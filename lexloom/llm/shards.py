@@ -3,7 +3,7 @@
 Documents are encoded with an existing byte-level vocabulary (its path is a parameter), each closed by an end
 token, and laid end to end in the order of a hash of their id; every ``length`` tokens are a sequence (the
 last is filled with end tokens). Where a document begins in this stream comes from sums over 2^18 hash ranges
-(a few MB at most, whatever the input), then a running sum inside each range, so no task sees the whole stream.
+in 2^10 groups (a few MB at most, whatever the input), then a running sum inside each range, so no task sees the whole stream.
 
 The slot of sequence s is a Feistel network over the smallest even number of bits that covers the number of
 sequences, keyed by ``seed`` and applied again while its result is out of range (cycle-walking). It is a bijection
@@ -39,7 +39,7 @@ LENGTH = 1024
 PER_SHARD = 512
 SEED = 20_240_601
 ROUNDS = 6
-RANGE_BITS = 18
+RANGE_BITS, GROUP_BITS = 18, 10
 #: Bytes of shards that a task writes, where there is enough of them for all cores.
 TASK_BYTES = 128 << 20
 
@@ -122,8 +122,11 @@ def materialise_order(documents: DataFrame, id_col: str = "doc_id", text_col: st
     inside = F.sum("n").over(Window.partitionBy("range").orderBy("order_key", "tokens").rowsBetween(Window.unboundedPreceding, -1))
     tokens = materialise(tokens.select("range", "n", F.coalesce(inside, F.lit(0)).alias("inside"), "tokens"), "tokens")
     ranges = tokens.groupBy("range").agg(F.sum("n").alias("n"))
-    before = Window.orderBy("range").rowsBetween(Window.unboundedPreceding, -1)
-    ranges = materialise(ranges.select("range", "n", F.coalesce(F.sum("n").over(before), F.lit(0)).alias("base")), "token-ranges")
+    up_to = lambda w: F.coalesce(F.sum("n").over(w.rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
+    ranges = materialise(ranges.withColumn("group", F.shiftright("range", RANGE_BITS - GROUP_BITS)), "token-ranges")
+    groups = ranges.groupBy("group").agg(F.sum("n").alias("n")).select("group", up_to(Window.orderBy("group")).alias("below"))
+    inside_group = ranges.select("group", "range", "n", up_to(Window.partitionBy("group").orderBy("range")).alias("base"))
+    ranges = materialise(inside_group.join(groups, "group").select("range", "n", (F.col("base") + F.col("below")).alias("base")), "token-ranges")
     total = ranges.agg(F.coalesce(F.sum("n"), F.lit(0))).first()[0]
     count = -(-total // length)
     shards = -(-count // per_shard)

@@ -51,7 +51,7 @@ from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 from pyspark.sql.types import LongType, StructField, StructType
 
-from .store import LOWER, as_bytes, hot_join, mark, materialise, sieve, sieve_of, slices, sweep
+from .store import LOWER, as_bytes, hot_join, mark, materialise, shared_tokens, sieve, sieve_of, slices, sweep
 
 SEED = 42
 WIDTH = 3
@@ -137,7 +137,7 @@ def links(fps: DataFrame, limit: int = LIMIT, segments: int = SEGMENTS, crowd: i
         last = 1 << width <= max(crowd, 1 << limit)  # no bucket can hold more distinct fingerprints than that
         level = materialise(level, "simhash-turned")
         sizes = level.groupBy("start", "key").agg(F.count("*").alias("n")).filter("n > 1")
-        level = materialise(hot_join(level, sizes, ["start", "key"], level.count()), "simhash-buckets")
+        level = materialise(hot_join(level, sizes, ["start", "key"], "fp"), "simhash-buckets")
         few = level if last else level.filter(F.col("n") <= crowd)
         found = few.alias("a").join(few.alias("b"), ["start", "key"]).filter(ok).select(F.col("a.fp").alias("a"), F.col("b.fp").alias("b"))
         near.append(found)
@@ -159,13 +159,13 @@ def components(edges: DataFrame) -> DataFrame:
     while last[0]:
         start = mark()
         upward = held.select(F.col("lo").alias("u"), F.col("hi").alias("v"))
-        least = held.groupBy(F.col("hi").alias("u")).agg(F.min("lo").alias("m"))
-        least = upward.groupBy("u").agg(F.count("*").alias("n")).join(least, "u", "left").select("u", "n", F.coalesce("m", "u").alias("m"))
-        large = hot_join(upward, least, ["u"], last[0]).select(F.col("v").alias("hi"), F.col("m").alias("lo"))
+        below = held.groupBy(F.col("hi").alias("u")).agg(F.min("lo").alias("m"))
+        least = upward.select("u").distinct().join(below, "u", "left").select("u", F.coalesce("m", "u").alias("m"))
+        large = hot_join(upward, least, ["u"], "v").select(F.col("v").alias("hi"), F.col("m").alias("lo"))
         large = materialise(large.distinct(), "large-stars")
-        least = large.groupBy("hi").agg(F.min("lo").alias("m"), F.count("*").alias("n"))
+        least = large.groupBy("hi").agg(F.min("lo").alias("m"))
         small = (
-            hot_join(large, least, ["hi"], large.count())
+            hot_join(large, least, ["hi"], "lo")
             .select(F.explode(F.array(F.struct(F.col("hi"), F.col("m").alias("lo")), F.struct(F.col("lo").alias("hi"), F.col("m").alias("lo")))).alias("e"))
             .select("e.*")
             .filter("hi <> lo")
@@ -183,17 +183,17 @@ def components(edges: DataFrame) -> DataFrame:
 def _labelled(prints: DataFrame, id_col: str, limit: int, more_links: DataFrame | None = None) -> DataFrame:
     """(id, fp, component_id, root) from a stored table (id, fp); ``root`` tells components of one name apart."""
     start = mark()
-    classes = materialise(prints.groupBy("fp").agg(F.min(id_col).alias("least"), F.count("*").alias("n")), "simhash-classes")
+    classes = materialise(prints.groupBy("fp").agg(F.min(id_col).alias("least")), "simhash-classes")
     edges = links(classes.select("fp"), limit)
     roots = components(edges if more_links is None else edges.unionByName(more_links))
     roots = roots.unionByName(roots.select(F.col("root").alias("node"), "root").distinct())
     linked = materialise(classes.join(roots, classes.fp == roots.node).select("fp", "least", "root"), "simhash-linked")
-    named = linked.groupBy("root").agg(F.min("least").alias("component_id"), F.count("*").alias("n"))
-    found = hot_join(linked, named, ["root"], linked.count()).select("fp", "component_id", "root")
-    labels = classes.join(found, "fp", "left").select("fp", F.coalesce("component_id", "least").alias("component_id"), F.coalesce("root", "fp").alias("root"), "n")
+    named = linked.groupBy("root").agg(F.min("least").alias("component_id"))
+    found = hot_join(linked, named, ["root"], "fp").select("fp", "component_id", "root")
+    labels = classes.join(found, "fp", "left").select("fp", F.coalesce("component_id", "least").alias("component_id"), F.coalesce("root", "fp").alias("root"))
     labels = materialise(labels, "simhash-labels")
     sweep(prints.sparkSession, start, labels)
-    return hot_join(prints, labels, ["fp"], prints.count()).select(id_col, "fp", "component_id", "root")
+    return hot_join(prints, labels, ["fp"], id_col).select(id_col, "fp", "component_id", "root")
 
 
 def near_duplicates(documents: DataFrame, id_col: str = "doc_id", text_col: str = "text", width: int = WIDTH, limit: int = LIMIT) -> DataFrame:
@@ -250,9 +250,7 @@ def sketches(documents: DataFrame, similarity: float, id_col: str = "doc_id", te
 def _alive(full: DataFrame, id_col: str) -> DataFrame:
     """(sid, least): digests that share enough of their lowest hashes with others, and the least id of each."""
     low = full.select("sid", F.explode("low").alias("token"))
-    total = full.agg(F.sum(F.coalesce(F.size("low"), F.lit(0)))).first()[0] or 0
-    many = low.groupBy("token").agg(F.count("*").alias("n")).filter("n > 1")
-    shared = hot_join(low, many, ["token"], total).groupBy("sid").agg(F.count("*").alias("shared"))
+    shared = shared_tokens(low, "sid").groupBy("sid").agg(F.count("*").alias("shared"))
     own = full.groupBy("sid").agg(F.min(id_col).alias("least"), F.max("need").alias("need"), F.count("low").alias("times"))
     return materialise(own.join(shared, "sid").filter("shared >= need * times").select("sid", "least"), "simhash-alive")
 
@@ -275,10 +273,9 @@ def _sets(documents: DataFrame, alive: DataFrame, similarity: float, id_col: str
     whole = texts.mapInArrow(run, "sid long, tokens array<long>").join(alive.select("sid"), "sid", "left_semi")
     start = mark()
     whole = materialise(whole.dropDuplicates(["sid"]), "simhash-whole")
-    total = whole.agg(F.sum(F.size("tokens"))).first()[0] or 0
+    sweep(documents.sparkSession, mark())  # the shuffle of the texts may go
     tokens = whole.select("sid", F.explode("tokens").alias("token"))
-    many = tokens.groupBy("token").agg(F.count("*").alias("n")).filter("n > 1")
-    rare = hot_join(tokens, many, ["token"], total).groupBy("sid").agg(F.sort_array(F.collect_list(F.struct("n", "token"))).alias("t"))
+    rare = shared_tokens(tokens, "sid").groupBy("sid").agg(F.sort_array(F.collect_list(F.struct("n", "token"))).alias("t"))
     rare = rare.join(whole.select("sid", F.size("tokens").cast("long").alias("size")), "sid")
     spare = F.col("size") - F.ceil(F.col("size") * F.lit(similarity) - F.lit(SLACK))
     own = F.col("size") - F.size("t")
@@ -318,7 +315,7 @@ def _verified(pairs: DataFrame, sets: DataFrame, similarity: float) -> DataFrame
     pairs = materialise(pairs, "simhash-pairs")
     per = pairs.groupBy("hub").agg(F.count("*").alias("n"))
     ways = F.greatest(F.lit(1), F.ceil(F.col("n") / MEET))
-    dealt = hot_join(pairs, per, ["hub"], pairs.count()).select("sid", "hub", F.pmod(F.xxhash64("sid"), ways).alias("way"))
+    dealt = hot_join(pairs, per, ["hub"], "sid").select("sid", "hub", F.pmod(F.xxhash64("sid"), ways).alias("way"))
     hubs = per.select("hub", F.explode(F.sequence(F.lit(0).cast("long"), ways - 1)).alias("way"))
     hubs = hubs.join(sets.select(F.col("sid").alias("hub"), F.col("n").alias("hub_n"), F.col("tokens").alias("hub_tokens")), "hub")
     both = dealt.join(sets.select("sid", "n", "tokens"), "sid").join(hubs, ["hub", "way"])
@@ -373,7 +370,7 @@ def _rest(rows: DataFrame, buckets: DataFrame, sets: DataFrame, similarity: floa
     counts = rows.groupBy("token", "label").agg(F.count("*").alias("c"))
     major = counts.groupBy("token").agg(F.max(F.struct("c", "label")).alias("top"))
     buckets = buckets.join(major, "token").select("token", "n", F.col("top.label").alias("major"), F.ceil(F.col("n") / block).alias("blocks"))
-    held = hot_join(rows, buckets, ["token"], rows.count()).withColumn("block", F.pmod(F.xxhash64("sid"), "blocks"))
+    held = hot_join(rows, buckets, ["token"], "sid").withColumn("block", F.pmod(F.xxhash64("sid"), "blocks"))
     held = materialise(held.select("token", "sid", F.col("size").alias("n"), "place", "label", "major", "blocks", "block"), "simhash-open")
     every = F.explode(F.sequence(F.lit(0).cast("long"), F.col("blocks") - 1))
     left = held.filter("label <> major").select("*", every.alias("j")).withColumnRenamed("block", "i").withColumn("side", F.lit(0))
@@ -401,7 +398,7 @@ def _rest(rows: DataFrame, buckets: DataFrame, sets: DataFrame, similarity: floa
 
 def _meet(rows: DataFrame, buckets: DataFrame, sets: DataFrame, similarity: float) -> tuple[DataFrame, DataFrame]:
     """Links of the members of open buckets with their hubs, and the members that are no hubs of theirs."""
-    held = materialise(hot_join(rows, buckets, ["token"], rows.count()), "simhash-held")
+    held = materialise(hot_join(rows, buckets, ["token"], "sid"), "simhash-held")
     met = held.select("token", "sid", "size", "own", "place", "label", F.explode("hubs").alias("hub"))
     columns = ("sid", "size", "place", "label", *(F.col(f"hub.{c}").alias(f"hub_{c}") for c in ("sid", "size", "place", "label")))
     pairs = met.select(*columns).filter((F.col("label") != F.col("hub_label")) & _fit("", "hub_", similarity))
@@ -410,11 +407,9 @@ def _meet(rows: DataFrame, buckets: DataFrame, sets: DataFrame, similarity: floa
     return _verified(pairs, sets, similarity), others.select("token", "sid", "size", "own", "place")
 
 
-def similar(documents: DataFrame, full: DataFrame, similarity: float, id_col: str, text_col: str, width: int, hubs: tuple[int, ...] = HUBS, block: int = BLOCK) -> DataFrame:
-    """Links (a, b) between ``sid`` of ``full`` (from ``sketches``): the components of all pairs with that similarity."""
+def similar(documents: DataFrame, alive: DataFrame, similarity: float, id_col: str, text_col: str, width: int, hubs: tuple[int, ...] = HUBS, block: int = BLOCK) -> DataFrame:
+    """Links (a, b) between the ``sid`` of ``alive`` (``_alive`` of ``sketches``): the components of all pairs with that similarity."""
     spark, begin = documents.sparkSession, mark()
-    alive = _alive(full, id_col)
-    sweep(spark, begin, alive)
     sets = _sets(documents, alive, similarity, id_col, text_col, width)
     lead = F.posexplode(F.slice("tokens", 1, F.col("lead").cast("int"))).alias("at", "token")
     members = sets.select(lead, "sid", F.col("n").alias("size"), "own").select("token", "sid", "size", "own", (F.col("at") + F.col("own")).alias("place"))
@@ -447,14 +442,19 @@ def keep_one(documents: DataFrame, id_col: str = "doc_id", text_col: str = "text
         prints = materialise(fingerprints(texts, "id", "text", width), "simhash")
         edges = None
     else:
+        begin = mark()
         full = materialise(sketches(texts, similarity, "id", "text", width), "simhash-sketches")
-        prints = full.select("id", "fp")
-        firsts = full.groupBy("sid").agg(F.min("fp").alias("first"))
-        same = full.select("sid", "fp").distinct().join(firsts, "sid").filter("fp <> first").select(F.col("first").alias("a"), F.col("fp").alias("b"))
-        pairs = similar(texts, full, similarity, "id", "text", width)
+        owners = materialise(full.select("id", "fp", "sid"), "simhash")
+        alive = _alive(full, "id")
+        del full
+        sweep(documents.sparkSession, begin, owners, alive)
+        prints = owners.select("id", "fp")
+        firsts = owners.groupBy("sid").agg(F.min("fp").alias("first"))
+        same = owners.select("sid", "fp").distinct().join(firsts, "sid").filter("fp <> first").select(F.col("first").alias("a"), F.col("fp").alias("b"))
+        pairs = similar(texts, alive, similarity, "id", "text", width)
         for end, name in (("a", "x"), ("b", "y")):
-            ends = pairs.groupBy(end).agg(F.count("*").alias("n")).join(firsts.select(F.col("sid").alias(end), F.col("first").alias(name)), end)
-            pairs = materialise(hot_join(pairs, ends, [end], pairs.count()).drop("n"), "simhash-ends")
+            other = "b" if end == "a" else "a"
+            pairs = materialise(hot_join(pairs, firsts.select(F.col("sid").alias(end), F.col("first").alias(name)), [end], other), "simhash-ends")
         edges = same.unionByName(pairs.select(F.col("x").alias("a"), F.col("y").alias("b")))
     found = _labelled(prints, "id", limit, edges)
     named = found.filter(F.col("id") == F.col("component_id")).select("id", "fp", "root").distinct()

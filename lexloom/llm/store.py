@@ -2,15 +2,14 @@
 
 from __future__ import annotations
 
-import gc
-import tempfile
-import uuid
 from collections.abc import Iterator
 
 import pyarrow as pa
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
+from ..storage import mark, stored, sweep  # noqa: F401
+
 #: A-Z to a-z, all other bytes unchanged.
 LOWER = bytes(b + 32 if 0x41 <= b <= 0x5A else b for b in range(256))
 
@@ -20,65 +19,21 @@ _BATCH = "spark.sql.execution.arrow.maxRecordsPerBatch"
 
 #: A key is hot if it holds more than one in so many of a table's rows; fewer than so many keys can be.
 HOT_KEYS = 1000
+#: Rows of the sample that finds hot keys.
+SAMPLE = 1 << 20
 #: Rows of a sieve at most.
 SIEVE = 1 << 20
 
-_WRITTEN: list[str] = []
-
-
-def shared_dir(spark: SparkSession) -> str:
-    """The folder named by ``spark.checkpoint.dir``.
-
-    Where it is unset, a local session gets a temporary folder of this process; on a cluster that would be a
-    folder which other machines cannot read, so there it is an error.
-    """
-    found = spark.conf.get("spark.checkpoint.dir", None)
-    if not found:
-        if not spark.sparkContext.master.startswith("local[") and spark.sparkContext.master != "local":
-            raise ValueError("spark.checkpoint.dir must name a folder that the driver and all executors share")
-        found = "file://" + tempfile.mkdtemp(prefix="lexloom-")
-        spark.conf.set("spark.checkpoint.dir", found)
-    return found.rstrip("/")
-
 
-def materialise(df: DataFrame, tag: str, codec: str = "zstd") -> DataFrame:
-    """Write ``df`` to a fresh folder of the shared store and read it back.
-
-    This cuts the lineage: later stages read committed files, so a lost executor costs a re-read and
-    values that depend on task identity cannot change between uses.
-    """
+def materialise(df: DataFrame, tag: str) -> DataFrame:
+    """``storage.stored`` with small Arrow batches: whole texts are long, so these keep workers and the JVM's buffers small."""
     spark = df.sparkSession
-    path = f"{shared_dir(spark)}/{tag}-{uuid.uuid4().hex}"
     before = spark.conf.get(_BATCH, None)
-    spark.conf.set(_BATCH, str(BATCH_ROWS))  # whole texts are long: small Arrow batches keep workers and the JVM's buffers small
+    spark.conf.set(_BATCH, str(BATCH_ROWS))
     try:
-        df.write.option("compression", codec).parquet(path)
+        return stored(df, tag)
     finally:
         spark.conf.unset(_BATCH) if before is None else spark.conf.set(_BATCH, before)
-    _WRITTEN.append(path)
-    out = spark.read.schema(df.schema).parquet(path)
-    out.stored_at = path
-    return out
-
-
-def mark() -> int:
-    """A place in the list of what this process has written, for ``sweep``."""
-    return len(_WRITTEN)
-
-
-def sweep(spark: SparkSession, since: int = 0, *keep: DataFrame) -> None:
-    """Delete what ``materialise`` wrote from ``since`` on, but for the tables ``keep``.
-
-    For a step whose result is stored: nothing reads what led to it any more. A lazy result still reads its
-    tables; its caller sweeps when it is done with it.
-    """
-    kept = [k.stored_at for k in keep]
-    gc.collect()
-    spark._jvm.System.gc()  # Spark deletes shuffle files once the driver's garbage collector has met their plans
-    for path in [p for p in _WRITTEN[since:] if p not in kept]:
-        at = spark._jvm.org.apache.hadoop.fs.Path(path)
-        at.getFileSystem(spark._jsc.hadoopConfiguration()).delete(at, True)
-        _WRITTEN.remove(path)
 
 
 def sieve(ids: DataFrame, col: str) -> DataFrame:
@@ -93,19 +48,40 @@ def sieve_of(col: Column) -> Column:
     return F.pmod(F.xxhash64(col), F.lit(SIEVE))
 
 
-def hot_join(left: DataFrame, right: DataFrame, on: list[str], total: int) -> DataFrame:
-    """``left`` joined with ``right``, which has one row a key and in ``n`` how many rows of ``left`` hold this key.
+def hot_keys(rows: DataFrame, on: list[str], by: str) -> list[int]:
+    """Hashes of the keys that hold more than one in ``HOT_KEYS`` of the rows, by a sample of about ``SAMPLE`` rows.
+
+    There are fewer than ``HOT_KEYS`` of them at any size. ``by`` is a column by which the rows of a key differ. The
+    sample decides only where rows are dealt to, never what comes out.
+    """
+    total = rows.count()
+    some = rows if total <= SAMPLE else rows.filter(F.pmod(F.xxhash64(by, F.lit(7)), F.lit(1 << 30)) < int((1 << 30) * SAMPLE / total))
+    counts = some.groupBy(F.xxhash64(*on).alias("key")).agg(F.count("*").alias("n"))
+    least = max(2, min(total, SAMPLE) // HOT_KEYS)
+    return [r.key for r in counts.filter(F.col("n") > least).select("key").collect()]  # fewer than HOT_KEYS rows
+
+
+def hot_join(left: DataFrame, right: DataFrame, on: list[str], by: str) -> DataFrame:
+    """``left`` joined with ``right``, which has one narrow row a key; ``left`` is best a stored table.
+
+    Rows of hot keys meet by broadcast (of fewer than ``HOT_KEYS`` rows), all others by a shuffle without a hot key.
+    """
+    keys = hot_keys(left, on, by)
+    if not keys:
+        return left.join(right, on)
+    hot = F.xxhash64(*on).isin(keys)
+    return left.filter(hot).join(F.broadcast(right.filter(hot)), on).unionByName(left.filter(~hot).join(right.filter(~hot), on))
+
+
+def shared_tokens(rows: DataFrame, by: str) -> DataFrame:
+    """``rows`` (token, ...) whose token occurs in more than one of them, with ``n``, how many.
 
-    Keys that hold more than one in ``HOT_KEYS`` of the ``total`` rows of ``left`` meet by broadcast, all others by a shuffle
-    in which no key is larger than that. There are fewer than ``HOT_KEYS`` such keys at any size, which is what bounds
-    the broadcast. ``right`` must have narrow rows; ``left`` is read twice and is best a stored table.
+    One shuffle. Hot tokens need none: a sample has shown them repeatedly, and their ``n`` is the largest number there is.
     """
-    hot = F.col("n") * HOT_KEYS > total
-    # a row without a key matches nothing; with it the plan is the same with and without hot keys
-    none = left.sparkSession.range(1).select(*(F.lit(None).cast(f.dataType).alias(f.name) for f in right.schema))
-    heavy = F.broadcast(right.filter(hot).unionByName(none))
-    rest = left.join(heavy.select(*on), on, "left_anti").join(right.filter(~hot), on)
-    return left.join(heavy, on).unionByName(rest)
+    keys = hot_keys(rows, ["token"], by)
+    hot = F.xxhash64("token").isin(keys) if keys else F.lit(False)
+    cool = rows.filter(~hot).withColumn("n", F.count("*").over(Window.partitionBy("token"))).filter("n > 1")
+    return cool.unionByName(rows.filter(hot).withColumn("n", F.lit((1 << 63) - 1))) if keys else cool
 
 
 def slices(batches: Iterator[pa.RecordBatch], rows: int = 256) -> Iterator[pa.RecordBatch]:
