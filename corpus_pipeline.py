@@ -1,6 +1,11 @@
 """The corpus pipeline: five stages, each a table of documents in and out (the last one gives token shards).
 
-Part of ``lexloom.llm``; a stage is written as Parquet and read again before the next begins.
+Part of ``lexloom.llm``; a stage is written as Parquet and read again before the next begins, and what the stage before
+and its own steps had stored is deleted then.
+
+Cases: an empty table gives empty tables and no shards; documents without text fail the quality rules; where a stage
+leaves no rows, all later ones are empty; extra columns pass through to the mixed documents; rows without an id
+are never taken for copies; a document that repeats an id is kept or dropped by its own text.
 """
 
 from __future__ import annotations
@@ -8,7 +13,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 
 from lexloom.llm import decontaminate, mixing, quality, shards, simhash
-from lexloom.llm.store import materialise, table
+from lexloom.llm.store import mark, materialise, sweep, table
 
 
 def quality_rules(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -54,8 +59,8 @@ ORACLE_SQL = None
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
     """All stages over ``documents``."""
     docs = table(spark, sf_dir, "documents")
-    for k, (name, stage) in enumerate(STAGES):
-        docs = stage(spark, docs, sf_dir)
-        if k < len(STAGES) - 1:
-            docs = materialise(docs, f"stage-{name}")
-    return docs
+    begin = mark()
+    for name, stage in STAGES[:-1]:
+        docs = materialise(stage(spark, docs, sf_dir), f"stage-{name}")
+        sweep(spark, begin, docs)
+    return STAGES[-1][1](spark, docs, sf_dir)
