@@ -3,7 +3,8 @@
 Every line is judged by itself, in this order: *symbols* (a tenth or more of its characters are markup
 symbols), *navigation* (three separators or more with three words or fewer between them, as in menus),
 *punctuation* (shouting: an exclamation mark for every second word or more; or a fragment of up to three words
-without an end mark), *boilerplate* (phrases of page furniture). Failing lines are removed. A document
+without an end mark, unless it is an item of a list or in a script that is written without spaces), *boilerplate*
+(phrases of page furniture in the languages of ``PHRASES``, a parameter). Failing lines are removed. A document
 that loses more than ``max_loss`` of its characters by this is rejected, and so is one that fails the base
 rules: fewer than ``min_words`` words, or over ``max_repeat`` percent of its words in repeated 5-word
 windows. Blank lines neither fail nor count.
@@ -31,10 +32,24 @@ _GAP = r"[\x20\x09-\x0D]+"
 _SYMBOL = r"[#*$%&|<>]"
 _SEPARATOR = r"[|»›•·]"
 _END = r"""[.!?:;…"'”’»)\]。！？]$"""
-_PHRASES = (
-    r"(?i)\b(?:all rights reserved|terms of (?:use|service)|privacy policy|cookie policy|uses? cookies|enable javascript"
-    r"|click here|read more|skip to (?:main )?content|sign (?:in|up)|log ?in|subscribe (?:now|to)|share (?:this|on)|powered by)\b"
-)
+_ITEM = r"^(?:[-*•–]|[0-9]+[.)])[\x20\x09]"
+_UNSPACED = r"[\x{2E80}-\x{9FFF}\x{AC00}-\x{D7AF}]{4}"
+
+#: Page furniture by language, as patterns; word boundaries are added on both sides.
+PHRASES = {
+    "en": (
+        "all rights reserved", "terms of (?:use|service)", "privacy policy", "cookie policy", "uses? cookies", "enable javascript", "click here", "read more",
+        "skip to (?:main )?content", "sign (?:in|up)", "log ?in", "subscribe (?:now|to)", "share (?:this|on)", "powered by",
+    ),
+    "de": ("alle rechte vorbehalten", "nutzungsbedingungen", "datenschutzerkl.rung", "impressum", "verwendet cookies", "mehr lesen", "weiterlesen", "jetzt anmelden"),
+    "fr": ("tous droits r.serv.s", "conditions d.utilisation", "mentions l.gales", "utilise des cookies", "lire la suite", "en savoir plus", "se connecter"),
+    "es": ("todos los derechos reservados", "aviso legal", "utiliza cookies", "leer m.s", "iniciar sesi.n", "suscr.bete"),
+}
+
+
+def phrase_pattern(phrases: dict[str, tuple[str, ...]]) -> str:
+    """One pattern of all languages."""
+    return r"(?i)\b(?:" + "|".join(p for language in phrases.values() for p in language) + r")\b"
 
 
 def _let(value: Column, body) -> Column:
@@ -51,8 +66,9 @@ def _count(text: Column, pattern: str) -> Column:
     return F.length(text) - F.length(F.regexp_replace(text, pattern, ""))
 
 
-def line_fails(line: Column) -> Column:
+def line_fails(line: Column, phrases: dict[str, tuple[str, ...]] = PHRASES) -> Column:
     """Whether a line fails; blank lines don't."""
+    furniture = phrase_pattern(phrases)
 
     def judge(bare: Column) -> Column:
         n_words = F.size(F.split(bare, _GAP))
@@ -60,8 +76,8 @@ def line_fails(line: Column) -> Column:
         separators = _count(bare, _SEPARATOR)
         navigation = bare.rlike(_SEPARATOR) & (separators >= 3) & (n_words <= 4 * separators + 3)
         shouting = bare.contains("!") & (_count(bare, "!") >= 3) & (2 * _count(bare, "!") >= n_words)
-        fragment = ~bare.rlike(_END) & (n_words <= 3)
-        return (bare != "") & (symbols | navigation | shouting | fragment | bare.rlike(_PHRASES))
+        fragment = (n_words <= 3) & ~bare.rlike(_END) & ~bare.rlike(_ITEM) & ~bare.rlike(_UNSPACED)
+        return (bare != "") & (symbols | navigation | shouting | fragment | bare.rlike(furniture))
 
     return _let(F.btrim(line, F.lit(BLANKS)), judge)
 
@@ -81,14 +97,14 @@ def _covered(words: Column, n: Column, window: int) -> Column:
     return _let(_let(F.sort_array(windows), places), width)
 
 
-def judge(documents: DataFrame, text_col: str = "text", min_words: int = MIN_WORDS, max_repeat: int = MAX_REPEAT, max_loss: float = MAX_LOSS) -> DataFrame:
+def judge(documents: DataFrame, text_col: str = "text", min_words: int = MIN_WORDS, max_repeat: int = MAX_REPEAT, max_loss: float = MAX_LOSS, phrases: dict[str, tuple[str, ...]] = PHRASES) -> DataFrame:
     """The columns of ``documents`` in a struct ``row``, the statistics, the verdict and the clean text."""
     text = F.coalesce(F.col(f"row.{text_col}"), F.lit(""))
     df = documents.select(F.struct(*(documents[c] for c in documents.columns)).alias("row"))
     df = df.select("row", text.alias("body")).select("row", "body", words_of(F.col("body")).alias("words"), F.split("body", "\n").alias("lines"))
     n = F.size("words")
     hashes = F.transform(F.sequence(F.lit(0), n - WINDOW), lambda i: F.xxhash64(*(F.get(F.col("words"), i + k) for k in range(WINDOW))))
-    judged = F.transform("lines", lambda x: F.struct(x.alias("line"), F.length(F.btrim(x, F.lit(BLANKS))).cast("long").alias("size"), line_fails(x).alias("fails")))
+    judged = F.transform("lines", lambda x: F.struct(x.alias("line"), F.length(F.btrim(x, F.lit(BLANKS))).cast("long").alias("size"), line_fails(x, phrases).alias("fails")))
     df = df.select("row", "body", "words", F.when(n >= WINDOW, hashes).alias("hashes"), judged.alias("judged"))
     lost = F.aggregate("judged", F.lit(0).cast("long"), lambda a, x: a + F.when(x["fails"], x["size"]).otherwise(0))
     total = F.aggregate("judged", F.lit(0).cast("long"), lambda a, x: a + x["size"])

@@ -36,8 +36,8 @@ j AS (SELECT doc_id, line, length(bare) AS size, bare <> '' AND (
     10 * {_n(quality._SYMBOL)} >= length(regexp_replace(bare, '{_GAP}', '', 'g')) AND {_n(quality._SYMBOL)} > 0
     OR {_n(quality._SEPARATOR)} >= 3 AND len(string_split_regex(bare, '{_GAP}')) <= 4 * {_n(quality._SEPARATOR)} + 3
     OR {_n("!")} >= 3 AND 2 * {_n("!")} >= len(string_split_regex(bare, '{_GAP}'))
-    OR NOT regexp_matches(bare, '{quality._END.replace("'", "''")}') AND len(string_split_regex(bare, '{_GAP}')) <= 3
-    OR regexp_matches(bare, '{quality._PHRASES}')) AS fails FROM l),
+    OR NOT regexp_matches(bare, '{quality._END.replace("'", "''")}') AND len(string_split_regex(bare, '{_GAP}')) <= 3 AND NOT regexp_matches(bare, '{quality._ITEM}') AND NOT regexp_matches(bare, '{quality._UNSPACED}')
+    OR regexp_matches(bare, '{quality.phrase_pattern(quality.PHRASES)}')) AS fails FROM l),
 s AS (SELECT doc_id, CAST(sum(CASE WHEN fails THEN size ELSE 0 END) AS BIGINT) AS lost_chars, CAST(sum(size) AS BIGINT) AS line_chars, count(*) FILTER (size > 0) - count(DISTINCT line) FILTER (size > 0) AS n_dup_lines FROM j GROUP BY doc_id),
 b AS (SELECT doc_id, CAST(len(w) AS BIGINT) AS n_words, CAST(length(array_to_string(w, '')) AS BIGINT) AS word_chars, CAST(length(t) - length(regexp_replace(t, '{quality._SYMBOL}', '', 'g')) AS BIGINT) AS n_symbols,
     n_dup_lines, coalesce(n_repeat_words, 0) AS n_repeat_words, lost_chars, line_chars FROM d JOIN s USING (doc_id) LEFT JOIN rep USING (doc_id)),

@@ -32,6 +32,56 @@ def quality(text):
     return n, sum(map(len, words)), len(SYMBOL.findall(text)), len(lines) - len(set(lines)), len(hit), failed
 
 
+FURNITURE = (
+    "all rights reserved", "terms of use", "terms of service", "privacy policy", "cookie policy", "use cookies", "uses cookies", "enable javascript", "click here", "read more",
+    "skip to content", "skip to main content", "sign in", "sign up", "login", "log in", "subscribe now", "subscribe to", "share this", "share on", "powered by",
+    "alle rechte vorbehalten", "nutzungsbedingungen", "datenschutzerkl\u00e4rung", "impressum", "verwendet cookies", "mehr lesen", "weiterlesen", "jetzt anmelden",
+    "tous droits r\u00e9serv\u00e9s", "conditions d'utilisation", "mentions l\u00e9gales", "utilise des cookies", "lire la suite", "en savoir plus", "se connecter",
+    "todos los derechos reservados", "aviso legal", "utiliza cookies", "leer m\u00e1s", "iniciar sesi\u00f3n", "suscr\u00edbete",
+)
+
+
+def line_fails(line):
+    """The line rules, character by character."""
+    bare = line.strip(BLANKS)
+    if not bare:
+        return False
+    words = WORD.findall(bare)
+    symbols = sum(c in "#*$%&|<>" for c in bare)
+    if symbols and 10 * symbols >= sum(map(len, words)):
+        return True
+    bars = sum(c in "|\u00bb\u203a\u2022\u00b7" for c in bare)
+    if bars >= 3 and len(words) <= 4 * bars + 3:
+        return True
+    shouts = bare.count("!")
+    if shouts >= 3 and 2 * shouts >= len(words):
+        return True
+    if len(words) <= 3 and bare[-1] not in ".!?:;\u2026\"'\u201d\u2019\u00bb)]\u3002\uff01\uff1f":
+        item = (bare[0] in "-*\u2022\u2013" and bare[1:2] in (" ", "\t")) or re.match("[0-9]+[.)][ \t]", bare)
+        run = best = 0
+        for c in bare:
+            run = run + 1 if 0x2E80 <= ord(c) <= 0x9FFF or 0xAC00 <= ord(c) <= 0xD7AF else 0
+            best = max(best, run)
+        if not item and best < 4:
+            return True
+    low, word = bare.lower(), lambda c: c.isascii() and (c.isalnum() or c == "_")
+    for phrase in FURNITURE:
+        at = low.find(phrase)
+        while at >= 0:
+            end = at + len(phrase)
+            if (at == 0 or not word(low[at - 1])) and (end == len(low) or not word(low[end])):
+                return True
+            at = low.find(phrase, at + 1)
+    return False
+
+
+def quality_kept(text):
+    lines = (text or "").split("\n")
+    size = lambda x: len(x.strip(BLANKS))
+    lost = sum(size(x) for x in lines if line_fails(x))
+    return not quality(text)[-1] and lost <= 0.5 * sum(map(size, lines)), "\n".join(x for x in lines if not line_fails(x))
+
+
 def line_dedup(rows, min_chars=10):
     key = lambda line: lower(line.strip(BLANKS))
     holders = {}
