@@ -4,7 +4,10 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from ..operators import contracts, datasets, evaluate, learn
+from .. import storage
+from ..functions import fixed
+from ..operators import assess, contracts, datasets, evaluate, learn, providers, quota
+from ..sources import json as json_source
 from .base import Derived, query, table
 
 
@@ -61,3 +64,107 @@ def trained_classifier(spark, d):
     docs = datasets.group_split(table(spark, d, "documents").select("doc_id", "source", "lang", "text"), "source")
     found = learn.train_and_predict(docs.filter("split = 'train'"), docs.filter("split = 'test'"), "lang")
     return evaluate.per_class(found, "lang", "predicted")
+
+
+_CLEAN = "regexp_replace(regexp_replace(text, '[^ -~]', '?'{}), '[()\\\\\\\\]', ' '{})"
+
+
+@query(f"SELECT doc_id, CAST(1 AS INTEGER) AS page_number, {_CLEAN.format(', ' + repr('g'), ', ' + repr('g'))} AS text, 'ok' AS status FROM documents WHERE length(text) > 0")
+def extract_documents(spark, d):
+    """Every text as a file of one page: checked, parsed in a process of its own, cleaned."""
+    docs = table(spark, d, "documents").filter(F.length("text") > 0).withColumn("shown", F.regexp_replace(F.regexp_replace("text", "[^ -~]", "?"), r"[()\\]", " "))
+    content = F.encode(F.concat(F.lit("%PDF-1.4\nstream\n("), "shown", F.lit(") Tj\nendstream")), "UTF-8")
+    uploads = docs.select(F.concat(F.col("doc_id").cast("string"), F.lit(".pdf")).alias("path"), content.alias("content"), F.length(content).alias("length"))
+    pages, _ = contracts.ingest(uploads)
+    return pages.select(F.regexp_extract("path", r"^(-?\d+)", 1).cast("long").alias("doc_id"), "page_number", "text", "status")
+
+
+@query("SELECT doc_id, source, lang, CASE WHEN doc_id % 3 > 0 THEN n_chars END AS n_chars FROM documents")
+def jsonl_round_trip(spark, d):
+    """Rows written as JSONL, a folder a source, nulls left out, and read again."""
+    path = storage.new_path(spark, "jsonl")
+    rows = table(spark, d, "documents").select("doc_id", "source", "lang", F.when(F.col("doc_id") % 3 > 0, F.col("n_chars")).alias("n_chars"), F.col("source").alias("folder"))
+    json_source.write_jsonl(rows, path, "folder")
+    return json_source.read_jsonl(spark, f"{path}/*", "doc_id long, source string, lang string, n_chars long").select("doc_id", "source", "lang", "n_chars")
+
+
+@query("SELECT user_id, event_id, CASE WHEN user_id % 2 = 0 THEN 'new' ELSE 'old' END AS version FROM events UNION ALL SELECT user_id, event_id + 1000000, 'appended' FROM events")
+def replaced_and_appended(spark, d):
+    """Partitions of even keys replaced, odd ones kept, and a second batch appended."""
+    path = storage.new_path(spark, "replaced")
+    e = table(spark, d, "events").select("event_id", (F.col("user_id") % 2).alias("even"), "user_id")
+    json_source.replace_partitions(e.withColumn("version", F.lit("old")), path, "even")
+    json_source.replace_partitions(e.filter("even = 0").withColumn("version", F.lit("new")), path, "even")
+    more = storage.new_path(spark, "appended")
+    out = spark.read.parquet(path).select("user_id", "event_id", "version")
+    json_source.append(out.filter("version = 'none'"), more)
+    contracts.append_audit(e.select("user_id", (F.col("event_id") + 1000000).alias("event_id"), F.lit("appended").alias("version")), more)
+    return out.unionByName(spark.read.parquet(more))
+
+
+@query("SELECT doc_id, concat('{\"doc_id\":', doc_id, CASE WHEN doc_id % 2 = 0 THEN concat(',\"lang\":\"', lang, '\"') ELSE '' END, ',\"n\":', n_chars, '}') AS body FROM documents")
+def json_response(spark, d):
+    rows = table(spark, d, "documents").select("doc_id", F.when(F.col("doc_id") % 2 == 0, F.col("lang")).alias("lang"), F.col("n_chars").alias("n"))
+    return rows.select("doc_id", json_source.response("doc_id", "lang", "n").alias("body"))
+
+
+@query("SELECT lang, count(*) AS n, count(DISTINCT text) FILTER (NOT EXISTS (SELECT 1 FROM documents e WHERE e.text = d.text AND e.doc_id % 3 = 0)) AS fresh FROM documents d GROUP BY lang")
+def embedding_cache(spark, d):
+    """Embeddings for all texts; a third of the rows is in the cache, and only other texts are embedded, once each."""
+    docs = table(spark, d, "documents").select("doc_id", "lang", "text")
+    old = docs.filter("doc_id % 3 = 0").select(F.lit("letters").alias("model"), F.sha2("text", 256).alias("text_sha"), F.array(F.lit(0.0)).alias("embedding")).dropDuplicates(["text_sha"])
+    embed = lambda df: df.select("text_sha", "text", F.array(F.length("text").cast("double")).alias("embedding"))
+    done, fresh = providers.cached(docs, old, "letters", lambda df: embed(df).drop("text"))
+    new = docs.withColumn("text_sha", F.sha2("text", 256)).join(fresh.select("text_sha", F.lit(1).alias("made")), "text_sha").groupBy("lang").agg(F.count_distinct("text_sha").alias("fresh"))
+    return done.groupBy("lang").agg(F.count("embedding").alias("n")).join(new, "lang", "left").select("lang", "n", F.coalesce("fresh", F.lit(0)).alias("fresh"))
+
+
+@query("SELECT vec_id AS item_id, label AS scope FROM embeddings WHERE label IN (2, 5)")
+def index_round_trip(spark, d):
+    """Vectors stored by scope, one scope written again, and two scopes read back."""
+    path = storage.new_path(spark, "index")
+    v = table(spark, d, "embeddings").select(F.col("label").alias("scope"), F.col("vec_id").alias("item_id"), "embedding")
+    contracts.store_index(v, path)
+    contracts.store_index(v.filter("scope = 5"), path)
+    return contracts.load_index(spark, path, 2, 5).select("item_id", F.col("scope").cast("int").alias("scope"))
+
+
+@query("SELECT doc_id, concat('Clause:', chr(10), left(text, 100), CASE WHEN doc_id % 3 > 0 THEN concat(chr(10), chr(10), 'Related clauses:', chr(10), source, CASE WHEN doc_id % 3 = 2 THEN concat(chr(10), chr(10), lang) ELSE '' END) ELSE '' END) AS prompt FROM documents")
+def prompt_text(spark, d):
+    related = F.slice(F.array("source", "lang"), F.lit(1), (F.col("doc_id") % 3).cast("int"))
+    return table(spark, d, "documents").select("doc_id", contracts.prompt(F.left("text", F.lit(100)), related).alias("prompt"))
+
+
+@query("SELECT count(*) FILTER (o_custkey % 2 = 0) AS gone, count(*) FILTER (o_custkey % 2 > 0) AS kept FROM orders")
+def delete_counted(spark, d):
+    orders = table(spark, d, "orders").select("o_orderkey", "o_custkey")
+    n, rest = contracts.delete_counted(orders, orders.filter("o_custkey % 2 = 0").select("o_custkey").distinct(), "o_custkey")
+    return rest.agg(F.lit(n).cast("long").alias("gone"), F.count("*").alias("kept"))
+
+
+@query(
+    """WITH f AS (SELECT doc_id, source, lang, row_number() OVER (PARTITION BY lang, text ORDER BY doc_id) AS k FROM documents WHERE length(text) >= 40),
+    g AS (SELECT source, row_number() OVER (ORDER BY md5('42' || source), source) AS k, count(*) OVER () AS n FROM (SELECT DISTINCT source FROM f WHERE k = 1)),
+    s AS (SELECT f.*, CASE WHEN g.k <= floor(n * 0.7) THEN 'train' WHEN g.k <= floor(n * 0.7) + floor(n * 0.15) THEN 'val' ELSE 'test' END AS split FROM f JOIN g USING (source) WHERE f.k = 1)
+    SELECT a.split, b.lang, count(doc_id) AS n, count(doc_id) < 5 AS thin FROM (SELECT unnest(['train', 'val', 'test']) AS split) a CROSS JOIN (SELECT unnest(['en', 'de', 'fr', 'es', 'xx']) AS lang) b LEFT JOIN s ON s.split = a.split AND s.lang = b.lang GROUP BY 1, 2"""
+)
+def dataset_end_to_end(spark, d):
+    """Spans of some length, first of equal ones, split by source, and the grid of what is where."""
+    rows = table(spark, d, "documents").select("doc_id", "source", "lang", "text").filter(F.length("text") >= fixed.MIN_SPAN_CHARS)
+    firsts = datasets.first_of_each(rows, F.concat(F.col("lang"), F.lit("\u0001"), F.col("text")), "doc_id")
+    return datasets.split_report(datasets.group_split(firsts, "source"), "split", "lang", ["train", "val", "test"], ["en", "de", "fr", "es", "xx"])
+
+
+_RULE = r"CASE WHEN regexp_matches(lower(text), '\b(unlimited|sole discretion|irrevocabl[ye]|waives? all)\b') THEN 'high' WHEN regexp_matches(lower(text), '\b(indemnif|liab|terminat|penalt)') THEN 'medium' ELSE 'low' END"
+
+
+@query(
+    f"""WITH open AS (SELECT doc_id, source, n_chars, text FROM documents WHERE doc_id % 4 > 0), b AS (SELECT *, coalesce(sum(n_chars) OVER (PARTITION BY source ORDER BY doc_id ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS spent FROM open)
+    SELECT doc_id, {_RULE} AS severity FROM b WHERE spent < 50000"""
+)
+def teacher_batch(spark, d):
+    """What is not labelled yet, up to the budget, assessed and validated: the next batch of teacher labels."""
+    docs = table(spark, d, "documents").select("doc_id", "source", "n_chars", "text")
+    done = docs.select("doc_id", F.when(F.col("doc_id") % 4 == 0, "ok").otherwise("flagging_failed").alias("label_status"))
+    batch = quota.budget_stop(datasets.resume(docs, done, "doc_id"), "doc_id", "n_chars", 50_000, "source")
+    return assess.reduce_validation(providers.assess(batch).withColumn("n", F.lit(1)), "doc_id").select("doc_id", "severity")

@@ -283,6 +283,16 @@ def search_gated(spark, d):
     return _long(retrieve.search(queries, items)).select("query_id", "scope", "item_id", "category", "score", "rank", "threshold", "is_confident")
 
 
+@query(f"WITH {_BM25}, {_KEYWORDS}, {_HYBRID} SELECT query_id, scope, item_id, {_CATEGORY} AS category, 1 / (1 + distance) AS score, rank FROM vec WHERE rank <= 5")
+def search_plain(spark, d):
+    """Vector search alone, without fusion or re-scoring."""
+    low = F.lower("text")
+    docs = _items(spark, d).withColumn("category", F.element_at(F.array(*(F.lit(c) for c in fixed.CATEGORIES)), F.pmod(F.col("item_id"), F.lit(5)).cast("int") + 1))
+    queries = _queries(spark, d).crossJoin(F.broadcast(docs.select("scope").distinct())).withColumn("embedding", _letters(low))
+    found = retrieve.search(queries, docs.withColumn("embedding", _letters(low)), use_reranker=False)
+    return _long(found).select("query_id", "scope", "item_id", "category", "score", "rank")
+
+
 @query()
 def pipeline_clauses(spark, d):
     """Chunk, classify, embed and flag all documents; one row a clause with its category and severity."""
