@@ -41,7 +41,7 @@ SEED = 20_240_601
 ROUNDS = 6
 RANGE_BITS, GROUP_BITS = 18, 10
 #: Bytes of shards that a task writes, where there is enough of them for all cores.
-TASK_BYTES = 128 << 20
+TASK_BYTES = 64 << 20
 
 _ENCODERS: dict[str, object] = {}
 
