@@ -140,12 +140,12 @@ def centroid_gate(spark, d):
 
 
 @query(
-    f"""WITH {_CENTROIDS}, p AS (SELECT vec_id, CASE WHEN vec_id % 4 = 0 THEN 'x' END AS heading, CASE WHEN vec_id % 5 > 0 THEN 'x' END AS category, CASE WHEN vec_id % 7 > 0 THEN sim * 3 END AS similarity FROM b)
+    f"""WITH {_CENTROIDS}, p AS (SELECT vec_id, CASE WHEN vec_id % 4 = 0 THEN 'x' END AS heading, CASE WHEN vec_id % 5 > 0 THEN 'x' END AS category, CASE WHEN vec_id % 7 > 0 THEN floor(sim * 1000) / 500 END AS similarity FROM b)
     SELECT vec_id, CASE WHEN heading IS NOT NULL THEN 'heading_match' WHEN category IS NULL THEN 'unclassified' ELSE 'centroid' END AS stage, CASE WHEN heading IS NOT NULL OR (category IS NOT NULL AND similarity > 0.6) THEN 'high' ELSE 'low' END AS confidence,
     CASE WHEN heading IS NULL THEN round(similarity, 4) END AS similarity FROM p"""
 )
 def centroid_confidence(spark, d):
-    p = _best(spark, d, 0.2).withColumn("s", F.when(F.col("vec_id") % 7 > 0, F.col("similarity") * 3))
+    p = _best(spark, d, 0.2).withColumn("s", F.when(F.col("vec_id") % 7 > 0, F.floor(F.col("similarity") * 1000) / 500))
     p = p.select("vec_id", classify.provenance(F.when(F.col("vec_id") % 4 == 0, "x"), F.when(F.col("vec_id") % 5 > 0, "x"), F.col("s")).alias("p"))
     return p.select("vec_id", "p.*")
 
