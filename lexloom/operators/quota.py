@@ -1,11 +1,16 @@
 """Time-windowed counters and small state machines, in batch form.
 
-Closed forms where they exist; the others are folds over one key's events in order. Keys are users or
-providers with a bounded number of events a window, so a key is the unit of work.
+Closed forms where they exist; the others are folds over one key's events in order, in one pass over them. Keys are
+users or providers, whose events depend on one another, so a key is the unit of work.
 """
 
 from __future__ import annotations
 
+from collections import deque
+from collections.abc import Callable
+from typing import Any
+
+import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -30,10 +35,27 @@ def fixed_floor_pace(calls: DataFrame, key: str, order: str, arrival_s: str, flo
     return df.withColumn("start_s", F.max("__lead").over(w) + floor_s * F.col("__i")).drop("__i", "__lead")
 
 
-def _fold(events: DataFrame, key: str, order: list[str], fields: list[str], start, step, result: str) -> DataFrame:
-    """(key, result...) of a fold over each key's events; ``step`` returns struct(state, out)."""
-    rows = events.groupBy(key).agg(F.sort_array(F.collect_list(F.struct(*order, *[f for f in fields if f not in order]))).alias("es"))
-    return rows.select(key, F.explode(F.aggregate("es", start, step, lambda acc: acc["out"])).alias("r")).select(key, "r.*")
+def _fold(events: DataFrame, key: str, order: list[str], fields: list[str], start: Callable[[], Any], step: Callable[..., tuple], result: str) -> DataFrame:
+    """(key, order's last column, result...) of a fold over each key's events, in one pass over them.
+
+    ``step(state, *order, *fields)`` gives the next state and the values of ``result`` (a DDL string).
+    """
+    names, last = [*order, *(f for f in fields if f not in order)], order[-1]
+    kinds = {c: events.schema[c].dataType.simpleString() for c in (key, last)}
+    out = f"{key} {kinds[key]}, {last} {kinds[last]}, {result}"
+    results = [c.strip().split()[0] for c in result.split(",")]
+
+    def run(group: pa.Table) -> pa.Table:
+        group = group.sort_by([(c, "ascending") for c in order])
+        state, rows = start(), []
+        for values in zip(*(group.column(c).to_pylist() for c in names)):
+            state, found = step(state, *values)
+            rows.append(found)
+        made = {c: pa.array([r[k] for r in rows], arrow[c]) for k, c in enumerate(results)}
+        return pa.table({key: group.column(key), last: group.column(last), **made})
+
+    arrow = {c.strip().split()[0]: {"double": pa.float64(), "boolean": pa.bool_(), "long": pa.int64(), "string": pa.string()}[c.strip().split()[1]] for c in result.split(",")}
+    return events.select(key, *(c for c in names if c != key)).groupBy(key).applyInArrow(run, out)
 
 
 def token_pace(calls: DataFrame, key: str, order: str, arrival_s: str, tokens: str, window_s: int = fixed.PACE_WINDOW_S, budget: int = fixed.PACE_TOKENS, floor_s: int = fixed.PACE_FLOOR_S) -> DataFrame:
@@ -42,65 +64,51 @@ def token_pace(calls: DataFrame, key: str, order: str, arrival_s: str, tokens: s
     Before a call: entries ``window_s`` old are evicted; the wait is the longest of the floor since the last
     start and, where the window's tokens and this call's exceed the budget, the time until the oldest entry leaves.
     """
-    entry, out = "array<struct<at:double,n:long>>", f"array<struct<{order}:long,start_s:double>>"
-    start = F.struct(F.array().cast(entry).alias("held"), F.lit(-1e18).alias("last"), F.array().cast(out).alias("out"))
 
-    def step(acc, e):
-        now = F.greatest(e[arrival_s].cast("double"), acc["last"])
-        held = F.filter(acc["held"], lambda h: now - h["at"] < window_s)
-        used = F.aggregate(held, F.lit(0).cast("long"), lambda a, h: a + h["n"])
-        over = (F.size(held) > 0) & (used + e[tokens].cast("long") > budget)
-        wait = F.greatest(floor_s - (now - acc["last"]), F.when(over, window_s - (now - F.get(held, F.lit(0))["at"])).otherwise(0.0), F.lit(0.0))
-        at = now + wait
-        return F.struct(
-            F.concat(held, F.array(F.struct(at.alias("at"), e[tokens].cast("long").alias("n")))).alias("held"),
-            at.alias("last"),
-            F.concat(acc["out"], F.array(F.struct(e[order].cast("long").alias(order), at.alias("start_s")))).alias("out"),
-        )
+    def step(state, arrival, _, n):
+        held, last = state
+        now = max(float(arrival), last)
+        while held and now - held[0][0] >= window_s:
+            held.popleft()
+        over = bool(held) and sum(t for _, t in held) + n > budget  # a window holds window_s / floor_s entries
+        start = now + max(floor_s - (now - last), window_s - (now - held[0][0]) if over else 0.0, 0.0)
+        held.append((start, n))
+        return (held, start), (start,)
 
-    return _fold(calls, key, [arrival_s, order], [tokens], start, step, "start_s")
+    return _fold(calls, key, [arrival_s, order], [tokens], lambda: (deque(), -1e18), step, "start_s double")
 
 
 def otp_sends(requests: DataFrame, key: str, order: str, at_s: str, cap: int = fixed.OTP_MAX_SENDS, window_s: int = fixed.OTP_WINDOW_S, cooldown_s: int = fixed.OTP_COOLDOWN_S) -> DataFrame:
     """(key, order, sent, retry_after_s): cooldown between sends, and a cap in a window anchored at its first send."""
-    out = f"array<struct<{order}:long,sent:boolean,retry_after_s:long>>"
-    none = F.lit(None).cast("double")
-    start = F.struct(none.alias("first"), none.alias("last"), F.lit(0).alias("n"), F.array().cast(out).alias("out"))
-
-    def step(acc, e):
-        t = e[at_s].cast("double")
-        cool = F.coalesce(t - acc["last"] < cooldown_s, F.lit(False))
-        fresh = F.coalesce(t - acc["first"] >= window_s, F.lit(True))
-        full = ~fresh & (acc["n"] >= cap)
-        sent = ~cool & ~full
-        wait = F.when(cool, cooldown_s - (t - acc["last"])).when(full, window_s - (t - acc["first"]))
-        return F.struct(
-            F.when(sent & fresh, t).otherwise(acc["first"]).alias("first"),
-            F.when(sent, t).otherwise(acc["last"]).alias("last"),
-            F.when(sent & fresh, 1).when(sent, acc["n"] + 1).otherwise(acc["n"]).alias("n"),
-            F.concat(acc["out"], F.array(F.struct(e[order].cast("long").alias(order), sent.alias("sent"), F.when(wait.isNotNull(), F.floor(wait) + 1).cast("long").alias("retry_after_s")))).alias("out"),
-        )
-
-    return _fold(requests, key, [at_s, order], [], start, step, "sent")
+
+    def step(state, at, _):
+        first, last, n = state
+        t = float(at)
+        if last is not None and t - last < cooldown_s:
+            return state, (False, int(cooldown_s - (t - last)) + 1)
+        if first is None or t - first >= window_s:
+            return (t, t, 1), (True, None)
+        if n >= cap:
+            return state, (False, int(window_s - (t - first)) + 1)
+        return (first, t, n + 1), (True, None)
+
+    return _fold(requests, key, [at_s, order], [], lambda: (None, None, 0), step, "sent boolean, retry_after_s long")
 
 
 def otp_verify(tries: DataFrame, key: str, order: str, at_s: str, correct: str, issued_s: str, attempts: int = fixed.OTP_ATTEMPTS, expiry_s: int = fixed.OTP_EXPIRY_S) -> DataFrame:
     """(key, order, verdict): verified, wrong, locked (the wrong try that uses up the attempts), expired, or cleared."""
-    out = f"array<struct<{order}:long,verdict:string>>"
-    start = F.struct(F.lit(0).alias("wrong"), F.lit(True).alias("live"), F.array().cast(out).alias("out"))
-
-    def step(acc, e):
-        expired = e[at_s].cast("double") - e[issued_s].cast("double") > expiry_s
-        verdict = (
-            F.when(~acc["live"], "cleared").when(expired, "expired").when(e[correct], "verified").when(acc["wrong"] + 1 >= attempts, "locked").otherwise("wrong")
-        )
-        return F.struct(
-            F.when(verdict.isin("wrong", "locked"), acc["wrong"] + 1).otherwise(acc["wrong"]).alias("wrong"),
-            (verdict == "wrong").alias("live"),
-            F.concat(acc["out"], F.array(F.struct(e[order].cast("long").alias(order), verdict.alias("verdict")))).alias("out"),
-        )
-
-    return _fold(tries, key, [at_s, order], [correct, issued_s], start, step, "verdict")
+
+    def step(state, at, _, right, issued):
+        wrong, live = state
+        if not live:
+            return state, ("cleared",)
+        if float(at) - float(issued) > expiry_s:
+            return (wrong, False), ("expired",)
+        if right:
+            return (wrong, False), ("verified",)
+        return (wrong + 1, wrong + 1 < attempts), ("locked" if wrong + 1 >= attempts else "wrong",)
+
+    return _fold(tries, key, [at_s, order], [correct, issued_s], lambda: (0, True), step, "verdict string")
 
 
 def embedding_estimate(chunks: DataFrame, key: str, n_tokens: str) -> DataFrame:
