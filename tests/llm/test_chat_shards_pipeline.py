@@ -32,7 +32,7 @@ def rotate(turns, size=chat.CHUNK_TURNS):
 
 def test_chat(spark, sf_dir):
     odd = [(1, 0, "user", "hi"), (1, 1, None, None), (1, None, "bob", "x"), (1, 1, None, None), (None, 0, "user", "lost"), (2, 0, "system", "only")]
-    odd += [(3, t, ("a", "b", "c", "system")[t % 4], f"é{t}") for t in range(-70, 200)] + [(4, 5, "a", str(k)) for k in range(150)]
+    odd += [(3, t, ("a", "b", "c", "system")[t % 4], f"é{t}") for t in range(-70, 200)] + [(4, 5, "a", str(k)) for k in range(150)] + [(5, 0, "a", "long \u00e9 " * 40_000), (5, 1, "b", "x")]
     schema = "conv_id long, turn long, role string, text string"
     for df in (spark.createDataFrame(odd, schema).repartition(3), spark.read.parquet(f"{sf_dir}/conversations.parquet"), spark.createDataFrame([], schema)):
         want = rotate([tuple(r) for r in df.select("conv_id", "turn", "role", "text").collect()])

@@ -5,7 +5,7 @@ import pytest
 from lexloom.llm import chat, decontaminate, lattice_lm, line_dedup, mixing, quality, secrets, shards, simhash, toxicity
 
 ROWS = [(1, "A plain text of more than ten words that ends here, at last.", "s", 1.0), (None, None, None, None), (2, None, "s", None), (1, "A plain text of more than ten words that ends here, at last.", "s", 1.0)]
-NAMES = ["row", "fp", "words", "size", "key", "id", "label", "half", "n", "kept", "suspects", "order_key", "s", "a", "b", "component_id", "first", "target", "held", "block", "range", "tokens"]
+NAMES = ["row", "fp", "words", "size", "key", "id", "label", "half", "n", "kept", "suspects", "order_key", "s", "a", "b", "component_id", "first", "target", "held", "block", "range", "tokens", "sieve", "copies", "names", "token", "found", "sid", "__id", "__n", "__k", "of", "judged"]
 
 
 @pytest.fixture(scope="module")
