@@ -211,8 +211,8 @@ class Grammar:
     def features(self, text: str) -> tuple[float, float, float]:
         """Best clause, log of one plus the sum of the clauses, share of the clauses that match."""
         low = text.lower()
-        symbols = self.symbols
-        if not any(symbols(w)[0][1] for w in set(_WORD.findall(low))):
+        known, symbols = self._memo.get, self.symbols
+        if not any((known(w) or symbols(w))[0][1] for w in set(_WORD.findall(low))):
             return 0.0, 0.0, 0.0
         clauses = matched = 0
         best = total = 0.0
@@ -229,9 +229,10 @@ class Grammar:
                         best = max(best, weight)
                     clause, weighty = [], False
                 continue
-            found = symbols(token)
+            found = known(token) or symbols(token)
             clause.append(found)
-            weighty = weighty or found[0][1] > 0
+            if found[0][1]:
+                weighty = True
         return best, float(np.log1p(total)), matched / clauses if clauses else 0.0
 
     def score(self, features: tuple[float, float, float]) -> float:
