@@ -71,7 +71,10 @@ def plain_pdf_pages(content: bytes) -> list:
 
 PARSERS: dict[str, Parser] = {"pdf": plain_pdf_pages, "docx": docx_pages}
 
-#: What an extraction process runs: length-prefixed pickles in and out, one for each file.
+#: Seconds an extraction process may take to load its parsers; a file's own limit begins after that.
+START_TIMEOUT_S = 60.0
+
+#: What an extraction process runs: a byte once its parsers are loaded, then length-prefixed pickles in and out, one for each file.
 _CHILD = """
 import pickle, struct, sys
 def take(n):
@@ -82,6 +85,8 @@ def take(n):
 out, sys.stdout = sys.stdout.buffer, sys.stderr
 sys.path[:0] = pickle.loads(take(*struct.unpack(">Q", take(8))))
 parsers = pickle.loads(take(*struct.unpack(">Q", take(8))))
+out.write(b"1")
+out.flush()
 while True:
     kind, content = pickle.loads(take(*struct.unpack(">Q", take(8))))
     try:
@@ -129,6 +134,7 @@ class _Extractor:
                 self.process = subprocess.Popen([sys.executable, "-c", _CHILD], stdin=subprocess.PIPE, stdout=subprocess.PIPE, stderr=subprocess.DEVNULL, start_new_session=True)
                 self._send(pickle.dumps(sys.path))
                 self._send(self.parsers)
+                self._take(1, time.monotonic() + START_TIMEOUT_S)
             self._send(pickle.dumps((kind, content)))
             deadline = time.monotonic() + timeout_s
             return pickle.loads(self._take(*struct.unpack(">Q", self._take(8, deadline)), deadline))
