@@ -7,8 +7,10 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 
 from . import mixing, quality
+from .centroids import op12_centroids
 from .chat import op2_chat
 from .decontaminate import op5_decontaminate
+from .fim import op11_fill_in_middle
 from .lattice_lm import op3_lattice_lm
 from .line_dedup import op4_line_dedup
 from .mixing import op6_mixing
@@ -82,9 +84,35 @@ c AS (SELECT *, sum(size) OVER (PARTITION BY source ORDER BY k) AS upto, sum(siz
 SELECT doc_id, size, source_size, target, CAST(copies * size + CASE WHEN upto <= need THEN size WHEN upto - n > need OR n = 0 THEN 0 ELSE size * (need - upto + n) // n END AS BIGINT) AS taken FROM c"""
 
 
+_FIM = """WITH d AS (SELECT doc_id, coalesce(text, '') AS t, sha256('1:' || coalesce(CAST(doc_id AS VARCHAR), '')) AS h FROM documents),
+g AS (SELECT *, CAST(length(t) AS BIGINT) AS n, CAST('0x' || h[1:8] AS BIGINT) AS h1, CAST('0x' || h[9:16] AS BIGINT) AS h2, CAST('0x' || h[17:24] AS BIGINT) AS h3, CAST('0x' || h[25:32] AS BIGINT) AS h4 FROM d),
+c AS (SELECT *, least(h1 % (n + 1), h2 % (n + 1)) AS a, greatest(h1 % (n + 1), h2 % (n + 1)) AS b, CASE WHEN t = '' OR contains(t, '<P>') OR contains(t, '<S>') OR contains(t, '<M>') OR h3 % 100 >= 90 THEN 'plain' WHEN h4 % 100 < 20 THEN 'spm' ELSE 'psm' END AS form FROM g),
+p AS (SELECT *, '<P>' || substr(t, 1, a) AS p, '<M>' || substr(t, a + 1, b - a) AS m, '<S>' || substr(t, b + 1) AS s FROM c)
+SELECT doc_id, n, form, CASE WHEN form <> 'plain' THEN a END AS prefix_chars, CASE WHEN form <> 'plain' THEN b - a END AS middle_chars,
+    sha256(CASE form WHEN 'plain' THEN t WHEN 'psm' THEN p || s || m ELSE s || p || m END) AS output_sha256, sha256(t) AS restored_sha256 FROM p"""
+
+
+def _elkan() -> str:
+    """Plain rounds: all distances (exact in doubles: the integers are small), then means."""
+    steps = ["""v AS MATERIALIZED (SELECT vec_id, list_transform(embedding, lambda e: floor(256 * CAST(e AS DOUBLE))) AS x FROM embeddings
+    WHERE len(embedding) = 64 AND len(list_filter(embedding, lambda e: e IS NOT NULL AND isfinite(e))) = 64)""",
+    """c0 AS MATERIALIZED (SELECT CAST(row_number() OVER (ORDER BY h, x) - 1 AS INTEGER) AS c, x AS m FROM (SELECT sha256('2:' || coalesce(CAST(vec_id AS VARCHAR), '')) AS h, x FROM v ORDER BY h, x LIMIT 40))"""]
+    for r in range(6):
+        steps.append(f"""a{r} AS MATERIALIZED (SELECT k, any_value(vec_id) AS vec_id, any_value(x) AS x, min(struct_pack(d, c)) AS best
+    FROM (SELECT k, vec_id, x, c, CAST(list_dot_product(x, x) - 2 * list_dot_product(x, m) + list_dot_product(m, m) AS BIGINT) AS d FROM (SELECT *, row_number() OVER () AS k FROM v) CROSS JOIN c{r}) GROUP BY k)""")
+        if r < 5:
+            steps.append(f"""c{r + 1} AS MATERIALIZED (SELECT c, coalesce(n, m) AS m FROM c{r} LEFT JOIN (SELECT c, list(s ORDER BY i) AS n FROM (SELECT best.c AS c, i, floor(sum(x[i]) / count(*)) AS s FROM a{r}, range(1, 65) AS g(i) GROUP BY best.c, i) GROUP BY c) AS new USING (c))""")
+    return "WITH " + ",\n".join(steps) + """
+SELECT vec_id, best.c AS cluster, best.d AS distance, CAST(sum(best.d) OVER (PARTITION BY best.c) AS BIGINT) AS cluster_inertia, CAST(sum(best.d) OVER () AS BIGINT) AS inertia, sha256(array_to_string(list_transform(m, lambda e: CAST(e AS BIGINT)), ',')) AS centroid_sha256
+FROM a5 JOIN c5 ON best.c = c5.c"""
+
+
+_ELKAN = _elkan()
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {f.__name__: f for f in (op1_quality, op2_chat, op3_lattice_lm, op4_line_dedup, op5_decontaminate, op6_mixing, op7_simhash, op8_token_shards, op9_secrets, op10_toxicity)}
+    return {f.__name__: f for f in (op1_quality, op2_chat, op3_lattice_lm, op4_line_dedup, op5_decontaminate, op6_mixing, op7_simhash, op8_token_shards, op9_secrets, op10_toxicity, op11_fill_in_middle, op12_centroids)}
 
 
 def oracle_sql() -> dict[str, str]:
-    return {"op1_quality": _QUALITY, "op2_chat": _CHAT, "op4_line_dedup": _LINES, "op5_decontaminate": _BENCH, "op6_mixing": _MIX}
+    return {"op1_quality": _QUALITY, "op2_chat": _CHAT, "op4_line_dedup": _LINES, "op5_decontaminate": _BENCH, "op6_mixing": _MIX, "op11_fill_in_middle": _FIM, "op12_centroids": _ELKAN}

@@ -25,11 +25,11 @@ SAMPLE = 1 << 20
 SIEVE = 1 << 20
 
 
-def materialise(df: DataFrame, tag: str) -> DataFrame:
+def materialise(df: DataFrame, tag: str, batch_rows: int = BATCH_ROWS) -> DataFrame:
     """``storage.stored`` with small Arrow batches: whole texts are long, so these keep workers and the JVM's buffers small."""
     spark = df.sparkSession
     before = spark.conf.get(_BATCH, None)
-    spark.conf.set(_BATCH, str(BATCH_ROWS))
+    spark.conf.set(_BATCH, str(batch_rows))
     try:
         return stored(df, tag)
     finally:
