@@ -15,6 +15,7 @@ from .lattice_lm import op3_lattice_lm
 from .line_dedup import op4_line_dedup
 from .mixing import op6_mixing
 from .quality import op1_quality
+from .repeats import op13_suffix_dedup
 from .secrets import op9_secrets
 from .shards import op8_token_shards
 from .simhash import op7_simhash
@@ -111,7 +112,7 @@ _ELKAN = _elkan()
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {f.__name__: f for f in (op1_quality, op2_chat, op3_lattice_lm, op4_line_dedup, op5_decontaminate, op6_mixing, op7_simhash, op8_token_shards, op9_secrets, op10_toxicity, op11_fill_in_middle, op12_centroids)}
+    return {f.__name__: f for f in (op1_quality, op2_chat, op3_lattice_lm, op4_line_dedup, op5_decontaminate, op6_mixing, op7_simhash, op8_token_shards, op9_secrets, op10_toxicity, op11_fill_in_middle, op12_centroids, op13_suffix_dedup)}
 
 
 def oracle_sql() -> dict[str, str]:
