@@ -3,11 +3,12 @@
 1. *Anchors.* In each window of ``w`` bytes the least hash of ``q`` bytes (the last one on ties) is an anchor; it owns the starts whose window
    chose it. Equal strings choose alike, so texts fall into phrases between anchors in the same way wherever they are
    equal: two equal strings of ``length`` bytes share all phrases that end within ``reach`` bytes of their first anchor (``reach = length - 2w - q + 2``).
+   The first ``PHRASES`` of these are the anchor's *prefix* (in texts of tiny periods, whose phrases are short, that is less than ``reach``; it only makes groups larger).
    Phrases are the symbols of the suffix order, about one to 32 bytes of text.
 2. *What can repeat at all.* Texts that occur more than once are looked at once. Of the others only neighbourhoods of anchors stay whose
-   phrases within reach hash like those of another anchor. This loses no repeat and decides nothing: it keeps the sorts to the part of the text that
+   prefix hashes like that of another anchor. This loses no repeat and decides nothing: it keeps the sorts to the part of the text that
    has a chance.
-3. *Suffix order* of all phrases there (``suffixes.ranks``, difference cover). Adjacent suffixes with the same prefix within reach form groups.
+3. *Suffix order* of all phrases there (``suffixes.ranks``, difference cover). Adjacent suffixes with the same prefix form groups.
 4. *Exact strings.* In a group, rows are sorted by the hash (128 bits) of all bytes in which their owned starts can differ; equal neighbours have
    all these starts in common. Where a group holds more than one such stretch, each stretch gives off its owned strings (128-bit hashes), and these are
    compared: that settles strings whose ends lie between anchors.
@@ -32,10 +33,12 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .store import as_bytes, hot_join, materialise, shared_tokens, sieve, sieve_of, slices
+from .store import as_bytes, hot_join, mark, materialise, shared_tokens, sieve, sieve_of, slices, sweep
 from .suffixes import numbered, ranks
 
 LENGTH = 400
+#: Phrases of a prefix at most: two levels of the difference cover order so many.
+PHRASES = 9
 #: Fixed numbers of the hashes: a value for each byte, and an odd multiplier with its inverse.
 _BYTE = np.random.default_rng(13).integers(1, 1 << 63, 256, dtype=np.int64).astype(np.uint64) * np.uint64(2) + np.uint64(1)
 _MULTIPLIER = 0x9E3779B97F4A7C15
@@ -63,7 +66,7 @@ class Powers:
 
 
 class Anchors:
-    """Anchors of one text of at least ``length`` bytes; ``first`` and ``last`` start that each owns, phrases, and prefixes within reach."""
+    """Anchors of one text of at least ``length`` bytes; ``first`` and ``last`` start that each owns, phrases, and prefixes."""
 
     def __init__(self, text: bytes, length: int, powers: Powers):
         q = 8 if length >= 64 else 2 if length >= 16 else 1
@@ -92,8 +95,9 @@ class Anchors:
         self._powers = powers
         self.phrases = self._hash(self.at[:-1], self.at[1:])
         self.reach = length - 2 * w - q + 2
-        ends = np.searchsorted(self.at, self.at + self.reach, "right") - 1
-        self.steps = ends - np.arange(len(self.at))  # phrases within reach
+        every = np.arange(len(self.at))
+        ends = np.minimum(np.searchsorted(self.at, self.at + self.reach, "right") - 1, every + PHRASES)
+        self.steps = ends - every
         self.prefixes = self._hash(self.at, self.at[ends])
 
     def _hash(self, start: np.ndarray, stop: np.ndarray) -> np.ndarray:
@@ -131,11 +135,11 @@ def _once(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             yield batch.take(pa.array(new))
 
 
-_STRINGS = "doc long, idx long, sym long, owner boolean, steps long, prefix long, h1 long, h2 long"
+_STRINGS = "doc long, idx long, sym long, owner boolean, prefix long, h1 long, h2 long"
 
 
 def _strings(batches: Iterator[pa.RecordBatch], length: int) -> Iterator[pa.RecordBatch]:
-    """The phrases within ``length`` of the anchors that can repeat, and for these what they own."""
+    """The prefixes of the anchors that can repeat, and what these own."""
     powers = Powers()
     for batch in batches:
         for part in slices(batch for batch in (batch,)):
@@ -144,14 +148,14 @@ def _strings(batches: Iterator[pa.RecordBatch], length: int) -> Iterator[pa.Reco
                 mine = np.unique(np.asarray(asked.values))
                 open_ = np.zeros(len(a.at) + 1, np.int64)
                 np.add.at(open_, mine, 1)
-                np.add.at(open_, np.searchsorted(a.at, a.at[mine] + length, "right"), -1)
+                np.add.at(open_, mine + a.steps[mine], -1)
                 idx = np.nonzero(np.cumsum(open_)[: len(a.phrases)])[0]
-                idx = np.union1d(idx, mine)  # an anchor without a phrase after it is a string of its own
+                idx = np.union1d(idx, mine)  # an anchor whose prefix has no phrase is a string of its own
                 owner = np.isin(idx, mine)
                 digests = [xxhash.xxh3_128_digest(text[a.first[i] : a.last[i] + length], int(a.at[i] - a.first[i])) if o else bytes(16) for i, o in zip(idx.tolist(), owner.tolist())]
                 h = np.frombuffer(b"".join(digests), np.int64).reshape(-1, 2)
                 symbols = np.concatenate([a.phrases, np.zeros(1, np.int64)])[idx]
-                columns = [np.full(len(idx), doc, np.int64), idx.astype(np.int64), symbols, owner, a.steps[idx].astype(np.int64), a.prefixes[idx], h[:, 0], h[:, 1]]
+                columns = [np.full(len(idx), doc, np.int64), idx.astype(np.int64), symbols, owner, a.prefixes[idx], h[:, 0], h[:, 1]]
                 yield pa.RecordBatch.from_arrays([pa.array(c) for c in columns], names=[c.split()[0] for c in _STRINGS.split(", ")])
 
 
@@ -199,25 +203,33 @@ def remove_repeats(documents: DataFrame, id_col: str = "doc_id", text_col: str =
     text = F.coalesce(F.col(text_col), F.lit(""))
     kind = documents.schema[id_col].dataType.simpleString()
     base = documents.select(F.col(id_col).alias("id"), text.alias("text"), F.sha2(text, 256).alias("sha"))
+    spark, begin = documents.sparkSession, mark()
     scan = materialise(base.mapInArrow(lambda it: _scan(it, length), f"id {kind}, row long, sha string, n_bytes long, tokens array<long>"), "repeats-scan")
 
-    texts = materialise(scan.groupBy("sha").agg(F.min("row").alias("row"), F.count("*").alias("copies"), F.first("n_bytes").alias("n_bytes")), "repeats-texts")
+    ids = materialise(scan.drop("tokens"), "repeats-ids")
+    texts = materialise(ids.groupBy("sha").agg(F.min("row").alias("row"), F.count("*").alias("copies"), F.first("n_bytes").alias("n_bytes")), "repeats-texts")
     rows = scan.select("row", "tokens").join(texts.filter(F.col("n_bytes") >= length).select("row"), "row", "left_semi")
-    hints = shared_tokens(materialise(rows.select("row", F.posexplode("tokens").alias("at", "token")), "repeats-hashes"), "row")
+    rows = materialise(rows, "repeats-hashes")
+    sweep(spark, begin, ids, texts, rows)
+    hints = shared_tokens(rows.select("row", F.posexplode("tokens").alias("at", "token")), "row")
     hints = hints.groupBy("row").agg(F.collect_list("at").alias("ats")).join(texts.select("row", "sha"), "row")
     hints = materialise(hints, "repeats-hints")
+    sweep(spark, begin, ids, texts, hints)
     single = base.select("sha", "text").join(sieve(hints, "sha"), sieve_of(F.col("sha")) == F.col("sieve"), "left_semi")
     single = single.mapInArrow(_once, "sha string, text string").join(hints, "sha").dropDuplicates(["sha"])
     alive = materialise(single.select("row", "sha", "text", "ats"), "repeats-alive")
+    sweep(spark, begin, ids, texts, alive)
 
     strings = materialise(alive.mapInArrow(lambda it: _strings(it, length), _STRINGS), "repeats-strings")
-    most = strings.filter("owner").agg(F.max("steps")).first()[0] or 1
-    order = ranks(strings.select("doc", "idx", "sym"), most)
+    order = ranks(strings.select("doc", "idx", "sym"), PHRASES)
     owners = strings.filter("owner").select("doc", "idx", "prefix", "h1", "h2").join(order, ["doc", "idx"])
-    # adjacent suffixes with equal prefixes within reach; then equal stretches next to each other inside of a group
-    groups = numbered(owners, ["rank", "doc", "idx"], ["prefix"], tag="repeats-order").filter("repeated")
-    groups = groups.select("doc", "idx", F.col("name").alias("grp"), "h1", "h2")
-    found = numbered(groups, ["grp", "h1", "h2", "doc", "idx"], ["grp", "h1", "h2"], tag="repeats-stretches").withColumn("first", F.col("at") == F.col("name"))
+    # adjacent suffixes with equal prefixes; then equal stretches next to each other inside of a group
+    groups = numbered(owners, ["rank", "doc", "idx"], ["prefix"], tag="repeats-order")
+    sweep(spark, begin, ids, texts, alive, groups)
+    groups = groups.filter("repeated").select("doc", "idx", F.col("name").alias("grp"), "h1", "h2")
+    found = numbered(groups, ["grp", "h1", "h2", "doc", "idx"], ["grp", "h1", "h2"], tag="repeats-stretches")
+    sweep(spark, begin, ids, texts, alive, found)
+    found = found.withColumn("first", F.col("at") == F.col("name"))
     mixed = found.filter("first").groupBy("grp").agg(F.count("*").alias("stretches")).filter("stretches > 1").select("grp")
     asked = found.filter("first").select("doc", "idx", "grp")
     asked = hot_join(materialise(asked, "repeats-asked"), mixed, ["grp"], "doc").groupBy(F.col("doc").alias("row")).agg(F.collect_list("idx").alias("asked"))
@@ -235,7 +247,7 @@ def remove_repeats(documents: DataFrame, id_col: str = "doc_id", text_col: str =
         F.when(twice, all_).otherwise(F.coalesce("spans", none)).alias("spans"),
         F.when(twice, F.lit(_NO_HASH)).otherwise(F.coalesce("kept_sha256", "sha")).alias("kept_sha256"),
     )
-    done = hot_join(scan.select("id", "row", "sha", "n_bytes"), materialise(facts, "repeats-facts"), ["sha"], "row")
+    done = hot_join(ids, materialise(facts, "repeats-facts"), ["sha"], "row")
     return done.select(F.col("id").alias(id_col), "n_bytes", "n_removed", F.size("spans").cast("long").alias("n_spans"), "kept_sha256", "spans")
 
 

@@ -25,7 +25,7 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from .store import materialise
+from .store import mark, materialise, sweep
 
 _LEAST = -(1 << 63)
 _PLACES = "pid int, local long, start long, again boolean, ahead long"
@@ -85,13 +85,15 @@ def numbered(rows: DataFrame, order: list[str], keys: list[str], flag: str | Non
     of = spark.createDataFrame([(a["p"], a["offset"], a["carry"], a["joined"], a["last_start"], a["goes_on"], a["flags"]) for a in about], schema)
     out = done.join(F.broadcast(of), F.col("pid") == F.col("p"))
     head = F.col("start") == 0
-    return out.select(
+    out = out.select(
         *rows.columns,
         (F.col("offset") + F.col("local")).alias("at"),
         F.when(head, F.col("carry")).otherwise(F.col("offset") + F.col("start")).alias("name"),
         (F.col("again") | (head & F.col("joined")) | ((F.col("start") == F.col("final")) & F.col("goes_on"))).alias("repeated"),
         (F.col("flags_before") + F.col("ahead")).alias("before"),
     )
+    out.stored_at = done.stored_at
+    return out
 
 
 def _ahead(rows: DataFrame, col: str, step: int, far: int):
@@ -108,6 +110,7 @@ def _digit(k: int):
 
 def ranks(strings: DataFrame, symbols: int) -> DataFrame:
     """(doc, idx, rank): all suffixes in order of their first ``symbols`` symbols or more; suffixes equal in that many come in any order."""
+    spark, begin, kept = strings.sparkSession, mark(), []
     levels = [strings.select("doc", "idx", F.col("sym").alias("name"))]
     while 3 ** (len(levels) - 1) < symbols:
         step = 3 ** (len(levels) - 1)
@@ -115,7 +118,9 @@ def ranks(strings: DataFrame, symbols: int) -> DataFrame:
         triples = now.select("doc", "idx", F.col("name").alias("a"), _ahead(now, "name", step, 1).alias("b"), _ahead(now, "name", step, 2).alias("c"))
         sampled = triples.filter(_digit(len(levels) - 1) != 0)
         found = numbered(sampled, ["a", "b", "c", "doc", "idx"], ["a", "b", "c"], tag="suffixes-names")
+        kept.append(found)
         levels.append(found.select("doc", "idx", "name"))
+        sweep(spark, begin, *kept)
     rank = levels[-1].select("doc", "idx", F.col("name").alias("rank"))
     for k in range(len(levels) - 2, -1, -1):
         step = 3**k
@@ -128,5 +133,6 @@ def ranks(strings: DataFrame, symbols: int) -> DataFrame:
         # a remaining suffix: those of its own kind before it (counted once), of the first kind, of the second
         first = with_one.select("doc", "idx", F.when(F.col("zero"), F.col("at")).otherwise(F.col("rank") + F.col("before")).alias("part"))
         second = with_two.select("doc", "idx", F.when(F.col("zero"), F.col("at") - F.col("before")).otherwise(F.col("rank") + F.col("before")).alias("part"))
-        rank = materialise(first.unionByName(second).groupBy("doc", "idx").agg(F.sum("part").alias("rank")), "suffixes-ranks")
+        rank = materialise(first.unionByName(second).groupBy("doc", "idx").agg(F.sum("part").alias("rank")), "suffixes-ranks", batch_rows=10_000)
+        sweep(spark, begin, rank, *kept[:k])
     return rank
