@@ -13,7 +13,7 @@
    all these starts in common. Where a group holds more than one such stretch, each stretch gives off its owned strings (128-bit hashes), and these are
    compared: that settles strings whose ends lie between anchors.
 
-Rows that pass between tasks are numbers and hashes; texts are shuffled only where something in them can repeat. Sorted groups are range partitions
+Hashes are counted in packed parts of the hash space, in which a task has one entry for each hash. What passes between tasks are numbers and hashes; texts are shuffled only where something in them can repeat. Sorted groups are range partitions
 with unique keys, so a passage that a third of all texts share is spread over tasks.
 
 Cases: null is an empty text; texts shorter than ``length`` lose nothing; a text that occurs twice (also with one id) loses all of it if it is long
@@ -33,7 +33,7 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .store import as_bytes, hot_join, mark, materialise, shared_tokens, sieve, sieve_of, slices, sweep
+from .store import as_bytes, hot_join, mark, materialise, sieve, sieve_of, slices, sweep
 from .suffixes import numbered, ranks
 
 LENGTH = 400
@@ -42,6 +42,7 @@ PHRASES = 9
 #: Fixed numbers of the hashes: a value for each byte, and an odd multiplier with its inverse.
 _BYTE = np.random.default_rng(13).integers(1, 1 << 63, 256, dtype=np.int64).astype(np.uint64) * np.uint64(2) + np.uint64(1)
 _MULTIPLIER = 0x9E3779B97F4A7C15
+_HIGH = np.uint64(0xFFFFFFFF00000000)
 _INVERSE = pow(_MULTIPLIER, -1, 1 << 64)
 _NO_HASH = hashlib.sha256(b"").hexdigest()
 _SPANS = "array<struct<start:bigint,stop:bigint>>"
@@ -72,26 +73,26 @@ class Anchors:
         q = 8 if length >= 64 else 2 if length >= 16 else 1
         w = 1 << max(0, (length // 6).bit_length() - 1)
         n = len(text)
-        byte = _BYTE[np.frombuffer(text, np.uint8)]
+        byte = np.frombuffer(text, np.uint8)
         gram, width = byte, 1
-        while width < q:
-            gram = gram[:-width] * np.uint64(0xD6E8FEB86659FD93) + _mixed(gram[width:])
-            width *= 2
-        least, at = _mixed(gram), np.arange(len(gram), dtype=np.int32)
+        while width < q:  # the bytes of a gram as one number
+            wide = f"u{2 * width}"
+            gram, width = gram[:-width].astype(wide) | gram[width:].astype(wide) << (8 * width), 2 * width
+        # half of a hash and, below it, how far the gram is from the end: the least is the last of the least hashes
+        least = (_mixed(gram.astype(np.uint64) + np.uint64(_MULTIPLIER)) & _HIGH) | np.arange(n + (1 << 30), n + (1 << 30) - len(gram), -1).astype(np.uint64)
         width = 1
         while width < w:
-            take = least[width:] <= least[:-width]
-            least = np.where(take, least[width:], least[:-width])
-            at = np.where(take, at[width:], at[:-width])
+            least = np.minimum(least[width:], least[:-width])
             width *= 2
+        at = n + (1 << 30) - (least & ~_HIGH).astype(np.int64)
         fresh = np.nonzero(np.diff(at))[0] + 1
         self.first = np.concatenate([[0], fresh])
         self.last = np.concatenate([fresh - 1, [len(at) - 1]])
-        self.at = at[self.first].astype(np.int64)
+        self.at = at[self.first]
         self.owners = int(np.searchsorted(self.first, n - length, "right"))  # anchors that own a start of a whole string
         self.last = np.minimum(self.last, n - length)
         powers.upto(n)
-        self._sums = np.concatenate([np.zeros(1, np.uint64), np.cumsum(_mixed(byte) * powers.up[:n])])
+        self._sums = np.concatenate([np.zeros(1, np.uint64), np.cumsum(_BYTE[byte] * powers.up[:n])])
         self._powers = powers
         self.phrases = self._hash(self.at[:-1], self.at[1:])
         self.reach = length - 2 * w - q + 2
@@ -125,6 +126,97 @@ def _scan(batches: Iterator[pa.RecordBatch], length: int) -> Iterator[pa.RecordB
             yield pa.RecordBatch.from_arrays([part.column("id"), rows, part.column("sha"), pa.array([len(t) for t in texts], pa.int64()), lists], names=["id", "row", "sha", "n_bytes", "tokens"])
 
 
+#: Hashes that a task holds at once, and bytes of hashes in a part.
+HELD, PART_BYTES = 2_000_000, 32 << 20
+_DEALT = "part int, tokens binary, places binary"
+
+
+def _order(tokens: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Rows of numbers in an order that puts equal ones side by side, and where a new one begins."""
+    order = np.lexsort(tokens.T) if tokens.shape[1] > 1 else np.argsort(tokens[:, 0], kind="stable")
+    ordered = tokens[order]
+    fresh = np.ones(len(order), bool)
+    fresh[1:] = (ordered[1:] != ordered[:-1]).any(axis=1)
+    return order, fresh
+
+
+def _deal(met: Iterator[tuple[np.ndarray, np.ndarray]], parts: int) -> Iterator[pa.RecordBatch]:
+    """Packed (tokens, places (row, at)) a part of the hash space. What a task meets more than once repeats: its places go to part -1, and
+    its token goes on once without a place, so that a token gives each task one entry, however many rows hold it."""
+
+    def out(tokens: np.ndarray, places: np.ndarray) -> Iterator[pa.RecordBatch]:
+        order, fresh = _order(tokens)
+        heads = np.nonzero(fresh)[0]
+        alone = np.diff(np.append(heads, len(order))) == 1
+        keep = order[heads]
+        again = np.ones(len(order), bool)
+        again[keep[alone]] = False
+        sent = np.where(alone[:, None], places[keep], -1)
+        part = (tokens[keep, 0].view(np.uint64) % np.uint64(parts)).astype(np.int64)
+        by = np.argsort(part, kind="stable")
+        numbers, starts = np.unique(part[by], return_index=True)
+        rows = [(-1, np.empty((0, tokens.shape[1]), np.int64), places[again])] if again.any() else []
+        rows += [(int(p), tokens[keep[own]], sent[own]) for p, own in zip(numbers, np.split(by, starts[1:]))]
+        yield pa.RecordBatch.from_arrays([pa.array([r[0] for r in rows], pa.int32()), pa.array([r[1].tobytes() for r in rows], pa.binary()), pa.array([r[2].astype(np.int64).tobytes() for r in rows], pa.binary())], names=["part", "tokens", "places"])
+
+    held, size = [], 0
+    for tokens, places in met:
+        held.append((tokens, places))
+        size += len(tokens)
+        if size > HELD:
+            yield from out(*(np.concatenate(x) for x in zip(*held)))
+            held, size = [], 0
+    if size:
+        yield from out(*(np.concatenate(x) for x in zip(*held)))
+
+
+def _met_again(batches: Iterator[pa.RecordBatch], width: int) -> Iterator[pa.RecordBatch]:
+    """(row, at) of the tokens of one part after the other that have more than one entry."""
+
+    def out(entries: list) -> Iterator[pa.RecordBatch]:
+        tokens, places = (np.concatenate(x) for x in zip(*entries))
+        order, fresh = _order(tokens)
+        heads = np.nonzero(fresh)[0]
+        sizes = np.diff(np.append(heads, len(order)))
+        ordered = places[order]
+        marked = np.maximum.reduceat(ordered[:, 0] < 0, heads)
+        found = ordered[np.repeat((sizes > 1) | marked, sizes) & (ordered[:, 0] >= 0)]
+        yield pa.RecordBatch.from_arrays([pa.array(found[:, 0]), pa.array(found[:, 1])], names=["row", "at"])
+
+    now, entries = None, []
+    for batch in batches:
+        for part, tokens, places in zip(*(batch.column(c).to_pylist() for c in ("part", "tokens", "places"))):
+            if part != now and entries:
+                yield from out(entries)
+                entries = []
+            now = part
+            entries.append((np.frombuffer(tokens, np.int64).reshape(-1, width), np.frombuffer(places, np.int64).reshape(-1, 2)))
+    if entries:
+        yield from out(entries)
+
+
+def _repeated(dealt: DataFrame, width: int) -> DataFrame:
+    """(row, at) of all tokens with more than one; ``dealt`` is a stored table of ``_deal``."""
+
+    def unpack(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for places in batch.column("places").to_pylist():
+                found = np.frombuffer(places, np.int64).reshape(-1, 2)
+                yield pa.RecordBatch.from_arrays([pa.array(found[:, 0]), pa.array(found[:, 1])], names=["row", "at"])
+
+    here = dealt.filter("part < 0").mapInArrow(unpack, "row long, at long")
+    others = dealt.filter("part >= 0").repartition("part").sortWithinPartitions("part")
+    return here.unionByName(others.mapInArrow(lambda it: _met_again(it, width), "row long, at long"))
+
+
+def _tokens(batches: Iterator[pa.RecordBatch]) -> Iterator[tuple[np.ndarray, np.ndarray]]:
+    for batch in batches:
+        lists = batch.column("tokens")
+        sizes = np.asarray(lists.value_lengths()).astype(np.int64)
+        at = np.arange(sizes.sum()) - np.repeat(np.cumsum(sizes) - sizes, sizes)
+        yield np.asarray(lists.flatten()).reshape(-1, 1), np.stack([np.repeat(np.asarray(batch.column("row")), sizes), at], axis=1)
+
+
 def _once(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     """One row of each text that a task meets."""
     seen: set[str] = set()
@@ -159,17 +251,16 @@ def _strings(batches: Iterator[pa.RecordBatch], length: int) -> Iterator[pa.Reco
                 yield pa.RecordBatch.from_arrays([pa.array(c) for c in columns], names=[c.split()[0] for c in _STRINGS.split(", ")])
 
 
-def _owned(batches: Iterator[pa.RecordBatch], length: int) -> Iterator[pa.RecordBatch]:
-    """(token, doc, start) of every string that the asked anchors own."""
+def _owned(batches: Iterator[pa.RecordBatch], length: int) -> Iterator[tuple[np.ndarray, np.ndarray]]:
+    """Hash, document and start of every string that the asked anchors own."""
     powers = Powers()
     for batch in batches:
         for part in slices(batch for batch in (batch,)):
             for text, doc, asked in zip(as_bytes(part.column("text")), part.column("row").to_pylist(), part.column("asked")):
                 a = Anchors(text, length, powers)
                 starts = [i for k in asked.as_py() for i in range(a.first[k], a.last[k] + 1)]
-                if starts:
-                    tokens = [xxhash.xxh3_128_digest(text[i : i + length]) for i in starts]
-                    yield pa.RecordBatch.from_arrays([pa.array(tokens, pa.binary()), pa.array(np.full(len(starts), doc, np.int64)), pa.array(starts, pa.int64())], names=["token", "doc", "start"])
+                tokens = b"".join([xxhash.xxh3_128_digest(text[i : i + length]) for i in starts])
+                yield np.frombuffer(tokens, np.int64).reshape(-1, 2), np.stack([np.full(len(starts), doc, np.int64), np.array(starts, np.int64)], axis=1)
 
 
 def _cut(batches: Iterator[pa.RecordBatch], length: int) -> Iterator[pa.RecordBatch]:
@@ -204,6 +295,8 @@ def remove_repeats(documents: DataFrame, id_col: str = "doc_id", text_col: str =
     kind = documents.schema[id_col].dataType.simpleString()
     base = documents.select(F.col(id_col).alias("id"), text.alias("text"), F.sha2(text, 256).alias("sha"))
     spark, begin = documents.sparkSession, mark()
+    size = int(documents._jdf.queryExecution().optimizedPlan().stats().sizeInBytes())  # Spark's estimate: only costs hang on it
+    parts = min(1 << 20, max(64, size // PART_BYTES))
     scan = materialise(base.mapInArrow(lambda it: _scan(it, length), f"id {kind}, row long, sha string, n_bytes long, tokens array<long>"), "repeats-scan")
 
     ids = materialise(scan.drop("tokens"), "repeats-ids")
@@ -211,8 +304,8 @@ def remove_repeats(documents: DataFrame, id_col: str = "doc_id", text_col: str =
     rows = scan.select("row", "tokens").join(texts.filter(F.col("n_bytes") >= length).select("row"), "row", "left_semi")
     rows = materialise(rows, "repeats-hashes")
     sweep(spark, begin, ids, texts, rows)
-    hints = shared_tokens(rows.select("row", F.posexplode("tokens").alias("at", "token")), "row")
-    hints = hints.groupBy("row").agg(F.collect_list("at").alias("ats")).join(texts.select("row", "sha"), "row")
+    dealt = materialise(rows.mapInArrow(lambda it: _deal(_tokens(it), parts), _DEALT), "repeats-dealt", batch_rows=1)
+    hints = _repeated(dealt, 1).groupBy("row").agg(F.collect_list("at").alias("ats")).join(texts.select("row", "sha"), "row")
     hints = materialise(hints, "repeats-hints")
     sweep(spark, begin, ids, texts, hints)
     single = base.select("sha", "text").join(sieve(hints, "sha"), sieve_of(F.col("sha")) == F.col("sieve"), "left_semi")
@@ -233,8 +326,8 @@ def remove_repeats(documents: DataFrame, id_col: str = "doc_id", text_col: str =
     mixed = found.filter("first").groupBy("grp").agg(F.count("*").alias("stretches")).filter("stretches > 1").select("grp")
     asked = found.filter("first").select("doc", "idx", "grp")
     asked = hot_join(materialise(asked, "repeats-asked"), mixed, ["grp"], "doc").groupBy(F.col("doc").alias("row")).agg(F.collect_list("idx").alias("asked"))
-    strings = alive.join(asked, "row").select("row", "text", "asked").mapInArrow(lambda it: _owned(it, length), "token binary, doc long, start long")
-    starts = shared_tokens(materialise(strings, "repeats-strings"), "start").groupBy(F.col("doc").alias("row")).agg(F.collect_list("start").alias("starts"))
+    strings = alive.join(asked, "row").select("row", "text", "asked").mapInArrow(lambda it: _deal(_owned(it, length), parts), _DEALT)
+    starts = _repeated(materialise(strings, "repeats-dealt", batch_rows=1), 2).groupBy("row").agg(F.collect_list("at").alias("starts"))
     whole = found.filter("repeated").groupBy(F.col("doc").alias("row")).agg(F.collect_list("idx").alias("anchors"))
     cut = alive.join(starts.join(whole, "row", "full"), "row").select("sha", "text", "starts", "anchors").mapInArrow(lambda it: _cut(it, length), f"sha string, n_removed long, spans {_SPANS}, kept_sha256 string")
 
