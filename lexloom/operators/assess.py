@@ -6,6 +6,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions import fixed
+from .report import FLAGGED
 
 
 def flag_error(raw: Column) -> Column:
@@ -34,13 +35,14 @@ def reduce_calls(attempts: DataFrame, key: str, max_retries: int = 2) -> DataFra
     """(key, outcome, n_calls) from (key, n, code, retry_after), n from 1.
 
     ok: the first success, if all calls before it could be retried and there were at most ``max_retries``.
-    exhausted: a long wait, or retries used up. failed: any other error.
+    exhausted: a long wait is asked for, which no retry in this run can outlast (it trips the breaker). failed: any other
+    error, and retries that are used up: that costs the clause and no more.
     """
     reason = retry_reason(F.col("code"), F.col("retry_after"))
     a = attempts.withColumn("reason", F.when(F.col("code") == 200, "ok").otherwise(F.coalesce(reason, F.lit("failed")))).filter(F.col("n") <= max_retries + 1)
     stop = F.col("reason").isin("ok", "exhausted", "failed") | (F.col("n") == max_retries + 1)
     ends = a.filter(stop).groupBy(key).agg(F.min_by(F.struct("reason", "n"), "n").alias("e"))
-    outcome = F.when(F.col("e.reason").isin("rate_limited", "unavailable"), "exhausted").otherwise(F.col("e.reason"))
+    outcome = F.when(F.col("e.reason").isin("rate_limited", "unavailable"), "failed").otherwise(F.col("e.reason"))
     return ends.select(key, outcome.alias("outcome"), F.col("e.n").cast("long").alias("n_calls"))
 
 
@@ -71,7 +73,8 @@ def audit_events(clauses: DataFrame, calls: DataFrame, outputs: DataFrame, sugge
     ``clauses``: key, skipped (an open breaker: nothing was called). ``calls``: key, n, code, retry_after. ``outputs``: key, n,
     raw. ``suggestions``: key, n, cited, retrieved, failed. The types are those of ``fixed.AUDIT_EVENTS``: each call that is
     tried again, the one that ends in failure, each refused output, the output that a second try made valid, the end of
-    tries, the decision, and for suggestions those that cite what was not retrieved in all tries, and those that failed.
+    tries, the decision, and for suggestions those that cite what was not retrieved in all tries, and those that failed. Only
+    clauses whose accepted output is high or medium are asked for suggestions; rows of ``suggestions`` for others are passed over.
     """
     live = clauses.filter(~F.col("skipped")).select(key)
     done = reduce_calls(calls, key, max_retries).select(key, "outcome", "n_calls")
@@ -88,7 +91,8 @@ def audit_events(clauses: DataFrame, calls: DataFrame, outputs: DataFrame, sugge
     refused = out.select(key, F.lit(1).alias("phase"), F.col("n").cast("long").alias("n"), F.posexplode(kinds).alias("k", "event_type"))
     events.append(refused.select(key, "phase", (F.col("n") * 2 + F.col("k")).alias("at"), "event_type"))
     events.append(clauses.select(key, F.lit(2).alias("phase"), F.lit(0).cast("long").alias("at"), F.lit("final_flag_decision").alias("event_type")))
-    judged = reduce_suggestions(suggestions.join(answered, key, "left_semi"), key, retries)
+    flagged = out.filter(F.col("error").isNull() & flag_of(F.col("raw"))["severity"].isin(*FLAGGED)).select(key)
+    judged = reduce_suggestions(suggestions.join(flagged, key, "left_semi"), key, retries)
     kind = F.when(F.col("status") == "failed", "grounding_error").when(F.col("status") == "needs_manual_review", "grounding_failure")
     events.append(judged.select(key, F.lit(3).alias("phase"), F.lit(0).cast("long").alias("at"), kind.alias("event_type")))
     every = events[0]

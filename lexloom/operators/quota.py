@@ -1,17 +1,16 @@
 """Time-windowed counters and small state machines, in batch form.
 
-Closed forms where they exist; the others are folds over one key's events in order, in one pass over them. Keys are
-users or providers, whose events depend on one another, so a key is the unit of work.
+Closed forms where they exist. The others run over islands: stretches of a key's events that nothing before them can influence, found
+by window functions, so that a key with very many events is many small pieces of work.
 """
 
 from __future__ import annotations
 
-from collections import deque
 from collections.abc import Callable
-from typing import Any
 
+import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions import fixed
@@ -35,80 +34,90 @@ def fixed_floor_pace(calls: DataFrame, key: str, order: str, arrival_s: str, flo
     return df.withColumn("start_s", F.max("__lead").over(w) + floor_s * F.col("__i")).drop("__i", "__lead")
 
 
-def _fold(events: DataFrame, key: str, order: list[str], fields: list[str], start: Callable[[], Any], step: Callable[..., tuple], result: str) -> DataFrame:
-    """(key, order's last column, result...) of a fold over each key's events, in one pass over them.
+def _islands(events: DataFrame, key: str, order: list[str], fresh: Column) -> DataFrame:
+    """Adds ``__island``: how many events of the key, in order, are ``fresh`` (nothing before them matters) up to this one."""
+    return events.withColumn("__island", F.sum(fresh.cast("int")).over(Window.partitionBy(key).orderBy(*order)))
 
-    ``step(state, *order, *fields)`` gives the next state and the values of ``result`` (a DDL string).
-    """
-    names, last = [*order, *(f for f in fields if f not in order)], order[-1]
+
+def _by_island(events: DataFrame, key: str, order: list[str], fields: list[str], work: Callable[..., list[np.ndarray]], result: str) -> DataFrame:
+    """(key, order's last column, result...): ``work`` on the sorted columns of each island. A key's islands are tasks of their own."""
+    last = order[-1]
     kinds = {c: events.schema[c].dataType.simpleString() for c in (key, last)}
-    out = f"{key} {kinds[key]}, {last} {kinds[last]}, {result}"
-    results = [c.strip().split()[0] for c in result.split(",")]
+    names = [c.split()[0] for c in result.split(", ")]
 
     def run(group: pa.Table) -> pa.Table:
         group = group.sort_by([(c, "ascending") for c in order])
-        state, rows = start(), []
-        for values in zip(*(group.column(c).to_pylist() for c in names)):
-            state, found = step(state, *values)
-            rows.append(found)
-        made = {c: pa.array([r[k] for r in rows], arrow[c]) for k, c in enumerate(results)}
-        return pa.table({key: group.column(key), last: group.column(last), **made})
+        made = work(*(np.asarray(group.column(f).cast(pa.float64())) for f in fields))
+        return pa.table({key: group.column(key), last: group.column(last), **dict(zip(names, made))})
 
-    arrow = {c.strip().split()[0]: {"double": pa.float64(), "boolean": pa.bool_(), "long": pa.int64(), "string": pa.string()}[c.strip().split()[1]] for c in result.split(",")}
-    return events.select(key, *(c for c in names if c != key)).groupBy(key).applyInArrow(run, out)
+    columns = dict.fromkeys([key, *order, *fields, "__island"])
+    return events.select(*columns).groupBy(key, "__island").applyInArrow(run, f"{key} {kinds[key]}, {last} {kinds[last]}, {result}")
 
 
 def token_pace(calls: DataFrame, key: str, order: str, arrival_s: str, tokens: str, window_s: int = fixed.PACE_WINDOW_S, budget: int = fixed.PACE_TOKENS, floor_s: int = fixed.PACE_FLOOR_S) -> DataFrame:
-    """(key, order, start_s): sliding window by count floor and token budget, served in order of arrival.
+    """(key, order, start_s): calls of a key start in order of arrival, ``floor_s`` apart at least, and one that would
+    exceed the token budget of the last ``window_s`` waits until the oldest call in that window leaves it.
 
-    Before a call: entries ``window_s`` old are evicted; the wait is the longest of the floor since the last
-    start and, where the window's tokens and this call's exceed the budget, the time until the oldest entry leaves.
+    No call waits longer than ``window_s`` after the later of its arrival and the start before, which bounds every start by a prefix
+    maximum. A call that arrives ``window_s`` after the bound of the one before finds an empty window: an island begins. Inside
+    an island the calls in the window are a range of the starts so far, and their tokens a difference of prefix sums.
     """
+    w = Window.partitionBy(key).orderBy(arrival_s, order)
+    place = F.row_number().over(w)
+    latest = F.max(F.col(arrival_s) - window_s * F.col("__place")).over(w) + window_s * (F.col("__place") + 1)
+    bounded = calls.withColumn("__place", place).withColumn("__latest", latest)
+    fresh = F.coalesce(F.col(arrival_s) >= F.lag("__latest").over(w) + window_s, F.lit(True))
 
-    def step(state, arrival, _, n):
-        held, last = state
-        now = max(float(arrival), last)
-        while held and now - held[0][0] >= window_s:
-            held.popleft()
-        over = bool(held) and sum(t for _, t in held) + n > budget  # a window holds window_s / floor_s entries
-        start = now + max(floor_s - (now - last), window_s - (now - held[0][0]) if over else 0.0, 0.0)
-        held.append((start, n))
-        return (held, start), (start,)
+    def work(arrivals: np.ndarray, amounts: np.ndarray) -> list[np.ndarray]:
+        spent = np.concatenate([[0.0], np.cumsum(amounts)])
+        starts = np.full(len(arrivals), -np.inf)
+        for k, arrival in enumerate(arrivals):
+            ready = max(arrival, starts[k - 1]) if k else arrival
+            oldest = int(np.searchsorted(starts[:k], ready - window_s, "right"))
+            crowded = oldest < k and spent[k + 1] - spent[oldest] > budget
+            starts[k] = max(ready, starts[k - 1] + floor_s if k else ready, starts[oldest] + window_s if crowded else ready)
+        return [starts]
 
-    return _fold(calls, key, [arrival_s, order], [tokens], lambda: (deque(), -1e18), step, "start_s double")
+    islands = _islands(bounded, key, [arrival_s, order], fresh)
+    return _by_island(islands, key, [arrival_s, order], [arrival_s, tokens], work, "start_s double")
 
 
 def otp_sends(requests: DataFrame, key: str, order: str, at_s: str, cap: int = fixed.OTP_MAX_SENDS, window_s: int = fixed.OTP_WINDOW_S, cooldown_s: int = fixed.OTP_COOLDOWN_S) -> DataFrame:
-    """(key, order, sent, retry_after_s): cooldown between sends, and a cap in a window anchored at its first send."""
+    """(key, order, sent, retry_after_s): cooldown between sends, and a cap in a window anchored at its first send.
 
-    def step(state, at, _):
-        first, last, n = state
-        t = float(at)
-        if last is not None and t - last < cooldown_s:
-            return state, (False, int(cooldown_s - (t - last)) + 1)
-        if first is None or t - first >= window_s:
-            return (t, t, 1), (True, None)
-        if n >= cap:
-            return state, (False, int(window_s - (t - first)) + 1)
-        return (first, t, n + 1), (True, None)
+    A request ``window_s`` after the one before it meets neither a cooldown nor a window: an island begins.
+    """
+    w = Window.partitionBy(key).orderBy(at_s, order)
+    fresh = F.coalesce(F.col(at_s) - F.lag(at_s).over(w) >= max(window_s, cooldown_s), F.lit(True))
 
-    return _fold(requests, key, [at_s, order], [], lambda: (None, None, 0), step, "sent boolean, retry_after_s long")
+    def work(at: np.ndarray) -> list:
+        sent, wait, sends = [], [], []
+        for t in at:
+            cooling = cooldown_s - (t - sends[-1]) if sends else 0
+            if sends and t - sends[0] >= window_s and cooling <= 0:
+                sends = []  # a new window, anchored at this send
+            full = window_s - (t - sends[0]) if len(sends) >= cap else 0
+            left = cooling if cooling > 0 else full
+            sent.append(left <= 0)
+            wait.append(int(left) + 1 if left > 0 else None)
+            sends += [t] if left <= 0 else []
+        return [pa.array(sent, pa.bool_()), pa.array(wait, pa.int64())]
+
+    return _by_island(_islands(requests, key, [at_s, order], fresh), key, [at_s, order], [at_s], work, "sent boolean, retry_after_s long")
 
 
 def otp_verify(tries: DataFrame, key: str, order: str, at_s: str, correct: str, issued_s: str, attempts: int = fixed.OTP_ATTEMPTS, expiry_s: int = fixed.OTP_EXPIRY_S) -> DataFrame:
-    """(key, order, verdict): verified, wrong, locked (the wrong try that uses up the attempts), expired, or cleared."""
-
-    def step(state, at, _, right, issued):
-        wrong, live = state
-        if not live:
-            return state, ("cleared",)
-        if float(at) - float(issued) > expiry_s:
-            return (wrong, False), ("expired",)
-        if right:
-            return (wrong, False), ("verified",)
-        return (wrong + 1, wrong + 1 < attempts), ("locked" if wrong + 1 >= attempts else "wrong",)
-
-    return _fold(tries, key, [at_s, order], [correct, issued_s], lambda: (0, True), step, "verdict string")
+    """(key, order, verdict): verified, wrong, locked (the wrong try that uses up the attempts), expired (from the second of expiry on), or cleared.
+
+    Up to the first try that ends a code's life all tries are wrong ones, so their number is a running count and no fold is needed.
+    """
+    w = Window.partitionBy(key).orderBy(at_s, order)
+    before = w.rowsBetween(Window.unboundedPreceding, -1)
+    wrong = F.count_if(~F.col(correct)).over(w.rowsBetween(Window.unboundedPreceding, 0))
+    verdict = F.when(F.col(at_s) - F.col(issued_s) >= expiry_s, "expired").when(F.col(correct), "verified").when(wrong >= attempts, "locked").otherwise("wrong")
+    judged = tries.withColumn("__verdict", verdict)
+    over = F.coalesce(F.max(F.col("__verdict") != "wrong").over(before), F.lit(False))
+    return judged.select(key, order, F.when(over, "cleared").otherwise(F.col("__verdict")).alias("verdict"))
 
 
 def embedding_estimate(chunks: DataFrame, key: str, n_tokens: str) -> DataFrame:

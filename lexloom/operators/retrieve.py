@@ -12,11 +12,10 @@ from pyspark.sql import functions as F
 
 from .. import storage
 from ..functions import fixed, text, vectors
+from . import lexical
 
 SMALL_ROWS = 200_000
 SMALL_VECTORS = 20_000
-#: A term is common if more than one in so many items have it.
-COMMON = 20
 
 
 def ranked(scored: DataFrame, k: int | None = None, keys: tuple[str, ...] = ("query_id", "scope"), score: str = "score", item: str = "item_id") -> DataFrame:
@@ -30,87 +29,16 @@ def small_side(df: DataFrame, rows: int = SMALL_ROWS) -> DataFrame:
     return F.broadcast(df) if df.limit(rows + 1).count() <= rows else df
 
 
-def _let(value: Column, body) -> Column:
-    """``body`` of a value that is computed once."""
-    return F.get(F.transform(F.array(value), body), F.lit(0))
-
-
-def _runs(words: Column) -> Column:
-    """Structs (term, tf) of a sorted array: where a word differs from the one before, its run begins."""
-    starts = F.filter(F.sequence(F.lit(0), F.size(words) - 1), lambda i: (i == 0) | (F.get(words, F.greatest(i - 1, F.lit(0))) != F.get(words, i)))
-    each = lambda at: F.transform(at, lambda i, k: F.struct(F.get(words, i).alias("term"), (F.coalesce(F.get(at, k + 1), F.size(words)) - i).cast("long").alias("tf")))
-    return F.when(F.size(words) > 0, _let(starts, each)).otherwise(F.array().cast("array<struct<term:string,tf:bigint>>"))
-
-
-def term_frequencies(items: DataFrame, body: str = "text") -> DataFrame:
-    """(scope, item_id, dl, term, tf); dl is the item's length in words.
-
-    A text's words are counted where it is read: sorted, equal ones lie side by side. Nothing is shuffled.
-    """
-    words = items.select("scope", "item_id", _let(F.sort_array(text.tokens(F.col(body))), lambda w: F.struct(F.size(w).alias("dl"), _runs(w).alias("runs"))).alias("c"))
-    # an outer explode: the inner one makes the optimizer tokenise once more for a filter below it
-    each = words.select("scope", "item_id", F.col("c.dl").alias("dl"), F.explode_outer("c.runs").alias("r")).filter("r IS NOT NULL")
-    return each.select("scope", "item_id", "dl", "r.term", "r.tf")
-
-
-def bm25_statistics(items: DataFrame, tf: DataFrame, epsilon: float = fixed.BM25_EPSILON) -> tuple[DataFrame, DataFrame]:
-    """(scope, n, avgdl, floor) and (scope, term, idf, df): negative idf is replaced by a share of the mean raw idf."""
-    terms = tf.groupBy("scope", "term").agg(F.count("*").alias("df"), F.sum("tf").alias("all"))
-    words = terms.groupBy("scope").agg(F.sum("all").alias("words"))
-    sizes = items.groupBy("scope").agg(F.count("*").alias("n")).join(words, "scope", "left")
-    sizes = sizes.select("scope", "n", (F.coalesce("words", F.lit(0)) / F.col("n")).alias("avgdl"))
-    raw = terms.join(sizes, "scope").withColumn("raw", F.log(F.col("n") - F.col("df") + 0.5) - F.log(F.col("df") + 0.5))
-    floor = raw.groupBy("scope").agg((epsilon * F.avg("raw")).alias("floor"))
-    idf = raw.join(floor, "scope").select("scope", "term", F.when(F.col("raw") < 0, F.col("floor")).otherwise(F.col("raw")).alias("idf"), "df")
-    return sizes.join(floor, "scope", "left"), idf
-
-
 def bm25(queries: DataFrame, items: DataFrame, k: int | None = fixed.TOP_K, digits: int = 6, zero_scores: bool = False) -> DataFrame:
-    """BM25 of (query_id, text) against (scope, item_id, text), every query in every scope.
+    """BM25 of (query_id, text) against (scope, item_id, text), every query in every scope; with a ``scope`` of its own a query meets that one only.
 
     Only terms of the queries are scored; with ``zero_scores`` items without any of them are ranked too (needed
-    where a scope has fewer hits than ``k``). Repeated query terms count as often as they occur. A term's weight
-    in an item is worked out once, before it meets the queries that ask for it. The term frequencies of asked terms are
-    kept in the shared store (``storage.sweep`` drops them).
-
-    With ``k``, common terms (in more than one in ``COMMON`` items) are not joined with every item: no item gets more from a term
-    than its idf times k1 + 1. If the k-th best score by the other terms is above the sum of these bounds, only items
-    that could still reach it are scored in full, and the rest cannot be among the best.
+    where a scope has fewer hits than ``k``). The index (``lexical.build``) is kept in the shared store, and ``storage.sweep`` drops it.
     """
-    tf = term_frequencies(items)
-    q = queries.select("query_id", F.explode(text.tokens(F.col("text"))).alias("term")).groupBy("query_id", "term").agg(F.count("*").alias("times"))
-    q = small_side(q)
-    sizes, idf = bm25_statistics(items, tf)
-    sizes, idf = storage.stored(sizes, "bm25-sizes"), storage.stored(idf.join(q.select("term").distinct(), "term", "left_semi"), "bm25-idf")
-    asked = idf.join(sizes.select("scope", "avgdl", "n"), "scope")
-    norm = fixed.BM25_K1 * (1 - fixed.BM25_B + fixed.BM25_B * F.col("dl") / F.col("avgdl"))
-    weight = F.col("idf") * F.col("tf") * (fixed.BM25_K1 + 1) / (F.col("tf") + norm)
-    weights = tf.join(asked, ["scope", "term"]).select("scope", "item_id", "term", weight.alias("weight"), (F.col("df") * COMMON > F.col("n")).alias("common"))
-    gained = F.sum(F.col("times") * F.col("weight"))
-    if k is None or zero_scores:
-        scored = weights.join(q, "term").groupBy("query_id", "scope", "item_id").agg(F.round(gained, digits).alias("score"))
-    else:
-        weights = storage.stored(weights, "bm25-weights")
-        bound = q.join(asked.filter(F.col("df") * COMMON > F.col("n")), "term").groupBy("query_id", "scope").agg(F.sum(F.col("times") * F.abs("idf") * (fixed.BM25_K1 + 1)).alias("more"))
-        part = weights.filter("not common").join(q, "term").groupBy("query_id", "scope", "item_id").agg(gained.alias("part"))
-        part = storage.stored(part, "bm25-part")
-        best = ranked(part, k, score="part").filter(F.col("rank") == k).select("query_id", "scope", F.col("part").alias("least"))
-        slack = 2 * 10.0**-digits
-        bound = bound.join(best, ["query_id", "scope"], "left").withColumn("least", F.coalesce("least", F.lit(0.0)))
-        bound = storage.stored(bound.withColumn("cut", F.col("least") - F.col("more") > slack), "bm25-bound")
-        # at least k items get ``least`` - ``more`` or better (common terms may weigh less than nothing); an item below that by ``more`` again cannot
-        able = part.join(bound.filter("cut"), ["query_id", "scope"]).filter(F.col("part") + F.col("more") + slack >= F.col("least") - F.col("more"))
-        able = able.select("query_id", "scope", "item_id")
-        rare = part.join(able, ["query_id", "scope", "item_id"], "left_semi").withColumnRenamed("part", "gain")
-        common = weights.filter("common").join(able, ["scope", "item_id"]).join(q, ["query_id", "term"]).select("query_id", "scope", "item_id", (F.col("times") * F.col("weight")).alias("gain"))
-        rest = weights.join(q, "term").join(bound.filter("cut").select("query_id", "scope"), ["query_id", "scope"], "left_anti")
-        rest = rest.select("query_id", "scope", "item_id", (F.col("times") * F.col("weight")).alias("gain"))
-        every = rare.select("query_id", "scope", "item_id", "gain").unionByName(common).unionByName(rest)
-        scored = every.groupBy("query_id", "scope", "item_id").agg(F.round(F.sum("gain"), digits).alias("score"))
-    if zero_scores:
-        every = queries.select("query_id").crossJoin(items.select("scope", "item_id"))
-        scored = every.join(scored, ["query_id", "scope", "item_id"], "left").withColumn("score", F.coalesce("score", F.lit(0.0)))
-    return ranked(scored, k)
+    blocks = storage.stored(lexical.build(items), "bm25-blocks")
+    if "scope" not in queries.columns:
+        queries = queries.crossJoin(F.broadcast(blocks.select("scope").distinct()))
+    return lexical.search(queries, blocks, k, digits, zero_scores)
 
 
 def keyword_overlap(queries: DataFrame, items: DataFrame, k: int | None = fixed.TOP_K) -> DataFrame:
@@ -171,7 +99,7 @@ def search(queries: DataFrame, items: DataFrame, use_reranker: bool = True, top:
     if not use_reranker:
         return near.join(items.select("scope", "item_id", "category"), ["scope", "item_id"])
     scoped = items.join(queries.select("scope").distinct(), "scope", "left_semi")
-    words = bm25(queries.select("query_id", "text"), scoped, None).join(queries.select("query_id", "scope"), ["query_id", "scope"], "left_semi").filter(F.col("rank") <= pool)
+    words = bm25(queries.select("query_id", "scope", "text"), scoped, pool)
     fused = fuse(near, words, limit=pool).select("query_id", "scope", "item_id")
     full = fused.join(items.select("scope", "item_id", "text", "category"), ["scope", "item_id"]).join(queries.select("query_id", "scope", F.col("text").alias("query_text")), ["query_id", "scope"])
     scored = full.withColumn("score", F.round(rerank(full), digits))

@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from . import application, base, relational, retrieval, text_queries, timed  # noqa: F401  registers the queries
+from . import application, base, indexes, relational, retrieval, text_queries, timed  # noqa: F401  registers the queries
 
 
 def queries() -> dict:

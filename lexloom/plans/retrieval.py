@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from ..functions import fixed, vectors
-from ..operators import classify, evaluate, retrieve
+from ..operators import classify, evaluate, lexical, retrieve
 from .base import Derived, Inline, query, spread, table
 
 _WORD = fixed.WORD
@@ -44,7 +44,7 @@ def bm25_rank(spark, d):
 @query(f"WITH {_BM25} SELECT sizes.scope, n, round(avgdl, 6) AS avgdl, round(low, 6) AS floor FROM sizes JOIN low USING (scope)")
 def bm25_stats(spark, d):
     items = _items(spark, d)
-    stats, _ = retrieve.bm25_statistics(items, retrieve.term_frequencies(items))
+    stats, _ = lexical.statistics(lexical.build(items))
     return stats.select("scope", "n", F.round("avgdl", 6).alias("avgdl"), F.round("floor", 6).alias("floor"))
 
 

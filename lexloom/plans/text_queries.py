@@ -295,7 +295,7 @@ def grounding_check(spark, d):
 
 
 _CALLED = f"""r AS (SELECT *, CASE WHEN code = 200 THEN 'ok' WHEN code = 429 THEN CASE WHEN coalesce(TRY_CAST(retry_after AS DOUBLE) >= 90, false) THEN 'exhausted' ELSE 'rate_limited' END WHEN code = 503 THEN 'unavailable' ELSE 'failed' END AS reason FROM {ATTEMPTS.sql}),
-    calls AS (SELECT id, min(n) AS n_calls, arg_min(CASE WHEN reason IN ('rate_limited', 'unavailable') THEN 'exhausted' ELSE reason END, n) AS outcome FROM r WHERE reason IN ('ok', 'exhausted', 'failed') OR n = 3 GROUP BY id)"""
+    calls AS (SELECT id, min(n) AS n_calls, arg_min(CASE WHEN reason IN ('rate_limited', 'unavailable') THEN 'failed' ELSE reason END, n) AS outcome FROM r WHERE reason IN ('ok', 'exhausted', 'failed') OR n = 3 GROUP BY id)"""
 
 
 @query(
@@ -311,6 +311,15 @@ def retry_reduce(spark, d):
     return assess.reduce_calls(ATTEMPTS.df(spark, d), "id")
 
 
+@query(
+    f"""WITH {_CALLED} SELECT id, coalesce(bool_or(outcome = 'exhausted') OVER (PARTITION BY id % 50 ORDER BY id ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), false) AS skipped FROM calls"""
+)
+def breaker_of_calls(spark, d):
+    """Fifty runs of calls: only a long wait opens a run's breaker, not retries that are used up."""
+    done = assess.reduce_calls(ATTEMPTS.df(spark, d), "id").withColumn("run", F.col("id") % 50)
+    return assess.circuit_breaker(done, "run", "id", tripped=F.col("outcome") == "exhausted").select("id", "skipped")
+
+
 _SUGGESTIONS = Derived("SELECT event_id - event_id % 3 AS id, CAST(event_id % 3 + 1 AS INTEGER) AS n, concat(event_id % 4, ',', user_id % 3) AS cited, concat(user_id % 5, ',', event_id % 6, ',', event_id % 4) AS retrieved, event_id % 9 = 0 AS failed FROM events")
 _SUGGESTED = f"""t AS (SELECT id, n, CASE WHEN failed THEN 'failed' WHEN len(list_filter(string_split(cited, ','), lambda x: NOT list_contains(string_split(retrieved, ','), x))) = 0 THEN 'grounded' END AS kind FROM {_SUGGESTIONS.sql} WHERE n <= 2),
     sug AS (SELECT id, coalesce(arg_min(kind, n) FILTER (kind IS NOT NULL), 'needs_manual_review') AS status, CAST(coalesce(min(n) FILTER (kind IS NOT NULL), max(n)) AS BIGINT) AS n FROM t GROUP BY id)"""
@@ -328,13 +337,13 @@ def suggestion_reduce(spark, d):
 
 @query(
     f"""WITH {_CALLED}, {_SUGGESTED}, c AS (SELECT DISTINCT id, id % 12 = 0 AS skipped FROM {ATTEMPTS.sql}), live AS (SELECT c.id, outcome, n_calls FROM c JOIN calls USING (id) WHERE NOT skipped),
-    e AS (SELECT id, n, {_ERROR} AS error FROM {ATTEMPTS.sql} SEMI JOIN (SELECT id FROM live WHERE outcome = 'ok') USING (id) WHERE n <= 2),
-    o AS (SELECT a.id, a.n, a.error, b.error AS first FROM e a JOIN e b ON a.id = b.id AND b.n = 1 WHERE a.n = 1 OR b.error IS NOT NULL),
+    e AS (SELECT id, n, {_ERROR} AS error, CASE WHEN {_ERROR} IS NULL THEN raw->>'$.severity' END AS severity FROM {ATTEMPTS.sql} SEMI JOIN (SELECT id FROM live WHERE outcome = 'ok') USING (id) WHERE n <= 2),
+    o AS (SELECT a.id, a.n, a.error, a.severity, b.error AS first FROM e a JOIN e b ON a.id = b.id AND b.n = 1 WHERE a.n = 1 OR b.error IS NOT NULL),
     ev AS (SELECT id, 0 AS phase, r.n AS pos, CASE WHEN r.n < n_calls THEN 'api_error_retry' WHEN outcome <> 'ok' THEN 'api_error_failed' END AS event_type FROM r JOIN live USING (id) WHERE r.n <= n_calls
       UNION ALL SELECT id, 1, n * 2, CASE WHEN error IS NOT NULL THEN 'validation_failure' WHEN n > 1 THEN 'validation_retry_success' END FROM o
       UNION ALL SELECT id, 1, 5, 'validation_needs_manual_review' FROM o WHERE n = 2 AND error IS NOT NULL
       UNION ALL SELECT id, 2, 0, 'final_flag_decision' FROM c
-      UNION ALL SELECT id, 3, 0, CASE status WHEN 'failed' THEN 'grounding_error' WHEN 'needs_manual_review' THEN 'grounding_failure' END FROM sug SEMI JOIN (SELECT id FROM live WHERE outcome = 'ok') USING (id))
+      UNION ALL SELECT id, 3, 0, CASE status WHEN 'failed' THEN 'grounding_error' WHEN 'needs_manual_review' THEN 'grounding_failure' END FROM sug SEMI JOIN (SELECT id FROM o WHERE severity IN ('high', 'medium')) USING (id))
     SELECT id, row_number() OVER (PARTITION BY id ORDER BY phase, pos) - 1 AS seq, event_type FROM ev WHERE event_type IS NOT NULL"""
 )
 def audit_trail(spark, d):

@@ -50,8 +50,8 @@ _TRIES = Derived("SELECT user_id * 1000 + event_id % 40 AS code_id, event_id, CA
 
 @query(
     f"""WITH RECURSIVE e AS (SELECT *, row_number() OVER (PARTITION BY code_id ORDER BY sec, event_id) AS k FROM {_TRIES.sql}),
-    p AS (SELECT code_id, event_id, k, CASE WHEN sec - issued > 600 THEN 'expired' WHEN ok THEN 'verified' ELSE 'wrong' END AS verdict, 1 AS wrong FROM e WHERE k = 1
-      UNION ALL SELECT e.code_id, e.event_id, e.k, CASE WHEN p.verdict <> 'wrong' THEN 'cleared' WHEN e.sec - e.issued > 600 THEN 'expired' WHEN e.ok THEN 'verified' WHEN p.wrong + 1 >= 5 THEN 'locked' ELSE 'wrong' END, p.wrong + 1 FROM p JOIN e ON e.code_id = p.code_id AND e.k = p.k + 1)
+    p AS (SELECT code_id, event_id, k, CASE WHEN sec - issued >= 600 THEN 'expired' WHEN ok THEN 'verified' ELSE 'wrong' END AS verdict, 1 AS wrong FROM e WHERE k = 1
+      UNION ALL SELECT e.code_id, e.event_id, e.k, CASE WHEN p.verdict <> 'wrong' THEN 'cleared' WHEN e.sec - e.issued >= 600 THEN 'expired' WHEN e.ok THEN 'verified' WHEN p.wrong + 1 >= 5 THEN 'locked' ELSE 'wrong' END, p.wrong + 1 FROM p JOIN e ON e.code_id = p.code_id AND e.k = p.k + 1)
     SELECT code_id, event_id, verdict FROM p"""
 )
 def otp_verify(spark, d):
