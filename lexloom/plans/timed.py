@@ -6,8 +6,8 @@ from pyspark.sql import functions as F
 
 from .. import storage
 from ..operators import assess, quota, report
-from ..streaming import twins
-from .base import Derived, query, table
+from ..streaming import machines, twins
+from .base import SQL, Derived, query, table
 
 
 @query(
@@ -156,3 +156,42 @@ def stateful_quota(spark, d):
 def dedupe_stream(spark, d):
     out = _drained(spark, d, lambda s: twins.deduplicated(s.select("event_id", "user_id", "ts"), "event_id", late="60 days"), "event_id")
     return out.select("event_id", "user_id")
+
+
+def _landed(spark, df, build):
+    """Land ``df`` as files, drain the stream built over them, and give the sink's rows."""
+    root = storage.new_path(spark, "machines")
+    df.write.parquet(f"{root}/in")
+    machines.drain(build(spark.readStream.schema(df.schema).parquet(f"{root}/in")), f"{root}/out", f"{root}/checkpoint")
+    return f"{root}/out"
+
+
+#: Seconds of the derived tables as moments; a row at the epoch itself would count as late.
+_START = 1_000_000_000
+
+
+def _moment(seconds):
+    return F.timestamp_seconds(F.col(seconds) + _START)
+
+
+@query(SQL["otp_window"])
+def otp_send_stream(spark, d):
+    rows = _SENDS.df(spark, d).select("user_id", "event_id", _moment("sec").alias("at"))
+    out = _landed(spark, rows, lambda s: machines.otp_sends(s, "user_id", "event_id", "at"))
+    return machines.committed(spark, out).select(F.col("user").alias("user_id"), F.col("request").alias("event_id"), "sent", "retry_after_s")
+
+
+@query(SQL["otp_verify"])
+def otp_verify_stream(spark, d):
+    rows = _TRIES.df(spark, d).select("code_id", "event_id", _moment("sec").alias("at"), _moment("issued").alias("issued_at"), "ok")
+    out = _landed(spark, rows, lambda s: machines.otp_verify(s, "code_id", "event_id", "at", "ok", "issued_at"))
+    return machines.committed(spark, out).select(F.col("code").alias("code_id"), F.col("attempt").alias("event_id"), "verdict")
+
+
+@query(SQL["session_counts"])
+def session_stream(spark, d):
+    """Sessions from a stream of files in any order; merged ones are retracted."""
+    rows = table(spark, d, "events").select("user_id", F.col("ts").cast("timestamp").alias("at"))
+    out = _landed(spark, rows, lambda s: machines.sessions(s.withColumnRenamed("user_id", "key"), "key", "at", late="60 days"))
+    found = twins.latest(spark, out, "key", "start_us").filter("n > 0")
+    return found.select(F.col("key").alias("user_id"), F.floor(F.col("start_us") / 1_000_000).alias("start_s"), "n")
