@@ -5,11 +5,17 @@ One document is the unit of order, so every window is partitioned by it; nothing
 
 from __future__ import annotations
 
+from collections.abc import Callable, Iterator
+
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
+from pyspark.sql.types import StringType, StructField, StructType
 
 from ..functions import fixed, text
 
+Counter = Callable[[DataFrame, list[str], str, str], DataFrame]
+
 
 def explode_lines(pages: DataFrame) -> DataFrame:
     """(doc_id, line_no, page_number, line) from (doc_id, page_number, text); line_no counts from 1."""
@@ -37,21 +43,40 @@ def detect_headings(lines: DataFrame) -> DataFrame:
     return df.withColumn("level", level.cast("int")).select(*lines.columns, "level")
 
 
-def breadcrumbs(lines: DataFrame, deepest: int | None = None) -> DataFrame:
-    """Adds ``heading_path`` ("A > B") and ``candidate`` (headings so far).
+def _paths(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """``heading_path`` of lines sorted by document and place: a stack of open headings, carried from batch to batch.
 
-    The ancestor at level k is the last heading of level k or less, if its level is k. ``deepest`` is the
-    deepest level that occurs; where it is not given, the lines are asked for it.
+    A heading closes those of its level or deeper. Only the stack is held, however long a document is.
+    """
+    doc, stack, path = None, [], fixed.UNTITLED
+    for batch in batches:
+        docs, levels, titles = (batch.column(c).to_pylist() for c in ("doc_id", "level", "__title"))
+        paths = []
+        for k, level in enumerate(levels):
+            if k == 0 and docs[k] != doc or k > 0 and docs[k] != docs[k - 1]:
+                stack, path = [], fixed.UNTITLED
+            if level is not None:
+                while stack and stack[-1][0] >= level:
+                    stack.pop()
+                stack.append((level, titles[k]))
+                path = " > ".join(title for _, title in stack) or fixed.UNTITLED
+            paths.append(path)
+        doc = docs[-1] if docs else doc
+        kept = [c for c in batch.schema.names if c != "__title"]
+        yield pa.RecordBatch.from_arrays([*(batch.column(c) for c in kept), pa.array(paths, pa.string())], names=[*kept, "heading_path"])
+
+
+def breadcrumbs(lines: DataFrame) -> DataFrame:
+    """Adds ``candidate`` (headings so far) and ``heading_path`` ("A > B").
+
+    The ancestor at level k is the last heading of level k or less, if its level is k: what a stack of open headings holds.
+    The plan is the same at any depth, and nothing runs while it is made.
     """
     doc = Window.partitionBy("doc_id").orderBy("line_no")
-    if deepest is None:
-        deepest = lines.agg(F.max("level")).first()[0] or 1
-    levels: list[Column] = []
-    for k in range(1, deepest + 1):
-        last = F.last(F.when(F.col("level") <= k, F.struct("level", F.col("line").alias("title"))), ignorenulls=True).over(doc)
-        levels.append(F.when(last["level"] == k, last["title"]))
-    path = F.array_join(F.array_compact(F.array(*levels)), " > ")
-    return lines.withColumn("candidate", F.count("level").over(doc).cast("int")).withColumn("heading_path", F.when(path == "", fixed.UNTITLED).otherwise(path))
+    df = lines.withColumn("candidate", F.count("level").over(doc).cast("int"))
+    schema = StructType([*df.schema.fields, StructField("heading_path", StringType())])
+    titled = df.withColumn("__title", F.when(F.col("level").isNotNull(), F.col("line")))
+    return titled.repartition("doc_id").sortWithinPartitions("doc_id", "line_no").mapInArrow(_paths, schema)
 
 
 def _pack(sentences: Column, budget: int) -> Column:
@@ -68,18 +93,33 @@ def _pack(sentences: Column, budget: int) -> Column:
     return F.aggregate(sentences, start, step, lambda acc: F.when(acc["cur"].isNull(), acc["done"]).otherwise(F.concat(acc["done"], F.array(acc["cur"]))))
 
 
-def size_candidates(lines: DataFrame, budget: int = fixed.MAX_TOKENS) -> DataFrame:
-    """(doc_id, candidate, heading_path, pieces): a candidate within the budget whole, others by sentences."""
+def size_candidates(lines: DataFrame, budget: int = fixed.MAX_TOKENS, counter: Counter | None = None) -> DataFrame:
+    """(doc_id, candidate, heading_path, pieces): a candidate within the budget whole, others by sentences.
+
+    ``counter`` counts tokens by joins, over candidates and sentences as rows; without one, the offline counter runs in the projection.
+    """
     rows = lines.groupBy("doc_id", "candidate").agg(
         F.sort_array(F.collect_list(F.struct("line_no", F.col("page_number").cast("int").alias("page"), "line"))).alias("ls"),
         F.min_by("heading_path", "line_no").alias("heading_path"),
     )
     whole = F.array_join(F.transform("ls", lambda x: x["line"]), "\n")
-    rows = rows.withColumn("whole", whole).withColumn("n", text.token_count(F.col("whole")))
+    first = F.get("ls", F.lit(0))["page"]
     of_page = lambda p: text.sentences(F.array_join(F.transform(F.filter("ls", lambda x: x["page"] == p), lambda x: x["line"]), " "))
-    by_page = F.transform(F.array_distinct(F.transform("ls", lambda x: x["page"])), lambda p: F.transform(of_page(p), lambda s: F.struct(p.alias("page"), s.alias("text"), text.token_count(s).alias("n"))))
-    single = F.array(F.struct(F.get("ls", F.lit(0))["page"].alias("page"), F.col("whole").alias("text"), F.col("n").alias("n")))
-    return rows.select("doc_id", "candidate", "heading_path", F.when(F.col("n") <= budget, single).otherwise(_pack(F.flatten(by_page), budget)).alias("pieces"))
+    pages = F.array_distinct(F.transform("ls", lambda x: x["page"]))
+    if counter is None:
+        rows = rows.withColumn("whole", whole).withColumn("n", text.token_count(F.col("whole")))
+        by_page = F.transform(pages, lambda p: F.transform(of_page(p), lambda s: F.struct(p.alias("page"), s.alias("text"), text.token_count(s).alias("n"))))
+        rows = rows.withColumn("single", F.array(F.struct(first.alias("page"), F.col("whole").alias("text"), F.col("n").alias("n")))).withColumn("sentences", F.flatten(by_page))
+    else:
+        by_page = F.transform(pages, lambda p: F.transform(of_page(p), lambda s: F.struct(p.alias("page"), s.alias("text"))))
+        # a token is a byte at least, so what has few bytes needs no sentences; the whole is unit 0
+        units = F.concat(F.array(F.struct(first.alias("page"), whole.alias("text"))), F.when(F.octet_length(whole) > budget, F.flatten(by_page)).otherwise(F.array()))
+        units = rows.select("doc_id", "candidate", "heading_path", F.posexplode(units).alias("unit", "u")).select("doc_id", "candidate", "heading_path", "unit", "u.page", "u.text")
+        sized = counter(units, ["doc_id", "candidate", "unit"], "text", "n").groupBy("doc_id", "candidate", "heading_path")
+        rows = sized.agg(F.sort_array(F.collect_list(F.struct("unit", F.struct("page", "text", "n").alias("u")))).alias("us"))
+        parts = F.transform("us", lambda x: x["u"])
+        rows = rows.withColumn("single", F.slice(parts, 1, 1)).withColumn("sentences", F.slice(parts, F.lit(2), F.size("us"))).withColumn("n", F.get("single", F.lit(0))["n"])
+    return rows.select("doc_id", "candidate", "heading_path", F.when(F.col("n") <= budget, F.col("single")).otherwise(_pack(F.col("sentences"), budget)).alias("pieces"))
 
 
 _CHUNK = "struct<heading_path:string,text:string,page:int,n:int>"
@@ -117,9 +157,12 @@ def _merge(chunks: Column, least: int, most: int) -> Column:
     return F.when(F.size(chunks) <= 1, chunks).otherwise(folded)
 
 
-def chunk_documents(pages: DataFrame, budget: int = fixed.MAX_TOKENS, least: int = fixed.MIN_TOKENS) -> DataFrame:
-    """(doc_id, chunk_ord, heading_path, text, page_number) from (doc_id, page_number, text)."""
-    rows = size_candidates(breadcrumbs(detect_headings(explode_lines(pages))), budget)
+def chunk_documents(pages: DataFrame, budget: int = fixed.MAX_TOKENS, least: int = fixed.MIN_TOKENS, counter: Counter | None = None) -> DataFrame:
+    """(doc_id, chunk_ord, heading_path, text, page_number, n_tokens) from (doc_id, page_number, text).
+
+    ``counter`` (such as ``tokens.counted``) adds a count to rows: (rows, keys, text, out).
+    """
+    rows = size_candidates(breadcrumbs(detect_headings(explode_lines(pages))), budget, counter)
     rows = rows.select("doc_id", "candidate", F.posexplode("pieces").alias("k", "p"), "heading_path")
     chunk = F.struct("candidate", "k", F.struct("heading_path", F.col("p.text").alias("text"), F.col("p.page").alias("page"), F.col("p.n").alias("n")).alias("c"))
     docs = rows.groupBy("doc_id").agg(F.sort_array(F.collect_list(chunk)).alias("all"))
