@@ -2,10 +2,16 @@
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
+from pyspark.sql.types import StringType, StructField, StructType
 
 from ..functions import fixed, text
+from . import prefix
 
 
 def flatten_answers(raw: DataFrame) -> DataFrame:
@@ -23,13 +29,13 @@ def first_of_each(rows: DataFrame, key: Column, *order: str) -> DataFrame:
 
 
 def group_split(rows: DataFrame, group: str, train: float = 0.70, validation: float = 0.15, seed: str = "42") -> DataFrame:
-    """Adds ``split``; a group is never in two. The order of the groups is a seeded hash (one row a group)."""
-    groups = rows.select(group).distinct()
+    """Adds ``split``; a group is never in two. The order of the groups is a seeded hash, ranked in blocks."""
+    groups = rows.select(group).distinct().withColumn("__h", F.md5(F.concat(F.lit(seed), F.col(group).cast("string"))))
     n = groups.agg(F.count("*").alias("n"))
-    order = Window.orderBy(F.md5(F.concat(F.lit(seed), F.col(group).cast("string"))), group)
-    place = groups.withColumn("k", F.row_number().over(order)).crossJoin(F.broadcast(n))
+    block = F.coalesce(F.conv(F.substring("__h", 1, 3), 16, 10).cast("int"), F.lit(-1))  # hashes are even, so 4096 ranges of them are
+    place = prefix.sums_before(groups, ["__h", group], F.lit(1), "k", block).crossJoin(F.broadcast(n))
     first, second = F.floor(F.col("n") * train), F.floor(F.col("n") * validation)
-    split = F.when(F.col("k") <= first, "train").when(F.col("k") <= first + second, "val").otherwise("test")
+    split = F.when(F.col("k") < first, "train").when(F.col("k") < first + second, "val").otherwise("test")
     return rows.join(place.select(group, split.alias("split")), group)
 
 
@@ -61,34 +67,63 @@ def status_counts(rows: DataFrame, status: str, known: tuple[str, ...] = ("ok",
     return both.select(status, F.coalesce("n", F.lit(0)).alias("n"), F.col(status).isin(*known).alias("expected"))
 
 
+def _picks(gaps: np.ndarray, size: np.ndarray, n: np.ndarray) -> np.ndarray:
+    """How often each split (column) is among the first ``n`` picks, each of which takes the widest gap and narrows it by ``size``.
+
+    The picks of a split go down in steps of ``size``, so the first ``n`` of all are those above a water level; the few around
+    the level are picked one by one.
+    """
+    step = np.maximum(size, 1e-300)[:, None]
+    top = np.cumsum(-np.sort(-gaps, axis=1), axis=1)
+    level = ((top - (n * size)[:, None]) / np.arange(1, gaps.shape[1] + 1)).max(axis=1)[:, None]
+    taken = np.where(size[:, None] > 0, np.maximum(np.floor((gaps - level) / step) - 2, 0), 0)
+    left = np.where(size > 0, n - taken.sum(axis=1), 0)
+    while (open_rows := np.flatnonzero(left > 0)).size:
+        widest = np.round(gaps[open_rows] - step[open_rows] * taken[open_rows], 6).argmax(axis=1)
+        taken[open_rows, widest] += 1
+        left[open_rows] -= 1
+    return taken
+
+
+def _widest(gaps: np.ndarray, size: np.ndarray, n: np.ndarray) -> np.ndarray:
+    """The split that pick ``n`` (from 0) takes."""
+    return np.round(gaps - size[:, None] * _picks(gaps, size, n), 6).argmax(axis=1)
+
+
 def deficit_assign(groups: DataFrame, group: str, size: str, shares: dict[str, float]) -> DataFrame:
-    """(group, split): groups from the largest on, each to the split that is furthest below its share.
+    """(group, split): groups from the largest on (then by name), each to the split that is furthest below its share.
 
-    A fold over one row a group (a summary that the caller has aggregated).
+    Groups of one size are picks in closed form, so the fold goes over the distinct sizes only: of T rows there are at most
+    sqrt(2 T) of those, and the fold holds one number a split. Ranks among the groups come from blocks, and each group is
+    then decided by itself. A null size counts as 0.
     """
     names = list(shares)
-    one = groups.agg(F.sort_array(F.collect_list(F.struct((-F.col(size)).alias("neg"), F.col(group).cast("string").alias("g")))).alias("gs"), F.sum(size).cast("double").alias("total"))
-    state = F.struct(F.array(*(F.lit(0.0) for _ in names)).alias("have"), F.array().cast("array<struct<g:string,i:int>>").alias("out"))
-
-    def step(acc, g):
-        gaps = [F.round(F.lit(shares[n]) * F.col("total") - F.get(acc["have"], F.lit(i)), 6) for i, n in enumerate(names)]
-        best = F.greatest(*gaps)
-        pick = F.lit(len(names) - 1)
-        for i in reversed(range(len(names) - 1)):
-            pick = F.when(gaps[i] == best, i).otherwise(pick)
-        return F.get(
-            F.transform(
-                F.array(pick),
-                lambda p: F.struct(
-                    F.transform(acc["have"], lambda h, i: h + F.when(i == p, -g["neg"].cast("double")).otherwise(0.0)).alias("have"),
-                    F.concat(acc["out"], F.array(F.struct(g["g"].alias("g"), p.alias("i")))).alias("out"),
-                ),
-            ),
-            F.lit(0),
-        )
-
-    out = one.select(F.explode(F.aggregate("gs", state, step, lambda acc: acc["out"])).alias("r"))
-    return out.select(F.col("r.g").alias(group), F.element_at(F.array(*(F.lit(n) for n in names)), F.col("r.i") + 1).alias("split"))
+    rows = groups.select(F.col(group).cast("string").alias("g"), F.coalesce(F.col(size), F.lit(0)).cast("double").alias("s"))
+    total = rows.agg(F.sum("s").alias("total"))
+    goal = np.array([shares[n] for n in names])
+
+    def fold(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        have, before = np.zeros(len(goal)), 0
+        for batch in batches:
+            made = []
+            for s, m, whole in zip(*(batch.column(c).to_pylist() for c in ("s", "m", "total"))):
+                gaps = np.round(goal * whole - have, 6)
+                made.append((s, before, gaps.tolist()))
+                have = have + s * _picks(gaps[None], np.array([s]), np.array([m]))[0]
+                before += m
+            yield pa.RecordBatch.from_pydict({"s": [x[0] for x in made], "before": [x[1] for x in made], "gaps": [x[2] for x in made]})
+
+    def decide(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            gaps = np.array(batch.column("gaps").to_pylist(), dtype=float).reshape(-1, len(goal))
+            size, n = (batch.column(c).to_numpy(zero_copy_only=False).astype(float) for c in ("s", "n"))
+            found = _widest(gaps, size, n)
+            yield pa.RecordBatch.from_arrays([batch.column("g"), pa.array([names[i] for i in found], pa.string())], names=[group, "split"])
+
+    sizes = rows.groupBy("s").agg(F.count("*").alias("m")).crossJoin(F.broadcast(total)).repartition(1).sortWithinPartitions(F.desc("s"))
+    states = sizes.mapInArrow(fold, "s double, before long, gaps array<double>")
+    ranked = prefix.sums_before(rows.withColumn("neg", -F.col("s")), ["neg", "g"], F.lit(1), "k").join(states, "s")
+    return ranked.select("g", "s", (F.col("k") - F.col("before")).alias("n"), "gaps").mapInArrow(decide, StructType([StructField(group, StringType()), StructField("split", StringType())]))
 
 
 def split_report(rows: DataFrame, split: str, category: str, splits: list[str], categories: list[str], least: int = 5) -> DataFrame:

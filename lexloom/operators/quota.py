@@ -14,6 +14,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions import fixed
+from . import prefix
 
 
 def daily_quota(events: DataFrame, user: str = "user_id", ts: str = "ts", tie: str = "event_id", limit: int = fixed.DAILY_UPLOADS) -> DataFrame:
@@ -128,6 +129,8 @@ def embedding_estimate(chunks: DataFrame, key: str, n_tokens: str) -> DataFrame:
 
 
 def budget_stop(rows: DataFrame, order: str, tokens: str, budget: int, key: str | None = None) -> DataFrame:
-    """Rows whose predecessors' tokens are within the budget; without a key the order is one sequence (a batch's rows)."""
-    w = (Window.partitionBy(key) if key else Window.partitionBy()).orderBy(order).rowsBetween(Window.unboundedPreceding, -1)
+    """Rows whose predecessors' tokens are within the budget; without a key the order is one sequence, summed in blocks."""
+    if key is None:
+        return prefix.sums_before(rows, [order], F.col(tokens), "spent", below=budget)
+    w = Window.partitionBy(key).orderBy(order).rowsBetween(Window.unboundedPreceding, -1)
     return rows.withColumn("spent", F.coalesce(F.sum(tokens).over(w), F.lit(0)).cast("long")).filter(F.col("spent") < budget)

@@ -262,6 +262,19 @@ def deficit_assign(spark, d):
     return datasets.deficit_assign(groups, "source", "n", {"train": 0.7, "val": 0.15, "test": 0.15})
 
 
+@query(
+    """WITH RECURSIVE g AS (SELECT l_partkey AS part, count(*) AS n, sum(count(*)) OVER () AS total, row_number() OVER (ORDER BY count(*) DESC, CAST(l_partkey AS VARCHAR)) AS k FROM lineitem GROUP BY l_partkey),
+    f AS (SELECT CAST(0 AS BIGINT) AS k, [0.0::DOUBLE, 0.0, 0.0] AS have, CAST(NULL AS BIGINT) AS part, 0 AS pick
+      UNION ALL SELECT k, list_transform(have, lambda h, i: h + CASE WHEN i = pick THEN n ELSE 0 END), part, pick FROM (
+        SELECT g.k, g.part, g.n, have, list_position(gaps, list_max(gaps)) AS pick FROM (SELECT f.k AS before, f.have, list_transform([0.7::DOUBLE, 0.15, 0.15], lambda s, i: round(s * t.total - f.have[i], 6)) AS gaps FROM f, (SELECT any_value(total) AS total FROM g) t) JOIN g ON g.k = before + 1))
+    SELECT CAST(part AS VARCHAR) AS part, ['train', 'val', 'test'][pick] AS split FROM f WHERE k > 0"""
+)
+def deficit_assign_parts(spark, d):
+    """Very many groups: each part's lines stay together."""
+    groups = table(spark, d, "lineitem").groupBy(F.col("l_partkey").alias("part")).agg(F.count("*").alias("n"))
+    return datasets.deficit_assign(groups, "part", "n", {"train": 0.7, "val": 0.15, "test": 0.15})
+
+
 _GRID = "(SELECT * FROM (VALUES ('src0'), ('src1'), ('none')) a(source), (VALUES ('en'), ('de'), ('xx')) b(lang))"
 
 

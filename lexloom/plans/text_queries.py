@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from ..functions import fixed, text
-from ..operators import assess, classify, segment
+from ..operators import assess, classify, segment, tokens
 from ..sources import files
 from ..sources import json as json_source
 from .base import Derived, query, spread, table
@@ -115,6 +115,20 @@ def chunk_documents(spark, d):
     return segment.chunk_documents(pages).select("doc_id", "chunk_ord", "heading_path", F.sha2("text", 256).alias("sha"), "n_tokens", "page_number")
 
 
+@query()
+def bpe_token_count(spark, d):
+    """Byte-pair tokens of every text; tested against the encoder itself."""
+    return tokens.counted(table(spark, d, "documents").select("doc_id", "text"), ["doc_id"]).select("doc_id", "n_tokens")
+
+
+@query()
+def bpe_chunk_documents(spark, d):
+    """Clauses of every document within a budget of byte-pair tokens."""
+    pages = spread(table(spark, d, "documents").select("doc_id", F.lit(1).alias("page_number"), "text"))
+    chunks = segment.chunk_documents(pages, counter=tokens.counted)
+    return chunks.select("doc_id", "chunk_ord", "heading_path", F.sha2("text", 256).alias("sha"), "n_tokens", "page_number")
+
+
 @query(
     """WITH RECURSIVE s AS (SELECT doc_id, list_transform(range(1 + doc_id % 9), lambda k: (doc_id * 7919 + k * k * 104729) % CASE WHEN doc_id % 2 = 0 THEN 90 ELSE 560 END) AS ns FROM documents),
     f AS (SELECT doc_id, ns, 0 AS i, CAST([] AS BIGINT[]) AS merged, CAST(NULL AS BIGINT) AS wait FROM s

@@ -83,6 +83,14 @@ def budget_stop(spark, d):
     return quota.budget_stop(table(spark, d, "documents").select("doc_id", "source", "n_chars"), "doc_id", "n_chars", 20_000, "source").select("doc_id", "spent")
 
 
+@query("SELECT doc_id, spent FROM (SELECT doc_id, CAST(coalesce(sum(n_chars) OVER (ORDER BY doc_id ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS BIGINT) AS spent, sum(n_chars) OVER () AS total FROM documents) WHERE spent < total // 2")
+def budget_stop_global(spark, d):
+    """One budget over the whole batch: half of its tokens."""
+    docs = table(spark, d, "documents").select("doc_id", "n_chars")
+    half = docs.agg(F.sum("n_chars")).first()[0] or 0
+    return quota.budget_stop(docs, "doc_id", "n_chars", half // 2).select("doc_id", "spent")
+
+
 @query(
     """SELECT event_id, user_id, coalesce(max(CASE WHEN event_type = 'error' THEN 1 ELSE 0 END) OVER (PARTITION BY user_id ORDER BY ts, event_id ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) = 1 AS skipped FROM events"""
 )
