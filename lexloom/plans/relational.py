@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from ..operators import datasets, evaluate, observe, report
-from .base import Derived, Inline, query, table
+from .base import SQL, Derived, Inline, query, table
 
 
 @query("SELECT doc_id, lang, n_chars FROM documents WHERE lang = 'en' AND length(text) >= 40")
@@ -163,6 +163,12 @@ def timing_percentiles(spark, d):
     return observe.percentiles(table(spark, d, "events"), "value", "event_type").withColumn("mean", F.round("mean", 6))
 
 
+@query(SQL["timing_percentiles"])
+def timing_percentiles_selected(spark, d):
+    """The same by bracket and count, for keys too large for one group."""
+    return observe.selected_percentiles(table(spark, d, "events"), "value", "event_type").withColumn("mean", F.round("mean", 6))
+
+
 @query("SELECT CAST(0 AS BIGINT) AS n, CAST(NULL AS DOUBLE) AS p50, CAST(NULL AS DOUBLE) AS p95")
 def timing_percentiles_empty(spark, d):
     return observe.percentiles(table(spark, d, "events").filter("value > 1e300"), "value").select("n", "p50", "p95")

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from .. import storage
-from ..operators import assess, quota, report
+from ..operators import assess, observe, quota, report
 from ..streaming import machines, twins
 from .base import SQL, Derived, query, table
 
@@ -166,6 +166,16 @@ def dedupe_stream(spark, d):
     return out.select("event_id", "user_id")
 
 
+@query("SELECT event_type, count(value) AS n, true AS p50_close, true AS p95_close FROM events GROUP BY event_type")
+def timing_percentiles_stream(spark, d):
+    """Sketches a day from a stream, merged, and held against the exact share of values up to them: within one hundredth."""
+    e = table(spark, d, "events")
+    got = observe.merged_percentiles(_drained(spark, d, lambda s: twins.timing_sketches(s, "value", "event_type"), "start", "event_type"), "event_type")
+    share = lambda p, op: F.count_if(F.expr(f"value {op} {p}")) / F.count("value")
+    close = lambda p, at: ((share(p, "<") <= at + 0.01) & (share(p, "<=") >= at - 0.01)).alias(f"{p}_close")
+    return e.join(got.withColumnRenamed("n", "seen"), "event_type").groupBy("event_type").agg(F.max("seen").alias("n"), close("p50", 0.5), close("p95", 0.95))
+
+
 def _landed(spark, df, build):
     """Land ``df`` as files, drain the stream built over them, and give the sink's rows."""
     root = storage.new_path(spark, "machines")

@@ -42,6 +42,12 @@ def timing_events(lines: DataFrame) -> DataFrame:
     return observe.parse_timing(lines)
 
 
+def timing_sketches(events: DataFrame, value: str, *keys: str, width: str = "1 day", ts: str = "ts", late: str = "2 days") -> DataFrame:
+    """(start, keys, n, sketch) of a stream: one sketch a window, to be merged by ``observe.merged_percentiles``."""
+    w = observe.sketched(events.withWatermark(ts, late), value, F.window(ts, width).alias("window"), *keys)
+    return w.select(F.col("window.start").alias("start"), *keys, "n", "sketch")
+
+
 def stateful_quota(events: DataFrame, limit: int = fixed.DAILY_UPLOADS) -> DataFrame:
     """(user_id, event_id, day, accepted): a counter per user and UTC day that lives until it is not needed.
 
