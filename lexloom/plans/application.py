@@ -7,8 +7,10 @@ from pyspark.sql import functions as F
 from .. import storage
 from ..functions import fixed
 from ..operators import assess, contracts, datasets, evaluate, learn, providers, quota
+from ..sources import files
 from ..sources import json as json_source
-from .base import Derived, query, table
+from ..streaming import machines
+from .base import SQL, Derived, query, table
 
 
 def _tables(spark, d):
@@ -79,6 +81,20 @@ def extract_documents(spark, d):
     return pages.select(F.regexp_extract("path", r"^(-?\d+)", 1).cast("long").alias("doc_id"), "page_number", "text", "status")
 
 
+@query(SQL["extract_documents"])
+def ingest_stream(spark, d):
+    """The same from a landing folder: half of the files, a run, the other half, and a run that resumes from the checkpoint."""
+    root = storage.new_path(spark, "landing")
+    docs = table(spark, d, "documents").filter(F.length("text") > 0).withColumn("shown", F.regexp_replace(F.regexp_replace("text", "[^ -~]", "?"), r"[()\\]", " "))
+    content = F.encode(F.concat(F.lit("%PDF-1.4\nstream\n("), "shown", F.lit(") Tj\nendstream")), "UTF-8")
+    uploads = docs.select("doc_id", F.concat(F.col("doc_id").cast("string"), F.lit(".pdf")).alias("name"), content.alias("content"))
+    for half in (0, 1):
+        files.write_files(uploads.filter(F.pmod("doc_id", F.lit(2)) == half), f"{root}/in")
+        machines.drain(files.landing_pages(spark, f"{root}/in", part_bytes=4096), f"{root}/out", f"{root}/checkpoint", "append")
+    pages = machines.committed(spark, f"{root}/out")
+    return pages.select(F.regexp_extract("path", r"/(-?\d+)\.pdf$", 1).cast("long").alias("doc_id"), "page_number", "text", "status")
+
+
 @query("SELECT doc_id, source, lang, CASE WHEN doc_id % 3 > 0 THEN n_chars END AS n_chars FROM documents")
 def jsonl_round_trip(spark, d):
     """Rows written as JSONL, a folder a source, nulls left out, and read again."""

@@ -19,6 +19,7 @@ from collections.abc import Callable, Iterator
 from xml.etree import ElementTree
 
 import pyarrow as pa
+import pyarrow.fs
 from pyspark import cloudpickle
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -27,6 +28,8 @@ from ..functions import fixed, text
 
 PAGES = "path string, page_number int, text string, ocr_derived boolean, status string"
 EXTRACT_TIMEOUT_S = 120
+#: A file is dealt to one task for each so many bytes.
+PART_BYTES = 16 << 20
 _DOCX = "{http://schemas.openxmlformats.org/wordprocessingml/2006/main}"
 
 #: Gives the pages of a file; a page may be a function that gives its text, and one that fails is an empty page.
@@ -88,17 +91,19 @@ parsers = pickle.loads(take(*struct.unpack(">Q", take(8))))
 out.write(b"1")
 out.flush()
 while True:
-    kind, content = pickle.loads(take(*struct.unpack(">Q", take(8))))
+    kind, content, part, parts = pickle.loads(take(*struct.unpack(">Q", take(8))))
     try:
         pages = []
-        for page in parsers[kind](content):
+        found = parsers[kind](content)
+        first = len(found) * part // parts
+        for page in found[first : len(found) * (part + 1) // parts]:
             try:
                 pages.append(page() if callable(page) else page)
             except Exception:
                 pages.append("")
-        answer = "ok", pages
+        answer = "ok", pages, first
     except Exception as error:
-        answer = f"failed: {type(error).__name__}", []
+        answer = f"failed: {type(error).__name__}", [], 0
     data = pickle.dumps(answer)
     out.write(struct.pack(">Q", len(data)) + data)
     out.flush()
@@ -127,23 +132,23 @@ class _Extractor:
             data += more
         return data
 
-    def pages(self, kind: str, content: bytes, timeout_s: float) -> tuple[str, list[str]]:
-        """(status, texts): ok, timeout, crashed (the process ended without an answer), or failed with the error's name."""
+    def pages(self, kind: str, content: bytes, timeout_s: float, part: int = 0, parts: int = 1) -> tuple[str, list[str], int]:
+        """(status, texts, pages before them) of one of ``parts`` equal ranges of the pages: ok, timeout, crashed (the process ended without an answer), or failed with the error's name."""
         try:
             if self.process is None:
                 self.process = subprocess.Popen([sys.executable, "-c", _CHILD], stdin=subprocess.PIPE, stdout=subprocess.PIPE, stderr=subprocess.DEVNULL, start_new_session=True)
                 self._send(pickle.dumps(sys.path))
                 self._send(self.parsers)
                 self._take(1, time.monotonic() + START_TIMEOUT_S)
-            self._send(pickle.dumps((kind, content)))
+            self._send(pickle.dumps((kind, content, part, parts)))
             deadline = time.monotonic() + timeout_s
             return pickle.loads(self._take(*struct.unpack(">Q", self._take(8, deadline)), deadline))
         except TimeoutError:
             self.close()
-            return "timeout", []
+            return "timeout", [], 0
         except (EOFError, OSError):
             self.close()
-            return "crashed", []
+            return "crashed", [], 0
 
     def close(self) -> None:
         if self.process is not None:
@@ -161,29 +166,81 @@ def clean_utf8(value: str) -> str:
     return value.encode("utf-8", "replace").decode()
 
 
+def file_system(path: str) -> tuple[pa.fs.FileSystem, str]:
+    """The file system of a URI or a local path, and the path in it."""
+    at = re.sub(r"^file:/+", "/", path)
+    return (pa.fs.LocalFileSystem(), at) if at.startswith("/") else pa.fs.FileSystem.from_uri(path)
+
+
+def _read(path: str) -> tuple[str | None, bytes]:
+    """(kind, content) of a file, the kind by its first bytes as in ``sniff``."""
+    system, at = file_system(path)
+    with system.open_input_stream(at) as f:
+        content = f.read()
+    pdf, docx = content.startswith(b"%PDF-"), content.startswith(b"PK\x03\x04") and path.lower().endswith(".docx")
+    return "pdf" if pdf else "docx" if docx else None, content
+
+
+def page_ranges(files: DataFrame, part_bytes: int = PART_BYTES) -> DataFrame:
+    """(path, part, parts) from (path, length): a large file is several ranges of pages, dealt to tasks of their own."""
+    parts = F.greatest(F.lit(1), F.ceil(F.col("length") / part_bytes)).cast("int")
+    return files.select("path", parts.alias("parts")).select("path", F.explode(F.sequence(F.lit(0), F.col("parts") - 1)).alias("part"), "parts").repartition("path", "part")
+
+
 def extract_pages(files: DataFrame, parsers: dict[str, Parser] | None = None, timeout_s: float = EXTRACT_TIMEOUT_S) -> DataFrame:
-    """One row a page from (path, content, kind); a file that fails, crashes or takes too long gives one row with its status.
+    """One row a page from (path, content, kind), or from ``page_ranges``, whose tasks open the files themselves.
 
-    Parsers run in a process of their own, so a file that hangs in foreign code or ends the process costs only itself. A page
-    that fails is empty.
+    A file (or range) that fails, crashes, takes too long or is of no known kind gives one row with its status, with page number 1, or
+    null for a range that is not the first. Parsers run in a process of their own, so a file that hangs in foreign code or
+    ends the process costs only itself. A page that fails is empty.
     """
     parsers = parsers or PARSERS
+    ranged = "part" in files.columns
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         extractor = _Extractor(parsers)
         try:
             for batch in batches:
                 rows = []
-                for path, content, kind in zip(*(batch.column(c).to_pylist() for c in ("path", "content", "kind"))):
-                    status, pages = extractor.pages(kind, content or b"", timeout_s)
-                    rows += [(path, n, clean_utf8(t), False, status) for n, t in enumerate(pages if status == "ok" else [""], 1)]
+                for path, second, third in zip(*(batch.column(k).to_pylist() for k in range(3))):
+                    part, parts = (second, third) if ranged else (0, 1)
+                    kind, content = _read(path) if ranged else (third, second or b"")
+                    status, pages, before = ("unsupported", [], 0) if ranged and kind is None else extractor.pages(kind, content, timeout_s, part, parts)
+                    rows += [(path, n, clean_utf8(t), False, status) for n, t in enumerate(pages, before + 1)] if status == "ok" else [(path, None if part else 1, "", False, status)]
                 kinds = (pa.string(), pa.int32(), pa.string(), pa.bool_(), pa.string())
                 columns = zip(*rows) if rows else ([] for _ in kinds)
                 yield pa.RecordBatch.from_arrays([pa.array(list(c), k) for c, k in zip(columns, kinds)], names=["path", "page_number", "text", "ocr_derived", "status"])
         finally:
             extractor.close()
 
-    return files.select("path", "content", "kind").mapInArrow(run, PAGES)
+    return files.select(*(("path", "part", "parts") if ranged else ("path", "content", "kind"))).mapInArrow(run, PAGES)
+
+
+def landing_pages(spark: SparkSession, folder: str, parsers: dict[str, Parser] | None = None, part_bytes: int = PART_BYTES, files_per_trigger: int = 1000) -> DataFrame:
+    """A stream of the pages of files that land in a folder, each file once: the source keeps in its log which files it has taken.
+
+    Only paths and sizes go through the source; contents are read by the tasks of their ranges.
+    """
+    schema = "path string, modificationTime timestamp, length long, content binary"
+    source = spark.readStream.format("binaryFile").schema(schema).option("maxFilesPerTrigger", files_per_trigger).load(folder)
+    return extract_pages(page_ranges(source.select("path", "length"), part_bytes), parsers)
+
+
+def write_files(files: DataFrame, folder: str) -> int:
+    """Write (name, content) rows as files of a folder, in tasks; a file appears whole, by a rename. Gives their number."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        system, at = file_system(folder)
+        system.create_dir(at, recursive=True)
+        for batch in batches:
+            for name, content in zip(batch.column("name").to_pylist(), batch.column("content").to_pylist()):
+                hidden = f"{at}/.{name}-{os.getpid()}-{time.monotonic_ns()}"
+                with system.open_output_stream(hidden) as f:
+                    f.write(content)
+                system.move(hidden, f"{at}/{name}")
+            yield pa.RecordBatch.from_arrays([pa.array([batch.num_rows], pa.int64())], names=["n"])
+
+    return files.select("name", "content").mapInArrow(run, "n long").agg(F.coalesce(F.sum("n"), F.lit(0))).first()[0]
 
 
 def ocr_confidence(words: DataFrame, *keys: str) -> DataFrame:

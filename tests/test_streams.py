@@ -7,6 +7,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from lexloom.operators import quota
+from lexloom.sources import files
 from lexloom.streaming import machines, twins
 
 
@@ -114,3 +115,31 @@ def test_a_replayed_batch_is_written_once(spark, tmp_path):
     os.remove(f"{path}/batch=1/_SUCCESS")  # as a writer that died before its commit leaves it
     sink(batch.select((F.col("event") + 5).alias("event")), 1)
     assert sorted(r[0] for r in machines.committed(spark, path).collect()) == list(range(10))
+
+
+def pdf(*pages):
+    return b"%PDF-1.4\n" + b"\n".join(b"stream\n(" + p.encode() + b") Tj\nendstream" for p in pages)
+
+
+def test_landing_folder(spark, places):
+    """Large files in ranges, each file once over two triggers and a restart, failures with their status."""
+    folder, out, checkpoint = places
+
+    def run():
+        machines.drain(files.landing_pages(spark, folder, part_bytes=200, files_per_trigger=2), out, checkpoint, "append")
+
+    def write(**named):
+        rows = [(f"{name}.{'docx' if name == 'broken' else 'pdf'}", content) for name, content in named.items()]
+        assert files.write_files(spark.createDataFrame(rows, "name string, content binary"), folder) == len(rows)
+
+    long = [f"page {k} " + "x" * 40 for k in range(50)]
+    write(a=pdf("one", "two"), long=pdf(*long), odd=b"not a document", broken=b"PK\x03\x04 no archive")
+    run()
+    write(b=pdf("three"))
+    run()
+    run()
+    got = sorted((os.path.basename(r.path), r.page_number, r.text, r.status) for r in machines.committed(spark, out).collect())
+    want = [("a.pdf", 1, "one", "ok"), ("a.pdf", 2, "two", "ok"), ("b.pdf", 1, "three", "ok"), ("broken.docx", 1, "", "failed: BadZipFile"), ("odd.pdf", 1, "", "unsupported")]
+    assert got == sorted(want + [("long.pdf", k + 1, t, "ok") for k, t in enumerate(long)])
+    sizes = spark.read.format("binaryFile").load(folder).select("path", "length")
+    assert files.page_ranges(sizes, 200).filter("path LIKE '%long.pdf'").count() > 10
