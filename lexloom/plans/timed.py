@@ -176,11 +176,11 @@ def timing_percentiles_stream(spark, d):
     return e.join(got.withColumnRenamed("n", "seen"), "event_type").groupBy("event_type").agg(F.max("seen").alias("n"), close("p50", 0.5), close("p95", 0.95))
 
 
-def _landed(spark, df, build):
+def _landed(spark, df, build, mode="update"):
     """Land ``df`` as files, drain the stream built over them, and give the sink's rows."""
     root = storage.new_path(spark, "machines")
     df.write.parquet(f"{root}/in")
-    machines.drain(build(spark.readStream.schema(df.schema).parquet(f"{root}/in")), f"{root}/out", f"{root}/checkpoint")
+    machines.drain(build(spark.readStream.schema(df.schema).parquet(f"{root}/in")), f"{root}/out", f"{root}/checkpoint", mode)
     return f"{root}/out"
 
 
@@ -213,3 +213,12 @@ def session_stream(spark, d):
     out = _landed(spark, rows, lambda s: machines.sessions(s.withColumnRenamed("user_id", "key"), "key", "at", late="60 days"))
     found = twins.latest(spark, out, "key", "start_us").filter("n > 0")
     return found.select(F.col("key").alias("user_id"), F.floor(F.col("start_us") / 1_000_000).alias("start_s"), "n")
+
+
+@query("SELECT event_id, user_id, event_type FROM events")
+def audit_stream(spark, d):
+    """An audit trail through the sink that holds each batch once; the first batch arrives twice."""
+    events = table(spark, d, "events").select("event_id", "user_id", "event_type")
+    out = _landed(spark, events, lambda s: s, "append")
+    machines.once(out)(events, 0)
+    return machines.committed(spark, out)
