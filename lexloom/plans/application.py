@@ -50,8 +50,8 @@ def flagged_clauses(spark, d):
     return contracts.flagged_clauses(own, clauses, flags, 5, "me").select("clause_id", "severity", "page_number")
 
 
-_SPANS = Derived("SELECT source AS contract, replace(left(text, 24), ' ', '  ') AS text, doc_id AS pos FROM documents")
-_ROWS = Derived("SELECT doc_id, CASE WHEN doc_id % 9 = 0 THEN 'elsewhere' ELSE source END AS contract, concat(' ', left(text, CASE WHEN doc_id % 7 = 0 THEN 20 ELSE 24 END)) AS text FROM documents")
+_SPANS = Derived("SELECT source AS contract, replace(text, ' ', '  ') AS text, doc_id AS pos FROM documents")
+_ROWS = Derived("SELECT doc_id, CASE WHEN doc_id % 9 = 0 THEN 'elsewhere' ELSE source END AS contract, concat(' ', text, CASE WHEN doc_id % 7 = 0 THEN ' and more' ELSE '' END) AS text FROM documents")
 _EVEN = "trim(regexp_replace(text, '\\s+', ' ', 'g'))"
 
 
@@ -95,6 +95,35 @@ def ingest_stream(spark, d):
     return pages.select(F.regexp_extract("path", r"/(-?\d+)\.pdf$", 1).cast("long").alias("doc_id"), "page_number", "text", "status")
 
 
+#: A font of two-byte codes that are UTF-16, and a font of single bytes.
+_PDF_HEAD = """%PDF-1.7
+1 0 obj << /Type /Catalog /Pages 2 0 R >> endobj
+2 0 obj << /Type /Pages /Count 2 /Kids [7 0 R 8 0 R] /Resources << /Font << /U 4 0 R /L 5 0 R >> >> >> endobj
+3 0 obj << /Length 74 >> stream
+1 begincodespacerange <0000> <FFFF> endcodespacerange
+1 beginbfrange <0000> <FFFF> <0000> endbfrange
+endstream endobj
+4 0 obj << /Type /Font /Subtype /Type0 /ToUnicode 3 0 R >> endobj
+5 0 obj << /Type /Font /Subtype /Type1 /Encoding /WinAnsiEncoding >> endobj
+7 0 obj << /Type /Page /Parent 2 0 R /Contents 9 0 R >> endobj
+8 0 obj << /Type /Page /Parent 2 0 R /Contents [10 0 R 11 0 R] >> endobj
+"""
+
+
+@query("SELECT doc_id, CAST(1 AS INTEGER) AS page_number, coalesce(text, '') AS text, 'ok' AS status FROM documents UNION ALL SELECT doc_id, 2, concat(source, ' in (', lang, ')', chr(10), 'ends'), 'ok' FROM documents")
+def pdf_documents(spark, d):
+    """Whole texts in any script as files with a page tree: a page of mapped codes, a line a show operator, and a page of adjusted strings in two streams."""
+    docs = table(spark, d, "documents")
+    lines = F.transform(F.split(F.coalesce("text", F.lit("")), "\n"), lambda x: F.concat(F.lit("<"), F.hex(F.encode(x, "UTF-16BE")), F.lit("> Tj")))
+    stream = lambda n, *body: F.concat(F.lit(f"{n} 0 obj << >> stream\n"), *body, F.lit("\nendstream endobj\n"))
+    first = stream(9, F.lit("BT /U 9 Tf "), F.array_join(lines, " T*\n"), F.lit(" ET"))
+    second = stream(10, F.lit("BT /L 9 Tf [("), "source", F.lit(") -300 (in) -400 (\\("), "lang", F.lit("\\051)] TJ")), stream(11, F.lit("0 -12 Td (en) Tj (ds) Tj ET"))
+    content = F.encode(F.concat(F.lit(_PDF_HEAD), first, *second, F.lit("trailer << /Root 1 0 R >>")), "UTF-8")
+    uploads = docs.select(F.concat(F.col("doc_id").cast("string"), F.lit(".pdf")).alias("path"), content.alias("content"), F.length(content).alias("length"))
+    pages, _ = contracts.ingest(uploads)
+    return pages.select(F.regexp_extract("path", r"^(-?\d+)", 1).cast("long").alias("doc_id"), "page_number", "text", "status")
+
+
 @query("SELECT doc_id, source, lang, CASE WHEN doc_id % 3 > 0 THEN n_chars END AS n_chars FROM documents")
 def jsonl_round_trip(spark, d):
     """Rows written as JSONL, a folder a source, nulls left out, and read again."""
@@ -145,10 +174,10 @@ def index_round_trip(spark, d):
     return contracts.load_index(spark, path, 2, 5).select("item_id", F.col("scope").cast("int").alias("scope"))
 
 
-@query("SELECT doc_id, concat('Clause:', chr(10), left(text, 100), CASE WHEN doc_id % 3 > 0 THEN concat(chr(10), chr(10), 'Related clauses:', chr(10), source, CASE WHEN doc_id % 3 = 2 THEN concat(chr(10), chr(10), lang) ELSE '' END) ELSE '' END) AS prompt FROM documents")
+@query("SELECT doc_id, concat('Clause:', chr(10), text, CASE WHEN doc_id % 3 > 0 THEN concat(chr(10), chr(10), 'Related clauses:', chr(10), source, CASE WHEN doc_id % 3 = 2 THEN concat(chr(10), chr(10), lang) ELSE '' END) ELSE '' END) AS prompt FROM documents")
 def prompt_text(spark, d):
     related = F.slice(F.array("source", "lang"), F.lit(1), (F.col("doc_id") % 3).cast("int"))
-    return table(spark, d, "documents").select("doc_id", contracts.prompt(F.left("text", F.lit(100)), related).alias("prompt"))
+    return table(spark, d, "documents").select("doc_id", contracts.prompt(F.col("text"), related).alias("prompt"))
 
 
 @query("SELECT count(*) FILTER (o_custkey % 2 = 0) AS gone, count(*) FILTER (o_custkey % 2 > 0) AS kept FROM orders")

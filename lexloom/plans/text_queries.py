@@ -12,7 +12,7 @@ from .base import Derived, query, spread, table
 
 #: Every document as two pages, with numbered lines around its text.
 CONTRACT = Derived(
-    """SELECT doc_id, page_number, CASE WHEN page_number = 1 THEN concat('MASTER AGREEMENT ', CASE WHEN doc_id % 2 = 0 THEN 'A' ELSE 'NO' END, chr(10), '1. Definitions', chr(10), left(text, 90), chr(10), '(', doc_id % 9, ') Notice', chr(10),
+    """SELECT doc_id, page_number, CASE WHEN page_number = 1 THEN concat('MASTER AGREEMENT ', CASE WHEN doc_id % 2 = 0 THEN 'A' ELSE 'NO' END, chr(10), '1. Definitions', chr(10), source, ' in ', lang, chr(10), '(', doc_id % 9, ') Notice', chr(10),
     '(', doc_id % 7, ') Renewal', chr(10), 'Section 2.', doc_id % 5, CASE WHEN doc_id % 3 = 0 THEN '.4.1.2 Deep' ELSE ' Caps' END, chr(10), '(a) first item', chr(10), '(iv) roman item')
     ELSE concat('(', doc_id % 4, ') continues here', chr(10), text, chr(10), 'ARTICLE IV Indemnity', chr(10), '1.1 Services', chr(10), '1.1.', doc_id % 6, ' Work. ') END AS text
     FROM documents, (SELECT 1 AS page_number UNION ALL SELECT 2) p"""
@@ -148,7 +148,7 @@ def merge_undersized(spark, d):
 HEADINGS = Derived(
     """SELECT doc_id AS id, CASE doc_id % 13 WHEN 0 THEN concat(doc_id % 20, '. ', doc_id % 3, '. Venue') WHEN 1 THEN 'Indemnification and Limitation of Liability' WHEN 2 THEN concat('Indemnification > ', doc_id % 7, '.1 Termination')
     WHEN 3 THEN 'Revenue' WHEN 4 THEN 'Determination' WHEN 5 THEN concat('Section ', doc_id % 9, '.', doc_id % 5, ': Governing Law') WHEN 6 THEN '(a) CONFIDENTIAL INFORMATION' WHEN 7 THEN 'Article IV — Limitation of Liability'
-    WHEN 8 THEN concat('Canceled ', left(replace(text, chr(10), ' '), 20)) WHEN 9 THEN '  12.   Choice   of Law. ' WHEN 10 THEN '' WHEN 11 THEN 'IV. Non-Disclosure' ELSE left(replace(text, chr(10), ' '), 40) END AS heading FROM documents"""
+    WHEN 8 THEN concat('Canceled ', replace(text, chr(10), ' ')) WHEN 9 THEN '  12.   Choice   of Law. ' WHEN 10 THEN '' WHEN 11 THEN 'IV. Non-Disclosure' ELSE replace(text, chr(10), ' ') END AS heading FROM documents"""
 )
 _NORM = "trim(heading)"
 for _ in range(3):
@@ -230,7 +230,7 @@ def json_props(spark, d):
 
 
 _PAGES = Derived(
-    """SELECT doc_id AS id, CASE doc_id % 5 WHEN 0 THEN '  ' WHEN 1 THEN '## -- ?? ab !! ,, ..' WHEN 2 THEN 'ab cd ef gh' ELSE left(replace(text, chr(10), ' '), 80) END AS text,
+    """SELECT doc_id AS id, CASE doc_id % 5 WHEN 0 THEN '  ' WHEN 1 THEN '## -- ?? ab !! ,, ..' WHEN 2 THEN 'ab cd ef gh' ELSE text END AS text,
     CASE WHEN doc_id % 7 = 0 THEN NULL ELSE CAST(50 + doc_id % 50 AS DOUBLE) END AS conf FROM documents"""
 )
 
@@ -244,6 +244,21 @@ def page_verdicts(spark, d):
     return _PAGES.df(spark, d).select("id", text.page_verdict(F.col("text"), F.col("conf")).alias("verdict"))
 
 
+_LAYER = Derived("SELECT doc_id AS id, CASE doc_id % 4 WHEN 0 THEN text WHEN 1 THEN concat(' ', chr(10), lang) WHEN 2 THEN '' END AS text FROM documents")
+_READ = Derived(f"SELECT id, concat(' ', text, chr(10)) AS ocr_text, conf AS mean_conf FROM {_PAGES.sql} q WHERE id % 9 > 0")
+_BARE = r"regexp_replace({}, '^\s+|\s+$', '', 'g')"
+
+
+@query(
+    rf"""SELECT id, CASE WHEN used THEN {_BARE.format('ocr_text')} ELSE text END AS text, used AS ocr_derived FROM (SELECT *, coalesce(length({_BARE.format('text')}) < 50 AND mean_conf >= 65 AND {_BARE.format('ocr_text')} <> ''
+    AND length(regexp_replace(ocr_text, '[^\p{{L}}\p{{N}}]', '', 'g')) / length(regexp_replace(ocr_text, '\s', '', 'g')) >= 0.5
+    AND regexp_matches(ocr_text, '[A-Za-z]{{5}}'), false) AS used FROM (SELECT id, coalesce(text, '') AS text FROM {_LAYER.sql}) LEFT JOIN {_READ.sql} USING (id))"""
+)
+def ocr_fallback(spark, d):
+    """Pages with little or no text take what was recognised of them, where that is good enough."""
+    return files.with_ocr(_LAYER.df(spark, d), _READ.df(spark, d), "id")
+
+
 _OCR = Derived("SELECT user_id AS page, CASE WHEN event_id % 5 = 0 THEN CAST(-1 AS DOUBLE) ELSE CAST(event_id % 100 AS DOUBLE) END AS conf, CASE WHEN event_id % 7 = 0 OR user_id % 20 = 0 THEN ' ' ELSE event_type END AS text FROM events")
 
 

@@ -25,6 +25,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..functions import fixed, text
+from . import pdf
 
 PAGES = "path string, page_number int, text string, ocr_derived boolean, status string"
 EXTRACT_TIMEOUT_S = 120
@@ -62,7 +63,7 @@ def docx_pages(content: bytes) -> list[str]:
 
 
 def plain_pdf_pages(content: bytes) -> list:
-    """Literal strings of the content streams, plain or deflated, a page per stream: a stand-in for a real parser."""
+    """Literal strings of the content streams, plain or deflated, a page per stream: for files that have streams and no objects."""
 
     def shown(stream: bytes, packed: bool) -> str:
         body = zlib.decompress(stream.strip(b"\r\n")) if packed else stream
@@ -72,7 +73,12 @@ def plain_pdf_pages(content: bytes) -> list:
     return [functools.partial(shown, stream, bool(packed)) for packed, stream in found]
 
 
-PARSERS: dict[str, Parser] = {"pdf": plain_pdf_pages, "docx": docx_pages}
+def pdf_pages(content: bytes) -> list:
+    """Pages of the page tree (``pdf.pages``); of a file without any, the literal strings of each stream."""
+    return pdf.pages(content) or plain_pdf_pages(content)
+
+
+PARSERS: dict[str, Parser] = {"pdf": pdf_pages, "docx": docx_pages}
 
 #: Seconds an extraction process may take to load its parsers; a file's own limit begins after that.
 START_TIMEOUT_S = 60.0
@@ -250,8 +256,8 @@ def ocr_confidence(words: DataFrame, *keys: str) -> DataFrame:
 
 
 def with_ocr(pages: DataFrame, ocr: DataFrame, *keys: str) -> DataFrame:
-    """Pages with under 50 characters take the recognised text (keys, ocr_text, mean_conf) if it is accepted."""
-    df = pages.join(ocr, list(keys), "left")
+    """Pages with under 50 characters take the recognised text (keys, ocr_text, mean_conf) if it is accepted; a page without text is an empty one."""
+    df = pages.withColumn("text", F.coalesce("text", F.lit(""))).join(ocr, list(keys), "left")
     use = (F.length(text.strip(F.col("text"))) < fixed.MIN_PAGE_CHARS) & (text.page_verdict(F.col("ocr_text"), F.col("mean_conf")) == "ok")
     return df.select(*keys, F.when(use, text.strip(F.col("ocr_text"))).otherwise(F.col("text")).alias("text"), use.alias("ocr_derived"))
 
