@@ -4,11 +4,19 @@ from __future__ import annotations
 
 import gc
 import tempfile
+import threading
 import uuid
 
 from pyspark.sql import DataFrame, SparkSession
 
-_WRITTEN: list[str] = []
+_OWN = threading.local()
+
+
+def _written() -> list[str]:
+    """What this thread has written: jobs in several threads of one driver own their tables apart from each other."""
+    if not hasattr(_OWN, "paths"):
+        _OWN.paths = []
+    return _OWN.paths
 
 
 def shared_dir(spark: SparkSession) -> str:
@@ -27,9 +35,9 @@ def shared_dir(spark: SparkSession) -> str:
 
 
 def new_path(spark: SparkSession, tag: str) -> str:
-    """A fresh folder of the shared store, which ``sweep`` will delete."""
+    """A fresh folder of the shared store, which a ``sweep`` of the same thread will delete."""
     path = f"{shared_dir(spark)}/{tag}-{uuid.uuid4().hex}"
-    _WRITTEN.append(path)
+    _written().append(path)
     return path
 
 
@@ -47,12 +55,12 @@ def stored(df: DataFrame, tag: str, codec: str = "zstd") -> DataFrame:
 
 
 def mark() -> int:
-    """A place in the list of what this process has written, for ``sweep``."""
-    return len(_WRITTEN)
+    """A place in the list of what this thread has written, for ``sweep``."""
+    return len(_written())
 
 
 def sweep(spark: SparkSession, since: int = 0, *keep: DataFrame) -> None:
-    """Delete what this process has written to the store from ``since`` on, but for the tables ``keep``.
+    """Delete what this thread has written to the store from ``since`` on, but for the tables ``keep``.
 
     For a step whose result is stored: nothing reads what led to it any more. A lazy result still reads its
     tables; its caller sweeps when it is done with it.
@@ -60,7 +68,7 @@ def sweep(spark: SparkSession, since: int = 0, *keep: DataFrame) -> None:
     kept = [k.stored_at for k in keep]
     gc.collect()
     spark._jvm.System.gc()  # Spark deletes shuffle files once the driver's garbage collector has met their plans
-    for path in [p for p in _WRITTEN[since:] if p not in kept]:
+    for path in [p for p in _written()[since:] if p not in kept]:
         at = spark._jvm.org.apache.hadoop.fs.Path(path)
         at.getFileSystem(spark._jsc.hadoopConfiguration()).delete(at, True)
-        _WRITTEN.remove(path)
+        _written().remove(path)
