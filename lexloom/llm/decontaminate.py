@@ -14,7 +14,7 @@ Cases: null text has no words; null or word-less items match nothing; repeated i
 item without an id still hits words but is not listed; repeated rows are handled row by row; empty tables
 give empty results (documents unchanged, if only the benchmark is empty).
 
-Scale: documents are only mapped (no shuffle). Items are dealt by their hash to automata of about ``max_words`` words,
+Scale: documents are only mapped (no shuffle). Distinct items are dealt by their hash to automata of about ``max_words`` words,
 which tasks build and store; so neither the driver nor a worker holds the benchmark. ``GROUP`` automata at a time
 are broadcast and take one pass over the documents, in which a worker has one of them open and reads
 ``MANY_BYTES`` of texts before the next; with more automata than that, what a pass has found is stored and the next pass adds
@@ -177,8 +177,11 @@ class Automaton:
 
 
 def automata(benchmark: DataFrame, window: int = WINDOW, max_words: int = MAX_WORDS, id_col: str = "item_id", text_col: str = "text") -> list[DataFrame]:
-    """Stored automata, ``GROUP`` to a table (number, packed); none for a benchmark without words."""
-    items = benchmark.select(F.col(id_col).cast("string").alias("name"), F.col(text_col).cast("binary").alias("text"))
+    """Stored automata, ``GROUP`` to a table (number, packed); none for a benchmark without words.
+
+    Rows that repeat an item count once, and no table is empty, so passes follow the distinct words of the benchmark.
+    """
+    items = benchmark.select(F.col(id_col).cast("string").alias("name"), F.col(text_col).cast("binary").alias("text")).distinct()
 
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for part in slices(batches):
@@ -196,7 +199,8 @@ def automata(benchmark: DataFrame, window: int = WINDOW, max_words: int = MAX_WO
 
     dealt = items.withColumn("number", F.pmod(F.xxhash64("name", "text"), F.lit(parts)))
     stored = materialise(dealt.groupBy("number").applyInArrow(build, "number long, packed binary"), "automata")
-    return [stored.filter(F.col("number").between(lo, lo + GROUP - 1)) for lo in range(0, parts, GROUP)]
+    numbers = sorted(r.number for r in stored.select("number").collect())  # one for ``max_words`` words
+    return [stored.filter(F.col("number").isin(numbers[at : at + GROUP])) for at in range(0, len(numbers), GROUP)]
 
 
 def _merged(parts: list[list[tuple[int, int]]]) -> list[tuple[int, int]]:

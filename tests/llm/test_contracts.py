@@ -87,6 +87,19 @@ def test_decontaminate(docs, local, spark, sf_dir):
             assert rows_of(got, "doc_id", "n_words", "n_hit", "n_items", "items_sha256", "contaminated") == want
 
 
+def test_decontaminate_passes(docs, local, spark):
+    """Forty rows of one item are one automaton, and equal rows find what one does."""
+    rows = [(1, "b c d e f g h i j a")] * 40
+    items = spark.createDataFrame(rows, "item_id long, text string")
+    groups = decontaminate.automata(items, max_words=24)
+    assert [g.count() for g in groups] == [1]
+    several = spark.createDataFrame([(n, " ".join(f"w{n}x{k}" for k in range(12))) for n in range(30)] * 3, "item_id long, text string")
+    groups = decontaminate.automata(several, max_words=24)
+    assert all(g.count() for g in groups) and sum(g.count() for g in groups) <= 15 and len(groups) <= 4
+    got = decontaminate.report(docs, items, max_words=24)
+    assert rows_of(got, "doc_id", "n_words", "n_hit", "n_items", "items_sha256", "contaminated") == sorted(brute.decontaminate(local, rows), key=str)
+
+
 def test_simhash(docs, local):
     found = simhash.near_duplicates(docs).withColumn("f", F.lower(F.lpad(F.hex("fp"), 16, "0")))
     want = brute.components([i for i, _ in local], [brute.fingerprint(t) for _, t in local])
