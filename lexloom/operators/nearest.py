@@ -4,7 +4,7 @@
   stored, partitioned by list. There are about as many lists as the square root of the number of vectors, ``MOST_LISTS`` at most.
 * ``calibrate``: the exact neighbours of ``CALIBRATED`` vectors are sought among all; the number of lists that would have shown the share
   ``TARGET`` of them is the number to probe.
-* ``search``: each query goes to its ``probes`` nearest lists; the join on the list prunes the partitions that no query asks for. Distances in
+* ``search``: each query goes to the tasks that hold its ``probes`` nearest lists, once each (``distances.nearest``). Distances in
   these lists are exact, and with all lists probed so is the result.
 """
 
@@ -20,7 +20,8 @@ from pyspark.ml.functions import array_to_vector
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from ..functions import fixed, vectors
+from ..functions import fixed
+from . import distances
 
 SAMPLE_ROWS, MOST_LISTS, SEED = 100_000, 4096, 7
 #: Vectors whose exact neighbours tell how many lists to look into, and the share of these neighbours that must be found.
@@ -50,7 +51,7 @@ def _closest(rows: DataFrame, centres: np.ndarray, probes: int, vector: str) ->
         for batch in batches:
             x = np.asarray(batch.column(names.index(vector)).cast(pa.list_(pa.float64())).flatten()).reshape(batch.num_rows, -1)
             far = norms[None, :] - 2 * x @ centres.T
-            near = np.argsort(far, axis=1, kind="stable")[:, :probes].astype(np.int32)
+            near = (far.argmin(axis=1)[:, None] if probes == 1 else np.argsort(far, axis=1, kind="stable")[:, :probes]).astype(np.int32)
             ends = pa.array(np.arange(len(near) + 1, dtype=np.int32) * near.shape[1])
             yield pa.RecordBatch.from_arrays([*batch.columns, pa.ListArray.from_arrays(ends, pa.array(near.ravel()))], names=[*names, "lists"])
 
@@ -87,17 +88,13 @@ def calibrate(spark: SparkSession, path: str, centres: np.ndarray, k: int = fixe
 
 def search(spark: SparkSession, queries: DataFrame, path: str, centres: np.ndarray, probes: int, k: int = fixed.POOL, digits: int = 6) -> DataFrame:
     """(query_id, item_id, distance, rank) of (query_id, embedding) against a stored index."""
-    from .retrieve import small_side
-
     index = spark.read.parquet(path)
     if not len(centres):
         return queries.limit(0).select("query_id", F.lit(0).alias("item_id"), F.lit(0.0).alias("distance"), F.lit(0).alias("rank"))
     asked = _closest(queries.select("query_id", "embedding"), centres, probes, "embedding")
-    asked = asked.select("query_id", F.col("embedding").alias("q"), F.explode("lists").alias("list"))
-    pairs = index.select("item_id", "embedding", "list").join(small_side(asked), "list")
-    pairs = pairs.select("query_id", "item_id", F.round(vectors.squared_l2(F.col("q"), F.col("embedding")), digits).alias("distance"))
-    order = Window.partitionBy("query_id").orderBy("distance", "item_id")
-    return pairs.withColumn("rank", F.row_number().over(order)).filter(F.col("rank") <= k)
+    pairs = distances.nearest(asked.withColumnRenamed("lists", "scopes"), index.select(F.col("list").alias("scope"), "item_id", "embedding"), k, digits)
+    order = Window.partitionBy("query_id").orderBy(F.asc_nulls_last("distance"), "item_id")
+    return pairs.select("query_id", "item_id", "distance", F.row_number().over(order).alias("rank")).filter(F.col("rank") <= k)
 
 
 def recall(found: DataFrame, exact: DataFrame) -> DataFrame:
