@@ -48,27 +48,31 @@ def timing_sketches(events: DataFrame, value: str, *keys: str, width: str = "1 d
     return w.select(F.col("window.start").alias("start"), *keys, "n", "sketch")
 
 
-def stateful_quota(events: DataFrame, limit: int = fixed.DAILY_UPLOADS) -> DataFrame:
+def stateful_quota(events: DataFrame, limit: int = fixed.DAILY_UPLOADS, buckets: int = 256) -> DataFrame:
     """(user_id, event_id, day, accepted): a counter per user and UTC day that lives until it is not needed.
 
     Events of one trigger are taken in the order of their time. A day's state ends by event time, two days
-    after the day (a timeout by processing time would keep an ``availableNow`` run going for ever).
+    after the day (a timeout by processing time would keep an ``availableNow`` run going for ever). Users meet in ``buckets``
+    groups a day, whose state holds one counter a user: a call of Python serves many users, and more buckets make groups smaller.
     """
 
     def decide(key: tuple, parts: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
         if state.hasTimedOut:
             state.remove()
             return
-        used = state.get[0] if state.exists else 0
-        rows = pd.concat(list(parts)).sort_values(["ts", "event_id"])
-        place = used + 1 + pd.Series(range(len(rows)), index=rows.index)
-        state.update((used + len(rows),))
-        end = int(pd.Timestamp(key[1], tz="UTC").timestamp() * 1000) + 3 * 86_400_000
+        used = pd.Series(*reversed(state.get), dtype="int64") if state.exists else pd.Series(dtype="int64")
+        rows = pd.concat(list(parts)).sort_values(["user_id", "ts", "event_id"])
+        place = rows.groupby("user_id").cumcount() + 1 + rows["user_id"].map(used).fillna(0).astype("int64")
+        used = used.add(rows["user_id"].value_counts(), fill_value=0).astype("int64")
+        state.update((used.index.tolist(), used.tolist()))
+        end = int(pd.Timestamp(key[0], tz="UTC").timestamp() * 1000) + 3 * 86_400_000
         state.setTimeoutTimestamp(max(end, state.getCurrentWatermarkMs() + 1))
-        yield pd.DataFrame({"user_id": key[0], "event_id": rows["event_id"], "day": key[1], "accepted": place <= limit})
+        user = rows["user_id"].astype("Int64") if key[1] >= 0 else pd.Series(pd.NA, rows.index, dtype="Int64")
+        yield pd.DataFrame({"user_id": user, "event_id": rows["event_id"], "day": key[0], "accepted": place <= limit})
 
-    keyed = events.withWatermark("ts", "2 days").withColumn("day", F.date_format("ts", "yyyy-MM-dd"))
-    return keyed.groupBy("user_id", "day").applyInPandasWithState(decide, QUOTA, "used long", "update", GroupStateTimeout.EventTimeTimeout)
+    bucket = F.when(F.col("user_id").isNull(), -1).otherwise(F.pmod(F.xxhash64("user_id"), F.lit(buckets)))  # events without a user are one user
+    keyed = events.withWatermark("ts", "2 days").withColumn("day", F.date_format("ts", "yyyy-MM-dd")).withColumn("bucket", bucket).fillna(0, ["user_id"])
+    return keyed.groupBy("day", "bucket").applyInPandasWithState(decide, QUOTA, "users array<long>, used array<long>", "update", GroupStateTimeout.EventTimeTimeout)
 
 
 def run_to_table(stream: DataFrame, path: str, checkpoint: str, mode: str = "update") -> None:
