@@ -31,6 +31,8 @@ PAGES = "path string, page_number int, text string, ocr_derived boolean, status
 EXTRACT_TIMEOUT_S = 120
 #: A file is dealt to one task for each so many bytes.
 PART_BYTES = 16 << 20
+#: Files that a trigger of a landing folder takes at most; each trigger starts its own processes and lists its own files, so many small ones cost more.
+FILES_PER_TRIGGER = 50_000
 _DOCX = "{http://schemas.openxmlformats.org/wordprocessingml/2006/main}"
 
 #: Gives the pages of a file; a page may be a function that gives its text, and one that fails is an empty page.
@@ -188,9 +190,13 @@ def _read(path: str) -> tuple[str | None, bytes]:
 
 
 def page_ranges(files: DataFrame, part_bytes: int = PART_BYTES) -> DataFrame:
-    """(path, part, parts) from (path, length): a large file is several ranges of pages, dealt to tasks of their own."""
+    """(path, part, parts) from (path, length): a large file is several ranges of pages, dealt to tasks of their own.
+
+    The number of tasks is fixed by the cores: rows of paths are so small that Spark would otherwise put all of them, and so the parsing, in one task.
+    """
+    tasks = 2 * files.sparkSession.sparkContext.defaultParallelism
     parts = F.greatest(F.lit(1), F.ceil(F.col("length") / part_bytes)).cast("int")
-    return files.select("path", parts.alias("parts")).select("path", F.explode(F.sequence(F.lit(0), F.col("parts") - 1)).alias("part"), "parts").repartition("path", "part")
+    return files.select("path", parts.alias("parts")).select("path", F.explode(F.sequence(F.lit(0), F.col("parts") - 1)).alias("part"), "parts").repartition(tasks, "path", "part")
 
 
 def extract_pages(files: DataFrame, parsers: dict[str, Parser] | None = None, timeout_s: float = EXTRACT_TIMEOUT_S) -> DataFrame:
@@ -222,7 +228,7 @@ def extract_pages(files: DataFrame, parsers: dict[str, Parser] | None = None, ti
     return files.select(*(("path", "part", "parts") if ranged else ("path", "content", "kind"))).mapInArrow(run, PAGES)
 
 
-def landing_pages(spark: SparkSession, folder: str, parsers: dict[str, Parser] | None = None, part_bytes: int = PART_BYTES, files_per_trigger: int = 1000) -> DataFrame:
+def landing_pages(spark: SparkSession, folder: str, parsers: dict[str, Parser] | None = None, part_bytes: int = PART_BYTES, files_per_trigger: int = FILES_PER_TRIGGER) -> DataFrame:
     """A stream of the pages of files that land in a folder, each file once: the source keeps in its log which files it has taken.
 
     Only paths and sizes go through the source; contents are read by the tasks of their ranges.
