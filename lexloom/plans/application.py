@@ -10,7 +10,7 @@ from ..operators import assess, contracts, datasets, evaluate, learn, providers,
 from ..sources import files
 from ..sources import json as json_source
 from ..streaming import machines
-from .base import SQL, Derived, query, table
+from .base import SQL, Derived, query, spread, table
 
 
 def _tables(spark, d):
@@ -74,7 +74,7 @@ _CLEAN = "regexp_replace(regexp_replace(text, '[^ -~]', '?'{}), '[()\\\\\\\\]',
 @query(f"SELECT doc_id, CAST(1 AS INTEGER) AS page_number, {_CLEAN.format(', ' + repr('g'), ', ' + repr('g'))} AS text, 'ok' AS status FROM documents WHERE length(text) > 0")
 def extract_documents(spark, d):
     """Every text as a file of one page: checked, parsed in a process of its own, cleaned."""
-    docs = table(spark, d, "documents").filter(F.length("text") > 0).withColumn("shown", F.regexp_replace(F.regexp_replace("text", "[^ -~]", "?"), r"[()\\]", " "))
+    docs = spread(table(spark, d, "documents").select("doc_id", "text")).filter(F.length("text") > 0).withColumn("shown", F.regexp_replace(F.regexp_replace("text", "[^ -~]", "?"), r"[()\\]", " "))
     content = F.encode(F.concat(F.lit("%PDF-1.4\nstream\n("), "shown", F.lit(") Tj\nendstream")), "UTF-8")
     uploads = docs.select(F.concat(F.col("doc_id").cast("string"), F.lit(".pdf")).alias("path"), content.alias("content"), F.length(content).alias("length"))
     pages, _ = contracts.ingest(uploads)
@@ -113,7 +113,7 @@ endstream endobj
 @query("SELECT doc_id, CAST(1 AS INTEGER) AS page_number, coalesce(text, '') AS text, 'ok' AS status FROM documents UNION ALL SELECT doc_id, 2, concat(source, ' in (', lang, ')', chr(10), 'ends'), 'ok' FROM documents")
 def pdf_documents(spark, d):
     """Whole texts in any script as files with a page tree: a page of mapped codes, a line a show operator, and a page of adjusted strings in two streams."""
-    docs = table(spark, d, "documents")
+    docs = spread(table(spark, d, "documents").select("doc_id", "text", "source", "lang"))
     lines = F.transform(F.split(F.coalesce("text", F.lit("")), "\n"), lambda x: F.concat(F.lit("<"), F.hex(F.encode(x, "UTF-16BE")), F.lit("> Tj")))
     stream = lambda n, *body: F.concat(F.lit(f"{n} 0 obj << >> stream\n"), *body, F.lit("\nendstream endobj\n"))
     first = stream(9, F.lit("BT /U 9 Tf "), F.array_join(lines, " T*\n"), F.lit(" ET"))
