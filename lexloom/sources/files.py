@@ -31,6 +31,8 @@ PAGES = "path string, page_number int, text string, ocr_derived boolean, status
 EXTRACT_TIMEOUT_S = 120
 #: A file is dealt to one task for each so many bytes.
 PART_BYTES = 16 << 20
+#: A task gives its pages on once it holds so many characters of them; a batch of files may hold thousands.
+HELD_CHARS = 4 << 20
 #: Files that a trigger of a landing folder takes at most; each trigger starts its own processes and lists its own files, so many small ones cost more.
 FILES_PER_TRIGGER = 50_000
 _DOCX = "{http://schemas.openxmlformats.org/wordprocessingml/2006/main}"
@@ -209,19 +211,27 @@ def extract_pages(files: DataFrame, parsers: dict[str, Parser] | None = None, ti
     parsers = parsers or PARSERS
     ranged = "part" in files.columns
 
+    def packed(rows: list[tuple]) -> pa.RecordBatch:
+        kinds = (pa.string(), pa.int32(), pa.string(), pa.bool_(), pa.string())
+        columns = zip(*rows) if rows else ([] for _ in kinds)
+        return pa.RecordBatch.from_arrays([pa.array(list(c), k) for c, k in zip(columns, kinds)], names=["path", "page_number", "text", "ocr_derived", "status"])
+
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         extractor = _Extractor(parsers)
         try:
             for batch in batches:
-                rows = []
-                for path, second, third in zip(*(batch.column(k).to_pylist() for k in range(3))):
+                rows, held = [], 0
+                for k in range(batch.num_rows):
+                    path, second, third = (batch.column(c)[k].as_py() for c in range(3))
                     part, parts = (second, third) if ranged else (0, 1)
                     kind, content = _read(path) if ranged else (third, second or b"")
                     status, pages, before = ("unsupported", [], 0) if ranged and kind is None else extractor.pages(kind, content, timeout_s, part, parts)
                     rows += [(path, n, clean_utf8(t), False, status) for n, t in enumerate(pages, before + 1)] if status == "ok" else [(path, None if part else 1, "", False, status)]
-                kinds = (pa.string(), pa.int32(), pa.string(), pa.bool_(), pa.string())
-                columns = zip(*rows) if rows else ([] for _ in kinds)
-                yield pa.RecordBatch.from_arrays([pa.array(list(c), k) for c, k in zip(columns, kinds)], names=["path", "page_number", "text", "ocr_derived", "status"])
+                    held += sum(map(len, pages))
+                    if held > HELD_CHARS:
+                        yield packed(rows)
+                        rows, held = [], 0
+                yield packed(rows)
         finally:
             extractor.close()
 
