@@ -12,6 +12,7 @@ from pyspark.sql.types import StringType, StructField, StructType
 
 from ..functions import fixed, text
 from . import prefix
+from .retrieve import small_side
 
 
 def flatten_answers(raw: DataFrame) -> DataFrame:
@@ -29,14 +30,17 @@ def first_of_each(rows: DataFrame, key: Column, *order: str) -> DataFrame:
 
 
 def group_split(rows: DataFrame, group: str, train: float = 0.70, validation: float = 0.15, seed: str = "42") -> DataFrame:
-    """Adds ``split``; a group is never in two. The order of the groups is a seeded hash, ranked in blocks."""
+    """Adds ``split``; a group is never in two. The order of the groups is a seeded hash, ranked in blocks.
+
+    Few groups meet the rows by broadcast: rows are not shuffled, and those of a large group stay spread.
+    """
     groups = rows.select(group).distinct().withColumn("__h", F.md5(F.concat(F.lit(seed), F.col(group).cast("string"))))
     n = groups.agg(F.count("*").alias("n"))
     block = F.coalesce(F.conv(F.substring("__h", 1, 3), 16, 10).cast("int"), F.lit(-1))  # hashes are even, so 4096 ranges of them are
     place = prefix.sums_before(groups, ["__h", group], F.lit(1), "k", block).crossJoin(F.broadcast(n))
     first, second = F.floor(F.col("n") * train), F.floor(F.col("n") * validation)
     split = F.when(F.col("k") < first, "train").when(F.col("k") < first + second, "val").otherwise("test")
-    return rows.join(place.select(group, split.alias("split")), group)
+    return rows.join(small_side(place.select(group, split.alias("split"))), group)
 
 
 def short_strata(rows: DataFrame, targets: DataFrame, keys: list[str]) -> DataFrame:
