@@ -90,3 +90,34 @@ def test_empty_table_and_other_ids(spark):
     assert repeats.remove_repeats(spark.createDataFrame([], "doc_id long, text string")).count() == 0
     df = spark.createDataFrame([("a", "x" * 500), (None, "y" * 399)], "doc_id string, text string")
     assert as_rows(repeats.remove_repeats(df)) == by_every_string([("a", "x" * 500), (None, "y" * 399)], 400)
+
+
+def test_prefixes_meet_in_the_suffix_order(spark):
+    """Texts that leave a shared string early lie between those that share it whole."""
+    rng = random.Random(11)
+    text = lambda n: "".join(rng.choice("abcdefghijklmnop") for _ in range(n))
+    rows = []
+    for _ in range(250):
+        shared = text(100)
+        rows += [(len(rows) + k, text(30) + shared + text(40)) for k in range(2)]
+        rows += [(len(rows) + k, shared[: rng.randint(50, 98)] + text(60)) for k in range(30)]
+    df = spark.createDataFrame(rows, "doc_id long, text string").repartition(4)
+    assert as_rows(repeats.remove_repeats(df, length=100)) == by_every_string(rows, 100)
+
+
+def test_few_single_strings_are_compared(spark, monkeypatch):
+    """Near copies give off strings at the edges of what they share, not all strings of an anchor."""
+    rng, compared = random.Random(5), []
+    text = lambda n: "".join(rng.choice("abcdefghijklmnop ") for _ in range(n))
+    rows = []
+    for _ in range(30):
+        passage = list(text(3000))
+        for at in (0, 700, 1500, 2300):
+            changed = passage.copy()
+            changed[at] = "#"
+            rows.append((len(rows), "".join(changed)))
+    shared = repeats.shared_tokens
+    monkeypatch.setattr(repeats, "shared_tokens", lambda found, by: compared.append(found.count() if by == "start" else 0) or shared(found, by))
+    df = spark.createDataFrame(rows, "doc_id long, text string").repartition(4)
+    assert as_rows(repeats.remove_repeats(df)) == by_every_string(rows, 400)
+    assert 0 < sum(compared) < len(rows) * 150
