@@ -62,7 +62,8 @@ _SENTENCES = r"list_filter(list_transform(string_split(regexp_replace(trim(text)
 @query(f"SELECT doc_id, CAST(len({_SENTENCES}) AS INTEGER) AS n, CAST(length(list_aggregate({_SENTENCES}, 'string_agg', '|')) AS INTEGER) AS chars FROM documents")
 def sentence_split(spark, d):
     s = table(spark, d, "documents").select("doc_id", text.sentences(F.col("text")).alias("s"))
-    return s.select("doc_id", F.size("s").alias("n"), F.length(F.array_join("s", "|")).alias("chars"))
+    # a text without sentences has no joined length in SQL, rather than 0
+    return s.select("doc_id", F.size("s").alias("n"), F.when(F.size("s") > 0, F.length(F.array_join("s", "|"))).alias("chars"))
 
 
 @query(rf"SELECT doc_id, CAST(len(regexp_extract_all(text, '{fixed.TOKEN}')) AS INTEGER) AS n FROM documents")
