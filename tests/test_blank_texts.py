@@ -18,7 +18,7 @@ def both(spark, folder, name):
     return got, sorted(con.sql(SQL[name]).fetchall())
 
 
-@pytest.mark.parametrize("name", ["sentence_split"])
+@pytest.mark.parametrize("name", ["sentence_split", "word_tokens"])
 def test_blank_texts(name, spark, tmp_path):
     got, want = both(spark, tmp_path, name)
     assert got == want and any(r[-1] is None and r[1] == 0 for r in got)
