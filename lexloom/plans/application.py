@@ -92,7 +92,7 @@ def ingest_stream(spark, d):
     uploads = docs.select("doc_id", F.concat(F.col("doc_id").cast("string"), F.lit(".pdf")).alias("name"), content.alias("content"))
     for half in (0, 1):
         files.write_files(uploads.filter(F.pmod("doc_id", F.lit(2)) == half), f"{root}/in")
-        machines.drain(files.landing_pages(spark, f"{root}/in", part_bytes=4096), f"{root}/out", f"{root}/checkpoint", "append")
+        machines.drain(files.landing_pages(spark, f"{root}/in", part_bytes=4096, log=f"{root}/found"), f"{root}/out", f"{root}/checkpoint", "append")
     pages = machines.committed(spark, f"{root}/out")
     return pages.select(F.regexp_extract("path", r"/(-?\d+)\.pdf$", 1).cast("long").alias("doc_id"), "page_number", "text", "status")
 

@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import functools
 import io
+import itertools
 import os
 import pickle
 import re
@@ -24,9 +25,11 @@ from pyspark import cloudpickle
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from .. import storage
 from ..functions import fixed, text
 from . import pdf
 
+LANDED = "path string, length long"
 PAGES = "path string, page_number int, text string, ocr_derived boolean, status string"
 EXTRACT_TIMEOUT_S = 120
 #: A file is dealt to one task for each so many bytes.
@@ -35,6 +38,8 @@ PART_BYTES = 16 << 20
 HELD_CHARS = 4 << 20
 #: Files that a trigger of a landing folder takes at most; each trigger starts its own processes and lists its own files, so many small ones cost more.
 FILES_PER_TRIGGER = 50_000
+#: Entries of a folder that a listing task gives on at a time.
+LISTED_ROWS = 10_000
 _DOCX = "{http://schemas.openxmlformats.org/wordprocessingml/2006/main}"
 
 #: Gives the pages of a file; a page may be a function that gives its text, and one that fails is an empty page.
@@ -238,13 +243,71 @@ def extract_pages(files: DataFrame, parsers: dict[str, Parser] | None = None, ti
     return files.select(*(("path", "part", "parts") if ranged else ("path", "content", "kind"))).mapInArrow(run, PAGES)
 
 
-def landing_pages(spark: SparkSession, folder: str, parsers: dict[str, Parser] | None = None, part_bytes: int = PART_BYTES, files_per_trigger: int = FILES_PER_TRIGGER) -> DataFrame:
-    """A stream of the pages of files that land in a folder, each file once: the source keeps in its log which files it has taken.
+def _entries(folder: str) -> Iterator[tuple[str, int, bool]]:
+    """(path, length, is a folder) of what is in a folder and not hidden, by Spark's rules for names. A local folder is read entry by entry; other systems give one list a folder."""
+    system, at = file_system(folder)
+    hidden = lambda name: name.startswith(".") or (name.startswith("_") and "=" not in name) or name.endswith("._COPYING_")
+    if isinstance(system, pa.fs.LocalFileSystem):
+        with os.scandir(at) as found:
+            for entry in found:
+                if not hidden(entry.name):
+                    try:
+                        deeper = entry.is_dir()
+                        yield f"file:{at.rstrip('/')}/{entry.name}", 0 if deeper else entry.stat().st_size, deeper
+                    except FileNotFoundError:  # gone since the folder was read
+                        pass
+    else:
+        for info in system.get_file_info(pa.fs.FileSelector(at)):
+            if not hidden(info.base_name):
+                yield folder.removesuffix(at) + info.path, info.size or 0, info.type == pa.fs.FileType.Directory
+
+
+def list_files(spark: SparkSession, folder: str) -> DataFrame:
+    """(path, length) of all files below a folder, listed in tasks, one for each folder: the driver sees only how many folders a level has."""
 
-    Only paths and sizes go through the source; contents are read by the tasks of their ranges.
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for at in batch.column(0).to_pylist():
+                entries = _entries(at)
+                while rows := list(itertools.islice(entries, LISTED_ROWS)):
+                    columns = (pa.array(list(c), k) for c, k in zip(zip(*rows), (pa.string(), pa.int64(), pa.bool_())))
+                    yield pa.RecordBatch.from_arrays(list(columns), names=["path", "length", "deeper"])
+
+    cores, level, found = spark.sparkContext.defaultParallelism, spark.createDataFrame([(folder.rstrip("/"),)], "path string"), []
+    while True:
+        found.append(storage.stored(level.mapInArrow(run, "path string, length long, deeper boolean"), "listed"))
+        level = found[-1].filter("deeper").select("path").repartition(2 * cores, "path")
+        if level.isEmpty():
+            return functools.reduce(DataFrame.union, (f.filter("NOT deeper").select("path", "length") for f in found))
+
+
+def find_landed(spark: SparkSession, folder: str, log: str, rows: int = FILES_PER_TRIGGER) -> int:
+    """Adds the files of a folder that are not in its ``log`` to it, as Parquet files of about ``rows`` rows (path, length) each. Gives their number.
+
+    One search of a log runs at a time. One that died has published some of its files whole; the next adds the others.
+    """
+    at = spark._jvm.org.apache.hadoop.fs.Path(log)
+    at.getFileSystem(spark._jsc.hadoopConfiguration()).mkdirs(at)
+    known = spark.read.schema(LANDED).parquet(log).select("path")
+    new = storage.stored(list_files(spark, folder).join(known, "path", "left_anti"), "landed")
+    if n := new.count():
+        new.repartition(-(-n // rows)).write.mode("append").parquet(log)
+    return n
+
+
+def landing_pages(spark: SparkSession, folder: str, parsers: dict[str, Parser] | None = None, part_bytes: int = PART_BYTES, files_per_trigger: int = FILES_PER_TRIGGER, log: str | None = None) -> DataFrame:
+    """A stream of the pages of files that land in a folder, each file once.
+
+    Only paths and sizes go through the source; contents are read by the tasks of their ranges. With a ``log`` (a folder of its own, kept as
+    long as the checkpoint) files are found by ``find_landed``, here once and later whenever it is called, and the stream follows the log: the driver holds one entry for
+    ``files_per_trigger`` files. Without it Spark's file source looks into the folder at each trigger; its driver lists and remembers every file, so that is for folders of some 100,000 files at most.
     """
-    schema = "path string, modificationTime timestamp, length long, content binary"
-    source = spark.readStream.format("binaryFile").schema(schema).option("maxFilesPerTrigger", files_per_trigger).load(folder)
+    if log is None:
+        schema = "path string, modificationTime timestamp, length long, content binary"
+        source = spark.readStream.format("binaryFile").schema(schema).option("maxFilesPerTrigger", files_per_trigger).load(folder)
+    else:
+        find_landed(spark, folder, log, files_per_trigger)
+        source = spark.readStream.schema(LANDED).option("maxFilesPerTrigger", 1).parquet(log)
     return extract_pages(page_ranges(source.select("path", "length"), part_bytes), parsers)
 
 
