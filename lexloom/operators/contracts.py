@@ -107,8 +107,7 @@ def grounding(clauses: DataFrame, items: DataFrame, severities: DataFrame) -> Da
     ``items``: scope (contract), item_id, text, embedding, category; only live clauses are in it.
     """
     asked = severities.filter(F.col("severity").isin(*report.FLAGGED)).select("item_id")
-    queries = items.join(asked, "item_id", "left_semi").select(F.col("item_id").alias("query_id"), "scope", "text", "embedding")
-    return retrieve.search(queries, items).drop("threshold", "is_confident")
+    return retrieve.search_within(items, items.select("scope", "item_id").join(asked, "item_id", "left_semi")).drop("threshold", "is_confident")
 
 
 def prompt(clause: Column, related: Column) -> Column:
